@@ -171,3 +171,117 @@ def cells_recall(spark, root):
     kw = dict(query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
               corpus_vec="embedding", exclude_self=True)
     return recall_at_k(knn_cells(e, e, 5, nprobe=2, **kw), knn_join(e, e, 5, **kw))
+
+
+# ----------------------------------------------------------------- nomenclature from `part`
+from ..functions import text as tx  # noqa: E402
+from ..operators.embed import (DEFAULT_DIM, dense_to_sparse, embed, embed_distinct,  # noqa: E402
+                               hashed_counts)
+from ..operators.validate import (label_dict as _label_dict, leaf_filter as _leaf_filter,  # noqa: E402
+                                  to_documents, to_points, validate_nomenclature)
+from ..sources.nomenclature import nomenclature_from_part  # noqa: E402
+
+
+def raw_nomenclature(spark, root) -> DataFrame:
+    return nomenclature_from_part(table(spark, root, "part"))
+
+
+def nomenclature_docs(spark, root) -> DataFrame:
+    return to_documents(validate_nomenclature(raw_nomenclature(spark, root)))
+
+
+@query("validate_nomenclature")
+def validate_nomenclature_q(spark, root):
+    v = validate_nomenclature(raw_nomenclature(spark, root))
+    return v.select("CODE", "LEVEL", "level_num", "error")
+
+
+@query("assemble_text")
+def assemble_text_q(spark, root):
+    return nomenclature_docs(spark, root).select("code", "level", "text")
+
+
+@query("leaf_filter")
+def leaf_filter_q(spark, root):
+    return _leaf_filter(nomenclature_docs(spark, root)).select("code", "heading", "parent_code")
+
+
+@query("point_ids")
+def point_ids(spark, root):
+    return nomenclature_docs(spark, root).select("code", tx.uuid5("code").alias("id"))
+
+
+@query("payload")
+def payload(spark, root):
+    """P10 + P11: points of the leaf documents, payload struct flattened."""
+    docs = _leaf_filter(nomenclature_docs(spark, root)).withColumn("vector", F.array())
+    return to_points(docs).select("id", "payload.*")
+
+
+@query("label_dict")
+def label_dict_q(spark, root):
+    return _label_dict(raw_nomenclature(spark, root))
+
+
+# ----------------------------------------------------------------- text
+@query("clean_text")
+def clean_text_q(spark, root):
+    d = table(spark, root, "documents")
+    c = tx.clean_text("text")
+    return d.select("doc_id", c.alias("clean"), F.length(c).alias("n_chars_clean"))
+
+
+@query("text_scalars")
+def text_scalars(spark, root):
+    p = table(spark, root, "pages")
+    return p.select("page_id", F.lower("url").alias("url_lower"),
+                    tx.basename_stem("url").alias("url_stem"),
+                    tx.char_count("html", "<").alias("n_tags"),
+                    F.length(tx.strip("html")).alias("n_chars_stripped"))
+
+
+# ----------------------------------------------------------------- embeddings of text
+EMBED_DIM = DEFAULT_DIM
+
+
+@query("hash_embed")
+def hash_embed(spark, root):
+    """G1 default embedder on Arrow batches, shown as its non-zero entries."""
+    d = table(spark, root, "documents").select("doc_id", "text")
+    v = embed(d, "text", dim=EMBED_DIM, id_col="doc_id")
+    s = dense_to_sparse(v, "doc_id")
+    return s.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query("hash_embed_native")
+def hash_embed_native(spark, root):
+    """The same vectors computed natively (explode + aggregate)."""
+    d = table(spark, root, "documents")
+    s = hashed_counts(d, "doc_id", "text", EMBED_DIM)
+    return s.select("doc_id", F.col("bucket").cast("int").alias("bucket"),
+                    F.round("weight", 6).alias("weight"))
+
+
+@query("dedupe_embed")
+def dedupe_embed(spark, root):
+    """Each distinct text embedded once and joined back to every row."""
+    d = table(spark, root, "documents").select("doc_id", "text")
+    v = embed_distinct(d, "text", dim=EMBED_DIM)
+    s = dense_to_sparse(v, "doc_id")
+    return s.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def leaf_vectors(spark, root) -> DataFrame:
+    leaves = _leaf_filter(nomenclature_docs(spark, root)).select("code", "text")
+    return embed(leaves, "text", dim=EMBED_DIM, id_col="code")
+
+
+@query("text_knn")
+def text_knn(spark, root):
+    """G1 + J2: every part name searched among the leaf documents."""
+    q = table(spark, root, "part").select("p_partkey", "p_name")
+    qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
+    r = knn_join(qv, leaf_vectors(spark, root), 5, query_id="p_partkey", query_vec="vector",
+                 corpus_id="code", corpus_vec="vector")
+    return r.select("query_id", "rank", F.col("id").alias("code"),
+                    F.round("score", 6).alias("score"))

@@ -149,3 +149,135 @@ SELECT l.outcome, count(*) AS n, round(any_value(q1), 6) AS q1,
        round(max(CASE WHEN c BETWEEN lo AND hi THEN c END), 6) AS upper_whisker,
        CAST(count_if(NOT (c BETWEEN lo AND hi)) AS BIGINT) AS n_outliers
 FROM l JOIN f USING (outcome) GROUP BY l.outcome""")
+
+
+# ----------------------------------------------------------------- nomenclature from `part`
+# Python's whitespace in ASCII: \t \n \v \f \r, U+001C..U+001F and the blank.
+_WS = r"[\x09-\x0d\x1c-\x20]"
+
+
+def _clean(x: str) -> str:
+    return f"nullif(trim(regexp_replace({x}, '{_WS}+', ' ', 'g')), '')"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _uuid5(x: str) -> str:
+    from ..functions.text import namespace_hex
+    h = f"sha1(unhex('{namespace_hex()}') || encode({x}))"
+    return (f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' "
+            f"|| lower(printf('%x', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 8)) "
+            f"|| substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))")
+
+
+_RAW = """
+pp AS (SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part),
+raw AS (
+  SELECT DISTINCT p_type AS CODE, 'Type ' || p_type AS HEADING, '1' AS LEVEL,
+         NULL::VARCHAR AS PARENT_CODE, NULL::VARCHAR AS Includes,
+         NULL::VARCHAR AS IncludesAlso, NULL::VARCHAR AS Excludes FROM pp
+  UNION ALL
+  SELECT DISTINCT p_type || '.' || p_brand, p_brand || ' ' || p_type, '2', p_type,
+         NULL, NULL, NULL FROM pp
+  UNION ALL
+  SELECT DISTINCT p_type || '.' || p_brand || '.' || p_size,
+         p_brand || ' ' || p_type || ' size ' || p_size, '3', p_type || '.' || p_brand,
+         NULL, NULL, NULL FROM pp
+  UNION ALL
+  SELECT p_type || '.' || p_brand || '.' || p_size || '.' || CAST(p_partkey AS VARCHAR) || ' ',
+         p_name, '4', p_type || '.' || p_brand || '.' || p_size,
+         '  ' || p_name || ' ' || chr(9) || ' ' || p_type || chr(9) || ' ',
+         p_brand || '\\nsize ' || p_size,
+         CASE WHEN p_partkey % 2 = 1 THEN 'Other ' || p_type || ' parts' END FROM pp),
+val AS (SELECT *, TRY_CAST(LEVEL AS INTEGER) AS level_num,
+  CASE WHEN CODE IS NULL OR CODE = '' THEN 'Missing required field: CODE'
+       WHEN HEADING IS NULL OR HEADING = '' THEN 'Missing required field: HEADING'
+       WHEN LEVEL IS NULL OR LEVEL = '' THEN 'Missing required field: LEVEL'
+       WHEN TRY_CAST(LEVEL AS INTEGER) IS NULL THEN 'Invalid level: ' || LEVEL
+       WHEN TRY_CAST(LEVEL AS INTEGER) NOT BETWEEN 1 AND 4
+         THEN 'Invalid level: ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
+       WHEN TRY_CAST(LEVEL AS INTEGER) > 1 AND """ + _clean("PARENT_CODE") + """ IS NULL
+         THEN 'Missing parent code for level ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
+              || ': ' || CODE
+       WHEN """ + _clean("HEADING") + """ IS NULL THEN 'Blank heading: ' || CODE
+  END AS error FROM raw),
+d0 AS (SELECT """ + _strip("CODE") + """ AS code, """ + _clean("HEADING") + """ AS heading,
+              level_num AS level, """ + _clean("PARENT_CODE") + """ AS parent_code,
+              """ + _clean("Includes") + """ AS includes,
+              """ + _clean("IncludesAlso") + """ AS includes_also,
+              """ + _clean("Excludes") + """ AS excludes
+       FROM val WHERE error IS NULL),
+docs AS (SELECT *, """ + _strip("""replace(concat_ws(chr(10), '# Code: ' || code,
+         '# Title: ' || heading,
+         CASE WHEN includes IS NOT NULL
+              THEN chr(10) || '## Includes:' || chr(10) || """ + _strip("includes") + """ END,
+         CASE WHEN includes_also IS NOT NULL
+              THEN chr(10) || '## Also includes:' || chr(10) || """ + _strip("includes_also") + """ END,
+         CASE WHEN excludes IS NOT NULL
+              THEN chr(10) || '## Excludes:' || chr(10) || """ + _strip("excludes") + """ END),
+         '\\n', chr(10))""") + """ AS text FROM d0)"""
+
+sql("validate_nomenclature", "WITH " + _RAW + """
+SELECT CODE, LEVEL, level_num, error FROM val""")
+
+sql("assemble_text", "WITH " + _RAW + """
+SELECT code, level, text FROM docs""")
+
+sql("leaf_filter", "WITH " + _RAW + """
+SELECT code, heading, parent_code FROM docs WHERE level = 4""")
+
+sql("point_ids", "WITH " + _RAW + """
+SELECT code, """ + _uuid5("code") + """ AS id FROM docs""")
+
+sql("payload", "WITH " + _RAW + """
+SELECT """ + _uuid5("code") + """ AS id, code, level, parent_code, text
+FROM docs WHERE level = 4""")
+
+sql("label_dict", "WITH " + _RAW + """
+SELECT """ + _strip("CODE") + """ AS code, arg_max(""" + _strip("HEADING") + """, 0) AS label
+FROM raw WHERE CODE <> '' AND HEADING <> '' GROUP BY 1""")
+
+# ----------------------------------------------------------------- text
+sql("clean_text", """
+SELECT doc_id, """ + _clean("text") + """ AS clean,
+       CAST(length(""" + _clean("text") + """) AS INTEGER) AS n_chars_clean
+FROM documents""")
+
+sql("text_scalars", """
+SELECT page_id, lower(url) AS url_lower,
+       regexp_replace(regexp_extract(url, '([^/\\\\]*)$', 1), '\\.[^.]*$', '') AS url_stem,
+       CAST(length(html) - length(replace(html, '<', '')) AS INTEGER) AS n_tags,
+       CAST(length(""" + _strip("html") + """) AS INTEGER) AS n_chars_stripped
+FROM pages""")
+
+# ----------------------------------------------------------------- embeddings of text
+_DIM = 1024
+
+
+def _buckets(src: str, key: str, text: str) -> str:
+    """Sparse hashed vectors of ``text`` per ``key``: (key, bucket, cnt, weight)."""
+    return f"""(
+  WITH t AS (SELECT {key} AS k, unnest(regexp_extract_all(lower({text}),
+                                                        '[\\p{{L}}\\p{{N}}]+')) AS tok
+             FROM {src}),
+  b AS (SELECT k, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % {_DIM} AS INTEGER) AS bucket,
+               count(*) AS cnt FROM t GROUP BY ALL)
+  SELECT k, bucket, cnt, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY k)) AS weight FROM b)"""
+
+
+sql("hash_embed", f"""
+SELECT k AS doc_id, bucket, round(weight, 6) AS weight FROM {_buckets('documents', 'doc_id', 'text')}""")
+sql("hash_embed_native", ORACLE["hash_embed"])
+sql("dedupe_embed", ORACLE["hash_embed"])
+
+sql("text_knn", "WITH " + _RAW + f""",
+leaf AS (SELECT code, text FROM docs WHERE level = 4),
+cb AS {_buckets('leaf', 'code', 'text')},
+qb AS {_buckets('part', 'p_partkey', 'p_name')},
+s AS (SELECT qb.k AS query_id, cb.k AS code, sum(qb.weight * cb.weight) AS score
+      FROM qb JOIN cb USING (bucket) GROUP BY ALL)
+SELECT query_id, rank, code, round(score, 6) AS score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, code)
+                 AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
