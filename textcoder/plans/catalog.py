@@ -285,3 +285,109 @@ def text_knn(spark, root):
                  corpus_id="code", corpus_vec="vector")
     return r.select("query_id", "rank", F.col("id").alias("code"),
                     F.round("score", 6).alias("score"))
+
+
+# ----------------------------------------------------------------- vector table
+from ..session import work_dir  # noqa: E402
+from ..sources import vector_table as vt  # noqa: E402
+
+
+def _leaf_points(spark, root) -> DataFrame:
+    docs = _leaf_filter(nomenclature_docs(spark, root))
+    return to_points(embed(docs, "text", dim=EMBED_DIM, id_col="code", dtype="float"))
+
+
+@query("build_vectors")
+def build_vectors(spark, root):
+    """G2 + S7 + S8 + S10: leaf documents -> vectors -> points -> new table -> read back."""
+    path = work_dir(spark, "vectors")
+    vt.create_or_replace(spark, path, EMBED_DIM, "cosine")
+    vt.upsert(spark, path, _leaf_points(spark, root))
+    pts = vt.read_points(spark, path)
+    return pts.select("id", "payload.code", "payload.level", F.size("vector").alias("dim"),
+                      F.size(F.filter("vector", lambda x: x != 0)).alias("n_nonzero"))
+
+
+@query("upsert_twice")
+def upsert_twice(spark, root):
+    """S8 idempotence: the same points upserted twice leave one row per id."""
+    path = work_dir(spark, "vectors")
+    vt.create_or_replace(spark, path, EMBED_DIM, "cosine")
+    pts = _leaf_points(spark, root)
+    vt.upsert(spark, path, pts)
+    report = vt.upsert(spark, path, pts)
+    n_ids = vt.read_points(spark, path).select("id").distinct().count()
+    return report.select("version", "n_rejected", "n_rows", F.lit(n_ids).cast("bigint").alias("n_ids"))
+
+
+@query("table_exists")
+def table_exists_q(spark, root):
+    """Tables found under a folder after creating one (rows-only check)."""
+    base = work_dir(spark, "tables")
+    vt.create_or_replace(spark, f"{base}/leaves", EMBED_DIM, "cosine")
+    vt.upsert(spark, f"{base}/leaves", _leaf_points(spark, root))
+    return vt.list_tables(spark, base).withColumn(
+        "n_points", F.lit(vt.table_count(spark, f"{base}/leaves")))
+
+
+# ----------------------------------------------------------------- prompts and generation
+from ..operators import generation as gen  # noqa: E402
+
+
+def part_candidates(spark, root) -> DataFrame:
+    """Every part name searched among the leaf documents; ordered candidate arrays."""
+    q = table(spark, root, "part").select(
+        "p_partkey", "p_name",
+        F.concat_ws(".", "p_type", "p_brand", F.col("p_size").cast("string"),
+                    F.col("p_partkey").cast("string")).alias("true_code"))
+    qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
+    return knn_join(qv, leaf_vectors(spark, root), 5, query_id="p_partkey", query_vec="vector",
+                    corpus_id="code", corpus_vec="vector", carry=["text"], as_lists=True,
+                    keep_empty=True, query_carry=["p_name", "true_code"], corpus_out="code")
+
+
+@query("prompt_build")
+def prompt_build(spark, root):
+    p = gen.build_prompts(part_candidates(spark, root), "p_name", texts="texts", codes="codes")
+    return p.select("query_id", "codes_list", "user")
+
+
+def coded_parts(spark, root, reference_fallback: bool = False) -> DataFrame:
+    c = part_candidates(spark, root).withColumn("response", gen.top_candidate_response())
+    c = c.withColumn("parsed", gen.parse_response("response"))
+    return gen.apply_fallback(c, reference_fallback=reference_fallback)
+
+
+@query("response_parse")
+def response_parse(spark, root):
+    c = part_candidates(spark, root).withColumn("response", gen.top_candidate_response())
+    p = c.select("query_id", gen.parse_response("response").alias("r"))
+    return p.select("query_id", "r.nace_code", "r.codable", "r.confidence", "r.error")
+
+
+@query("response_parse_events")
+def response_parse_events(spark, root):
+    """G4 on text that is JSON but not a valid answer (``events.props``)."""
+    e = table(spark, root, "events").select("event_id", gen.parse_response("props").alias("r"))
+    return e.select("event_id", "r.nace_code", "r.codable", "r.confidence", "r.error")
+
+
+@query("fallback_rows")
+def fallback_rows(spark, root):
+    """G6 with the reference's fallback: failed answers lose code and candidates."""
+    e = (table(spark, root, "events")
+         .select("event_id", F.array().cast("array<string>").alias("codes"),
+                 gen.parse_response("props").alias("parsed")))
+    f = gen.apply_fallback(e, reference_fallback=True)
+    return f.select("event_id", "pred_code", "codable", "confidence",
+                    F.size("retrieved_codes").alias("n_candidates"), "error")
+
+
+@query("batch_coding")
+def batch_coding(spark, root):
+    """G7 + G8: one evaluation record per part name."""
+    ev_rows = evaluation_rows(coded_parts(spark, root))
+    return ev_rows.select("query_id", F.col("p_name").alias("activity"), "true_code",
+                          "pred_code", "codable", "confidence",
+                          F.array_join("retrieved_codes", ", ").alias("retrieved_list"),
+                          "retriever_hit", "correct", "correct_given_hit", "error")

@@ -281,3 +281,110 @@ s AS (SELECT qb.k AS query_id, cb.k AS code, sum(qb.weight * cb.weight) AS score
 SELECT query_id, rank, code, round(score, 6) AS score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, code)
                  AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
+
+
+# ----------------------------------------------------------------- vector table
+sql("build_vectors", "WITH " + _RAW + f""",
+leaf AS (SELECT code, level, text FROM docs WHERE level = 4),
+nb AS (SELECT k AS code, CAST(count(*) AS INTEGER) AS n_nonzero
+       FROM {_buckets('leaf', 'code', 'text')} GROUP BY k)
+SELECT """ + _uuid5("leaf.code") + f""" AS id, leaf.code, level, {_DIM} AS dim,
+       coalesce(n_nonzero, 0) AS n_nonzero
+FROM leaf LEFT JOIN nb USING (code)""")
+
+sql("upsert_twice", "WITH " + _RAW + """
+SELECT 2 AS version, CAST(0 AS BIGINT) AS n_rejected, count(*) AS n_rows, count(*) AS n_ids
+FROM docs WHERE level = 4""")
+
+# ----------------------------------------------------------------- prompts and generation
+_PART_RANK = "WITH " + _RAW + f""",
+leaf AS (SELECT code, text FROM docs WHERE level = 4),
+cb AS {_buckets('leaf', 'code', 'text')},
+qb AS {_buckets('part', 'p_partkey', 'p_name')},
+s AS (SELECT qb.k AS query_id, cb.k AS code, sum(qb.weight * cb.weight) AS score
+      FROM qb JOIN cb USING (bucket) GROUP BY ALL),
+rk AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, code) AS rank
+  FROM s) WHERE rank <= 5),
+cand AS (SELECT query_id, list(rk.code ORDER BY rank) AS codes, list(score ORDER BY rank) AS scores,
+                string_agg(rk.code, ', ' ORDER BY rank) AS codes_list,
+                '## ' || string_agg(leaf.text, chr(10) || chr(10) || '## ' ORDER BY rank) AS descr
+         FROM rk JOIN leaf USING (code) GROUP BY query_id),
+coded AS (SELECT p.p_partkey AS query_id, p.p_name AS activity,
+                 concat_ws('.', p_type, p_brand, CAST(p_size AS VARCHAR),
+                           CAST(p_partkey AS VARCHAR)) AS true_code,
+                 codes, scores, coalesce(codes_list, '') AS codes_list,
+                 coalesce(descr, '## ') AS descr
+          FROM part p LEFT JOIN cand ON cand.query_id = p.p_partkey)"""
+
+sql("prompt_build", _PART_RANK + """
+SELECT query_id, codes_list,
+       replace(replace(replace('Activity to code: {activity}
+
+Candidate entries:
+{descriptions}
+
+Candidate codes: {codes}', '{activity}', activity), '{descriptions}', descr),
+               '{codes}', codes_list) AS user
+FROM coded""")
+
+sql("response_parse", _PART_RANK + """
+SELECT query_id, codes[1] AS nace_code, codes[1] IS NOT NULL AS codable,
+       round(coalesce(scores[1], 0.0), 6) AS confidence, NULL::VARCHAR AS error
+FROM coded""")
+
+sql("batch_coding", _PART_RANK + """
+SELECT query_id, activity, true_code, codes[1] AS pred_code, codes[1] IS NOT NULL AS codable,
+       round(coalesce(scores[1], 0.0), 6) AS confidence, codes_list AS retrieved_list,
+       coalesce(list_contains(codes, true_code), false) AS retriever_hit,
+       coalesce(codes[1] = true_code, false) AS correct,
+       CASE WHEN coalesce(list_contains(codes, true_code), false)
+            THEN coalesce(codes[1] = true_code, false) END AS correct_given_hit,
+       NULL::VARCHAR AS error
+FROM coded""")
+
+
+def _parse_error(x: str) -> str:
+    keys = f"json_keys(trim({x}))"
+    return f"""CASE WHEN {x} IS NULL THEN 'no response'
+     WHEN NOT (starts_with(trim({x}), '{{') AND ends_with(trim({x}), '}}'))
+          OR NOT json_valid(trim({x})) THEN 'not a JSON object'
+     WHEN NOT list_contains({keys}, 'nace_code') THEN 'missing key: nace_code'
+     WHEN NOT list_contains({keys}, 'codable') THEN 'missing key: codable'
+     WHEN NOT list_contains({keys}, 'confidence') THEN 'missing key: confidence'
+     WHEN lower(trim(json_extract_string(trim({x}), '$.codable')))
+          NOT IN ('true', '1', 'yes', 'on', 't', 'y', 'false', '0', 'no', 'off', 'f', 'n')
+          OR json_extract_string(trim({x}), '$.codable') IS NULL
+       THEN 'codable is not a boolean'
+     WHEN TRY_CAST(json_extract_string(trim({x}), '$.confidence') AS DOUBLE) IS NULL
+       THEN 'confidence is not a number'
+     WHEN TRY_CAST(json_extract_string(trim({x}), '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1
+       THEN 'confidence out of range' END"""
+
+
+sql("response_parse_events", f"""
+WITH e AS (SELECT event_id, props, {_parse_error('props')} AS error FROM events)
+SELECT event_id,
+       CASE WHEN error IS NULL THEN json_extract_string(trim(props), '$.nace_code') END
+         AS nace_code,
+       CASE WHEN error IS NULL THEN lower(trim(json_extract_string(trim(props), '$.codable')))
+            IN ('true', '1', 'yes', 'on', 't', 'y') END AS codable,
+       CASE WHEN error IS NULL
+            THEN TRY_CAST(json_extract_string(trim(props), '$.confidence') AS DOUBLE) END
+         AS confidence,
+       error
+FROM e""")
+
+sql("fallback_rows", f"""
+WITH e AS (SELECT event_id, props, {_parse_error('props')} AS error FROM events)
+SELECT event_id,
+       CASE WHEN error IS NULL THEN json_extract_string(trim(props), '$.nace_code') END
+         AS pred_code,
+       coalesce(CASE WHEN error IS NULL
+                     THEN lower(trim(json_extract_string(trim(props), '$.codable')))
+                          IN ('true', '1', 'yes', 'on', 't', 'y') END, false) AS codable,
+       coalesce(CASE WHEN error IS NULL
+                     THEN TRY_CAST(json_extract_string(trim(props), '$.confidence') AS DOUBLE)
+                END, 0.0) AS confidence,
+       0 AS n_candidates, error
+FROM e""")
