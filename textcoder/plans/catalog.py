@@ -391,3 +391,237 @@ def batch_coding(spark, root):
                           "pred_code", "codable", "confidence",
                           F.array_join("retrieved_codes", ", ").alias("retrieved_list"),
                           "retriever_hit", "correct", "correct_given_hit", "error")
+
+
+# ----------------------------------------------------------------- labelled examples, splits
+from ..operators import sampling  # noqa: E402
+
+SEED = 42
+
+
+def labelled(spark, root) -> DataFrame:
+    """S3: labelled examples ``(doc_id, label, code)`` = documents' text and language."""
+    return table(spark, root, "documents").select("doc_id", F.col("text").alias("label"),
+                                                  F.col("lang").alias("code"))
+
+
+def labelled_split(spark, root) -> DataFrame:
+    return sampling.split(labelled(spark, root), "doc_id", (0.70, 0.15, 0.15),
+                          ("train", "val", "test"), seed=SEED)
+
+
+@query("scan_labelled")
+def scan_labelled(spark, root):
+    return labelled(spark, root)
+
+
+@query("n_unique")
+def n_unique_q(spark, root):
+    return ev.n_unique(table(spark, root, "documents"), "source")
+
+
+@query("value_counts_top10")
+def value_counts_top10(spark, root):
+    return ev.value_counts(table(spark, root, "documents"), "source", 10)
+
+
+@query("distinct_codes")
+def distinct_codes(spark, root):
+    return table(spark, root, "documents").select(F.col("source").alias("code")).distinct()
+
+
+@query("split_assign")
+def split_assign(spark, root):
+    return labelled_split(spark, root).select("doc_id", "split")
+
+
+@query("split_sizes")
+def split_sizes_q(spark, root):
+    return labelled_split(spark, root).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("missing_codes")
+def missing_codes(spark, root):
+    """Codes of the whole set that the training split lacks."""
+    s = labelled_split(spark, root)
+    train = s.where(F.col("split") == "train").select("code")
+    return s.select("code").distinct().join(train, "code", "left_anti")
+
+
+@query("label_encode")
+def label_encode(spark, root):
+    """M2: sorted distinct training codes -> 0..n-1 (Spark ML ``StringIndexer``)."""
+    from ..operators.supervised import fit_label_indexer
+    s = labelled_split(spark, root)
+    model = fit_label_indexer(s.where(F.col("split") == "train"))
+    return spark.createDataFrame([(c, i) for i, c in enumerate(model.labels)],
+                                 "code string, code_index int")
+
+
+@query("sample_100")
+def sample_100(spark, root):
+    return sampling.sample(table(spark, root, "documents").select("doc_id", "lang"), 100,
+                           "doc_id", seed=SEED)
+
+
+@query("head_n")
+def head_n(spark, root):
+    return (table(spark, root, "documents").select("doc_id", "lang", "source")
+            .orderBy("doc_id").limit(10))
+
+
+@query("word_freq")
+def word_freq(spark, root):
+    """Word counts over the training texts only."""
+    tr = labelled_split(spark, root).where(F.col("split") == "train")
+    return (tr.select(F.explode(tx.tokens("label")).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("latest_run")
+def latest_run(spark, root):
+    """Newest run by start time (events stand for logged runs)."""
+    from ..sources.runs import latest_run_id
+    runs = table(spark, root, "events").select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
+        F.col("ts").alias("start_time"))
+    return latest_run_id(runs)
+
+
+@query("preview_100")
+def preview_100(spark, root):
+    """L4: the first 100 classified rows in input order."""
+    c = coded_parts(spark, root)
+    return (c.select("query_id", "pred_code", "confidence").orderBy("query_id").limit(100))
+
+
+@query("array_preview")
+def array_preview(spark, root):
+    """vector length and its first 8 values."""
+    e = table(spark, root, "embeddings")
+    return (e.select("vec_id", F.size("embedding").alias("dim"),
+                     F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "value"))
+            .select("vec_id", "dim", "pos", F.round(F.col("value").cast("double"), 6)
+                    .alias("value")))
+
+
+# ----------------------------------------------------------------- supervised classifier
+from ..operators import subword  # noqa: E402
+from ..operators import supervised as sup  # noqa: E402
+
+VOCAB_SIZE = 5000
+_TRAINED: dict[tuple[str, str], tuple[list, object]] = {}
+
+
+def trained(spark, root):
+    """Vocabulary + early-stopped model for a dataset, trained once per session."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _TRAINED:
+        s = labelled_split(spark, root)
+        tr = s.where(F.col("split") == "train")
+        vocab = subword.train_vocabulary(spark, subword.word_counts(tr, "label"), VOCAB_SIZE)
+        rows = [tuple(r) for r in vocab.collect()]            # bounded by VOCAB_SIZE
+        vdf = spark.createDataFrame(rows, "token_id int, token string")
+        enc = subword.encode(s, "label", vdf)
+        res = sup.train(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
+                        vocab_size=VOCAB_SIZE)
+        _TRAINED[key] = (rows, res)
+    rows, res = _TRAINED[key]
+    return spark.createDataFrame(rows, "token_id int, token string"), res
+
+
+def encoded_split(spark, root) -> DataFrame:
+    vocab, _ = trained(spark, root)
+    return subword.encode(labelled_split(spark, root), "label", vocab)
+
+
+def test_docs(spark, root) -> DataFrame:
+    return encoded_split(spark, root).where(F.col("split") == "test")
+
+
+@query("subword_vocab")
+def subword_vocab(spark, root):
+    return trained(spark, root)[0]
+
+
+@query("subword_encode")
+def subword_encode(spark, root):
+    e = encoded_split(spark, root)
+    return e.select("doc_id", F.size("ids").alias("n_tokens"),
+                    F.size(F.array_distinct(F.transform("pieces", lambda p: p["word_id"])))
+                    .alias("n_words"),
+                    F.size(F.filter("pieces", lambda p: p["token"] == subword.UNK)).alias("n_unk"))
+
+
+@query("vocab_join")
+def vocab_join(spark, root):
+    """Every training word looked up as a whole token (unknown -> [UNK] id)."""
+    vocab, _ = trained(spark, root)
+    words = word_freq(spark, root).select(F.col("word").alias("token"), "n")
+    return subword.vocab_lookup(words, vocab)
+
+
+@query("train_predict")
+def train_predict(spark, root):
+    _, res = trained(spark, root)
+    return sup.predict_topk(res.model, test_docs(spark, root), 1).select("doc_id", "code",
+                                                                        "confidence")
+
+
+@query("predict_topk")
+def predict_topk(spark, root):
+    _, res = trained(spark, root)
+    return sup.predict_topk(res.model, test_docs(spark, root), sup.DEFAULT_TOP_K)
+
+
+@query("test_accuracy")
+def test_accuracy(spark, root):
+    _, res = trained(spark, root)
+    t = test_docs(spark, root)
+    pred = sup.predict_topk(res.model, t, 1).select("doc_id", F.col("code").alias("pred"))
+    return ev.accuracy(pred, t.select("doc_id", F.col("code").alias("truth")), "doc_id",
+                       "pred", "truth")
+
+
+@query("token_attrib")
+def token_attrib(spark, root):
+    _, res = trained(spark, root)
+    return sup.token_attributions(res.model, test_docs(spark, root))
+
+
+@query("word_attrib")
+def word_attrib(spark, root):
+    _, res = trained(spark, root)
+    t = test_docs(spark, root)
+    return sup.word_attributions(sup.token_attributions(res.model, t), t)
+
+
+@query("char_attrib")
+def char_attrib(spark, root):
+    _, res = trained(spark, root)
+    return sup.char_attributions(sup.token_attributions(res.model, test_docs(spark, root)))
+
+
+@query("model_round_trip")
+def model_round_trip(spark, root):
+    """A saved and reloaded model predicts the same codes."""
+    from ..sources.runs import load_model, save_model
+    _, res = trained(spark, root)
+    path = save_model(res.model, work_dir(spark, "model"))
+    t = test_docs(spark, root)
+    a = sup.predict_topk(res.model, t, 1).select("doc_id", F.col("code").alias("a"))
+    b = sup.predict_topk(load_model(path), t, 1).select("doc_id", F.col("code").alias("b"))
+    return a.join(b, "doc_id", "full").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
+
+
+@query("run_log")
+def run_log(spark, root):
+    """S13 + L5: log the training run and read back the latest run."""
+    from ..sources.runs import latest_run_id, log_run, read_runs
+    _, res = trained(spark, root)
+    runs = work_dir(spark, "runs")
+    rid = log_run(spark, runs, {"vocab_size": VOCAB_SIZE, "max_iter": res.best_iter},
+                  {"val_log_loss": min(ll for _, ll in res.history)})
+    latest = latest_run_id(read_runs(spark, runs))
+    return latest.select((F.col("run_id") == F.lit(rid)).alias("is_latest"))

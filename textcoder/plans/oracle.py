@@ -388,3 +388,64 @@ SELECT event_id,
                 END, 0.0) AS confidence,
        0 AS n_candidates, error
 FROM e""")
+
+
+# ----------------------------------------------------------------- labelled examples, splits
+_SPLIT = """
+h AS (SELECT doc_id, text AS label, lang AS code,
+             row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS pos,
+             count(*) OVER () AS n
+      FROM documents),
+z AS (SELECT *, n - CAST(ceil(0.3 * n) AS BIGINT) AS n_train,
+             CAST(ceil(0.3 * n) AS BIGINT) - CAST(ceil(0.5 * CAST(ceil(0.3 * n) AS BIGINT)) AS BIGINT)
+               AS n_val FROM h),
+s AS (SELECT doc_id, label, code,
+             CASE WHEN pos <= n_train THEN 'train' WHEN pos <= n_train + n_val THEN 'val'
+                  ELSE 'test' END AS split FROM z)"""
+
+sql("scan_labelled", "SELECT doc_id, text AS label, lang AS code FROM documents")
+
+sql("n_unique", """
+SELECT count(*) AS n_rows,
+       count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n_unique
+FROM documents""")
+
+sql("value_counts_top10", """
+SELECT source, count(*) AS count FROM documents GROUP BY source
+ORDER BY count DESC, source NULLS FIRST LIMIT 10""")
+
+sql("distinct_codes", "SELECT DISTINCT source AS code FROM documents")
+
+sql("split_assign", "WITH " + _SPLIT + " SELECT doc_id, split FROM s")
+
+sql("split_sizes", "WITH " + _SPLIT + " SELECT split, count(*) AS n FROM s GROUP BY split")
+
+sql("missing_codes", "WITH " + _SPLIT + """
+SELECT DISTINCT code FROM s WHERE code NOT IN (SELECT code FROM s WHERE split = 'train')""")
+
+sql("label_encode", "WITH " + _SPLIT + """
+SELECT code, CAST(dense_rank() OVER (ORDER BY code) - 1 AS INTEGER) AS code_index
+FROM (SELECT DISTINCT code FROM s WHERE split = 'train')""")
+
+sql("sample_100", """
+SELECT doc_id, lang FROM documents
+ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100""")
+
+sql("head_n", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 10")
+
+sql("word_freq", "WITH " + _SPLIT + """
+SELECT word, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS word
+  FROM s WHERE split = 'train') GROUP BY word""")
+
+sql("latest_run", """
+SELECT arg_max('run-' || CAST(event_id AS VARCHAR), ts) AS run_id FROM events""")
+
+sql("preview_100", _PART_RANK + """
+SELECT query_id, codes[1] AS pred_code, round(coalesce(scores[1], 0.0), 6) AS confidence
+FROM coded ORDER BY query_id LIMIT 100""")
+
+sql("array_preview", """
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, CAST(i - 1 AS INTEGER) AS pos,
+       round(CAST(embedding[i] AS DOUBLE), 6) AS value
+FROM embeddings, range(1, 9) r(i) WHERE i <= len(embedding)""")
