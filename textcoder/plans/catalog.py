@@ -625,3 +625,88 @@ def run_log(spark, root):
                   {"val_log_loss": min(ll for _, ll in res.history)})
     latest = latest_run_id(read_runs(spark, runs))
     return latest.select((F.col("run_id") == F.lit(rid)).alias("is_latest"))
+
+
+# ----------------------------------------------------------------- CSV ingest, export, stream
+from ..operators import classify as cls  # noqa: E402
+from ..sources import activity_csv as acsv  # noqa: E402
+
+
+def part_activity_rows(spark, root) -> DataFrame:
+    return table(spark, root, "part").select(F.col("p_partkey").cast("string").alias("id"),
+                                             F.col("p_name").alias("activity_description"))
+
+
+def nomenclature_labels(spark, root) -> DataFrame:
+    return _label_dict(raw_nomenclature(spark, root))
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark, root):
+    """S4 + S5: documents written as an activity CSV (id column, quoted multi-line
+    texts, one file per partition) and read back with the upload rules."""
+    path = work_dir(spark, "activity_csv")
+    docs = table(spark, root, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("activity_description"))
+    (docs.write.mode("overwrite").option("header", True).option("quote", '"')
+     .option("escape", '"').csv(path))
+    return acsv.read_activity_csv(spark, path, keep_id=True)
+
+
+@query("csv_sequence_ids")
+def csv_sequence_ids(spark, root):
+    """S4 rule 6 + W2: a header-less two-column file; ids are 1..n in file order."""
+    path = work_dir(spark, "activity_csv")
+    rows = (table(spark, root, "part").orderBy("p_partkey")     # part files in key order
+            .select(F.col("p_partkey").cast("string"), "p_name"))
+    rows.write.mode("overwrite").option("header", False).option("sep", ";").csv(path)
+    return acsv.read_activity_csv(spark, path)
+
+
+@query("classify_batch")
+def classify_batch(spark, root):
+    """G11 retrieval path over every part name, labels from the nomenclature."""
+    out = cls.classify_retrieval(part_activity_rows(spark, root), leaf_vectors(spark, root),
+                                 nomenclature_labels(spark, root))
+    return out.select(*acsv.EXPORT_COLUMNS)
+
+
+@query("json_to_csv")
+def json_to_csv(spark, root):
+    """Classification rows as JSON arrays of 256 rows, parsed back and written."""
+    out = cls.classify_retrieval(part_activity_rows(spark, root), leaf_vectors(spark, root),
+                                 nomenclature_labels(spark, root)).select(*acsv.EXPORT_COLUMNS)
+    chunks = (cls.with_chunks(out).groupBy("chunk")     # groups of at most 256 rows
+              .agg(F.to_json(F.collect_list(F.struct(*acsv.EXPORT_COLUMNS))).alias("rows_json")))
+    return acsv.rows_json_to_csv(chunks, work_dir(spark, "export_csv"))
+
+
+@query("classify_stream")
+def classify_stream(spark, root):
+    """Part names arriving as 8 files, classified micro-batch by micro-batch."""
+    from ..streaming.classify_stream import read_stream_output, run_classification_stream
+    base = work_dir(spark, "stream")
+    rows = part_activity_rows(spark, root)
+    rows.repartition(8, "id").write.mode("overwrite").parquet(f"{base}/in")
+    leaves = leaf_vectors(spark, root)
+    labels = nomenclature_labels(spark, root)
+    run_classification_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/chk",
+        lambda b: cls.classify_retrieval(b, leaves, labels).select(*acsv.EXPORT_COLUMNS))
+    return read_stream_output(spark, f"{base}/out").select(*acsv.EXPORT_COLUMNS)
+
+
+@query("stream_progress")
+def stream_progress(spark, root):
+    """Rows per micro-batch of the incremental job (rows-only check)."""
+    from ..streaming.classify_stream import run_classification_stream
+    base = work_dir(spark, "stream")
+    part_activity_rows(spark, root).repartition(8, "id").write.mode("overwrite").parquet(
+        f"{base}/in")
+    leaves = leaf_vectors(spark, root)
+    labels = nomenclature_labels(spark, root)
+    prog = run_classification_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/chk",
+        lambda b: cls.classify_retrieval(b, leaves, labels).select(*acsv.EXPORT_COLUMNS))
+    return spark.createDataFrame([(p["batch_id"], p["input_rows"]) for p in prog],
+                                 "batch_id bigint, input_rows bigint")

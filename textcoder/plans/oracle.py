@@ -449,3 +449,28 @@ sql("array_preview", """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, CAST(i - 1 AS INTEGER) AS pos,
        round(CAST(embedding[i] AS DOUBLE), 6) AS value
 FROM embeddings, range(1, 9) r(i) WHERE i <= len(embedding)""")
+
+
+# ----------------------------------------------------------------- CSV ingest, export, stream
+sql("csv_round_trip", """
+SELECT CAST(doc_id AS VARCHAR) AS id, """ + _strip("text") + """ AS activity_description
+FROM documents WHERE """ + _strip("text") + """ <> ''""")
+
+sql("csv_sequence_ids", """
+SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS VARCHAR) AS id,
+       """ + _strip("p_name") + """ AS activity_description
+FROM part WHERE """ + _strip("p_name") + """ <> ''""")
+
+_EXPORT = _PART_RANK + """,
+lab AS (SELECT """ + _strip("CODE") + """ AS code, arg_max(""" + _strip("HEADING") + """, 0) AS label
+        FROM raw WHERE CODE <> '' AND HEADING <> '' GROUP BY 1),
+ex AS (SELECT CAST(query_id AS VARCHAR) AS id, activity AS activity_description,
+              coalesce(codes[1], '') AS code,
+              CASE WHEN codes[1] IS NULL THEN 'Not codable'
+                   WHEN lab.label IS NULL THEN '(label not found)' ELSE lab.label END AS label,
+              printf('%.3f', round(coalesce(scores[1], 0.0), 6)) AS confidence
+       FROM coded LEFT JOIN lab ON lab.code = coded.codes[1])"""
+
+sql("classify_batch", _EXPORT + " SELECT * FROM ex")
+sql("json_to_csv", _EXPORT + " SELECT * FROM ex")
+sql("classify_stream", _EXPORT + " SELECT * FROM ex")
