@@ -710,3 +710,123 @@ def stream_progress(spark, root):
         lambda b: cls.classify_retrieval(b, leaves, labels).select(*acsv.EXPORT_COLUMNS))
     return spark.createDataFrame([(p["batch_id"], p["input_rows"]) for p in prog],
                                  "batch_id bigint, input_rows bigint")
+
+
+# ----------------------------------------------------------------- extras
+from ..operators import extras as ex  # noqa: E402
+
+
+def part_evaluation(spark, root) -> DataFrame:
+    return evaluation_rows(coded_parts(spark, root))
+
+
+@query("hier_accuracy")
+def hier_accuracy(spark, root):
+    return ex.hierarchical_accuracy(part_evaluation(spark, root))
+
+
+@query("error_class")
+def error_class_q(spark, root):
+    return ex.error_class(part_evaluation(spark, root))
+
+
+@query("sector_accuracy")
+def sector_accuracy_q(spark, root):
+    return ex.sector_accuracy(part_evaluation(spark, root))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, root):
+    return ex.bootstrap_accuracy(part_evaluation(spark, root), "query_id", 200, seed=SEED)
+
+
+@query("prf")
+def prf(spark, root):
+    return ex.precision_recall_f1(loo_evaluation(spark, root))
+
+
+@query("triage")
+def triage_q(spark, root):
+    d = ex.triage(loo_decisions(spark, root), 0.5)
+    return d.select("query_id", "pred_code", "confidence", "queue")
+
+
+def _bm25_ranks(spark, root, k: int) -> DataFrame:
+    leaves = _leaf_filter(nomenclature_docs(spark, root)).select("code", "text")
+    dvec = ex.bm25_doc_vectors(leaves, "code", "text", EMBED_DIM)
+    q = table(spark, root, "part").select("p_partkey", "p_name")
+    qvec = ex.query_term_counts(q, "p_partkey", "p_name", EMBED_DIM)
+    return knn_join(qvec, dvec, k, query_id="p_partkey", query_vec="terms", corpus_id="code",
+                    corpus_vec="bm25_vector", metric="dot").withColumnRenamed("id", "code")
+
+
+def _dense_ranks(spark, root, k: int) -> DataFrame:
+    q = table(spark, root, "part").select("p_partkey", "p_name")
+    qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
+    return knn_join(qv, leaf_vectors(spark, root), k, query_id="p_partkey", query_vec="vector",
+                    corpus_id="code", corpus_vec="vector").withColumnRenamed("id", "code")
+
+
+@query("bm25_top10")
+def bm25_top10(spark, root):
+    r = _bm25_ranks(spark, root, 10)
+    return r.select("query_id", "rank", "code", F.round("score", 6).alias("score"))
+
+
+@query("bm25_rrf")
+def bm25_rrf(spark, root):
+    """BM25 and dense rankings (10 each) fused by reciprocal rank."""
+    return ex.reciprocal_rank_fusion(_bm25_ranks(spark, root, 10), _dense_ranks(spark, root, 10),
+                                     k=5)
+
+
+@query("rescore")
+def rescore(spark, root):
+    """Retrieve 10 neighbours, rescore by code vote, keep 5."""
+    e = vectors(spark, root)
+    c = knn_join(e, e, 10, query_id="vec_id", query_vec="embedding", corpus_id="vec_id",
+                 corpus_vec="embedding", exclude_self=True, carry=["code"])
+    return ex.vote_rescore(c, 5)
+
+
+@query("few_shot")
+def few_shot(spark, root):
+    """The 3 most similar other labelled names as examples for each prompt."""
+    q = table(spark, root, "part").select(
+        "p_partkey", "p_name",
+        F.concat_ws(".", "p_type", "p_brand", F.col("p_size").cast("string"),
+                    F.col("p_partkey").cast("string")).alias("code"))
+    qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
+    lists = knn_join(qv, qv, 3, query_id="p_partkey", query_vec="vector", corpus_id="p_partkey",
+                     corpus_vec="vector", exclude_self=True, carry=["p_name", "code"],
+                     as_lists=True, keep_empty=True)
+    ex_text = F.transform(F.arrays_zip("p_names", "codes"),
+                          lambda z: F.concat(z["p_names"], F.lit(" -> "), z["codes"]))
+    return lists.select("query_id", F.size("codes").alias("n_examples"),
+                        F.array_join(ex_text, "\n").alias("examples"))
+
+
+@query("hier_check")
+def hier_check(spark, root):
+    return ex.hierarchy_violations(nomenclature_docs(spark, root))
+
+
+@query("vector_check")
+def vector_check(spark, root):
+    return ex.vector_checks(table(spark, root, "embeddings"), "embedding", 64)
+
+
+@query("resume")
+def resume(spark, root):
+    """The batch job run twice on the same output folder; the second run
+    finds every id done and adds nothing."""
+    out_dir = work_dir(spark, "resume")
+    leaves = leaf_vectors(spark, root)
+    labels = nomenclature_labels(spark, root)
+
+    def job(rows):
+        return cls.classify_retrieval(rows, leaves, labels).select(*acsv.EXPORT_COLUMNS)
+
+    rows = part_activity_rows(spark, root)
+    ex.resume_classification(spark, rows, out_dir, job)
+    return ex.resume_classification(spark, rows, out_dir, job)

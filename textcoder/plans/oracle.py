@@ -474,3 +474,160 @@ ex AS (SELECT CAST(query_id AS VARCHAR) AS id, activity AS activity_description,
 sql("classify_batch", _EXPORT + " SELECT * FROM ex")
 sql("json_to_csv", _EXPORT + " SELECT * FROM ex")
 sql("classify_stream", _EXPORT + " SELECT * FROM ex")
+
+
+# ----------------------------------------------------------------- extras
+from ..operators.extras import HASH_SCALE as _HASH_SCALE, poisson1_thresholds  # noqa: E402
+
+_LO, _HI = (1 - 0.95) / 2, 1 - (1 - 0.95) / 2
+
+
+def _poisson_case() -> str:
+    th = poisson1_thresholds(12)
+    return ("CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(th))
+            + f" ELSE {len(th)} END")
+
+
+_PART_EV = _PART_RANK + """,
+pev AS (SELECT query_id, true_code, codes[1] AS pred_code,
+               coalesce(codes[1] = true_code, false) AS correct FROM coded)"""
+
+
+def _prefix(x: str, d: int) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN array_to_string(string_split({x}, '.')[1:{d}], '.') END"
+
+
+sql("hier_accuracy", _PART_EV + """,
+c AS (SELECT count(*) AS n, """ + ", ".join(
+    f"CAST(count_if(coalesce({_prefix('pred_code', d)} = {_prefix('true_code', d)}, false)) AS BIGINT) AS c{d}"
+    for d in (1, 2, 3, 4)) + """ FROM pev)
+""" + " UNION ALL ".join(
+    f"SELECT {d} AS depth, n, c{d} AS n_correct, round(c{d}::DOUBLE / n, 6) AS accuracy FROM c"
+    for d in (1, 2, 3, 4)))
+
+sql("error_class", _PART_EV + """
+SELECT CASE WHEN pred_code IS NULL THEN 'none' WHEN pred_code = true_code THEN 'exact'
+            WHEN """ + _prefix("pred_code", 3) + " = " + _prefix("true_code", 3) + """ THEN 'sibling'
+            WHEN """ + _prefix("pred_code", 2) + " = " + _prefix("true_code", 2) + """ THEN 'same_group'
+            WHEN """ + _prefix("pred_code", 1) + " = " + _prefix("true_code", 1) + """ THEN 'same_sector'
+            ELSE 'far' END AS error_class, count(*) AS n
+FROM pev GROUP BY 1""")
+
+sql("sector_accuracy", _PART_EV + """
+SELECT """ + _prefix("true_code", 1) + """ AS sector, count(*) AS n,
+       CAST(count_if(correct) AS BIGINT) AS n_correct,
+       round(count_if(correct)::DOUBLE / count(*), 6) AS accuracy
+FROM pev GROUP BY 1""")
+
+sql("bootstrap_ci", _PART_EV + """,
+rep AS (SELECT query_id, CAST(correct AS BIGINT) AS ok, b,
+               CAST(('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' ||
+                                        CAST(query_id AS VARCHAR)), 1, 15)) AS BIGINT)
+                 / HASHSCALE AS u
+        FROM pev, range(-1, 200) r(b)),
+w AS (SELECT b, ok, CASE WHEN b < 0 THEN 1 ELSE CASEW END AS w FROM rep),
+pb AS (SELECT b, sum(w * ok)::DOUBLE / sum(w) AS acc FROM w GROUP BY b)
+SELECT round(max(CASE WHEN b < 0 THEN acc END), 6) AS estimate,
+       round(quantile_cont(acc, LO) FILTER (WHERE b >= 0), 6) AS lower,
+       round(quantile_cont(acc, HI) FILTER (WHERE b >= 0), 6) AS upper,
+       count(*) FILTER (WHERE b >= 0) AS replicates
+FROM pb""".replace("HASHSCALE", repr(_HASH_SCALE)).replace("CASEW", _poisson_case())
+   .replace("LO", repr(_LO)).replace("HI", repr(_HI)))
+
+sql("prf", _DECISIONS + """,
+pt AS (SELECT true_code AS cls, count(*) AS support, count_if(pred_code = true_code) AS tp
+      FROM ev GROUP BY 1),
+pp AS (SELECT pred_code AS cls, count(*) AS npred FROM ev WHERE pred_code IS NOT NULL GROUP BY 1),
+pc AS (SELECT coalesce(pt.cls, pp.cls) AS cls, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support,
+             coalesce(npred, 0) AS npred FROM pt FULL JOIN pp ON pt.cls = pp.cls),
+pm AS (SELECT cls, tp, npred - tp AS fp, support - tp AS fn, support,
+             CASE WHEN npred > 0 THEN tp::DOUBLE / npred END AS precision,
+             CASE WHEN support > 0 THEN tp::DOUBLE / support END AS recall FROM pc),
+pf AS (SELECT *, CASE WHEN precision + recall <> 0
+                     THEN 2 * precision * recall / (precision + recall) END AS f1 FROM pm)
+SELECT cls AS class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pf
+UNION ALL
+SELECT 'macro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT),
+       round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM pf
+UNION ALL
+SELECT 'weighted', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT),
+       round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6) FROM pf""")
+
+sql("triage", _DECISIONS + """
+SELECT query_id, pred_code, confidence,
+       CASE WHEN confidence >= 0.5 AND pred_code IS NOT NULL THEN 'automatic' ELSE 'review' END
+         AS queue
+FROM ev""")
+
+_BM25 = _PART_RANK + f""",
+lc AS {_buckets('leaf', 'code', 'text')},
+dl AS (SELECT k, sum(cnt) AS dl FROM lc GROUP BY k),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+dfb AS (SELECT bucket, count(*) AS df FROM lc GROUP BY bucket),
+bw AS (SELECT lc.k AS code, lc.bucket,
+              ln(1 + (st.n_docs - dfb.df + 0.5) / (dfb.df + 0.5)) * lc.cnt * (1.2 + 1)
+                / (lc.cnt + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl)) AS w
+       FROM lc JOIN dl USING (k) JOIN dfb USING (bucket) CROSS JOIN st),
+bm AS (SELECT qb.k AS query_id, bw.code, sum(qb.cnt * bw.w) AS score
+       FROM qb JOIN bw USING (bucket) GROUP BY ALL),
+bmr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+                                                    ORDER BY round(score, 6) DESC, code) AS rank
+                       FROM bm) WHERE rank <= 10)"""
+
+sql("bm25_top10", _BM25 + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, code, round(score, 6) AS score FROM bmr""")
+
+sql("bm25_rrf", _BM25 + """,
+dnr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+                                                    ORDER BY round(score, 6) DESC, code) AS rank
+                       FROM s) WHERE rank <= 10),
+fu AS (SELECT query_id, code, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (
+         SELECT query_id, code, rank FROM bmr UNION ALL SELECT query_id, code, rank FROM dnr)
+       GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, code, round(rrf, 9) AS rrf FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, code) AS rank
+  FROM fu) WHERE rank <= 5""")
+
+sql("rescore", "WITH " + _pairs().replace("QUALIFY rank <= 5", "QUALIFY rank <= 10") + """,
+v AS (SELECT *, round(sum(round(score, 6)) OVER (PARTITION BY query_id, code), 6) AS vote FROM r)
+SELECT query_id, CAST(rank2 AS INTEGER) AS rank, id, code, round(score, 6) AS score, vote FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+                               ORDER BY vote DESC, round(score, 6) DESC, id) AS rank2 FROM v)
+WHERE rank2 <= 5""")
+
+sql("few_shot", f"""
+WITH qb AS {_buckets('part', 'p_partkey', 'p_name')},
+s AS (SELECT a.k AS query_id, b.k AS ex_id, sum(a.weight * b.weight) AS score
+      FROM qb a JOIN qb b USING (bucket) WHERE a.k <> b.k GROUP BY ALL),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+                                                  ORDER BY round(score, 6) DESC, ex_id) AS rank
+                     FROM s) WHERE rank <= 3),
+e AS (SELECT r.query_id, count(*) AS n,
+             string_agg(p.p_name || ' -> ' || concat_ws('.', p.p_type, p.p_brand,
+                        CAST(p.p_size AS VARCHAR), CAST(p.p_partkey AS VARCHAR)),
+                        chr(10) ORDER BY rank) AS examples
+      FROM r JOIN part p ON p.p_partkey = r.ex_id GROUP BY r.query_id)
+SELECT p.p_partkey AS query_id, CAST(coalesce(n, 0) AS INTEGER) AS n_examples,
+       coalesce(examples, '') AS examples
+FROM part p LEFT JOIN e ON e.query_id = p.p_partkey""")
+
+sql("hier_check", "WITH " + _RAW + """
+SELECT d.code, d.level, d.parent_code,
+       CASE WHEN p.code IS NULL THEN 'missing parent'
+            WHEN d.level <> p.level + 1 THEN 'level is not parent level + 1' END AS problem
+FROM docs d LEFT JOIN docs p ON p.code = d.parent_code
+WHERE d.level > 1 AND (p.code IS NULL OR d.level <> p.level + 1)""")
+
+sql("vector_check", """
+SELECT count(*) AS n, CAST(count_if(embedding IS NULL) AS BIGINT) AS n_null,
+       CAST(max(len(embedding)) AS INTEGER) AS max_dim, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
+       CAST(count_if(len(list_filter(embedding, lambda x: isnan(x))) > 0) AS BIGINT) AS n_nan,
+       CAST(count_if(list_sum(list_transform(embedding,
+                     lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) = 0) AS BIGINT) AS n_zero_norm,
+       CAST(count_if(len(embedding) <> 64) AS BIGINT) AS n_bad_dim
+FROM embeddings""")
+
+sql("resume", _EXPORT + " SELECT * FROM ex")
