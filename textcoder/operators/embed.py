@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .partitioning import spread
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -103,7 +104,7 @@ def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, *,
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [vec],
                                              names=list(batch.schema.names) + [out_col])
 
-    return df.mapInArrow(run, out_schema)
+    return spread(df, id_col).mapInArrow(run, out_schema)
 
 
 def embed_distinct(df: DataFrame, text_col: str, embedder: Embedder | None = None, *,

@@ -155,13 +155,51 @@ BM25_B = 0.75
 RRF_K = 60
 
 
+def densify(sparse: DataFrame, id_col: str, bucket: str, weight: str, dim: int,
+            out_col: str) -> DataFrame:
+    """``(id, bucket, weight)`` rows -> one dense ``array<double>`` per id.
+
+    The entries of an id (at most ``dim``) are gathered by one aggregation and
+    scattered into a vector on Arrow batches (a Spark map lookup per position
+    would scan the map ``dim`` times)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    g = sparse.groupBy(id_col).agg(F.collect_list(F.struct(F.col(bucket).cast("int").alias("b"),
+                                                           F.col(weight).cast("double")
+                                                           .alias("w"))).alias("_e"))
+    id_type = sparse.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, id_type),
+                           T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            e = b.column("_e")
+            offs = e.offsets.to_numpy()
+            flat = e.flatten()
+            bk = flat.field("b").to_numpy(zero_copy_only=False)
+            wt = flat.field("w").to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(n), np.diff(offs))
+            out = np.zeros((n, dim))
+            np.add.at(out, (rows, bk), wt)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
+                                           pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), vec], names=[id_col, out_col])
+
+    return g.mapInArrow(run, schema)
+
+
 def bm25_doc_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """Dense BM25 document weights over hashed terms:
     ``w[t] = idf(t) * tf (k1 + 1) / (tf + k1 (1 - b + b |d| / avgdl))``, so that
-    BM25(q, d) = dot(query term counts, w). The statistics (df, avgdl) are
-    aggregations; the vector is built per document without a second shuffle."""
+    BM25(q, d) = dot(query term counts, w). Term counts are computed once and
+    persisted; corpus statistics are aggregations (one row reaches the driver)."""
     from .embed import hashed_counts
-    cnt = hashed_counts(docs, id_col, text_col, dim).select(id_col, "bucket", "cnt")
+    cnt = hashed_counts(docs, id_col, text_col, dim).select(id_col, "bucket", "cnt").persist()
     dl = cnt.groupBy(id_col).agg(F.sum("cnt").alias("dl"))
     st = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")).first()  # one row
     n_docs, avgdl = F.lit(int(st["N"])), F.lit(float(st["avgdl"] or 0.0))
@@ -172,22 +210,14 @@ def bm25_doc_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int) -> D
          .withColumn("w", F.col("idf") * F.col("cnt") * (BM25_K1 + 1)
                      / (F.col("cnt") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl")
                                                    / F.col("avgdl")))))
-    vec = w.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w")))
-                                .alias("_m"))                         # <= dim entries per doc
-    return vec.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-                      .alias("bm25_vector"))
+    return densify(w, id_col, "bucket", "w", dim, "bm25_vector")
 
 
 def query_term_counts(queries: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
     """Dense hashed term counts of query texts (the query side of BM25)."""
     from .embed import hashed_counts
     cnt = hashed_counts(queries, id_col, text_col, dim)
-    vec = cnt.groupBy(id_col).agg(F.map_from_entries(F.collect_list(
-        F.struct("bucket", F.col("cnt").cast("double")))).alias("_m"))
-    return vec.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                          lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-                      .alias("terms"))
+    return densify(cnt, id_col, "bucket", "cnt", dim, "terms")
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, query_col: str = "query_id",

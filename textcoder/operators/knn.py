@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .partitioning import spread
+
 METRICS = ("cosine", "dot", "l2")
 
 # Rows per query block and corpus block inside one scoring tile.
@@ -327,7 +329,7 @@ def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max
                 yield _emit(batch, qids, bcids, bckeys, bcarried, qi, ci, sc, as_lists,
                             n_qcarry, keep_empty)
 
-    out = q.mapInArrow(score_batches, schema)
+    out = spread(q, "_qid").mapInArrow(score_batches, schema)
     return out if as_lists else out.drop("_ck")
 
 
@@ -458,7 +460,7 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = 5, *, n_cells: int
                 names=["_qid", "_qv", "_cell"])
 
     qv_type = q.schema["_qv"].dataType.simpleString()
-    probes = q.mapInArrow(probe, f"_qid {qt}, _qv {qv_type}, _cell int")
+    probes = spread(q, "_qid").mapInArrow(probe, f"_qid {qt}, _qv {qv_type}, _cell int")
     qcell = (probes.join(F.broadcast(sizes), "_cell")
              .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
              .drop("_nsub"))

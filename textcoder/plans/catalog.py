@@ -510,11 +510,16 @@ from ..operators import subword  # noqa: E402
 from ..operators import supervised as sup  # noqa: E402
 
 VOCAB_SIZE = 5000
-_TRAINED: dict[tuple[str, str], tuple[list, object]] = {}
+_TRAINED: dict[tuple[str, str], tuple[list, object, DataFrame]] = {}
 
 
 def trained(spark, root):
-    """Vocabulary + early-stopped model for a dataset, trained once per session."""
+    """Vocabulary + early-stopped model for a dataset, trained once per session.
+
+    The encoded split (whole texts, subword pieces) is persisted with the
+    model: every supervised query of the session reuses it instead of
+    re-encoding the texts (recomputed from lineage if an executor is lost).
+    """
     key = (spark.sparkContext.applicationId, root)
     if key not in _TRAINED:
         s = labelled_split(spark, root)
@@ -522,17 +527,17 @@ def trained(spark, root):
         vocab = subword.train_vocabulary(spark, subword.word_counts(tr, "label"), VOCAB_SIZE)
         rows = [tuple(r) for r in vocab.collect()]            # bounded by VOCAB_SIZE
         vdf = spark.createDataFrame(rows, "token_id int, token string")
-        enc = subword.encode(s, "label", vdf)
+        enc = subword.encode(s, "label", vdf).persist()
         res = sup.train(enc.where(F.col("split") == "train"), enc.where(F.col("split") == "val"),
                         vocab_size=VOCAB_SIZE)
-        _TRAINED[key] = (rows, res)
-    rows, res = _TRAINED[key]
+        _TRAINED[key] = (rows, res, enc)
+    rows, res, _ = _TRAINED[key]
     return spark.createDataFrame(rows, "token_id int, token string"), res
 
 
 def encoded_split(spark, root) -> DataFrame:
-    vocab, _ = trained(spark, root)
-    return subword.encode(labelled_split(spark, root), "label", vocab)
+    trained(spark, root)
+    return _TRAINED[(spark.sparkContext.applicationId, root)][2]
 
 
 def test_docs(spark, root) -> DataFrame:

@@ -17,6 +17,9 @@ def build_session(master: str | None = None, app_name: str = "textcoder",
     in what a local run needs (no UI, AQE on, Arrow on, UTC).
     """
     master = master or os.environ.get("TEXTCODER_MASTER", "local[8]")
+    # One BLAS thread per task: Spark already runs one task per core.
+    for var in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(var, "1")
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
@@ -28,6 +31,8 @@ def build_session(master: str | None = None, app_name: str = "textcoder",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TEXTCODER_DRIVER_MEMORY", "16g"))
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
