@@ -184,8 +184,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
              metric: str = "cosine", exclude_self: bool = False, strategy: str = "auto",
              broadcast_max_bytes: int = BROADCAST_MAX_BYTES, query_out: str = "query_id",
              corpus_out: str = "id", as_lists: bool = False,
-             query_carry: tuple[str, ...] | list[str] = (), keep_empty: bool = False
-             ) -> DataFrame:
+             query_carry: tuple[str, ...] | list[str] = (), keep_empty: bool = False,
+             dim: int | None = None) -> DataFrame:
     """Exact kNN.
 
     Long form (default): ``(query_out, rank, corpus_out, score, *carry)``, at most
@@ -212,7 +212,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
     if strategy in ("auto", "broadcast"):
         res = _broadcast_plan(spark, q, c, spec, carry, broadcast_max_bytes,
                               force=strategy == "broadcast", as_lists=as_lists,
-                              n_qcarry=len(query_carry), keep_empty=keep_empty)
+                              n_qcarry=len(query_carry), keep_empty=keep_empty, dim=dim)
     if res is None:
         if strategy not in ("auto", "blocks"):
             raise ValueError(f"unknown strategy {strategy!r}")
@@ -295,10 +295,14 @@ def _emit(batch, qids, cids, ckeys, carried, qi, ci, sc, as_lists: bool, n_qcarr
 
 def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max_bytes: int,
                     force: bool, as_lists: bool, n_qcarry: int = 0,
-                    keep_empty: bool = False) -> DataFrame | None:
-    """Score against a broadcast corpus; None if the corpus exceeds the bound."""
-    first = c.select(F.size("_cv").alias("d")).where(F.col("_cv").isNotNull()).first()
-    dim = int(first["d"]) if first else 1
+                    keep_empty: bool = False, dim: int | None = None) -> DataFrame | None:
+    """Score against a broadcast corpus; None if the corpus exceeds the bound.
+
+    The bound is in rows for the vector dimension (given, or read from one row).
+    """
+    if dim is None:
+        first = c.select(F.size("_cv").alias("d")).where(F.col("_cv").isNotNull()).first()
+        dim = int(first["d"]) if first else 1
     max_rows = max(1, max_bytes // (8 * max(dim, 1) + 64))
     tbl = c.limit(max_rows + 1).toArrow()
     if tbl.num_rows > max_rows:

@@ -19,3 +19,26 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     if df.rdd.getNumPartitions() >= n:
         return df
     return df.repartition(n, F.col(key)) if key else df.repartition(n)
+
+
+def global_positions(ordered: DataFrame, name: str = "_gpos") -> DataFrame:
+    """0-based position of every row in the DataFrame's (sorted) order, natively.
+
+    Each row's index inside its partition comes from
+    ``monotonically_increasing_id`` (partition id in the upper bits); the start
+    of every partition is the running sum of the partition sizes, a table of
+    one row per partition that is broadcast back. The ordered data is
+    checkpointed first (shared checkpoint folder) so both passes see the same
+    partitions.
+    """
+    s = (ordered.withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id()
+                     - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+         .checkpoint())
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    from pyspark.sql import Window
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_start"))
+    return (s.join(F.broadcast(starts), "_pid")                     # one row per partition
+            .withColumn(name, F.col("_start") + F.col("_local"))
+            .drop("_pid", "_local", "_start"))

@@ -282,7 +282,7 @@ def text_knn(spark, root):
     q = table(spark, root, "part").select("p_partkey", "p_name")
     qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
     r = knn_join(qv, leaf_vectors(spark, root), 5, query_id="p_partkey", query_vec="vector",
-                 corpus_id="code", corpus_vec="vector")
+                 corpus_id="code", corpus_vec="vector", dim=EMBED_DIM)
     return r.select("query_id", "rank", F.col("id").alias("code"),
                     F.round("score", 6).alias("score"))
 
@@ -343,7 +343,8 @@ def part_candidates(spark, root) -> DataFrame:
     qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
     return knn_join(qv, leaf_vectors(spark, root), 5, query_id="p_partkey", query_vec="vector",
                     corpus_id="code", corpus_vec="vector", carry=["text"], as_lists=True,
-                    keep_empty=True, query_carry=["p_name", "true_code"], corpus_out="code")
+                    keep_empty=True, query_carry=["p_name", "true_code"], corpus_out="code",
+                    dim=EMBED_DIM)
 
 
 @query("prompt_build")
@@ -762,14 +763,16 @@ def _bm25_ranks(spark, root, k: int) -> DataFrame:
     q = table(spark, root, "part").select("p_partkey", "p_name")
     qvec = ex.query_term_counts(q, "p_partkey", "p_name", EMBED_DIM)
     return knn_join(qvec, dvec, k, query_id="p_partkey", query_vec="terms", corpus_id="code",
-                    corpus_vec="bm25_vector", metric="dot").withColumnRenamed("id", "code")
+                    corpus_vec="bm25_vector", metric="dot", dim=EMBED_DIM
+                    ).withColumnRenamed("id", "code")
 
 
 def _dense_ranks(spark, root, k: int) -> DataFrame:
     q = table(spark, root, "part").select("p_partkey", "p_name")
     qv = embed(q, "p_name", dim=EMBED_DIM, id_col="p_partkey")
     return knn_join(qv, leaf_vectors(spark, root), k, query_id="p_partkey", query_vec="vector",
-                    corpus_id="code", corpus_vec="vector").withColumnRenamed("id", "code")
+                    corpus_id="code", corpus_vec="vector", dim=EMBED_DIM
+                    ).withColumnRenamed("id", "code")
 
 
 @query("bm25_top10")
