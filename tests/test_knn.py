@@ -75,3 +75,11 @@ def test_metrics_dot_and_l2(spark):
     dot = [r["id"] for r in knn_join(q, c, 3, metric="dot").orderBy("rank").collect()]
     l2 = [r["id"] for r in knn_join(q, c, 3, metric="l2").orderBy("rank").collect()]
     assert dot == [1, 2, 3] and l2 == [2, 1, 3]
+
+
+def test_cells_bounded_by_centroid_bytes_stay_exact_with_all_probes(spark):
+    df, _ = _vectors(spark, 50, 4, 5)
+    exact = {tuple(r[:3]) for r in knn_join(df, df, 3).collect()}
+    # 8 bytes x 4 dims x 3 = room for 3 centroids only
+    cells = knn_cells(df, df, 3, n_cells=10, nprobe=10, max_centroid_bytes=8 * 4 * 3)
+    assert {tuple(r[:3]) for r in cells.collect()} == exact

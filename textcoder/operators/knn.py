@@ -407,7 +407,8 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = 5, *, n_cells: int
               corpus_id: str = "id", corpus_vec: str = "vector", key: str | None = None,
               carry: tuple[str, ...] | list[str] = (), metric: str = "cosine",
               exclude_self: bool = False, query_out: str = "query_id", corpus_out: str = "id",
-              as_lists: bool = False) -> DataFrame:
+              as_lists: bool = False, max_centroid_bytes: int = BROADCAST_MAX_BYTES
+              ) -> DataFrame:
     """Approximate kNN by k-means cells (IVF); same output as ``knn_join``.
 
     The corpus is clustered with Spark ML ``KMeans`` (cosine distance for the
@@ -425,6 +426,11 @@ def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = 5, *, n_cells: int
     q, c = _prepare(queries, query_id, query_vec, corpus, corpus_id, corpus_vec, key, carry)
     if n_cells is None:
         n_cells = max(1, int(math.sqrt(c.count())))
+    # The centroids are broadcast: bound them (fewer, larger cells stay correct,
+    # since large cells are split into sub-blocks below).
+    first = c.select(F.size("_cv").alias("d")).where(F.col("_cv").isNotNull()).first()
+    dim = int(first["d"]) if first else 1
+    n_cells = max(1, min(n_cells, max_centroid_bytes // (8 * dim)))
     feats = c.withColumn("features", array_to_vector(F.col("_cv").cast("array<double>")))
     km = KMeans(k=n_cells, seed=seed, maxIter=20,
                 distanceMeasure="cosine" if metric == "cosine" else "euclidean")
