@@ -83,3 +83,28 @@ def test_cells_bounded_by_centroid_bytes_stay_exact_with_all_probes(spark):
     # 8 bytes x 4 dims x 3 = room for 3 centroids only
     cells = knn_cells(df, df, 3, n_cells=10, nprobe=10, max_centroid_bytes=8 * 4 * 3)
     assert {tuple(r[:3]) for r in cells.collect()} == exact
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_sparse_queries_match_brute_force(spark, metric):
+    rng = np.random.default_rng(7)
+    dim = 40
+    q = np.zeros((30, dim))
+    for i in range(30):
+        q[i, rng.choice(dim, 3, replace=False)] = rng.random(3) + 0.1
+    c = rng.random((50, dim))
+    qdf = spark.createDataFrame([(i, [float(x) for x in q[i]]) for i in range(30)],
+                                "id long, vector array<double>")
+    cdf = spark.createDataFrame([(j, [float(x) for x in c[j]]) for j in range(50)],
+                                "id long, vector array<double>")
+    got = sorted((a, b, d) for a, b, d, _ in knn_join(qdf, cdf, 4, metric=metric).collect())
+    if metric == "cosine":
+        s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    elif metric == "dot":
+        s = q @ c.T
+    else:
+        s = -np.sqrt(((q[:, None, :] - c[None, :, :]) ** 2).sum(-1))
+    s = np.round(s, 6)
+    want = sorted((i, r + 1, j) for i in range(30)
+                  for r, j in enumerate(sorted(range(50), key=lambda j: (-s[i, j], j))[:4]))
+    assert got == want

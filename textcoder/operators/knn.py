@@ -62,21 +62,33 @@ def _matrix(values) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in seq])
 
 
+def _products(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """``Q @ C.T`` over the columns where the query tile has non-zeros only.
+
+    Hashed bag-of-words queries use a few columns out of many; the skipped
+    terms are exact zeros, so the products are the same sums.
+    """
+    used = np.flatnonzero(np.any(Q != 0.0, axis=0))
+    if len(used) * 2 < Q.shape[1]:
+        return Q[:, used] @ C[:, used].T
+    return Q @ C.T
+
+
 def _scores(Q: np.ndarray, C: np.ndarray, metric: str) -> np.ndarray:
     """Score matrix (nq, nc); NaN where undefined (zero norm)."""
     if metric == "dot":
-        return Q @ C.T
+        return _products(Q, C)
     if metric == "cosine":
         qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
         cn = np.sqrt(np.einsum("ij,ij->i", C, C))
         with np.errstate(divide="ignore", invalid="ignore"):
-            S = (Q @ C.T) / np.outer(qn, cn)
+            S = _products(Q, C) / np.outer(qn, cn)
         S[~np.isfinite(S)] = np.nan
         return S
     if metric == "l2":
         qq = np.einsum("ij,ij->i", Q, Q)
         cc = np.einsum("ij,ij->i", C, C)
-        d2 = qq[:, None] + cc[None, :] - 2.0 * (Q @ C.T)
+        d2 = qq[:, None] + cc[None, :] - 2.0 * _products(Q, C)
         return np.sqrt(np.maximum(d2, 0.0))
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
 
