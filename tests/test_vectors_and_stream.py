@@ -54,3 +54,14 @@ def test_stream_equals_batch(spark):
     out = read_stream_output(spark, f"{base}/out")
     assert sorted(r["id"] for r in out.collect()) == sorted(r["id"] for r in rows.collect())
     assert sum(p["input_rows"] for p in prog) == 40 and len(prog) == 4
+
+
+def test_upload_status_per_batch(spark):
+    path = work_dir(spark, "vt-status")
+    vt.create_or_replace(spark, path, 2, "cosine")
+    p = ("a", 1, None, "t")
+    pts = _points(spark, [("x", [1.0, 0.0], p), ("y", [1.0], p)]).repartition(1)
+    vt.upsert(spark, path, pts)
+    st = vt.upload_status(spark, path, 1).collect()
+    assert sum(r["rows"] for r in st) == 2 and sum(r["rejected"] for r in st) == 1
+    assert {r["error"] for r in st} == {"wrong dimension"}

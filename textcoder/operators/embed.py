@@ -121,8 +121,13 @@ def embed_distinct(df: DataFrame, text_col: str, embedder: Embedder | None = Non
 
 def hashed_counts(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM
                   ) -> DataFrame:
-    """Native sparse form of the hashing embedder: ``(id, bucket, cnt, weight)``."""
-    toks = df.select(id_col, F.explode(tokens(text_col)).alias("_tok"))
+    """Native sparse form of the hashing embedder: ``(id, bucket, cnt, weight)``.
+
+    The documents are hash-partitioned by id once; the per-(id, bucket) count and
+    the per-id norm both reuse that partitioning, so tokens are never shuffled.
+    """
+    docs = df.select(id_col, text_col).repartition(F.col(id_col))
+    toks = docs.select(id_col, F.explode(tokens(text_col)).alias("_tok"))
     b = toks.select(id_col, F.pmod(F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10)
                                    .cast("bigint"), F.lit(dim)).alias("bucket"))
     cnt = b.groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("cnt"))

@@ -5,6 +5,7 @@ Layout under the table folder::
     _meta/            one JSON row: dim, metric
     version=<n>/      full table after the n-th upsert (id, vector, payload, seq)
     _rejects/version=<n>/   rows refused by that upsert (wrong dimension, null vector)
+    _status/version=<n>/    one row per upload batch: rows, rejected, first error
 
 An upsert reads the newest version, unions the incoming points, keeps one row
 per id (incoming beats stored; among incoming rows the last one wins) and
@@ -97,11 +98,21 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
     dim, _ = table_meta(spark, path)
     versions = _versions(spark, path)
     new_version = (versions[-1] + 1) if versions else 1
-    incoming = points.select("id", F.col("vector").cast("array<float>").alias("vector"),
-                             "payload").withColumn("seq", F.monotonically_increasing_id())
+    incoming = (points.select("id", F.col("vector").cast("array<float>").alias("vector"),
+                              "payload")
+                .withColumn("seq", F.monotonically_increasing_id())
+                .withColumn("batch_no", F.spark_partition_id()))
     bad = F.col("vector").isNull() | (F.size("vector") != F.lit(dim)) | F.col("id").isNull()
-    rejects = incoming.where(bad)
-    good = incoming.where(~bad).withColumn("_src", F.lit(1))
+    rejects = incoming.where(bad).drop("batch_no")
+    good = incoming.where(~bad).drop("batch_no").withColumn("_src", F.lit(1))
+    # One status row per upload batch (a batch is an input partition):
+    # rows received, rows refused and why, instead of a silently skipped batch.
+    status = incoming.groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(bad).alias("rejected"),
+        F.max(F.when(F.col("vector").isNull(), F.lit("null vector"))
+              .when(F.size("vector") != F.lit(dim), F.lit("wrong dimension"))
+              .when(F.col("id").isNull(), F.lit("null id"))).alias("error"))
     current = read_points(spark, path).withColumn("seq", F.lit(-1).cast("long")) \
         .withColumn("_src", F.lit(0))
     both = current.unionByName(good)
@@ -113,12 +124,18 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
               .select("id", "_w.vector", "_w.payload", "_w.seq"))
     merged.write.mode("overwrite").parquet(f"{path}/version={new_version}")
     rejects.write.mode("overwrite").parquet(f"{path}/_rejects/version={new_version}")
+    status.write.mode("overwrite").parquet(f"{path}/_status/version={new_version}")
     n_rej = spark.read.parquet(f"{path}/_rejects/version={new_version}").count()
     n_rows = spark.read.parquet(f"{path}/version={new_version}").count()
     return spark.createDataFrame([(new_version, n_rej, n_rows)],
                                  "version int, n_rejected bigint, n_rows bigint")
 
 
+def upload_status(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """``(batch_no, rows, rejected, error)`` of one upsert."""
+    return spark.read.parquet(f"{path}/_status/version={version}")
+
+
 def table_count(spark: SparkSession, path: str) -> int:
     """Exact number of points."""
     return read_points(spark, path).count()
