@@ -11,9 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import classify as cls
 from ..operators import evaluate as ev
+from ..operators import extras as ex
+from ..operators import generation as gen
+from ..operators import sampling, subword
+from ..operators import supervised as sup
+from ..operators.embed import DEFAULT_DIM, dense_to_sparse, embed, embed_distinct, hashed_counts
 from ..operators.knn import knn_cells, knn_join, recall_at_k
 from ..operators.retrieval import attach_labels, evaluation_rows, retrieve_and_decide
+from ..operators.validate import label_dict as _label_dict
+from ..operators.validate import leaf_filter as _leaf_filter
+from ..operators.validate import to_documents, to_points, validate_nomenclature
+from ..session import work_dir
+from ..sources import activity_csv as acsv
+from ..sources import vector_table as vt
+from ..sources.nomenclature import nomenclature_from_part
 from ..sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -174,12 +188,6 @@ def cells_recall(spark, root):
 
 
 # ----------------------------------------------------------------- nomenclature from `part`
-from ..functions import text as tx  # noqa: E402
-from ..operators.embed import (DEFAULT_DIM, dense_to_sparse, embed, embed_distinct,  # noqa: E402
-                               hashed_counts)
-from ..operators.validate import (label_dict as _label_dict, leaf_filter as _leaf_filter,  # noqa: E402
-                                  to_documents, to_points, validate_nomenclature)
-from ..sources.nomenclature import nomenclature_from_part  # noqa: E402
 
 
 def raw_nomenclature(spark, root) -> DataFrame:
@@ -288,8 +296,6 @@ def text_knn(spark, root):
 
 
 # ----------------------------------------------------------------- vector table
-from ..session import work_dir  # noqa: E402
-from ..sources import vector_table as vt  # noqa: E402
 
 
 def _leaf_points(spark, root) -> DataFrame:
@@ -331,7 +337,6 @@ def table_exists_q(spark, root):
 
 
 # ----------------------------------------------------------------- prompts and generation
-from ..operators import generation as gen  # noqa: E402
 
 
 def part_candidates(spark, root) -> DataFrame:
@@ -395,7 +400,6 @@ def batch_coding(spark, root):
 
 
 # ----------------------------------------------------------------- labelled examples, splits
-from ..operators import sampling  # noqa: E402
 
 SEED = 42
 
@@ -507,8 +511,6 @@ def array_preview(spark, root):
 
 
 # ----------------------------------------------------------------- supervised classifier
-from ..operators import subword  # noqa: E402
-from ..operators import supervised as sup  # noqa: E402
 
 VOCAB_SIZE = 5000
 _TRAINED: dict[tuple[str, str], tuple[list, object, DataFrame]] = {}
@@ -634,8 +636,6 @@ def run_log(spark, root):
 
 
 # ----------------------------------------------------------------- CSV ingest, export, stream
-from ..operators import classify as cls  # noqa: E402
-from ..sources import activity_csv as acsv  # noqa: E402
 
 
 def part_activity_rows(spark, root) -> DataFrame:
@@ -719,7 +719,6 @@ def stream_progress(spark, root):
 
 
 # ----------------------------------------------------------------- extras
-from ..operators import extras as ex  # noqa: E402
 
 
 def part_evaluation(spark, root) -> DataFrame:
