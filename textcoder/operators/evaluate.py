@@ -137,7 +137,9 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs) -> DataFrame:
     blocks = (blocks.withColumn("_before", F.coalesce(
         F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_n", F.sum("_cnt").over(Window.partitionBy("_g"))))
-    pos = (s.join(F.broadcast(blocks), ["_g", "_pid"])  # #groups x #partitions rows
+    # blocks / targets grow with the number of groups: no broadcast hint; AQE
+    # turns the join into a broadcast at run time when they are small.
+    pos = (s.join(blocks, ["_g", "_pid"])
            .select("_g", "_v", "_n", (F.col("_before") + F.col("_local") - F.col("_lo"))
                    .alias("_pos")))
     targets = (blocks.select("_g", "_n").distinct()
@@ -145,7 +147,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs) -> DataFrame:
                .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
                .withColumn("_at", F.explode(F.array_distinct(F.array(
                    F.floor("_h").cast("long"), F.ceil("_h").cast("long"))))))
-    picked = pos.join(F.broadcast(targets), ["_g", "_n"]).where(F.col("_pos") == F.col("_at"))
+    picked = pos.join(targets, ["_g", "_n"]).where(F.col("_pos") == F.col("_at"))
     q = (picked.groupBy("_g", "p")
          .agg(F.first("_h").alias("_h"),
               F.min_by("_v", "_pos").alias("_vlo"), F.max_by("_v", "_pos").alias("_vhi"))

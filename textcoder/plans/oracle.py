@@ -523,16 +523,15 @@ sql("bootstrap_ci", _PART_EV + """,
 rep AS (SELECT query_id, CAST(correct AS BIGINT) AS ok, b,
                CAST(('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' ||
                                         CAST(query_id AS VARCHAR)), 1, 15)) AS BIGINT)
-                 / HASHSCALE AS u
+                 / {scale} AS u
         FROM pev, range(-1, 200) r(b)),
-w AS (SELECT b, ok, CASE WHEN b < 0 THEN 1 ELSE CASEW END AS w FROM rep),
+w AS (SELECT b, ok, CASE WHEN b < 0 THEN 1 ELSE {weight} END AS w FROM rep),
 pb AS (SELECT b, sum(w * ok)::DOUBLE / sum(w) AS acc FROM w GROUP BY b)
 SELECT round(max(CASE WHEN b < 0 THEN acc END), 6) AS estimate,
-       round(quantile_cont(acc, LO) FILTER (WHERE b >= 0), 6) AS lower,
-       round(quantile_cont(acc, HI) FILTER (WHERE b >= 0), 6) AS upper,
+       round(quantile_cont(acc, {lo}) FILTER (WHERE b >= 0), 6) AS lower,
+       round(quantile_cont(acc, {hi}) FILTER (WHERE b >= 0), 6) AS upper,
        count(*) FILTER (WHERE b >= 0) AS replicates
-FROM pb""".replace("HASHSCALE", repr(_HASH_SCALE)).replace("CASEW", _poisson_case())
-   .replace("LO", repr(_LO)).replace("HI", repr(_HI)))
+FROM pb""".format(scale=repr(_HASH_SCALE), weight=_poisson_case(), lo=repr(_LO), hi=repr(_HI)))
 
 sql("prf", _DECISIONS + """,
 pt AS (SELECT true_code AS cls, count(*) AS support, count_if(pred_code = true_code) AS tp
