@@ -108,3 +108,14 @@ def test_sparse_queries_match_brute_force(spark, metric):
     want = sorted((i, r + 1, j) for i in range(30)
                   for r, j in enumerate(sorted(range(50), key=lambda j: (-s[i, j], j))[:4]))
     assert got == want
+
+
+def test_prepared_corpus_reused(spark):
+    from textcoder.operators.knn import prepare_corpus
+    df, _ = _vectors(spark, 40, 6, 11)
+    plain = {tuple(r[:3]) for r in knn_join(df, df, 3, carry=["code"]).collect()}
+    prep = prepare_corpus(df, carry=["code"])
+    for _ in range(2):
+        again = {tuple(r[:3]) for r in knn_join(df, df, 3, carry=["code"], prepared=prep).collect()}
+        assert again == plain
+    prep.release()

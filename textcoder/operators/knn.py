@@ -197,7 +197,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
              broadcast_max_bytes: int = BROADCAST_MAX_BYTES, query_out: str = "query_id",
              corpus_out: str = "id", as_lists: bool = False,
              query_carry: tuple[str, ...] | list[str] = (), keep_empty: bool = False,
-             dim: int | None = None) -> DataFrame:
+             dim: int | None = None, prepared: PreparedCorpus | None = None) -> DataFrame:
     """Exact kNN.
 
     Long form (default): ``(query_out, rank, corpus_out, score, *carry)``, at most
@@ -208,6 +208,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
     ``exclude_self`` drops pairs whose query id equals the corpus id.
     ``query_carry`` names query columns passed through; ``keep_empty`` (list
     form) also returns queries without any candidate, with empty arrays.
+    ``prepared`` reuses a corpus already broadcast by ``prepare_corpus`` (its
+    ``carry`` must match); ``corpus`` is then only used for its column types.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -221,7 +223,13 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 5, *, query_id: str
                     query_carry)
     spec = KnnSpec(k, metric, exclude_self)
     res = None
-    if strategy in ("auto", "broadcast"):
+    if prepared is not None:
+        if prepared.carry != carry:
+            raise ValueError("prepared corpus carries different columns")
+        res = _broadcast_plan(spark, q, c, spec, carry, broadcast_max_bytes, force=True,
+                              as_lists=as_lists, n_qcarry=len(query_carry),
+                              keep_empty=keep_empty, prepared=prepared)
+    elif strategy in ("auto", "broadcast"):
         res = _broadcast_plan(spark, q, c, spec, carry, broadcast_max_bytes,
                               force=strategy == "broadcast", as_lists=as_lists,
                               n_qcarry=len(query_carry), keep_empty=keep_empty, dim=dim)
@@ -305,13 +313,34 @@ def _emit(batch, qids, cids, ckeys, carried, qi, ci, sc, as_lists: bool, n_qcarr
     return pa.RecordBatch.from_pydict(cols)
 
 
-def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max_bytes: int,
-                    force: bool, as_lists: bool, n_qcarry: int = 0,
-                    keep_empty: bool = False, dim: int | None = None) -> DataFrame | None:
-    """Score against a broadcast corpus; None if the corpus exceeds the bound.
+@dataclass
+class PreparedCorpus:
+    """A corpus collected once and broadcast, reusable by many ``knn_join`` calls
+    (e.g. every micro-batch of a stream). ``types`` are the Spark types of the
+    id, key and carried columns; ``carry`` the carried column names."""
+    bc: object
+    types: dict
+    carry: tuple
+    dim: int
+    rows: int
 
-    The bound is in rows for the vector dimension (given, or read from one row).
-    """
+    def release(self) -> None:
+        self.bc.unpersist()
+
+
+def prepare_corpus(corpus: DataFrame, *, corpus_id: str = "id", corpus_vec: str = "vector",
+                   key: str | None = None, carry=(), dim: int | None = None,
+                   broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> PreparedCorpus | None:
+    """Collect a corpus behind a hard row bound and broadcast it; None if too large."""
+    c = corpus.select(F.col(corpus_id).alias("_cid"), F.col(key or corpus_id).alias("_ck"),
+                      F.col(corpus_vec).alias("_cv"),
+                      *[F.col(n).alias(f"_p{i}") for i, n in enumerate(carry)])
+    return _collect_corpus(corpus.sparkSession, c, tuple(carry), broadcast_max_bytes,
+                           force=False, dim=dim)
+
+
+def _collect_corpus(spark, c: DataFrame, carry, max_bytes: int, force: bool,
+                    dim: int | None) -> PreparedCorpus | None:
     if dim is None:
         first = c.select(F.size("_cv").alias("d")).where(F.col("_cv").isNotNull()).first()
         dim = int(first["d"]) if first else 1
@@ -325,9 +354,35 @@ def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max
     ckeys = tbl.column("_ck").to_numpy(zero_copy_only=False)
     carried = [tbl.column(f"_p{i}").to_numpy(zero_copy_only=False) for i in range(len(carry))]
     C = _matrix(tbl.column("_cv")) if tbl.num_rows else np.zeros((0, dim))
-    bc = spark.sparkContext.broadcast((cids, ckeys, carried, C))
-    schema = (_list_schema(q, c, carry, n_qcarry) if as_lists
-              else _long_schema(q, c, carry, n_qcarry))
+    names = ["_cid", "_ck"] + [f"_p{i}" for i in range(len(carry))]
+    types = dict(zip(names, _types(c, names)))
+    return PreparedCorpus(spark.sparkContext.broadcast((cids, ckeys, carried, C)), types,
+                          tuple(carry), dim, tbl.num_rows)
+
+
+def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max_bytes: int,
+                    force: bool, as_lists: bool, n_qcarry: int = 0,
+                    keep_empty: bool = False, dim: int | None = None,
+                    prepared: PreparedCorpus | None = None) -> DataFrame | None:
+    """Score against a broadcast corpus; None if the corpus exceeds the bound.
+
+    The bound is in rows for the vector dimension (given, or read from one row).
+    """
+    if prepared is None:
+        prepared = _collect_corpus(spark, c, carry, max_bytes, force, dim)
+        if prepared is None:
+            return None
+    bc = prepared.bc
+    t = prepared.types
+    qcols = _qcols(q, n_qcarry)
+    if as_lists:
+        body = ", ".join(f"{n} array<{t[n]}>" for n in ["_cid"] + [f"_p{i}" for i in
+                                                                  range(len(carry))])
+        schema = f"{qcols}, {body}, score array<double>"
+    else:
+        body = ", ".join(f"{n} {t[n]}" for n in ["_cid", "_ck"] + [f"_p{i}" for i in
+                                                                 range(len(carry))])
+        schema = f"{qcols}, rank int, {body}, score double"
     k, metric, exclude_self = spec.k, spec.metric, spec.exclude_self
 
     def score_batches(batches):

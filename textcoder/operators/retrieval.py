@@ -32,7 +32,7 @@ def retrieve_and_decide(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
                         code: str = "code", query_carry=(), metric: str = "cosine",
                         exclude_self: bool = False, key: str | None = None,
                         strategy: str = "auto", approximate: bool = False,
-                        nprobe: int = 2, dim: int | None = None) -> DataFrame:
+                        nprobe: int = 2, dim: int | None = None, prepared=None) -> DataFrame:
     """Query rows -> ``(query_id, *query_carry, pred_code, codable, confidence,
     retrieved_codes, retrieved_scores)``; every query is kept (G10)."""
     if approximate:
@@ -47,7 +47,8 @@ def retrieve_and_decide(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
         lists = knn_join(queries, corpus, k, query_id=query_id, query_vec=query_vec,
                          corpus_id=corpus_id, corpus_vec=corpus_vec, key=key, carry=[code],
                          metric=metric, exclude_self=exclude_self, strategy=strategy,
-                         as_lists=True, keep_empty=True, query_carry=query_carry, dim=dim)
+                         as_lists=True, keep_empty=True, query_carry=query_carry, dim=dim,
+                         prepared=prepared)
     out = decide_top1(lists, codes=code + "s", scores="scores")
     return out.select("query_id", *query_carry, "pred_code", "codable",
                       F.round("confidence", 6).alias("confidence"), "retrieved_codes",

@@ -687,33 +687,47 @@ def json_to_csv(spark, root):
     return acsv.rows_json_to_csv(chunks, work_dir(spark, "export_csv"))
 
 
+def _stream_job(spark, root, base: str):
+    """Run the incremental classification over part names arriving as 8 files.
+
+    The corpus (leaf vectors) and the label table do not change during the
+    stream: the corpus is collected and broadcast once (``prepare_corpus``) and
+    the labels persisted, instead of being rebuilt by every micro-batch; both
+    are released when the stream has finished. A corpus over the broadcast
+    bound falls back to the per-batch join.
+    """
+    from ..streaming.classify_stream import run_classification_stream
+    part_activity_rows(spark, root).repartition(8, "id").write.mode("overwrite").parquet(
+        f"{base}/in")
+    from ..operators.knn import prepare_corpus
+    leaves = leaf_vectors(spark, root)
+    prepared = prepare_corpus(leaves, corpus_id="code", corpus_vec="vector", carry=["code"],
+                              dim=EMBED_DIM)
+    labels = nomenclature_labels(spark, root).persist()
+    try:
+        return run_classification_stream(
+            spark, f"{base}/in", f"{base}/out", f"{base}/chk",
+            lambda b: cls.classify_retrieval(b, leaves, labels, prepared=prepared)
+            .select(*acsv.EXPORT_COLUMNS))
+    finally:
+        if prepared is not None:
+            prepared.release()
+        labels.unpersist()
+
+
 @query("classify_stream")
 def classify_stream(spark, root):
     """Part names arriving as 8 files, classified micro-batch by micro-batch."""
-    from ..streaming.classify_stream import read_stream_output, run_classification_stream
+    from ..streaming.classify_stream import read_stream_output
     base = work_dir(spark, "stream")
-    rows = part_activity_rows(spark, root)
-    rows.repartition(8, "id").write.mode("overwrite").parquet(f"{base}/in")
-    leaves = leaf_vectors(spark, root)
-    labels = nomenclature_labels(spark, root)
-    run_classification_stream(
-        spark, f"{base}/in", f"{base}/out", f"{base}/chk",
-        lambda b: cls.classify_retrieval(b, leaves, labels).select(*acsv.EXPORT_COLUMNS))
+    _stream_job(spark, root, base)
     return read_stream_output(spark, f"{base}/out").select(*acsv.EXPORT_COLUMNS)
 
 
 @query("stream_progress")
 def stream_progress(spark, root):
     """Rows per micro-batch of the incremental job (rows-only check)."""
-    from ..streaming.classify_stream import run_classification_stream
-    base = work_dir(spark, "stream")
-    part_activity_rows(spark, root).repartition(8, "id").write.mode("overwrite").parquet(
-        f"{base}/in")
-    leaves = leaf_vectors(spark, root)
-    labels = nomenclature_labels(spark, root)
-    prog = run_classification_stream(
-        spark, f"{base}/in", f"{base}/out", f"{base}/chk",
-        lambda b: cls.classify_retrieval(b, leaves, labels).select(*acsv.EXPORT_COLUMNS))
+    prog = _stream_job(spark, root, work_dir(spark, "stream"))
     return spark.createDataFrame([(p["batch_id"], p["input_rows"]) for p in prog],
                                  "batch_id bigint, input_rows bigint")
 
@@ -828,12 +842,18 @@ def resume(spark, root):
     """The batch job run twice on the same output folder; the second run
     finds every id done and adds nothing."""
     out_dir = work_dir(spark, "resume")
-    leaves = leaf_vectors(spark, root)
-    labels = nomenclature_labels(spark, root)
+    leaves = leaf_vectors(spark, root).persist()       # shared by both runs
+    labels = nomenclature_labels(spark, root).persist()
 
     def job(rows):
         return cls.classify_retrieval(rows, leaves, labels).select(*acsv.EXPORT_COLUMNS)
 
     rows = part_activity_rows(spark, root)
-    ex.resume_classification(spark, rows, out_dir, job)
-    return ex.resume_classification(spark, rows, out_dir, job)
+    try:
+        ex.resume_classification(spark, rows, out_dir, job)
+        out = ex.resume_classification(spark, rows, out_dir, job)
+        out.count()
+    finally:
+        leaves.unpersist()
+        labels.unpersist()
+    return out
