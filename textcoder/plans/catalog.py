@@ -841,12 +841,16 @@ def vector_check(spark, root):
 def resume(spark, root):
     """The batch job run twice on the same output folder; the second run
     finds every id done and adds nothing."""
+    from ..operators.knn import prepare_corpus
     out_dir = work_dir(spark, "resume")
-    leaves = leaf_vectors(spark, root).persist()       # shared by both runs
+    leaves = leaf_vectors(spark, root)
+    prepared = prepare_corpus(leaves, corpus_id="code", corpus_vec="vector", carry=["code"],
+                              dim=EMBED_DIM)                 # shared by both runs
     labels = nomenclature_labels(spark, root).persist()
 
     def job(rows):
-        return cls.classify_retrieval(rows, leaves, labels).select(*acsv.EXPORT_COLUMNS)
+        return (cls.classify_retrieval(rows, leaves, labels, prepared=prepared)
+                .select(*acsv.EXPORT_COLUMNS))
 
     rows = part_activity_rows(spark, root)
     try:
@@ -854,6 +858,7 @@ def resume(spark, root):
         out = ex.resume_classification(spark, rows, out_dir, job)
         out.count()
     finally:
-        leaves.unpersist()
+        if prepared is not None:
+            prepared.release()
         labels.unpersist()
     return out
