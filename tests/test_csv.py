@@ -54,3 +54,20 @@ def test_errors(spark):
         read_activity_csv(spark, _file(b"activity_description\n"))
     with pytest.raises(CsvError):
         read_activity_csv(spark, _file(b"\xff\xfe\xfa bad bytes\n"))
+
+
+def test_folder_of_files_in_name_order_with_repeated_headers(spark):
+    d = tempfile.mkdtemp(prefix="csvdir-")
+    for name, body in (("part-00001.csv", "activity_description\nthird\nfourth\n"),
+                       ("part-00000.csv", "activity_description\nfirst\nsecond\n")):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(body)
+    got = sorted(((int(i), t) for i, t in
+                  (tuple(r) for r in read_activity_csv(spark, d).collect())))
+    assert got == [(1, "first"), (2, "second"), (3, "third"), (4, "fourth")]
+
+
+def test_split_single_row_table(spark):
+    from textcoder.operators.sampling import split
+    s = split(spark.range(0, 1).withColumnRenamed("id", "k"), "k").collect()
+    assert [r["split"] for r in s] == ["test"]
