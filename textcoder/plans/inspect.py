@@ -19,8 +19,18 @@ _PY_NODES = ("MapInArrow", "ArrowEvalPython", "FlatMapCoGroupsInArrow",
              "FlatMapCoGroupsInPandas", "MapInPandas")
 
 
+def _plan_text(df) -> str:
+    """The physical plan as printed by ``DataFrame.explain()``."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
 def plan_summary(df) -> dict:
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = _plan_text(df)
     scans = []
     for line in plan.splitlines():
         if "FileScan parquet" in line:
