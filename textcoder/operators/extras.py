@@ -279,12 +279,14 @@ def resume_classification(spark, rows: DataFrame, out_dir: str, classify, id_col
     folder are skipped (anti join), the rest is classified and appended as a new
     part. Re-running after a crash finishes the remainder; re-running after
     success adds nothing."""
-    from ..sources.vector_table import _hadoop_fs
-    fs, p, _ = _hadoop_fs(spark, out_dir)
+    from pyspark.errors import AnalysisException
     todo = rows
-    if fs.exists(p):
+    try:
         done = spark.read.parquet(out_dir).select(id_col)
+        done.limit(1).count()            # the folder exists and has committed files
         todo = rows.join(done, id_col, "left_anti")
+    except AnalysisException:
+        pass                             # first run: nothing done yet
     out = classify(todo)
     out.write.mode("append").parquet(out_dir)
     return spark.read.parquet(out_dir)

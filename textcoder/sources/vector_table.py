@@ -2,102 +2,108 @@
 
 Layout under the table folder::
 
-    _meta/            one JSON row: dim, metric
-    version=<n>/      full table after the n-th upsert (id, vector, payload, seq)
-    _rejects/version=<n>/   rows refused by that upsert (wrong dimension, null vector)
-    _status/version=<n>/    one row per upload batch: rows, rejected, first error
-
-An upsert reads the newest version, unions the incoming points, keeps one row
-per id (incoming beats stored; among incoming rows the last one wins) and
-writes version n+1. Re-running an upsert with the same points yields the same
-table. Readers only see a version once its write committed (``_SUCCESS``).
-No table-format library is needed; a Spark job re-run after an executor loss
-rewrites the same version folder.
+    meta/                    one JSON row: dim, metric
+    points/version=<n>/      full table after the n-th upsert (id, vector, payload, seq)
+    rejects/version=<n>/     rows refused by that upsert (wrong dimension, null vector / id)
+    status/version=<n>/      one row per upload batch: rows, rejected, first error
+
+Each store is one partitioned Parquet dataset written with Spark's commit
+protocol, so readers only see versions whose write committed. An upsert reads
+the newest version, unions the incoming points, keeps one row per id
+(incoming beats stored; among incoming rows the last one wins) and appends
+version n+1. Re-running an upsert with the same points yields the same table.
+Only DataFrame reads and writes are used; no table-format library.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "l2")
+META_SCHEMA = "dim int, metric string"
+POINTS_SCHEMA = ("id string, vector array<float>, "
+                 "payload struct<code:string,level:int,parent_code:string,text:string>, "
+                 "seq bigint, version int")
+STATUS_SCHEMA = "batch_no int, rows bigint, rejected bigint, error string, version int"
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def _points_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POINTS_SCHEMA).parquet(f"{path}/points")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """A vector table exists when its metadata folder does."""
-    fs, p, jvm = _hadoop_fs(spark, path)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_meta")))
+    """A vector table exists when its metadata can be read."""
+    try:
+        return spark.read.schema(META_SCHEMA).json(f"{path}/meta").limit(1).count() == 1
+    except AnalysisException:
+        return False
 
 
 def list_tables(spark: SparkSession, root: str) -> DataFrame:
-    """Names of the vector tables under a folder, as a DataFrame ``(name)``."""
-    fs, p, jvm = _hadoop_fs(spark, root)
-    names = []
-    if fs.exists(p):
-        for st in fs.listStatus(p):
-            if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_meta")):
-                names.append(st.getPath().getName())
-    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    """Names of the vector tables directly under a folder, as ``(name)``.
+
+    File paths come from the ``binaryFile`` source (only the ``path`` column is
+    read); a table is a folder holding ``meta``."""
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load(root).select("path"))
+    except AnalysisException:
+        return spark.createDataFrame([], "name string")
+    root_ = root.rstrip("/")
+    name = F.regexp_extract("path", r"/([^/]+)/meta/[^/]+$", 1)
+    return (files.where(F.col("path").contains("/meta/"))
+            .where(F.col("path").contains(root_.split(":", 1)[-1]))
+            .select(name.alias("name")).where(F.col("name") != "").distinct())
 
 
 def create_or_replace(spark: SparkSession, path: str, dim: int, metric: str = "cosine") -> None:
-    """Drop the table if it exists and create it empty with a fixed dim and metric."""
+    """Drop the table's contents if it exists and create it empty with a fixed
+    dim and metric (overwrite writes replace every store)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if dim < 1:
         raise ValueError("dim must be positive")
-    fs, p, _ = _hadoop_fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-    (spark.createDataFrame([(int(dim), metric)], "dim int, metric string")
-     .coalesce(1).write.mode("overwrite").json(f"{path}/_meta"))
+    (spark.createDataFrame([(int(dim), metric)], META_SCHEMA)
+     .coalesce(1).write.mode("overwrite").json(f"{path}/meta"))
+    empty = spark.createDataFrame([], POINTS_SCHEMA)
+    empty.write.mode("overwrite").partitionBy("version").parquet(f"{path}/points")
+    empty.write.mode("overwrite").partitionBy("version").parquet(f"{path}/rejects")
+    (spark.createDataFrame([], STATUS_SCHEMA).write.mode("overwrite")
+     .partitionBy("version").parquet(f"{path}/status"))
 
 
 def table_meta(spark: SparkSession, path: str) -> tuple[int, str]:
-    row = spark.read.schema("dim int, metric string").json(f"{path}/_meta").first()
+    row = spark.read.schema(META_SCHEMA).json(f"{path}/meta").first()
     if row is None:
         raise FileNotFoundError(f"no vector table at {path}")
     return int(row["dim"]), row["metric"]
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, p, jvm = _hadoop_fs(spark, path)
-    out = []
-    if not fs.exists(p):
-        return out
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("version="):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Newest committed version (partition values only: no data files are read)."""
+    return _points_store(spark, path).agg(F.max("version")).first()[0]
 
 
 def read_points(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Current points ``(id, vector, payload)``; empty before the first upsert."""
-    versions = _versions(spark, path)
-    if version is None and versions:
-        version = versions[-1]
+    """Points ``(id, vector, payload)`` of a version (default: newest); empty before
+    the first upsert. The version filter prunes partitions."""
     if version is None:
-        return spark.createDataFrame(
-            [], "id string, vector array<float>, "
-                "payload struct<code:string,level:int,parent_code:string,text:string>")
-    return spark.read.parquet(f"{path}/version={version}").drop("seq")
+        version = current_version(spark, path)
+    pts = _points_store(spark, path)
+    if version is None:
+        return pts.select("id", "vector", "payload").where(F.lit(False))
+    return pts.where(F.col("version") == version).select("id", "vector", "payload")
 
 
 def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
     """S8 + S9: insert or overwrite points by ``id``; returns a one-row report
-    ``(version, n_rejected, n_rows)``. Rows whose vector is null or not of
-    the table dimension are written to the rejects folder, not to the table."""
+    ``(version, n_rejected, n_rows)``. Rows whose vector is null or not of the
+    table dimension go to the rejects store, not to the table."""
     dim, _ = table_meta(spark, path)
-    versions = _versions(spark, path)
-    new_version = (versions[-1] + 1) if versions else 1
+    current = current_version(spark, path)
+    new_version = (current or 0) + 1
     incoming = (points.select("id", F.col("vector").cast("array<float>").alias("vector"),
                               "payload")
                 .withColumn("seq", F.monotonically_increasing_id())
@@ -113,27 +119,32 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
         F.max(F.when(F.col("vector").isNull(), F.lit("null vector"))
               .when(F.size("vector") != F.lit(dim), F.lit("wrong dimension"))
               .when(F.col("id").isNull(), F.lit("null id"))).alias("error"))
-    current = read_points(spark, path).withColumn("seq", F.lit(-1).cast("long")) \
-        .withColumn("_src", F.lit(0))
-    both = current.unionByName(good)
+    stored = (read_points(spark, path, current).withColumn("seq", F.lit(-1).cast("long"))
+              .withColumn("_src", F.lit(0)))
+    both = stored.unionByName(good)
     # One row per id: the aggregation combines map-side, so a hot id is reduced
     # before the shuffle instead of filling one window partition.
     merged = (both.groupBy("id")
               .agg(F.max_by(F.struct("vector", "payload", "seq"), F.struct("_src", "seq"))
                    .alias("_w"))
-              .select("id", "_w.vector", "_w.payload", "_w.seq"))
-    merged.write.mode("overwrite").parquet(f"{path}/version={new_version}")
-    rejects.write.mode("overwrite").parquet(f"{path}/_rejects/version={new_version}")
-    status.write.mode("overwrite").parquet(f"{path}/_status/version={new_version}")
-    n_rej = spark.read.parquet(f"{path}/_rejects/version={new_version}").count()
-    n_rows = spark.read.parquet(f"{path}/version={new_version}").count()
+              .select("id", "_w.vector", "_w.payload", "_w.seq",
+                      F.lit(new_version).alias("version")))
+    merged.write.mode("append").partitionBy("version").parquet(f"{path}/points")
+    (rejects.withColumn("version", F.lit(new_version))
+     .write.mode("append").partitionBy("version").parquet(f"{path}/rejects"))
+    (status.withColumn("version", F.lit(new_version))
+     .write.mode("append").partitionBy("version").parquet(f"{path}/status"))
+    n_rej = (spark.read.schema(POINTS_SCHEMA).parquet(f"{path}/rejects")
+             .where(F.col("version") == new_version).count())
+    n_rows = read_points(spark, path, new_version).count()
     return spark.createDataFrame([(new_version, n_rej, n_rows)],
                                  "version int, n_rejected bigint, n_rows bigint")
 
 
 def upload_status(spark: SparkSession, path: str, version: int) -> DataFrame:
     """``(batch_no, rows, rejected, error)`` of one upsert."""
-    return spark.read.parquet(f"{path}/_status/version={version}")
+    return (spark.read.schema(STATUS_SCHEMA).parquet(f"{path}/status")
+            .where(F.col("version") == version).drop("version"))
 
 
 def table_count(spark: SparkSession, path: str) -> int:
