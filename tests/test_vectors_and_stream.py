@@ -15,6 +15,7 @@ def test_upsert_idempotent_and_checks_dim(spark):
     path = work_dir(spark, "vt-test")
     vt.create_or_replace(spark, path, 2, "cosine")
     assert vt.table_exists(spark, path) and vt.table_count(spark, path) == 0
+    assert not vt.table_exists(spark, path + "-missing")
     p = ("a", 1, None, "t")
     rows = [("x", [1.0, 0.0], p), ("x", [0.0, 1.0], p), ("y", [1.0, 1.0], p),
             ("z", [1.0, 0.0, 0.0], p), ("w", None, p)]

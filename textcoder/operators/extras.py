@@ -282,8 +282,7 @@ def resume_classification(spark, rows: DataFrame, out_dir: str, classify, id_col
     from pyspark.errors import AnalysisException
     todo = rows
     try:
-        done = spark.read.parquet(out_dir).select(id_col)
-        done.limit(1).count()            # the folder exists and has committed files
+        done = spark.read.parquet(out_dir).select(id_col)   # raises if nothing was written
         todo = rows.join(done, id_col, "left_anti")
     except AnalysisException:
         pass                             # first run: nothing done yet

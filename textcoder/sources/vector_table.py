@@ -36,7 +36,8 @@ def _points_store(spark: SparkSession, path: str) -> DataFrame:
 def table_exists(spark: SparkSession, path: str) -> bool:
     """A vector table exists when its metadata can be read."""
     try:
-        return spark.read.schema(META_SCHEMA).json(f"{path}/meta").limit(1).count() == 1
+        spark.read.schema(META_SCHEMA).json(f"{path}/meta")      # raises if the path is missing
+        return True
     except AnalysisException:
         return False
 
