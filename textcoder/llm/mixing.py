@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import cut, unit_interval, word_count
+from textcoder.llm.util import cut, lookup, unit_interval, word_count
 
 SEED = 8
 WEIGHTS = (5, 2, 1)
@@ -101,7 +101,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
                      F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("remaining"),
                      F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size"))
                             / F.col("source_size")).otherwise(0.0).alias("scale")))
-    quota = cut(quota) if doc_weight is None else _inclusion(slim, quota)
+    quota = lookup(quota if doc_weight is None else _inclusion(slim, quota))
 
     def ranked(rows: DataFrame, src: str, w, draw) -> DataFrame:
         """Adds __p, __q and __bin; a certain document has no rank."""
@@ -129,7 +129,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
             .filter(F.col("upto") <= F.col("remaining"))
             .groupBy(F.col("b_source").alias("l_source"))
             .agg(F.max(F.struct("__q", "key")).alias("last"), F.max("upto").alias("upto")))
-    marks = cut(goal.join(cut_bin, F.col("source").eqNullSafe(F.col("b_source")), "left")
+    marks = lookup(goal.join(cut_bin, F.col("source").eqNullSafe(F.col("b_source")), "left")
                 .join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
                 .select(F.col("source").alias("m_source"), F.col("source_size").alias("__source_size"),
                         F.col("target").alias("__target"), "cut_bin", "last",
@@ -148,7 +148,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
                .groupBy(F.col("source").alias("x_source"))
                .agg(F.min(F.struct(F.abs(missing - F.col("size")).alias("off"), "__q", "key")).alias("x"))
                .select("x_source", F.struct("x.__q", "x.key").alias("closing")))
-    marks = cut(marks.join(closing, F.col("m_source").eqNullSafe(F.col("x_source")), "left").drop("x_source"))
+    marks = lookup(marks.join(closing, F.col("m_source").eqNullSafe(F.col("x_source")), "left").drop("x_source"))
     whole = df.select("*", word_count(F.col(text)).alias("__size"), weight.alias("__weight"), u.alias("__u"))
     at = (ranked(whole, source, F.col("__weight"), F.col("__u"))
           .join(marks, F.col(source).eqNullSafe(F.col("m_source")), "left"))

@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lookup(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df`` checkpointed, with a broadcast hint if it has few rows; larger ones are joined as Spark sees fit."""
+    small = cut(df)
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to a new shared folder; the table read back, and its path."""
     path = work_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
