@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -73,6 +74,21 @@ def _unsettled() -> str:
     return f"[{''.join(runs)}]"
 
 
+def _common(pattern: str):
+    """(search for a character outside the settled ones below U+0220, the split of texts without any).
+
+    Such texts are most of a corpus in Latin script; their classes are spelled out for the faster standard module. No
+    alternative but the run of letters starts with a letter, so that one may go first.
+    """
+    odd = re.compile(_unsettled())
+    chars = [chr(c) for c in range(0x220) if not odd.match(chr(c))]
+    kinds = {"L": "", "N": ""}
+    for c in chars:
+        kinds[unicodedata.category(c)[0]] = kinds.get(unicodedata.category(c)[0], "") + c
+    spelled = pattern.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"]).replace(r"\s", r"\t-\r\x20\x85\xa0")
+    return re.compile(f"[^{re.escape(''.join(chars))}]").search, re.compile(f"[{kinds['L']}]+|{spelled}").findall
+
+
 class Codec:
     """Tables of one vocabulary and the word encoder; built once per Python worker."""
 
@@ -113,6 +129,7 @@ class Codec:
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         pattern = spec["pattern"].replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(pattern).findall
+        self.common, self.split_common = _common(spec["pattern"])
         self.special = {t.encode(): i for t, i in spec["special"].items()}
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["special"], key=len, reverse=True))) + ")"
                                         ) if spec["special"] else None
@@ -173,7 +190,7 @@ class Codec:
     def _word(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            found = np.array(self.word_ids(word), dtype="<i4").tobytes()
+            found = array("i", self.word_ids(word)).tobytes()
         if len(word) <= _CACHED_LENGTH:
             if len(self.young) >= _CACHED_WORDS:
                 self.old, self.young = self.young, {}
@@ -183,12 +200,14 @@ class Codec:
     def _plain(self, text: str) -> Iterable[bytes]:
         # Lower case is taken letter by letter, so a final sigma is like any other.
         low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if low.isascii() or not (self.common(low) or self.common(text)):
+            words = self.split_common(low)
+        else:
+            words = self.split(low) if self._settled(text) else self._library_split(text)
         get, word = self.young.get, self._word
-        return [get(w) or word(w) for w in (self.split(low) if self._settled(text) else self._library_split(text))]
+        return [get(w) or word(w) for w in words]
 
     def _settled(self, text: str) -> bool:
-        if text.isascii():
-            return True
         if self.unsettled is None:
             self.unsettled = re.compile(_unsettled())
         return not self.unsettled.search(text)
