@@ -2,8 +2,9 @@
 
 1. Fingerprints (Arrow): bit b of a text's 64-bit fingerprint is set if it is set in over half of the
    hashes of its word shingles. Equal fingerprints are combined first, so exact copies cost one row.
-2. Placement: with the bits cut into ``radius + 2`` blocks, two fingerprints within the radius agree on at
-   least two blocks, so they meet under one of the 15 pairs of blocks. Keys with one fingerprint go at once.
+2. Placement: with the bits cut into ``radius + tight`` blocks, two fingerprints within the radius agree on at
+   least ``tight`` blocks, so they meet under one choice of blocks (two of six: 15 keys of 21 bits each; more
+   blocks give longer keys for larger corpora, with the same links). Keys with one fingerprint go at once.
 3. Contraction: three reference fingerprints of each key (least, greatest, a hashed choice) take in
    the members within the radius. These star links are linear in the rows; a dense group of
    near copies becomes one component without its pairs being listed.
@@ -38,6 +39,7 @@ from textcoder.llm.util import cut, located
 
 SHINGLE_WORDS = 4
 RADIUS = 4
+TIGHT = 2
 N_PIVOTS = 16
 
 
@@ -61,11 +63,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def block_masks(blocks: int) -> list[int]:
-    """The bits of each pair of blocks."""
+def block_masks(blocks: int, tight: int = TIGHT) -> list[int]:
+    """The bits of each choice of ``tight`` blocks."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     one = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
-    return [_signed(a | b) for a, b in itertools.combinations(one, 2)]
+    return [_signed(sum(chosen)) for chosen in itertools.combinations(one, tight)]
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -93,16 +95,17 @@ def _near_in_pivots(left: list[Column], right: list[Column], n: int, radius: int
                                             for i in range(n)])
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, tight: int = TIGHT) -> DataFrame:
     """(node, root) of the distinct fingerprints ``fp`` that have another one within the radius."""
-    masks = block_masks(radius + 2)
+    masks = block_masks(radius + tight, tight)
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("no", "part"))
     references = (keyed.groupBy("no", "part")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"),
                        F.min_by("fp", F.xxhash64("fp")).alias("some")).filter("n > 1").drop("n"))
     members = cut(keyed.join(references, ["no", "part"]))
-    star = (members.select("fp", F.explode(F.array("least", "most", "some")).alias("ref"))
-            .filter((F.col("fp") != F.col("ref")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("ref"))) <= radius)))
+    near = F.filter(F.array("least", "most", "some"),
+                    lambda r: (F.col("fp") != r) & (F.bit_count(F.col("fp").bitwiseXOR(r)) <= radius))
+    star = members.select("fp", near.alias("refs")).filter(F.size("refs") > 0).select("fp", F.explode("refs").alias("ref"))
     taken = components(star.select(F.col("fp").alias("a"), F.col("ref").alias("b")))
 
     at = (members.select("no", "part", "fp").join(taken, F.col("fp") == F.col("node"), "left")
