@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcoder.llm import bpe, exact_dedup, fingerprints, language_id, licenses, line_dedup, mixing, pii, sharding, simhash_dedup
-from textcoder.llm.util import documents
+from textcoder.llm.util import cut, documents
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,11 +68,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - changed), F.substr("next_text", F.lit(1), changed))
     at = (at.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
           .withColumn("edited_fp", fingerprints.simhash(F.col("edited"))))
-    return at.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+    at = cut(at.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited"))
+    # The block tables find what lies within the radius of every fiftieth document.
+    asked = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    near = (fingerprints.within_radius(at.filter(asked), at).groupBy("query").agg(F.sum("copies").alias("n_within")))
+    at = at.join(near, asked & (F.col("fp") == F.col("query")), "left")
+    return at.select("doc_id", "n_chars", "edited_sha256",
                      fingerprints.hex_digits(F.col("fp")).alias("fingerprint"),
                      fingerprints.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
                      fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                     fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+                     fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within")
 
 
 @query
