@@ -7,7 +7,8 @@ pages with the line divided by the host's pages. Lines above the boilerplate rat
 A host with fewer than ``MIN_PAGES`` pages has no measurable share and keeps all its lines (with one page every line would
 have share 1). Pages count a line once. Counts by (host, line) are combined map-side, so neither a large host nor
 a frequent line gathers rows in one task. A host's boilerplate is at most its lines per page divided by the ratio, so it is
-kept as one short list per host and joined to the pages on the host; AQE may split a large host there.
+kept as one short list per host. Up to ``FEW_HOSTS`` such lists are broadcast, so pages do not move at all; more are joined
+on the host and a salt, so a large host is spread over ``SALTS`` parts at least.
 
 Defined cases: null url or a url without host belong to the host ``''``; null html has no lines; repeated
 rows are pages of their own; an empty table gives an empty result; other columns are passed on by ``cleaned``.
@@ -18,8 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textcoder.llm.util import cut
+
 RATIO = 0.3
 MIN_PAGES = 5
+#: A list has about lines per page / RATIO marks of 32 bytes; 5000 of 200 marks are 32 MB.
+FEW_HOSTS = 5_000
+SALTS = 16
 
 #: Fixed patterns, valid for Java and RE2 alike.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -52,12 +58,20 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
 
 def cleaned(df: DataFrame, url: str = "url", html: str = "html", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-            host_out: str = "host", lines_out: str = "lines", kept_out: str = "kept") -> DataFrame:
+            host_out: str = "host", lines_out: str = "lines", kept_out: str = "kept", few_hosts: int = FEW_HOSTS) -> DataFrame:
     """``df`` with host, all lines and the kept lines of each page (columns so named are replaced)."""
     outs = (host_out, lines_out, kept_out)
     rows = df.select(*[c for c in df.columns if c not in outs], host(F.col(url)).alias("__host"), lines(F.col(html)).alias("__lines"))
     marks = boilerplate(rows.select(F.col("__host").alias("host"), F.col("__lines").alias("lines")), ratio, min_pages)
-    at = rows.join(marks.select(F.col("host").alias("__of"), F.col("marks").alias("__marks")), F.col("__host") == F.col("__of"), "left")
+    marks = cut(marks.select(F.col("host").alias("__of"), F.col("marks").alias("__marks")))
+    on = F.col("__host") == F.col("__of")
+    if marks.count() <= few_hosts:
+        marks = F.broadcast(marks)
+    else:
+        marks = marks.withColumn("__of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__lines"), F.lit(SALTS)).cast("int"))
+        on = on & (F.col("__salt") == F.col("__of_salt"))
+    at = rows.join(marks, on, "left")
     kept = F.when(F.col("__marks").isNull(), F.col("__lines")).otherwise(
         F.filter("__lines", lambda x: ~F.array_contains(F.col("__marks"), F.md5(x))))
     return at.select(*[c for c in df.columns if c not in outs], F.col("__host").alias(host_out), F.col("__lines").alias(lines_out),
