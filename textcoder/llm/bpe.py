@@ -22,17 +22,20 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for the end of a word in the automaton; no byte is written so.
 _END = "\x00"
-_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 400_000, 64, 2_000_000
-_SLICE_TOKENS = 1 << 18
+_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 150_000, 64, 500_000
+#: Bytes of text or ids of a slice of a batch.
+_SLICE = 1 << 19
 
 
 def byte_alphabet() -> list[str]:
@@ -109,7 +112,7 @@ class Codec:
             self.merge_rank[x, y] = r
             if self.rank[i] < 0:
                 self.rank[i], self.left[i], self.right[i] = r, x, y
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         # Tokens that merging their own text would not give are left out of the automaton.
         made = [False] * size
         for t, i in sorted(vocab.items(), key=lambda x: self.rank[x[1]]):
@@ -156,11 +159,11 @@ class Codec:
                 return True
 
     def _compatible(self, x: int, y: int) -> bool:
-        known = self.pairs.get((x, y))
+        known = self.pairs.get(x << 24 | y)
         if known is None:
             if len(self.pairs) >= _CACHED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[x, y] = self._apart(x, y, float("inf"))
+            known = self.pairs[x << 24 | y] = self._apart(x, y, float("inf"))
         return known
 
     def word_ids(self, word: str) -> list[int]:
@@ -234,13 +237,8 @@ class Codec:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
     def decode(self, ids: pa.Array) -> pa.Array:
-        done, start = [], 0
         counts = np.array([len(x) if x.is_valid else 0 for x in ids], dtype=np.int64)
-        while start < len(ids):
-            stop = start + max(1, int(np.searchsorted(np.cumsum(counts[start:]), _SLICE_TOKENS)))
-            done.append(self._decode(ids.slice(start, stop - start), counts[start:stop]))
-            start = stop
-        return pa.concat_arrays(done) if done else pa.array([], pa.string())
+        return self._decode(ids, counts)
 
     def _decode(self, ids: pa.Array, counts: np.ndarray) -> pa.Array:
         tokens = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -287,21 +285,38 @@ def shared_tables(spark: SparkSession, path: str) -> _Tables:
     return _SHARED[at]
 
 
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about _SLICE units each (a larger row stands alone), so that results stay small."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + _SLICE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, lengths, make) -> DataFrame:
+    """``df`` with ``out`` = make(column ``source``), computed slice by slice."""
+    rest = [c for c in df.columns if c != out]
+    rows = df.select(*rest, F.col(source).alias("__source"))
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            for part in _slices(batch, lengths(batch.column(last)).fill_null(0).to_numpy(zero_copy_only=False)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], make(part.column(last))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of each text (array<int>, empty for null)."""
     tables = shared_tables(df.sparkSession, path)
-
-    def run(texts: pa.Array) -> pa.Array:
-        return _codec(tables).encode(texts)
-
-    return df.withColumn(out, F.arrow_udf(run, "array<int>")(F.col(text_col)))
+    return _with_column(df, text_col, out, T.ArrayType(T.IntegerType()), pc.binary_length, lambda x: _codec(tables).encode(x))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the token strings of each id list, joined by one space (empty for null)."""
     tables = shared_tables(df.sparkSession, path)
-
-    def run(ids: pa.Array) -> pa.Array:
-        return _codec(tables).decode(ids)
-
-    return df.withColumn(out, F.arrow_udf(run, "string")(F.col(ids_col)))
+    return _with_column(df, ids_col, out, T.StringType(), pc.list_value_length, lambda x: _codec(tables).decode(x))
