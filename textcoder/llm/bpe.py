@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textcoder.llm.util import bounded_batches
+
 #: Stands for the end of a word in the automaton; no byte is written so.
 _END = "\x00"
-_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 150_000, 64, 500_000
+_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 120_000, 64, 300_000
 #: Bytes of text or ids of a slice of a batch.
 _SLICE = 1 << 19
 
@@ -46,15 +48,20 @@ def byte_alphabet() -> list[str]:
 
 
 def load_spec(path: str) -> dict:
-    """What the encoder needs of a tokenizer file; refuses kinds whose rules differ."""
+    """What the encoder needs of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
-        d = json.load(f)
+        return parse_spec(f.read())
+
+
+def parse_spec(text: str) -> dict:
+    """The same of a file's content; refuses kinds whose rules differ."""
+    d = json.loads(text)
     model, split = d["model"], d["pre_tokenizer"]["pretokenizers"]
     kinds = [n["type"] for n in d["normalizer"]["normalizers"]]
     if (model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"]
             or [s["type"] for s in split] != ["Split", "ByteLevel"] or split[0]["behavior"] != "Removed"
             or not split[0]["invert"] or d["decoder"] is not None):
-        raise ValueError(f"{path}: not a BPE file with word ends, NFC, lower case and a dropped remainder")
+        raise ValueError("not a BPE file with word ends, NFC, lower case and a dropped remainder")
     return {"vocab": model["vocab"], "merges": [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
             "end": model["end_of_word_suffix"], "pattern": split[0]["pattern"]["Regex"],
             "special": {t["content"]: t["id"] for t in d["added_tokens"]},
@@ -128,7 +135,7 @@ class Codec:
         self.automaton.make_automaton()
         self.alphabet = byte_alphabet()
         self.table = {b: c for b, c in enumerate(self.alphabet)}
-        self.unsettled, self.splitter, self.spec = None, None, spec
+        self.unsettled, self.splitter, self.splitter_spec = None, None, spec["splitter"]
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         pattern = spec["pattern"].replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(pattern).findall
@@ -219,7 +226,7 @@ class Codec:
         """Words as the vocabulary file's own normaliser and splitter give them (texts with newer characters)."""
         if self.splitter is None:
             from tokenizers import Tokenizer
-            self.splitter = Tokenizer.from_str(self.spec["splitter"])
+            self.splitter = Tokenizer.from_str(self.splitter_spec)
         words = self.splitter.pre_tokenizer.pre_tokenize_str(self.splitter.normalizer.normalize_str(text))
         return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in words]
 
@@ -258,7 +265,7 @@ def _codec(tables) -> Codec:
     """The worker's codec of a broadcast specification."""
     if tables.id not in _CODECS:
         _CODECS.clear()
-        _CODECS[tables.id] = Codec(tables.value["spec"])
+        _CODECS[tables.id] = Codec(parse_spec(tables.value))
     return _CODECS[tables.id]
 
 
@@ -267,10 +274,12 @@ class _Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         import uuid
-        self.id, self._shared = uuid.uuid4().hex, spark.sparkContext.broadcast({"spec": load_spec(path)})
+        load_spec(path)  # an unsuitable file fails here, not in a task
+        with open(path, encoding="utf-8") as f:
+            self.id, self._shared = uuid.uuid4().hex, spark.sparkContext.broadcast(f.read())
 
     @property
-    def value(self) -> dict:
+    def value(self) -> str:
         return self._shared.value
 
 
@@ -312,11 +321,13 @@ def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, lengths
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of each text (array<int>, empty for null)."""
+    bounded_batches(df.sparkSession)
     tables = shared_tables(df.sparkSession, path)
     return _with_column(df, text_col, out, T.ArrayType(T.IntegerType()), pc.binary_length, lambda x: _codec(tables).encode(x))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the token strings of each id list, joined by one space (empty for null)."""
+    bounded_batches(df.sparkSession)
     tables = shared_tables(df.sparkSession, path)
     return _with_column(df, ids_col, out, T.StringType(), pc.list_value_length, lambda x: _codec(tables).decode(x))

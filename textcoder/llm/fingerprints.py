@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcoder.llm.hashing import bits, packed, shingle_hashes
+from textcoder.llm.util import bounded_batches
 
 TERM_WORDS = 2
 RADIUS = 3
@@ -105,6 +106,7 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     ``columns``; null ids come last.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     at = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100 * n).alias("cuts"), F.max(id_col).alias("top")).first()
     cuts = np.array(sorted(set(at["cuts"] or [])), dtype=np.int64)

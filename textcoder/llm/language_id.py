@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textcoder.llm.util import bounded_batches
+
 ORDER = 3
 N_BUCKETS = 1 << 15
 #: Weight of the corpus distribution in a language's n-gram probabilities.
@@ -38,8 +40,8 @@ SMOOTHING = 0.01
 PENALTY = 4.0
 EM_STEPS = 12
 UNKNOWN = "und"
-_BLOCK_CHARS = 1 << 20
-_BLOCK_CELLS = 1 << 21
+_BLOCK_CHARS = 1 << 18
+_BLOCK_CELLS = 1 << 19
 
 _LETTER: np.ndarray | None = None
 
@@ -180,6 +182,7 @@ class Model:
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", n_buckets: int = N_BUCKETS) -> Model | None:
     """Learn from all rows of ``train`` with a language; None without any."""
+    bounded_batches(train.sparkSession)
     counts: dict[str, dict[int, int]] = {}
     for r in count_grams(train, text, lang, n_buckets).toLocalIterator():
         counts.setdefault(r["lang"], {})[r["bucket"]] = r["n"]
@@ -188,6 +191,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", n_buckets: int
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
     """``df`` with a struct ``out``: lang, score and the proportions of all learnt languages."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:

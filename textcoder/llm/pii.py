@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import cut, located
+from textcoder.llm.util import bounded_batches, cut, located
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.8
@@ -199,6 +199,7 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: floa
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """One row per row of ``df``: id, base (spans of entities), all_spans (with terms), and, where there is any
     span, the sanitised text (``clean``; null: the text stays as it is)."""
+    bounded_batches(df.sparkSession)
     rows = located(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
     seen = cut(rows.withColumn("found", F.arrow_udf(_find, _FOUND)(F.col("__text")))
                .select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col("__id").alias("id"), "found.base",

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textcoder.llm.graph import components
 from textcoder.llm.hashing import bits, packed, shingle_hashes
-from textcoder.llm.util import cut, located
+from textcoder.llm.util import bounded_batches, cut, located
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -129,6 +129,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tight: int = TIGHT) -> DataFra
 
 def _decided(rows: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> DataFrame:
     """(file, row, id, fp, component_id, kept) of located rows."""
+    bounded_batches(rows.sparkSession)
     slim = cut(rows.select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(id_col).alias("id"),
                            fingerprint(F.col(text_col), words).alias("fp")))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
