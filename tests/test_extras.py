@@ -41,3 +41,9 @@ def test_vote_rescore_prefers_codes_with_more_support(spark):
                               "query_id int, rank int, id int, code string, score double")
     r = [x["id"] for x in ex.vote_rescore(c, 2).orderBy("rank").collect()]
     assert r == [11, 12]
+
+
+def test_macro_f1_counts_classes_without_a_hit(spark):
+    e = _ev(spark, [(1, "a", "a"), (2, "a", "a"), (3, "b", "a"), (4, "c", None)])
+    r = {x["class"]: x for x in ex.precision_recall_f1(e).collect()}
+    assert r["macro"]["f1"] == round(0.8 / 3, 6) and r["weighted"]["f1"] == 0.4

@@ -108,7 +108,8 @@ def bootstrap_accuracy(ev: DataFrame, key: str, replicates: int = 200, seed: int
 def precision_recall_f1(ev: DataFrame, truth: str = "true_code", pred: str = "pred_code"
                         ) -> DataFrame:
     """Per class ``tp, fp, fn, precision, recall, f1`` plus ``macro`` and
-    ``weighted`` (by support) averages."""
+    ``weighted`` (by support) averages. Precision without a prediction and
+    recall without a case are null and left out; the F1 of a class without a hit is 0 in both averages."""
     t = ev.select(F.col(truth).alias("cls"), F.lit(1).alias("_t"), F.lit(0).alias("_p"),
                   (F.col(pred) == F.col(truth)).cast("int").alias("_tp"))
     p = ev.where(F.col(pred).isNotNull()).select(F.col(pred).alias("cls"), F.lit(0).alias("_t"),
@@ -120,8 +121,8 @@ def precision_recall_f1(ev: DataFrame, truth: str = "true_code", pred: str = "pr
          .withColumn("fn", (F.col("support") - F.col("tp")).cast("long"))
          .withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("npred")))
          .withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("support")))
-         .withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                        F.col("precision") + F.col("recall"))))
+         .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
+                                                   F.col("precision") + F.col("recall")), F.lit(0.0))))
     per = c.select(F.col("cls").alias("class"), "tp", "fp", "fn",
                    *[F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")])
     avg = c.agg(F.avg("precision").alias("mp"), F.avg("recall").alias("mr"),
