@@ -71,3 +71,13 @@ def test_split_single_row_table(spark):
     from textcoder.operators.sampling import split
     s = split(spark.range(0, 1).withColumnRenamed("id", "k"), "k").collect()
     assert [r["split"] for r in s] == ["test"]
+
+
+def test_header_like_rows_and_empty_cells_at_the_end(spark, tmp_path):
+    again = tmp_path / "again.csv"
+    again.write_text("activity_description\nbake\nActivity_Description\nfry\n")
+    got = [r["activity_description"] for r in read_activity_csv(spark, str(again)).collect()]
+    assert sorted(got) == ["Activity_Description", "bake", "fry"]
+    wide = tmp_path / "wide.csv"
+    wide.write_text("bakery,\nx,bread\n")
+    assert [r["activity_description"] for r in read_activity_csv(spark, str(wide)).collect()] == ["bread"]

@@ -1,4 +1,4 @@
-from textcoder.operators.generation import apply_fallback, build_prompts, parse_response
+from textcoder.operators.generation import apply_fallback, build_prompts, generate, parse_response
 
 
 def _parse(spark, texts):
@@ -55,3 +55,22 @@ def test_prompt_lists_in_rank_order(spark):
     assert r["codes_list"] == "10.71, 10.72"
     assert "## # Code: 10.71\n\n## # Code: 10.72" in r["user"]
     assert "make bread" in r["user"]
+
+
+def test_template_slots_inside_values_stay_text(spark):
+    df = spark.createDataFrame([("bake {codes}", ["t {activity}"], ["{descriptions}"])],
+                               "act string, texts array<string>, codes array<string>")
+    user = build_prompts(df, "act").first()["user"]
+    assert "Activity to code: bake {codes}" in user and "t {activity}" in user
+    assert user.endswith("Candidate codes: {descriptions}")
+
+
+def test_one_bad_row_costs_one_answer(spark):
+    def generator(systems, users):
+        if "bad" in users:
+            raise ValueError("no answer")
+        return [u.upper() for u in users]
+
+    df = spark.createDataFrame([("s", "ok1"), ("s", "bad"), ("s", "ok2")], "system string, user string")
+    got = {r["user"]: (r["response"], r["gen_error"]) for r in generate(df.coalesce(1), generator).collect()}
+    assert got == {"ok1": ("OK1", None), "bad": (None, "ValueError: no answer"), "ok2": ("OK2", None)}

@@ -31,3 +31,9 @@ def test_sample_is_deterministic(spark):
     a = [r["id"] for r in sampling.sample(df, 20, "id").collect()]
     b = [r["id"] for r in sampling.sample(df, 20, "id").collect()]
     assert a == b and len(set(a)) == 20
+
+
+def test_split_refuses_keys_that_repeat_at_a_boundary(spark):
+    import pytest
+    with pytest.raises(ValueError, match="unique key"):
+        sampling.split(spark.range(100).selectExpr("id % 2 AS k"), "k")

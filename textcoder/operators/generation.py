@@ -6,6 +6,7 @@ prompt needs no aggregation: ``array_join`` over at most k elements per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 # List formatting of candidates inside the prompt.
 DESCRIPTION_PREFIX = "## "
 DESCRIPTION_SEPARATOR = "\n\n## "
@@ -36,10 +39,10 @@ Generator = Callable[[Sequence[str], Sequence[str]], Sequence[str]]
 
 def _fill(template: str, values: dict[str, Column]) -> Column:
     """replace ``{name}`` slots of a template with column values."""
-    out = F.lit(template)
-    for name, col in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(col, F.lit("")))
-    return out
+    # Cut the template at its own slots, so that braces inside a value stay text.
+    parts = re.split("({" + "}|{".join(map(re.escape, values)) + "})", template)
+    return F.concat(*[F.coalesce(values[p[1:-1]], F.lit("")) if i % 2 else F.lit(p)
+                      for i, p in enumerate(parts)])
 
 
 def build_prompts(df: DataFrame, activity: str, texts: str = "texts", codes: str = "codes",
@@ -68,26 +71,32 @@ def generate(df: DataFrame, generator: Generator, system: str = "system", user:
              out_col: str = "response") -> DataFrame:
     """G5 with a pluggable model: ``generator(systems, users) -> responses`` per Arrow batch.
 
-    A failure inside the generator becomes a null response with ``gen_error``
-    set for the rows of that batch, so the job continues (G6 handles them).
+    When a batch fails, its rows are asked one by one: a row that fails alone has
+    a null response and ``gen_error`` set, the others keep their answers (G6 handles the rest).
     Concurrency towards a remote service is the number of partitions.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("gen_error", T.StringType())])
 
+    def ask(systems, users):
+        try:
+            answers = list(generator(systems, users))
+            if len(answers) != len(users):
+                raise RuntimeError("generator returned a different number of responses")
+            return answers, None
+        except Exception as exc:  # keep going; rows carry the error
+            return [None] * len(users), f"{type(exc).__name__}: {exc}"
+
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            n = batch.num_rows
-            try:
-                resp = list(generator(batch.column(system).to_pylist(),
-                                      batch.column(user).to_pylist()))
-                if len(resp) != n:
-                    raise RuntimeError("generator returned a different number of responses")
-                err = [None] * n
-            except Exception as exc:  # keep going; rows carry the error
-                resp, err = [None] * n, [f"{type(exc).__name__}: {exc}"] * n
+            systems, users = batch.column(system).to_pylist(), batch.column(user).to_pylist()
+            resp, failed = ask(systems, users)
+            err = [failed] * len(users)
+            if failed:
+                each = [ask([s], [u]) for s, u in zip(systems, users)]
+                resp, err = [r[0] for r, _ in each], [e for _, e in each]
             yield pa.RecordBatch.from_arrays(
                 list(batch.columns) + [pa.array(resp, pa.string()), pa.array(err, pa.string())],
                 names=list(batch.schema.names) + [out_col, "gen_error"])
@@ -102,13 +111,14 @@ _FALSE = ("false", "0", "no", "off", "f", "n")
 def parse_response(col: str = "response") -> Column:
     """Struct ``nace_code, codable, confidence, error`` from a JSON response.
 
-    Rules: the trimmed text must be one JSON object (nothing after its closing
+    Rules: the text without white space around it must be one JSON object (nothing after its closing
     brace); keys ``nace_code``, ``codable`` and ``confidence`` must be present;
-    ``nace_code`` may be null; ``codable`` a boolean (or a boolean word);
+    ``nace_code`` a JSON string or null; ``codable`` a boolean (or a boolean word);
     ``confidence`` a number (or numeric text) within [0, 1]. ``error`` names
     the first broken rule, values are null then.
     """
-    txt = F.trim(F.col(col))
+    txt = strip(F.col(col))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(txt), "$.nace_code", "variant"))
     keys = F.json_object_keys(txt)
     parsed = F.from_json(txt, "nace_code string, codable string, confidence string")
     codable_s = F.lower(F.trim(parsed["codable"]))
@@ -120,6 +130,7 @@ def parse_response(col: str = "response") -> Column:
            .when(~txt.startswith("{") | ~txt.endswith("}") | keys.isNull(),
                  F.lit("not a JSON object")))
     err = F.coalesce(err, *missing,
+                     F.when(~kind.isin("STRING", "VOID"), F.lit("nace_code is not text")),
                      F.when(codable.isNull(), F.lit("codable is not a boolean")),
                      F.when(conf.isNull(), F.lit("confidence is not a number")),
                      F.when(~conf.between(0.0, 1.0), F.lit("confidence out of range")))

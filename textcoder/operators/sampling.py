@@ -106,6 +106,10 @@ def split(df: DataFrame, key: str, fractions=(0.70, 0.15, 0.15),
         bounds.append(acc)
     ks = [b for b in bounds if 0 < b <= n]
     cut = kth_smallest(hashed, "_h", ks) if ks else {}
+    if ks:
+        got = hashed.agg(*[F.count_if(F.col("_h") <= F.lit(cut[k])).alias(f"k{k}") for k in set(ks)]).first()
+        if any(got[f"k{k}"] != k for k in ks):
+            raise ValueError(f"{key} repeats at a boundary: exact sizes need a unique key")
     label = None
     for b, name in zip(bounds, names):
         cond = (F.lit(False) if b == 0 else F.col("_h") <= F.lit(cut[b]))

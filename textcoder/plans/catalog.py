@@ -378,6 +378,29 @@ def response_parse_events(spark, root):
     return e.select("event_id", "r.nace_code", "r.codable", "r.confidence", "r.error")
 
 
+@query("response_parse_dirty")
+def response_parse_dirty(spark, root):
+    """G4 on answers with white space around them, codes that are no text, and text after the object."""
+    d, kind = table(spark, root, "documents"), F.col("doc_id") % 6
+    answer = '{"nace_code": %s, "codable": true, "confidence": %s}'
+    response = (F.when(kind == 0, F.format_string("\n" + answer % ('"%s"', "0.5") + "\n\t", "lang"))
+                .when(kind == 1, F.lit(answer % ("12.3", "0.5"))).when(kind == 2, F.lit(answer % ('{"x": 1}', "0.5")))
+                .when(kind == 3, F.lit('{"nace_code": null, "codable": "no", "confidence": "0.25"}'))
+                .when(kind == 4, F.format_string(answer % ('"%s"', "0.5") + " done", "lang"))
+                .otherwise(F.format_string("\t" + answer % ('"%s"', "1.5"), "source")))
+    p = d.select("doc_id", response.alias("response")).select("doc_id", gen.parse_response("response").alias("r"))
+    return p.select("doc_id", "r.nace_code", "r.codable", "r.confidence", "r.error")
+
+
+@query("prompt_slots")
+def prompt_slots(spark, root):
+    """F10 on activities and candidates that themselves hold slot names."""
+    d = table(spark, root, "documents").select(
+        "doc_id", F.concat(F.lit("{codes} "), "source", F.lit(" {descriptions}")).alias("activity"),
+        F.array(F.concat("lang", F.lit(" {activity}"))).alias("texts"), F.array("source").alias("codes"))
+    return gen.build_prompts(d, "activity").select("doc_id", "activity", F.col("user").alias("prompt"))
+
+
 @query("fallback_rows")
 def fallback_rows(spark, root):
     """G6 with the reference's fallback: failed answers lose code and candidates."""

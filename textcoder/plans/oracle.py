@@ -6,6 +6,8 @@ embeddings pages benchmark labels conversations`` are registered by the caller.
 
 from __future__ import annotations
 
+from textcoder.operators.generation import DESCRIPTION_PREFIX
+
 ORACLE: dict[str, str] = {}
 
 
@@ -192,16 +194,16 @@ raw AS (
          p_brand || '\\nsize ' || p_size,
          CASE WHEN p_partkey % 2 = 1 THEN 'Other ' || p_type || ' parts' END FROM pp),
 val AS (SELECT *, TRY_CAST(LEVEL AS INTEGER) AS level_num,
-  CASE WHEN CODE IS NULL OR CODE = '' THEN 'Missing required field: CODE'
-       WHEN HEADING IS NULL OR HEADING = '' THEN 'Missing required field: HEADING'
-       WHEN LEVEL IS NULL OR LEVEL = '' THEN 'Missing required field: LEVEL'
-       WHEN TRY_CAST(LEVEL AS INTEGER) IS NULL THEN 'Invalid level: ' || LEVEL
+  CASE WHEN CODE IS NULL OR CODE = '' THEN 'absent: CODE'
+       WHEN HEADING IS NULL OR HEADING = '' THEN 'absent: HEADING'
+       WHEN LEVEL IS NULL OR LEVEL = '' THEN 'absent: LEVEL'
+       WHEN TRY_CAST(LEVEL AS INTEGER) IS NULL THEN 'level not in 1..4: ' || LEVEL
        WHEN TRY_CAST(LEVEL AS INTEGER) NOT BETWEEN 1 AND 4
-         THEN 'Invalid level: ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
+         THEN 'level not in 1..4: ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
        WHEN TRY_CAST(LEVEL AS INTEGER) > 1 AND """ + _clean("PARENT_CODE") + """ IS NULL
-         THEN 'Missing parent code for level ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
+         THEN 'no parent at level ' || CAST(TRY_CAST(LEVEL AS INTEGER) AS VARCHAR)
               || ': ' || CODE
-       WHEN """ + _clean("HEADING") + """ IS NULL THEN 'Blank heading: ' || CODE
+       WHEN """ + _clean("HEADING") + """ IS NULL THEN 'heading without text: ' || CODE
   END AS error FROM raw),
 d0 AS (SELECT """ + _strip("CODE") + """ AS code, """ + _clean("HEADING") + """ AS heading,
               level_num AS level, """ + _clean("PARENT_CODE") + """ AS parent_code,
@@ -344,21 +346,31 @@ SELECT query_id, activity, true_code, codes[1] AS pred_code, codes[1] IS NOT NUL
 FROM coded""")
 
 
+def _text(value: str) -> str:
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in value.split("\n"))
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def _parse_error(x: str) -> str:
-    keys = f"json_keys(trim({x}))"
+    j = f"CASE WHEN json_valid(trim({x}, {_WHITE})) THEN trim({x}, {_WHITE}) END"
+    keys = f"json_keys({j})"
     return f"""CASE WHEN {x} IS NULL THEN 'no response'
-     WHEN NOT (starts_with(trim({x}), '{{') AND ends_with(trim({x}), '}}'))
-          OR NOT json_valid(trim({x})) THEN 'not a JSON object'
+     WHEN NOT (starts_with(trim({x}, {_WHITE}), '{{') AND ends_with(trim({x}, {_WHITE}), '}}'))
+          OR NOT json_valid(trim({x}, {_WHITE})) THEN 'not a JSON object'
      WHEN NOT list_contains({keys}, 'nace_code') THEN 'missing key: nace_code'
      WHEN NOT list_contains({keys}, 'codable') THEN 'missing key: codable'
      WHEN NOT list_contains({keys}, 'confidence') THEN 'missing key: confidence'
-     WHEN lower(trim(json_extract_string(trim({x}), '$.codable')))
+     WHEN json_type(json_extract({j}, '$.nace_code')) NOT IN ('VARCHAR', 'NULL')
+       THEN 'nace_code is not text'
+     WHEN lower(trim(json_extract_string({j}, '$.codable')))
           NOT IN ('true', '1', 'yes', 'on', 't', 'y', 'false', '0', 'no', 'off', 'f', 'n')
-          OR json_extract_string(trim({x}), '$.codable') IS NULL
+          OR json_extract_string({j}, '$.codable') IS NULL
        THEN 'codable is not a boolean'
-     WHEN TRY_CAST(json_extract_string(trim({x}), '$.confidence') AS DOUBLE) IS NULL
+     WHEN TRY_CAST(json_extract_string({j}, '$.confidence') AS DOUBLE) IS NULL
        THEN 'confidence is not a number'
-     WHEN TRY_CAST(json_extract_string(trim({x}), '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1
+     WHEN TRY_CAST(json_extract_string({j}, '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1
        THEN 'confidence out of range' END"""
 
 
@@ -375,6 +387,27 @@ SELECT event_id,
        error
 FROM e""")
 
+sql("response_parse_dirty", f"""
+WITH r AS (SELECT doc_id, CASE doc_id % 6
+             WHEN 0 THEN chr(10) || '{{"nace_code": "' || lang || '", "codable": true, "confidence": 0.5}}' || chr(10) || chr(9)
+             WHEN 1 THEN '{{"nace_code": 12.3, "codable": true, "confidence": 0.5}}'
+             WHEN 2 THEN '{{"nace_code": {{"x": 1}}, "codable": true, "confidence": 0.5}}'
+             WHEN 3 THEN '{{"nace_code": null, "codable": "no", "confidence": "0.25"}}'
+             WHEN 4 THEN '{{"nace_code": "' || lang || '", "codable": true, "confidence": 0.5}} done'
+             ELSE chr(9) || '{{"nace_code": "' || source || '", "codable": true, "confidence": 1.5}}' END AS response FROM documents),
+p AS (SELECT doc_id, trim(response, {_WHITE}) AS response, {_parse_error('response')} AS error FROM r),
+e AS (SELECT doc_id, error, CASE WHEN error IS NULL THEN response END AS response FROM p)
+SELECT doc_id, CASE WHEN error IS NULL THEN json_extract_string(response, '$.nace_code') END AS nace_code,
+       CASE WHEN error IS NULL THEN lower(json_extract_string(response, '$.codable')) = 'true' END AS codable,
+       CASE WHEN error IS NULL THEN json_extract_string(response, '$.confidence')::DOUBLE END AS confidence, error
+FROM e""")
+
+sql("prompt_slots", f"""
+SELECT doc_id, '{{codes}} ' || source || ' {{descriptions}}' AS activity,
+       'Activity to code: ' || '{{codes}} ' || source || ' {{descriptions}}' || chr(10) || chr(10) || 'Candidate entries:' || chr(10)
+       || {_text(DESCRIPTION_PREFIX)} || lang || ' {{activity}}' || chr(10) || chr(10) || 'Candidate codes: ' || source AS prompt
+FROM documents""")
+
 sql("fallback_rows", f"""
 WITH e AS (SELECT event_id, props, {_parse_error('props')} AS error FROM events)
 SELECT event_id,
@@ -543,7 +576,7 @@ pm AS (SELECT cls, tp, npred - tp AS fp, support - tp AS fn, support,
              CASE WHEN npred > 0 THEN tp::DOUBLE / npred END AS precision,
              CASE WHEN support > 0 THEN tp::DOUBLE / support END AS recall FROM pc),
 pf AS (SELECT *, CASE WHEN precision + recall <> 0
-                     THEN 2 * precision * recall / (precision + recall) END AS f1 FROM pm)
+                     THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pm)
 SELECT cls AS class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
        round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pf
 UNION ALL
