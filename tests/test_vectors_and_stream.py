@@ -66,3 +66,26 @@ def test_upload_status_per_batch(spark):
     st = vt.upload_status(spark, path, 1).collect()
     assert sum(r["rows"] for r in st) == 2 and sum(r["rejected"] for r in st) == 1
     assert {r["error"] for r in st} == {"wrong dimension"}
+
+
+def test_upsert_embeds_each_row_once_and_planning_runs_no_job(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from textcoder.operators.partitioning import spread
+    from textcoder.sources import vector_table as vt
+
+    made = spark.sparkContext.accumulator(0)
+
+    def embed(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).select(F.col("id").cast("string").alias("id"), F.array(F.lit(0.5), F.lit(1.0)).alias("vector"),
+                                 F.lit(None).cast("struct<code:string,level:int,parent_code:string,text:string>").alias("payload"))
+    path = str(tmp_path / "vt")
+    vt.create_or_replace(spark, path, 2)
+    vt.upsert(spark, path, df.mapInArrow(embed, df.schema))
+    assert made.value == 100 and vt.table_count(spark, path) == 100
+    spread(df.mapInArrow(embed, df.schema).groupBy("id").count())
+    assert made.value == 100

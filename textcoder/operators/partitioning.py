@@ -3,8 +3,9 @@
 A table stored as one large row group is read as one non-empty partition; a
 per-row Python step (embedding, subword encoding, kNN scoring) would then run
 in a single task. ``spread`` hash-partitions such an input over the cluster's
-default parallelism. Inputs that already have enough partitions (the usual
-case for large tables) are returned unchanged, so no shuffle is added there.
+default parallelism. Inputs whose estimated size gives every core a full scan
+split (the usual case for large tables) are returned unchanged, so no shuffle
+is added there. The estimate is the optimizer's: no job runs to decide.
 """
 
 from __future__ import annotations
@@ -13,10 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Size of a scan split by Spark's default.
+SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None
            ) -> DataFrame:
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate >= n * SPLIT_BYTES:
         return df
     return df.repartition(n, F.col(key)) if key else df.repartition(n)
 

@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 METRICS = ("cosine", "dot", "l2")
 META_SCHEMA = "dim int, metric string"
 POINTS_SCHEMA = ("id string, vector array<float>, "
@@ -109,6 +111,10 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
                               "payload")
                 .withColumn("seq", F.monotonically_increasing_id())
                 .withColumn("batch_no", F.spark_partition_id()))
+    # Embedding is the dear part: written once, then read for points, rejects and status.
+    staged = work_dir(spark, "upsert")
+    incoming.write.parquet(staged)
+    incoming = spark.read.parquet(staged)
     bad = F.col("vector").isNull() | (F.size("vector") != F.lit(dim)) | F.col("id").isNull()
     rejects = incoming.where(bad).drop("batch_no")
     good = incoming.where(~bad).drop("batch_no").withColumn("_src", F.lit(1))
