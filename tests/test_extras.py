@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from textcoder.operators import extras as ex
@@ -8,14 +10,43 @@ def _ev(spark, rows):
 
 
 def test_hierarchy_accuracy_and_error_classes(spark):
-    e = _ev(spark, [(1, "A.b.1.9", "A.b.1.9"), (2, "A.b.1.9", "A.b.1.8"), (3, "A.b.1.9", "A.b.2.7"),
-                    (4, "A.b.1.9", "A.c.3.1"), (5, "A.b.1.9", "B.x.1.1"), (6, "A.b.1.9", None)])
-    acc = {r["depth"]: r["n_correct"] for r in ex.hierarchical_accuracy(e).collect()}
-    assert acc == {1: 4, 2: 3, 3: 2, 4: 1}
-    cls = {r["error_class"]: r["n"] for r in ex.error_class(e).collect()}
-    assert cls == {"exact": 1, "sibling": 1, "same_group": 1, "same_sector": 1, "far": 1, "none": 1}
-    sec = {r["sector"]: (r["n"], r["n_correct"]) for r in ex.sector_accuracy(e).collect()}
-    assert sec == {"A": (6, 1)}
+    # A letter above numbers: an ancestor's code is no prefix.
+    n = spark.createDataFrame(
+        [("A", 1, None), ("03", 2, "A"), ("03.1", 3, "03"), ("03.2", 3, "03"), ("03.11", 4, "03.1"), ("03.12", 4, "03.1"),
+         ("03.21", 4, "03.2"), ("01", 2, "A"), ("01.1", 3, "01"), ("01.11", 4, "01.1"), ("B", 1, None), ("05", 2, "B"),
+         ("05.1", 3, "05"), ("05.11", 4, "05.1")], "code string, level int, parent_code string")
+    e = _ev(spark, [(1, "03.11", "03.11"), (2, "03.11", "03.12"), (3, "03.11", "03.21"), (4, "03.11", "01.11"),
+                    (5, "03.11", "05.11"), (6, "03.11", None), (7, "03.11", "99.99"), (8, "77", "77")])
+    acc = {r["depth"]: r["n_correct"] for r in ex.hierarchical_accuracy(e, n).collect()}
+    assert acc == {1: 5, 2: 4, 3: 3, 4: 2}
+    cls = {r["error_class"]: r["n"] for r in ex.error_class(e, n).collect()}
+    assert cls == {"exact": 2, "sibling": 1, "same_group": 1, "same_sector": 1, "far": 2, "none": 1}
+    sec = {r["sector"]: (r["n"], r["n_correct"]) for r in ex.sector_accuracy(e, n).collect()}
+    assert sec == {"A": (7, 1), None: (1, 1)}
+
+
+def test_bm25_is_over_terms_and_leaves_out_unrelated_documents(spark):
+    docs = [("d1", "apple pie, apple"), ("d2", "pear tart"), ("d3", "apple tart tart"), ("d4", None), ("d5", "")]
+    d = spark.createDataFrame(docs, "code string, text string")
+    q = spark.createDataFrame([(1, "Apple"), (2, "tart apple apple"), (3, "nothing"), (4, None)], "q int, t string")
+    got = {}
+    for r in ex.bm25_topk(q, d, 3, query_id="q", query_text="t", doc_id="code", doc_text="text").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["code"], round(r["score"], 6)))
+    words = {c: (t or "").replace(",", "").split() for c, t in docs}
+    avgdl = sum(map(len, words.values())) / len(docs)
+
+    def score(query, doc):
+        total = 0.0
+        for t in query:
+            df, tf = sum(t in w for w in words.values()), words[doc].count(t)
+            total += (math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2
+                      / (tf + 1.2 * (0.25 + 0.75 * len(words[doc]) / avgdl)))
+        return round(total, 6)
+
+    for i, query in {1: ["apple"], 2: ["tart", "apple", "apple"]}.items():
+        want = sorted(((c, score(query, c)) for c in words if score(query, c) > 0), key=lambda x: (-x[1], x[0]))
+        assert got[i] == want[:3]
+    assert set(got) == {1, 2}
 
 
 def test_prf_counts_and_unpredicted_class(spark):
@@ -47,3 +78,10 @@ def test_macro_f1_counts_classes_without_a_hit(spark):
     e = _ev(spark, [(1, "a", "a"), (2, "a", "a"), (3, "b", "a"), (4, "c", None)])
     r = {x["class"]: x for x in ex.precision_recall_f1(e).collect()}
     assert r["macro"]["f1"] == round(0.8 / 3, 6) and r["weighted"]["f1"] == 0.4
+
+
+def test_bm25_of_empty_sides(spark):
+    some = spark.createDataFrame([("a", "apple")], "code string, text string")
+    none = some.where("false")
+    kw = {"query_id": "code", "query_text": "text", "doc_id": "code", "doc_text": "text"}
+    assert ex.bm25_topk(some, none, 3, **kw).collect() == ex.bm25_topk(none, some, 3, **kw).collect() == []

@@ -9,56 +9,102 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from .sampling import order_hash
 
 HASH_SCALE = float(1 << 60)
 
 
 # --------------------------------------------------------------------------- D1-D3 hierarchy
-def code_prefix(col: str, depth: int, sep: str = ".") -> Column:
-    """First ``depth`` parts of a hierarchical code (null when the code is null)."""
-    parts = F.split(F.col(col), "\\" + sep if sep == "." else sep)
-    return F.when(F.col(col).isNotNull(), F.array_join(F.slice(parts, 1, depth), sep))
-
-
-def hierarchical_accuracy(ev: DataFrame, depths=(1, 2, 3, 4), truth: str = "true_code",
-                          pred: str = "pred_code") -> DataFrame:
-    """Accuracy at each depth (codes agree on their first ``d`` parts); one pass."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+DEPTH = 4
+
+
+def ancestors(nomenclature: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``(code, chain)``: each code with itself and its ancestors, nearest first.
+
+    ``chain`` holds structs ``(level, node)`` found by walking ``parent_code`` upwards
+    (``depth - 1`` joins on code), so codes need not be prefixes of each other. The
+    walk ends at a row without a parent or with an unknown one. Of a repeated code
+    the row of the highest level and parent counts."""
+    one = (nomenclature.groupBy("code").agg(F.max(F.struct("level", "parent_code")).alias("r"))
+           .select("code", "r.level", "r.parent_code"))
+    up = one.select(F.col("code").alias("_node"), F.col("level").alias("_level"),
+                    F.col("parent_code").alias("_next"))
+    walk = one.select("code", F.col("parent_code").alias("_up"),
+                      F.array(F.struct("level", F.col("code").alias("node"))).alias("chain"))
+    step = F.array(F.struct(F.col("_level").alias("level"), F.col("_node").alias("node")))
+    for _ in range(depth - 1):
+        walk = walk.join(up, F.col("_up") == F.col("_node"), "left").select(
+            "code", F.col("_next").alias("_up"),
+            F.when(F.col("_node").isNull(), F.col("chain"))
+            .otherwise(F.concat("chain", step)).alias("chain"))
+    return walk.drop("_up")
+
+
+def _counted_pairs(ev: DataFrame, nomenclature: DataFrame, truth: str, pred: str) -> DataFrame:
+    """``(t, p, n, t_chain, p_chain)``: one row per pair of codes, so a code that most
+    rows share is combined map-side before it meets its ancestors."""
+    anc = ancestors(nomenclature)
+    pairs = (ev.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    for c in ("t", "p"):
+        side = anc.select(F.col("code").alias(f"_{c}"), F.col("chain").alias(f"{c}_chain"))
+        pairs = pairs.join(side, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+    return pairs
+
+
+def _at_level(c: str, level: int) -> Column:
+    """The ancestor (or the code itself) at a level; null if the chain has none."""
+    return F.get(F.filter(f"{c}_chain", lambda x: x["level"] == level), 0)["node"]
+
+
+def _above(c: str, steps: int) -> Column:
+    return F.get(F.col(f"{c}_chain"), steps)["node"]
+
+
+def hierarchical_accuracy(ev: DataFrame, nomenclature: DataFrame, depths=(1, 2, 3, 4),
+                          truth: str = "true_code", pred: str = "pred_code") -> DataFrame:
+    """Accuracy at each level: both codes have the same ancestor there. A code above
+    that level, or one that the nomenclature lacks, stands for itself."""
+    pairs = _counted_pairs(ev, nomenclature, truth, pred)
+    aggs = [F.coalesce(F.sum("n"), F.lit(0)).alias("n")]
     for d in depths:
-        same = F.coalesce(code_prefix(pred, d) == code_prefix(truth, d), F.lit(False))
-        aggs.append(F.count_if(same).alias(f"c{d}"))
-    a = ev.agg(*aggs)
+        same = F.coalesce(_at_level("p", d), "p") == F.coalesce(_at_level("t", d), "t")
+        aggs.append(F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias(f"c{d}"))
     rows = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"c{d}").alias("n_correct"))
                      for d in depths])
-    return (a.select("n", F.inline(rows))
+    return (pairs.agg(*aggs).select("n", F.inline(rows))
             .select("depth", "n", "n_correct",
-                    F.round(F.col("n_correct") / F.col("n"), 6).alias("accuracy")))
+                    F.round(F.try_divide("n_correct", "n"), 6).alias("accuracy")))
 
 
-def error_class(ev: DataFrame, truth: str = "true_code", pred: str = "pred_code",
-                depth: int = 4) -> DataFrame:
+def error_class(ev: DataFrame, nomenclature: DataFrame, truth: str = "true_code",
+                pred: str = "pred_code") -> DataFrame:
     """``exact``, ``sibling`` (same parent), ``same_group`` (same grandparent),
-    ``same_sector`` (same top level), ``far``, ``none`` (no prediction)."""
-    cls = (F.when(F.col(pred).isNull(), F.lit("none"))
-           .when(F.col(pred) == F.col(truth), F.lit("exact"))
-           .when(code_prefix(pred, depth - 1) == code_prefix(truth, depth - 1), F.lit("sibling"))
-           .when(code_prefix(pred, depth - 2) == code_prefix(truth, depth - 2),
-                 F.lit("same_group"))
-           .when(code_prefix(pred, 1) == code_prefix(truth, 1), F.lit("same_sector"))
+    ``same_sector`` (same ancestor at level 1), ``far``, ``none`` (no prediction)."""
+    cls = (F.when(F.col("p").isNull(), F.lit("none"))
+           .when(F.col("p") == F.col("t"), F.lit("exact"))
+           .when(_above("p", 1) == _above("t", 1), F.lit("sibling"))
+           .when(_above("p", 2) == _above("t", 2), F.lit("same_group"))
+           .when(_at_level("p", 1) == _at_level("t", 1), F.lit("same_sector"))
            .otherwise(F.lit("far")))
-    return ev.groupBy(cls.alias("error_class")).agg(F.count(F.lit(1)).alias("n"))
+    return (_counted_pairs(ev, nomenclature, truth, pred)
+            .groupBy(cls.alias("error_class")).agg(F.sum("n").alias("n")))
 
 
-def sector_accuracy(ev: DataFrame, truth: str = "true_code", pred: str = "pred_code"
-                    ) -> DataFrame:
-    """D3: accuracy per top-level ancestor of the true code."""
-    ok = F.coalesce(F.col(pred) == F.col(truth), F.lit(False))
-    return (ev.groupBy(code_prefix(truth, 1).alias("sector"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_correct"))
+def sector_accuracy(ev: DataFrame, nomenclature: DataFrame, truth: str = "true_code",
+                    pred: str = "pred_code") -> DataFrame:
+    """D3: accuracy per level-1 ancestor of the true code (null: not in the nomenclature)."""
+    ok = F.sum(F.when(F.col("p") == F.col("t"), F.col("n")))
+    return (_counted_pairs(ev, nomenclature, truth, pred)
+            .groupBy(_at_level("t", 1).alias("sector"))
+            .agg(F.sum("n").alias("n"), F.coalesce(ok, F.lit(0)).alias("n_correct"))
             .withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 6)))
 
 
@@ -156,69 +202,103 @@ BM25_B = 0.75
 RRF_K = 60
 
 
-def densify(sparse: DataFrame, id_col: str, bucket: str, weight: str, dim: int,
-            out_col: str) -> DataFrame:
-    """``(id, bucket, weight)`` rows -> one dense ``array<double>`` per id.
-
-    The entries of an id (at most ``dim``) are gathered by one aggregation and
-    scattered into a vector on Arrow batches (a Spark map lookup per position
-    would scan the map ``dim`` times)."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    g = sparse.groupBy(id_col).agg(F.collect_list(F.struct(F.col(bucket).cast("int").alias("b"),
-                                                           F.col(weight).cast("double")
-                                                           .alias("w"))).alias("_e"))
-    id_type = sparse.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type),
-                           T.StructField(out_col, T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
+#: Rows of a tile of the BM25 join: what one task holds of either side.
+BM25_QUERY_BLOCK = 4096
+BM25_DOC_BLOCK = 8192
+
+
+def _term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, terms, counts, length)``: distinct terms of a text as 64-bit hashes, ascending,
+    with their counts (row-local; tokens and hashes are native, runs are counted on Arrow batches)."""
+    def runs(batch: pa.Array) -> pa.Array:
+        found = [np.unique(h, return_counts=True) for h in (x.values.to_numpy() for x in batch)]
+        ends = pa.array(np.cumsum([0, *(len(t) for t, _ in found)]).astype(np.int32))
+        none = np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *(x[i] for x in found)]))) for i in (0, 1)]
+            + [pa.array([int(n.sum()) for _, n in found], pa.int64())], names=["terms", "counts", "length"])
+
+    hashed = F.coalesce(F.transform(tokens(text_col), lambda t: F.xxhash64(t)), F.array().cast("array<long>"))
+    counted = F.arrow_udf(runs, "terms array<long>, counts array<long>, length long")(hashed)
+    return df.select(F.col(id_col).alias("id"), counted.alias("_c")).select("id", "_c.*")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_text: str,
+              doc_id: str, doc_text: str) -> DataFrame:
+    """``(query_id, rank, code, score)``, the ``k`` best documents of each query by BM25.
+
+    ``score = sum of count(t in q) idf(t) tf (k1 + 1) / (tf + k1 (1 - b + b |d| / avgdl))`` over
+    terms (64-bit hashes, no buckets). The document part of a weight needs only the document and
+    ``avgdl``, so postings are never shuffled by term; ``idf`` joins the terms of the queries.
+    Queries and documents are cut into blocks, and one task scores a query block against
+    the inverted index of a document block, keeping ``k`` per query: a term in most documents fills
+    no task of its own and no pair list is written. Documents that share no term are left out.
+    One row of statistics reaches the driver."""
+    d = _term_counts(docs, doc_id, doc_text)
+    st = d.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")).first()      # one row
+    n_docs, avgdl = int(st["n"]), float(st["avgdl"] or 1.0) or 1.0
+    n_db = max(1, math.ceil(n_docs / BM25_DOC_BLOCK))
+    n_qb = max(1, math.ceil(queries.count() / BM25_QUERY_BLOCK))
+    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.lit(avgdl))
+    d = d.select("id", "terms", F.transform("counts", lambda c: c * F.lit(BM25_K1 + 1) / (c + norm)).alias("weights"))
+    df_ = d.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    qt = (_term_counts(queries, query_id, query_text)
+          .select("id", F.inline(F.arrays_zip("terms", "counts")).alias("term", "n")).join(df_, "term"))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    q = (qt.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("n") * idf).alias("w")))).alias("_t"))
+         .select("id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights")))
+
+    def block(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    ql = q.select("*", block("id", n_qb).alias("_qb"), F.explode(F.sequence(F.lit(0), F.lit(n_db - 1))).alias("_db"))
+    dl = d.select("*", block("id", n_db).alias("_db"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("_qb"))
+    qtype, dtype = (x.schema["id"].dataType.simpleString() for x in (q, d))
+    part = (ql.groupBy("_qb", "_db").cogroup(dl.groupBy("_qb", "_db"))
+            .applyInArrow(_bm25_tile(k), f"query_id {qtype}, code {dtype}, score double"))
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("code"))
+    return (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "code", "score"))
+
+
+def _bm25_tile(k: int):
+    """Score a block of queries against the inverted index of a block of documents."""
+    def tile(qt, dt):
+        def lists(t, col):
+            c = t.column(col).combine_chunks()
+            return c.offsets.to_numpy(), c.flatten().to_numpy(zero_copy_only=False)
+
+        dt = dt.take(pc.sort_indices(dt.column("id")))       # position = order of the id
+        ends, terms = lists(dt, "terms")
+        weights = lists(dt, "weights")[1]
+        owner = np.repeat(np.arange(dt.num_rows), np.diff(ends))
+        by_term = np.argsort(terms, kind="stable")
+        terms, owner, weights = terms[by_term], owner[by_term], weights[by_term]
+        q_ends, q_terms = lists(qt, "terms")
+        q_weights = lists(qt, "weights")[1]
+        lo, hi = np.searchsorted(terms, q_terms), np.searchsorted(terms, q_terms, side="right")
+        at, who, what = [], [], []
+        score = np.zeros(dt.num_rows)
+        for i in range(qt.num_rows):
+            hit = [j for j in range(q_ends[i], q_ends[i + 1]) if hi[j] > lo[j]]
+            if not hit:
                 continue
-            e = b.column("_e")
-            offs = e.offsets.to_numpy()
-            flat = e.flatten()
-            bk = flat.field("b").to_numpy(zero_copy_only=False)
-            wt = flat.field("w").to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(n), np.diff(offs))
-            out = np.zeros((n, dim))
-            np.add.at(out, (rows, bk), wt)
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
-                                           pa.array(out.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), vec], names=[id_col, out_col])
-
-    return g.mapInArrow(run, schema)
-
-
-def bm25_doc_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """Dense BM25 document weights over hashed terms:
-    ``w[t] = idf(t) * tf (k1 + 1) / (tf + k1 (1 - b + b |d| / avgdl))``, so that
-    BM25(q, d) = dot(query term counts, w). Term counts are computed once and
-    persisted; corpus statistics are aggregations (one row reaches the driver)."""
-    from .embed import hashed_counts
-    cnt = hashed_counts(docs, id_col, text_col, dim).select(id_col, "bucket", "cnt").persist()
-    dl = cnt.groupBy(id_col).agg(F.sum("cnt").alias("dl"))
-    st = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")).first()  # one row
-    n_docs, avgdl = F.lit(int(st["N"])), F.lit(float(st["avgdl"] or 0.0))
-    df_ = cnt.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.select("bucket", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-                     .alias("idf"), avgdl.alias("avgdl"))
-    w = (cnt.join(dl, id_col).join(F.broadcast(idf), "bucket")       # idf: at most dim rows
-         .withColumn("w", F.col("idf") * F.col("cnt") * (BM25_K1 + 1)
-                     / (F.col("cnt") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl")
-                                                   / F.col("avgdl")))))
-    return densify(w, id_col, "bucket", "w", dim, "bm25_vector")
-
-
-def query_term_counts(queries: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
-    """Dense hashed term counts of query texts (the query side of BM25)."""
-    from .embed import hashed_counts
-    cnt = hashed_counts(queries, id_col, text_col, dim)
-    return densify(cnt, id_col, "bucket", "cnt", dim, "terms")
+            score[:] = 0.0
+            for j in hit:
+                score[owner[lo[j]:hi[j]]] += q_weights[j] * weights[lo[j]:hi[j]]
+            some = np.flatnonzero(score)
+            value = -np.round(score[some], 6)
+            if len(some) > k:
+                near = value <= np.partition(value, k - 1)[k - 1]
+                some, value = some[near], value[near]
+            best = some[np.argsort(value, kind="stable")[:k]]
+            at.append(np.full(len(best), i)), who.append(best), what.append(score[best])
+        none = np.zeros(0, np.int64)
+        return pa.table({"query_id": qt.column("id").take(pa.array(np.concatenate([none, *at]))),
+                         "code": dt.column("id").take(pa.array(np.concatenate([none, *who]))),
+                         "score": pa.array(np.concatenate([np.zeros(0), *what]))})
+
+    return tile
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, query_col: str = "query_id",

@@ -764,17 +764,48 @@ def part_evaluation(spark, root) -> DataFrame:
 
 @query("hier_accuracy")
 def hier_accuracy(spark, root):
-    return ex.hierarchical_accuracy(part_evaluation(spark, root))
+    return ex.hierarchical_accuracy(part_evaluation(spark, root), nomenclature_docs(spark, root))
 
 
 @query("error_class")
 def error_class_q(spark, root):
-    return ex.error_class(part_evaluation(spark, root))
+    return ex.error_class(part_evaluation(spark, root), nomenclature_docs(spark, root))
 
 
 @query("sector_accuracy")
 def sector_accuracy_q(spark, root):
-    return ex.sector_accuracy(part_evaluation(spark, root))
+    return ex.sector_accuracy(part_evaluation(spark, root), nomenclature_docs(spark, root))
+
+
+def opaque(code):
+    """A code that tells nothing of its place in the hierarchy."""
+    return F.when(F.col(code).isNotNull(), F.substring(F.md5(code), 1, 12))
+
+
+@query("error_class_opaque")
+def error_class_opaque(spark, root):
+    """D2 on codes that are no prefixes of each other; of every seventh row the prediction is
+    another leaf of its parent, of its type, or a code that the nomenclature lacks."""
+    docs = nomenclature_docs(spark, root)
+    near = _leaf_filter(docs).groupBy("parent_code").agg(F.min("code").alias("first"))
+    far = _leaf_filter(docs).agg(F.max("code").alias("last"))
+    kind = F.col("query_id") % 7
+    leaf = table(spark, root, "part").select(
+        F.col("p_partkey").alias("query_id"), F.col("p_type").alias("sector"),
+        F.concat_ws(".", "p_type", "p_brand", F.col("p_size").cast("string"),
+                    F.col("p_partkey").cast("string")).alias("true_code"),
+        F.concat_ws(".", "p_type", "p_brand", F.col("p_size").cast("string")).alias("parent_code"),
+        F.concat_ws(".", "p_type", "p_brand").alias("group_code"))
+    top = leaf.groupBy("sector").agg(F.min("true_code").alias("in_sector"))
+    group = leaf.groupBy("group_code").agg(F.min("true_code").alias("in_group"))
+    e = leaf.join(near, "parent_code").join(top, "sector").join(group, "group_code").select(
+        "query_id", "true_code",
+        F.when(kind == 0, F.col("first")).when(kind == 1, F.col("in_group")).when(kind == 2, F.col("in_sector"))
+        .when(kind == 3, far.scalar()).when(kind == 4, F.lit("unknown")).when(kind == 5, F.col("true_code"))
+        .alias("pred_code"))
+    hidden = docs.select(opaque("code").alias("code"), "level", opaque("parent_code").alias("parent_code"))
+    return ex.error_class(e.select("query_id", opaque("true_code").alias("true_code"),
+                                   opaque("pred_code").alias("pred_code")), hidden)
 
 
 @query("bootstrap_ci")
@@ -795,12 +826,9 @@ def triage_q(spark, root):
 
 def _bm25_ranks(spark, root, k: int) -> DataFrame:
     leaves = _leaf_filter(nomenclature_docs(spark, root)).select("code", "text")
-    dvec = ex.bm25_doc_vectors(leaves, "code", "text", EMBED_DIM)
     q = table(spark, root, "part").select("p_partkey", "p_name")
-    qvec = ex.query_term_counts(q, "p_partkey", "p_name", EMBED_DIM)
-    return knn_join(qvec, dvec, k, query_id="p_partkey", query_vec="terms", corpus_id="code",
-                    corpus_vec="bm25_vector", metric="dot", dim=EMBED_DIM
-                    ).withColumnRenamed("id", "code")
+    return ex.bm25_topk(q, leaves, k, query_id="p_partkey", query_text="p_name", doc_id="code",
+                        doc_text="text")
 
 
 def _dense_ranks(spark, root, k: int) -> DataFrame:

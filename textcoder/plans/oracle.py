@@ -526,31 +526,50 @@ pev AS (SELECT query_id, true_code, codes[1] AS pred_code,
                coalesce(codes[1] = true_code, false) AS correct FROM coded)"""
 
 
-def _prefix(x: str, d: int) -> str:
-    return f"CASE WHEN {x} IS NOT NULL THEN array_to_string(string_split({x}, '.')[1:{d}], '.') END"
+def _chain(nomenclature: str, pairs: str) -> str:
+    """CTEs ``anc`` (ancestors of each code by parent) and ``pe`` (``pairs`` with both sides' ancestors)."""
+    levels = ", ".join(f"CASE {d} " + " ".join(f"WHEN {x}.level THEN {x}.code" for x in "npgh") + f" END AS a{d}"
+                       for d in (1, 2, 3, 4))
+    sides = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "tp" for c in ("u1", "u2", "a1", "a2", "a3", "a4"))
+    return f"""
+anc AS (SELECT n.code, p.code AS u1, g.code AS u2, {levels}
+        FROM {nomenclature} n LEFT JOIN {nomenclature} p ON p.code = n.parent_code
+        LEFT JOIN {nomenclature} g ON g.code = p.parent_code LEFT JOIN {nomenclature} h ON h.code = g.parent_code),
+pe AS (SELECT x.true_code, x.pred_code, {sides}
+       FROM {pairs} x LEFT JOIN anc t ON t.code = x.true_code LEFT JOIN anc p ON p.code = x.pred_code)"""
+
 
+_ERROR_CLASS = """
+SELECT CASE WHEN pred_code IS NULL THEN 'none' WHEN pred_code = true_code THEN 'exact'
+            WHEN p_u1 = t_u1 THEN 'sibling' WHEN p_u2 = t_u2 THEN 'same_group'
+            WHEN p_a1 = t_a1 THEN 'same_sector' ELSE 'far' END AS error_class, count(*) AS n
+FROM pe GROUP BY 1"""
 
-sql("hier_accuracy", _PART_EV + """,
+sql("hier_accuracy", _PART_EV + "," + _chain("docs", "pev") + """,
 c AS (SELECT count(*) AS n, """ + ", ".join(
-    f"CAST(count_if(coalesce({_prefix('pred_code', d)} = {_prefix('true_code', d)}, false)) AS BIGINT) AS c{d}"
-    for d in (1, 2, 3, 4)) + """ FROM pev)
+    f"CAST(count_if(coalesce(coalesce(p_a{d}, pred_code) = coalesce(t_a{d}, true_code), false)) AS BIGINT) AS c{d}"
+    for d in (1, 2, 3, 4)) + """ FROM pe)
 """ + " UNION ALL ".join(
     f"SELECT {d} AS depth, n, c{d} AS n_correct, round(c{d}::DOUBLE / n, 6) AS accuracy FROM c"
     for d in (1, 2, 3, 4)))
 
-sql("error_class", _PART_EV + """
-SELECT CASE WHEN pred_code IS NULL THEN 'none' WHEN pred_code = true_code THEN 'exact'
-            WHEN """ + _prefix("pred_code", 3) + " = " + _prefix("true_code", 3) + """ THEN 'sibling'
-            WHEN """ + _prefix("pred_code", 2) + " = " + _prefix("true_code", 2) + """ THEN 'same_group'
-            WHEN """ + _prefix("pred_code", 1) + " = " + _prefix("true_code", 1) + """ THEN 'same_sector'
-            ELSE 'far' END AS error_class, count(*) AS n
-FROM pev GROUP BY 1""")
-
-sql("sector_accuracy", _PART_EV + """
-SELECT """ + _prefix("true_code", 1) + """ AS sector, count(*) AS n,
-       CAST(count_if(correct) AS BIGINT) AS n_correct,
-       round(count_if(correct)::DOUBLE / count(*), 6) AS accuracy
-FROM pev GROUP BY 1""")
+sql("error_class", _PART_EV + "," + _chain("docs", "pev")
+    + _ERROR_CLASS.replace("count(*) AS n", "CAST(count(*) AS BIGINT) AS n"))
+
+sql("sector_accuracy", _PART_EV + "," + _chain("docs", "pev") + """
+SELECT t_a1 AS sector, count(*) AS n, CAST(count_if(pred_code = true_code) AS BIGINT) AS n_correct,
+       round(count_if(pred_code = true_code)::DOUBLE / count(*), 6) AS accuracy
+FROM pe GROUP BY 1""")
+
+sql("error_class_opaque", "WITH " + _RAW + """,
+hid AS (SELECT substr(md5(code), 1, 12) AS code, level, substr(md5(parent_code), 1, 12) AS parent_code FROM docs),
+lf AS (SELECT p_partkey AS k, concat_ws('.', p_type, p_brand, p_size, CAST(p_partkey AS VARCHAR)) AS code,
+              p_type AS t, p_type || '.' || p_brand AS g, p_type || '.' || p_brand || '.' || p_size AS u FROM pp),
+op AS (SELECT substr(md5(code), 1, 12) AS true_code, substr(md5(
+         CASE k % 7 WHEN 0 THEN min(code) OVER (PARTITION BY u) WHEN 1 THEN min(code) OVER (PARTITION BY g)
+                    WHEN 2 THEN min(code) OVER (PARTITION BY t) WHEN 3 THEN max(code) OVER ()
+                    WHEN 4 THEN 'unknown' WHEN 5 THEN code END), 1, 12) AS pred_code FROM lf),""" + _chain("hid", "op")
+    + _ERROR_CLASS)
 
 sql("bootstrap_ci", _PART_EV + """,
 rep AS (SELECT query_id, CAST(correct AS BIGINT) AS ok, b,
@@ -594,17 +613,26 @@ SELECT query_id, pred_code, confidence,
          AS queue
 FROM ev""")
 
+
+
+def _terms(src: str, key: str, text: str) -> str:
+    return f"""(SELECT k, term, count(*) AS cnt FROM (
+  SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {src})
+  GROUP BY ALL)"""
+
+
 _BM25 = _PART_RANK + f""",
-lc AS {_buckets('leaf', 'code', 'text')},
+lc AS {_terms('leaf', 'code', 'text')},
+qc AS {_terms('part', 'p_partkey', 'p_name')},
 dl AS (SELECT k, sum(cnt) AS dl FROM lc GROUP BY k),
-st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
-dfb AS (SELECT bucket, count(*) AS df FROM lc GROUP BY bucket),
-bw AS (SELECT lc.k AS code, lc.bucket,
-              ln(1 + (st.n_docs - dfb.df + 0.5) / (dfb.df + 0.5)) * lc.cnt * (1.2 + 1)
+st AS (SELECT count(*) AS n_docs, avg(coalesce(dl, 0)) AS avgdl FROM leaf LEFT JOIN dl ON dl.k = leaf.code),
+dft AS (SELECT term, count(*) AS df FROM lc GROUP BY term),
+bw AS (SELECT lc.k AS code, lc.term,
+              ln(1 + (st.n_docs - dft.df + 0.5) / (dft.df + 0.5)) * lc.cnt * (1.2 + 1)
                 / (lc.cnt + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl)) AS w
-       FROM lc JOIN dl USING (k) JOIN dfb USING (bucket) CROSS JOIN st),
-bm AS (SELECT qb.k AS query_id, bw.code, sum(qb.cnt * bw.w) AS score
-       FROM qb JOIN bw USING (bucket) GROUP BY ALL),
+       FROM lc JOIN dl USING (k) JOIN dft USING (term) CROSS JOIN st),
+bm AS (SELECT qc.k AS query_id, bw.code, sum(qc.cnt * bw.w) AS score
+       FROM qc JOIN bw USING (term) GROUP BY ALL),
 bmr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
                                                     ORDER BY round(score, 6) DESC, code) AS rank
                        FROM bm) WHERE rank <= 10)"""
