@@ -11,7 +11,7 @@ SOURCES = {p: p.read_text() for p in PKG.rglob("*.py") if p.relative_to(PKG).par
 # streaming progress and file listings have no SQL equivalent.
 ROWS_ONLY = {"knn_cells", "cells_recall", "table_exists", "subword_vocab", "subword_encode",
              "vocab_join", "train_predict", "predict_topk", "test_accuracy", "token_attrib",
-             "word_attrib", "char_attrib", "model_round_trip", "run_log", "stream_progress"}
+             "word_attrib", "char_attrib", "classify_batch_supervised", "model_round_trip", "run_log", "stream_progress"}
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():

@@ -6,6 +6,7 @@ Column names match the DuckDB statements in ``plans.oracle``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from ..operators.validate import to_documents, to_points, validate_nomenclature
 from ..session import work_dir
 from ..sources import activity_csv as acsv
 from ..sources import vector_table as vt
-from ..sources.nomenclature import nomenclature_from_part
+from ..sources.nomenclature import (nomenclature_from_part, read_labels, read_nomenclature,
+                                    write_nomenclature)
 from ..sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +233,39 @@ def label_dict_q(spark, root):
     return _label_dict(raw_nomenclature(spark, root))
 
 
+def faulty_rows(spark, root) -> DataFrame:
+    """Leaf rows that break, by ``p_partkey``, one rule each (two of ten are sound)."""
+    k, null = F.col("p_partkey") % 10, F.lit(None).cast("string")
+    code = F.col("p_partkey").cast("string")
+    return table(spark, root, "part").select(
+        F.when(k == 0, null).when(k == 1, "").otherwise(code).alias("CODE"),
+        F.when(k == 2, null).when(k == 3, " \t ").otherwise(F.col("p_name")).alias("HEADING"),
+        F.when(k == 4, null).when(k == 5, "4.0").when(k == 6, "7").when(k == 7, " 4 ").otherwise(F.lit("4")).alias("LEVEL"),
+        F.when(k == 8, "  ").otherwise(F.col("p_type")).alias("PARENT_CODE"), F.col("p_name").alias("Includes"),
+        null.alias("IncludesAlso"), null.alias("Excludes"))
+
+
+@query("validate_faulty")
+def validate_faulty(spark, root):
+    """S1 + P2-P4, P9: rows with faults written as tab-separated files, read back and validated."""
+    path = work_dir(spark, "nomenclature_tsv")
+    write_nomenclature(faulty_rows(spark, root), path)
+    v = validate_nomenclature(read_nomenclature(spark, path))
+    return v.select("Includes", "LEVEL", "level_num", "error")
+
+
+@query("label_last_wins")
+def label_last_wins(spark, root):
+    """S2 + P6: labels scanned from files in document order; a code's last row with a heading counts."""
+    path, null = work_dir(spark, "labels_tsv"), F.lit(None).cast("string")
+    rows = table(spark, root, "documents").orderBy("doc_id").select(
+        F.concat(F.lit(" "), "source").alias("CODE"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" "))).alias("HEADING"),
+        *[null.alias(c) for c in ("LEVEL", "PARENT_CODE", "Includes", "IncludesAlso", "Excludes")])
+    write_nomenclature(rows, path)
+    return _label_dict(read_labels(spark, path))
+
+
 # ----------------------------------------------------------------- text
 @query("clean_text")
 def clean_text_q(spark, root):
@@ -412,6 +447,31 @@ def fallback_rows(spark, root):
                     F.size("retrieved_codes").alias("n_candidates"), "error")
 
 
+def asked_documents(spark, root) -> DataFrame:
+    """A request per document, with two candidate codes; every third answer will fail."""
+    return table(spark, root, "documents").select(
+        "doc_id", F.array("source", "lang").alias("codes"), F.lit("Answer in JSON.").alias("system"),
+        F.concat((F.col("doc_id") % 3).cast("string"), F.lit(":"), "source").alias("user"))
+
+
+def _answer(systems, users):
+    """A generator that fails as a whole if one of its requests starts with 0, and answers 1 badly."""
+    if any(u.startswith("0") for u in users):
+        raise ValueError("refused")
+    return [json.dumps({"nace_code": u[2:], "codable": True, "confidence": 0.5 if u[0] == "2" else 2}) for u in users]
+
+
+@query("generate_rows")
+def generate_rows(spark, root):
+    """G5 + G6: of a batch only the refused rows lose their answer; candidates kept and emptied."""
+    g = gen.generate(asked_documents(spark, root), _answer)
+    g = g.withColumn("parsed", gen.parse_response("response"))
+    kept = gen.apply_fallback(g).withColumn("n_kept", F.size("retrieved_codes"))
+    both = gen.apply_fallback(kept, reference_fallback=True)
+    return both.select("doc_id", "gen_error", "error", "pred_code", "codable", "confidence", "n_kept",
+                       F.size("retrieved_codes").alias("n_emptied"))
+
+
 @query("batch_coding")
 def batch_coding(spark, root):
     """G7 + G8: one evaluation record per part name."""
@@ -476,6 +536,15 @@ def missing_codes(spark, root):
     return s.select("code").distinct().join(train, "code", "left_anti")
 
 
+@query("missing_rare_codes")
+def missing_rare_codes(spark, root):
+    """J7/T1 where codes have few rows: some get none into the training split."""
+    rare = labelled_split(spark, root).select(
+        F.concat_ws("-", "code", F.floor(F.col("doc_id") / 3).cast("string")).alias("code"), "split")
+    train = rare.where(F.col("split") == "train").select("code")
+    return rare.select("code").distinct().join(train, "code", "left_anti")
+
+
 @query("label_encode")
 def label_encode(spark, root):
     """M2: sorted distinct training codes -> 0..n-1 (Spark ML ``StringIndexer``)."""
@@ -584,6 +653,20 @@ def subword_encode(spark, root):
                     F.size(F.filter("pieces", lambda p: p["token"] == subword.UNK)).alias("n_unk"))
 
 
+FIXED_LEN = 10
+
+
+@query("encode_fixed")
+def encode_fixed(spark, root):
+    """M4 fixed-length form over a vocabulary of single letters and digits."""
+    chars = "abcdefghijklmnopqrstuvwxyz0123456789"
+    toks = [subword.PAD, subword.UNK, *chars, *[subword.CONT + c for c in chars]]
+    vocab = spark.createDataFrame(list(enumerate(toks)), "token_id int, token string")
+    d = table(spark, root, "documents").select("doc_id", "text")
+    e = subword.encode(d, "text", vocab, max_len=FIXED_LEN)
+    return e.select("doc_id", F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string"))).alias("ids"))
+
+
 @query("vocab_join")
 def vocab_join(spark, root):
     """Every training word looked up as a whole token (unknown -> [UNK] id)."""
@@ -646,6 +729,20 @@ def model_round_trip(spark, root):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("n_same"))
 
 
+@query("classify_batch_supervised")
+def classify_batch_supervised(spark, root):
+    """G11 supervised path on raw texts, by a saved and loaded artefact (model, vocabulary, metadata)."""
+    from ..sources.runs import load_artefact, save_model
+    vocab, res = trained(spark, root)
+    path = save_model(res.model, work_dir(spark, "artefact"), vocab,
+                      {"vocab_size": VOCAB_SIZE, "max_iter": res.best_iter})
+    model, words, _ = load_artefact(spark, path)
+    docs = table(spark, root, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("activity_description"))
+    labels = docs.select(F.col("lang").alias("code"), F.upper("lang").alias("label")).distinct()
+    return cls.classify_supervised(rows, model, words, labels).select(*acsv.EXPORT_COLUMNS)
+
+
 @query("run_log")
 def run_log(spark, root):
     """S13 + L5: log the training run and read back the latest run."""
@@ -883,6 +980,26 @@ def hier_check(spark, root):
     return ex.hierarchy_violations(nomenclature_docs(spark, root))
 
 
+@query("hier_check_faulty")
+def hier_check_faulty(spark, root):
+    """D10 where every fifth leaf names a parent that does not exist, and every next one its type."""
+    docs = nomenclature_docs(spark, root)
+    leaf = F.col("level") == 4
+    key = F.element_at(F.split("code", "\\."), -1).try_cast("int") % 5
+    parent = (F.when(leaf & (key == 0), "nowhere")
+              .when(leaf & (key == 1), F.element_at(F.split("code", "\\."), 1)).otherwise(F.col("parent_code")))
+    return ex.hierarchy_violations(docs.withColumn("parent_code", parent))
+
+
+@query("vector_check_faulty")
+def vector_check_faulty(spark, root):
+    """D11 where every tenth vector is null, every next one short, with a NaN, or zero."""
+    k, v = F.col("vec_id") % 10, F.col("embedding").cast("array<double>")
+    bad = (F.when(k == 1, F.slice(v, 1, 8)).when(k == 2, F.concat(F.slice(v, 1, 63), F.array(F.lit(float("nan")))))
+           .when(k == 3, F.transform(v, lambda x: F.lit(0.0))).when(k != 0, v))
+    return ex.vector_checks(table(spark, root, "embeddings").select(bad.alias("embedding")), "embedding", 64)
+
+
 @query("vector_check")
 def vector_check(spark, root):
     return ex.vector_checks(table(spark, root, "embeddings"), "embedding", 64)

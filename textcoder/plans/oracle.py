@@ -691,3 +691,55 @@ SELECT count(*) AS n, CAST(count_if(embedding IS NULL) AS BIGINT) AS n_null,
 FROM embeddings""")
 
 sql("resume", _EXPORT + " SELECT * FROM ex")
+
+
+# ----------------------------------------------------------------- rules on faulty rows
+sql("validate_faulty", """
+WITH f AS (SELECT p_partkey % 10 AS k, p_partkey, p_name FROM part)
+SELECT p_name AS "Includes",
+       CASE k WHEN 4 THEN NULL WHEN 5 THEN '4.0' WHEN 6 THEN '7' WHEN 7 THEN ' 4 ' ELSE '4' END AS "LEVEL",
+       CASE WHEN k IN (4, 5) THEN NULL WHEN k = 6 THEN 7 ELSE 4 END::INTEGER AS level_num,
+       CASE WHEN k IN (0, 1) THEN 'absent: CODE' WHEN k = 2 THEN 'absent: HEADING' WHEN k = 4 THEN 'absent: LEVEL'
+            WHEN k = 5 THEN 'level not in 1..4: 4.0' WHEN k = 6 THEN 'level not in 1..4: 7'
+            WHEN k = 8 THEN 'no parent at level 4: ' || CAST(p_partkey AS VARCHAR)
+            WHEN k = 3 THEN 'heading without text: ' || CAST(p_partkey AS VARCHAR) END AS error
+FROM f""")
+
+sql("label_last_wins", """
+SELECT """ + _strip("source") + """ AS code, 'document ' || CAST(max(doc_id) AS VARCHAR) AS label
+FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1""")
+
+sql("generate_rows", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ValueError: refused' END AS gen_error,
+       CASE doc_id % 3 WHEN 0 THEN 'no response' WHEN 1 THEN 'confidence out of range' END AS error,
+       CASE WHEN doc_id % 3 = 2 THEN source END AS pred_code, doc_id % 3 = 2 AS codable,
+       CASE WHEN doc_id % 3 = 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence, 2 AS n_kept,
+       CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 0 END AS n_emptied
+FROM documents""")
+
+sql("missing_rare_codes", "WITH " + _SPLIT + """,
+q AS (SELECT concat_ws('-', code, CAST(doc_id // 3 AS VARCHAR)) AS code, split FROM s)
+SELECT DISTINCT code FROM q WHERE code NOT IN (SELECT code FROM q WHERE split = 'train')""")
+
+sql("encode_fixed", """
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS words
+           FROM documents),
+c AS (SELECT doc_id, flatten(list_transform(words, lambda x: CASE WHEN regexp_full_match(x, '[a-z0-9]+')
+        THEN list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i = 1 THEN 1 ELSE 37 END
+             + instr('abcdefghijklmnopqrstuvwxyz0123456789', x[i])) ELSE [1::BIGINT] END)) AS ids FROM w)
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(10), lambda i: 0::BIGINT))[1:10], ' ') AS ids FROM c""")
+
+sql("hier_check_faulty", "WITH " + _RAW + """,
+m AS (SELECT code, level, CASE WHEN level = 4 AND string_split(code, '.')[-1]::INTEGER % 5 = 0 THEN 'nowhere'
+                               WHEN level = 4 AND string_split(code, '.')[-1]::INTEGER % 5 = 1 THEN string_split(code, '.')[1]
+                               ELSE parent_code END AS parent_code FROM docs)
+SELECT d.code, d.level, d.parent_code,
+       CASE WHEN p.code IS NULL THEN 'missing parent' ELSE 'level is not parent level + 1' END AS problem
+FROM m d LEFT JOIN m p ON p.code = d.parent_code
+WHERE d.level > 1 AND (p.code IS NULL OR d.level <> p.level + 1)""")
+
+sql("vector_check_faulty", """
+SELECT count(*) AS n, CAST(count_if(vec_id % 10 = 0) AS BIGINT) AS n_null, 64 AS max_dim, 8 AS min_dim,
+       CAST(count_if(vec_id % 10 = 2) AS BIGINT) AS n_nan, CAST(count_if(vec_id % 10 = 3) AS BIGINT) AS n_zero_norm,
+       CAST(count_if(vec_id % 10 = 1) AS BIGINT) AS n_bad_dim
+FROM embeddings""")

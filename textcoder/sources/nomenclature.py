@@ -23,12 +23,22 @@ def _conform(df: DataFrame) -> DataFrame:
 def read_nomenclature(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated file with a header; every column read as text (no inference).
 
-    Quoted fields may hold tabs and newlines. ``row_no`` increases in file order
-    (it has gaps between files; only its order is used).
+    Quoted fields may hold tabs and newlines. ``row_no`` follows the files by name and
+    the rows inside a file: Spark packs files into tasks by size, so the file's path leads
+    and the running number of its one task (a multi-line file is not split) follows.
     """
     df = (spark.read.option("sep", "\t").option("header", True).option("inferSchema", False)
           .option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
-    return _conform(df.withColumn("row_no", F.monotonically_increasing_id()))
+    return _conform(df.withColumn("row_no", F.struct(F.col("_metadata.file_path").alias("file"),
+                                                     F.monotonically_increasing_id().alias("row"))))
+
+
+def write_nomenclature(rows: DataFrame, path: str) -> None:
+    """The seven columns as tab-separated files with a header; blanks at the edges are kept, a null
+    is an empty field and an empty text a quoted one."""
+    (rows.select(*RAW_COLUMNS).write.mode("overwrite").option("sep", "\t").option("header", True)
+     .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
