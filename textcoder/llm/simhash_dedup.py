@@ -41,6 +41,7 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 TIGHT = 2
 N_PIVOTS = 16
+_SALTS = 8
 
 
 def text_fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -133,15 +134,19 @@ def _decided(rows: DataFrame, id_col: str, text_col: str, words: int, radius: in
     slim = cut(rows.select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col(id_col).alias("id"),
                            fingerprint(F.col(text_col), words).alias("fp")))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row")
-    nodes = cut(slim.groupBy("fp").agg(F.min(first).alias("keep")))
+    nodes = cut(slim.groupBy("fp").agg(F.min(first).alias("keep"), F.count(F.lit(1)).alias("copies")))
     linked = links(nodes.select("fp"), radius)
     named = nodes.join(linked, F.col("fp") == F.col("node")).select("fp", "root", "keep")
     names = named.groupBy(F.col("root").alias("name")).agg(F.min("keep").alias("best"))
     keeps = (named.join(names, F.col("root") == F.col("name")).select(F.col("fp").alias("linked_fp"), "best"))
-    groups = (nodes.join(keeps, F.col("fp") == F.col("linked_fp"), "left")
-              .select(F.col("fp").alias("node_fp"), F.coalesce("best", "keep").alias("keep")))
-    keep = F.col("keep")
-    return slim.join(groups, F.col("fp") == F.col("node_fp")).select(
+    # A row alone with its fingerprint and without a link stays by itself. The others look up their group under a
+    # salt of their own, so that the rows of a large group of copies are spread over tasks.
+    groups = (nodes.join(keeps, F.col("fp") == F.col("linked_fp"), "left").filter("copies > 1 or best is not null")
+              .select(F.col("fp").alias("node_fp"), F.coalesce("best", "keep").alias("keep"),
+                      F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("node_salt")))
+    salt = F.pmod(F.xxhash64("file", "row"), F.lit(_SALTS))
+    keep = F.coalesce("keep", first)
+    return slim.join(groups, (F.col("fp") == F.col("node_fp")) & (salt == F.col("node_salt")), "left").select(
         "file", "row", "id", "fp", keep["id"].alias("component_id"),
         ((F.col("file") == keep["file"]) & (F.col("row") == keep["row"])).alias("kept"))
 
