@@ -169,6 +169,25 @@ def test_pii_disclosing_terms(spark):
     assert pii.scan(df.limit(0)).collect() == []
 
 
+def test_pii_terms_of_entities_in_one_text_each(spark):
+    rows = [(i, f"common filler {'abcdefghij'[i % 10] * 3}{'abcdefghij'[i // 10 % 10] * 3} line") for i in range(100)]
+    rows += [(200 + i, f"common {'klm'[i] * 5} wombat {'xyz'[i]}{i}@rare.org filler") for i in range(3)]
+    rows += [(300 + i, f"common {'nop'[i] * 5} numbat +49 (301) 555-123{i} filler") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.scan(df).collect():
+        text = dict(rows)[r.id]
+        terms = [text[s.start:s.end] for s in r.all_spans if s.kind == "term"]
+        assert terms == (["wombat"] if 200 <= r.id < 300 else ["numbat"] if r.id >= 300 else []), text
+
+
+def test_op10_finds_terms_in_real_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    rows = REGISTRY["op10_pii"](spark, "/root/testdata/sf0.1").collect()
+    terms = [(r.doc_id, s.split(":")) for r in rows for s in r.spans.split(",") if s.startswith("term:")]
+    assert terms and all(pii._TERM.fullmatch(docs[i][int(a):int(b)]) for i, (_, a, b) in terms)
+    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows if "term:" in r.spans)
+
+
 def test_op10_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in REGISTRY["op10_pii"](spark, SMALL).collect():

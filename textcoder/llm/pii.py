@@ -3,13 +3,18 @@
 Patterns give the protected entities of a text: e-mail addresses, IP addresses, card and phone numbers. The rest
 of the text may still reveal an entity, through words that occur with it and hardly elsewhere. For an entity
 c and a term t, the corpus gives ``PMI(c; t) = ln(N n(c, t) / (n(c) n(t)))``, how much t tells about c, out of
-``IC(c) = ln(N / n(c))``, all there is to tell. A term is disclosing if ``PMI >= ALPHA * IC`` and it occurs with the
-entity in at least ``SUPPORT`` different texts (one text, however often copied, is no evidence of a connection).
-In every document that holds the entity, disclosing terms are spans of kind ``term``; sanitising replaces
+``IC(c) = ln(N / n(c))``, all there is to tell. A term is disclosing if ``PMI >= ALPHA * IC``.
+
+Most entities occur in one text only, where nothing can be counted. So c is the entity or a part that it shares with
+others: local part and domain of a mail address, the first two and three bytes of an IP address, issuer digits of a card,
+country and area digits of a phone number. (The kind is no part: the sanitised text names it.) The share
+``n(c, t) / n(t)`` of a term's documents that hold c is smoothed towards ``n(c) / N``, which weighs ``PRIOR`` texts against the
+texts that hold both but one: a text, however often copied, is no evidence for itself, and a few are a little.
+In every document that holds c, its disclosing terms are spans of kind ``term``; sanitising replaces
 entities by their kind (generalised) and removes disclosing terms.
 
 All counts are over all documents. Terms are counted per task first and added up by hash, so a frequent word
-is no hot key; co-occurrence is counted only for entities that occur in ``SUPPORT`` different texts.
+is no hot key. Where c has one text, the smoothed PMI is 0 for every term, so co-occurrence is counted for the others only.
 
 Defined cases: null text counts as empty and has no spans; matches that fail their check are dropped and not tried
 again; kinds may overlap each other, terms never overlap an entity; repeated rows count as documents but
@@ -27,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import bounded_batches, cut, located
+from textcoder.llm.util import bounded_batches, cut, located, lookup
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.8
-SUPPORT = 3
+PRIOR = 1.0
+#: Counts of terms in more than one of so many documents are looked up before pairs are made.
+COMMON = 1000
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,6 +103,19 @@ def _value(kind: str, text: str) -> str:
     return f"{kind}:{''.join(c for c in text if c.isdigit())}" if kind in ("card", "phone") else f"{kind}:{text.lower()}"
 
 
+def _parts(kind: str, text: str) -> list[str]:
+    """The entity and what it shares with others of its kind."""
+    name = _value(kind, text)
+    body = name[len(kind) + 1:]
+    if kind == "email":
+        local, _, domain = body.partition("@")
+        return [name, f"email-local:{local}", f"email-domain:{domain}"]
+    if kind == "ip":
+        numbers = [str(int(x)) for x in body.split(".")]
+        return [name, *[f"ip-{n}:{'.'.join(numbers[:n])}" for n in (2, 3)]]
+    return [name, f"{kind}-head:{body[:6 if kind == 'card' else 4]}"]
+
+
 def _hash(text: str) -> int:
     from xxhash import xxh64_intdigest
     x = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
@@ -136,7 +156,7 @@ def _as_spans(lists: list[list[Span]]) -> pa.Array:
 def _find(texts: pa.Array) -> pa.Array:
     values = [t.as_py() or "" for t in texts]
     spans = [entities(t) for t in values]
-    keys = [sorted({_hash(_value(k, t[a:b])) for k, a, b in s}) for t, s in zip(values, spans, strict=True)]
+    keys = [sorted({_hash(x) for k, a, b in s for x in _parts(k, t[a:b])}) for t, s in zip(values, spans, strict=True)]
     return pa.StructArray.from_arrays([_as_spans(spans), pa.array(keys, pa.list_(pa.int64()))], names=["base", "entities"])
 
 
@@ -177,26 +197,35 @@ def term_counts(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) of the terms that reveal an entity. ``found``: rows with entities, as of ``scan``."""
-    held = found.select("file", "row", F.xxhash64("__text").alias("of"), "__text", F.explode("entities").alias("entity"))
-    known = (held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("of").alias("texts"))
-             .filter(F.col("texts") >= support).drop("texts"))
-    wanted = cut(held.select("file", "row", "of", "entity").join(known, "entity"))
-    words = (found.select("file", "row", "__text").join(wanted.select("file", "row").distinct(), ["file", "row"])
-             .select("file", "row", F.explode(F.arrow_udf(_terms, "array<long>")(F.col("__text"))).alias("term")))
-    joint = (wanted.join(words, ["file", "row"]).groupBy("entity", "n_entity", "term", "of").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_joint"), F.count(F.lit(1)).alias("texts"))
-             .filter(F.col("texts") >= support))
-    joint = cut(joint)
-    total = corpus.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-    at = joint.join(term_counts(corpus, text), "term")
-    pmi = F.log(F.lit(float(total)) * F.col("n_joint") / (F.col("n_entity") * F.col("n")))
-    ic = F.log(F.lit(float(total)) / F.col("n_entity"))
-    return at.filter((pmi >= alpha * ic) & (ic > 0)).select("entity", "term")
-
-
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """(of, terms): the terms of each text, by its hash, that reveal an entity or part of one that it holds.
+    ``found``: rows with entities, as of ``scan``, and the hash of their text."""
+    texts = cut(found.groupBy("of").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("__text").alias("__text")))
+    held = texts.select("of", "copies", F.explode("entities").alias("entity"))
+    total = float(corpus.agg(F.count(F.lit(1)).alias("rows")).first()["rows"])
+    base = F.col("n_entity") / F.lit(total)
+    # As n(c, t) <= n(c), a term of more than ``most`` documents can't reach alpha.
+    known = lookup(held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+                   .filter(F.col("texts") > 1).select("entity", "n_entity", (F.col("n_entity") / F.pow(base, F.lit(1 - alpha))).alias("most")))
+    counts = cut(term_counts(corpus, text).filter(F.col("n") > 1))
+    common = lookup(counts.filter(F.col("n") > total / COMMON).select(F.col("term").alias("common"), F.col("n").alias("n_common")))
+    wanted = held.join(known, "entity").groupBy("of").agg(F.collect_list(F.struct("entity", "most")).alias("held"))
+    words = cut(texts.join(wanted, "of").select("of", "copies", "held", F.arrow_udf(_terms, "array<long>")(F.col("__text")).alias("terms")))
+    pairs = (words.select("of", "copies", "held", F.explode("terms").alias("term"))
+             .join(common, F.col("term") == F.col("common"), "left")
+             .withColumn("held", F.filter("held", lambda h: F.col("n_common").isNull() | (F.col("n_common") <= h["most"] + 1)))
+             .select("of", "copies", "term", F.explode("held.entity").alias("entity")))
+    joint = cut(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_joint"), F.count(F.lit(1)).alias("texts"))
+                .filter(F.col("texts") > 1))
+    at = joint.join(known, "entity").join(counts, "term")
+    others = F.col("texts") - 1
+    share = (others * F.col("n_joint") / F.col("n") + prior * base) / (others + prior)
+    pmi, ic = F.log(share / base), -F.log(base)
+    reveal = lookup(at.filter((pmi >= alpha * ic) & (ic > 0)).select("entity", "term"))
+    return pairs.join(reveal, ["entity", "term"], "left_semi").groupBy("of").agg(F.collect_set("term").alias("terms"))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``df``: id, base (spans of entities), all_spans (with terms), and, where there is any
     span, the sanitised text (``clean``; null: the text stays as it is)."""
     bounded_batches(df.sparkSession)
@@ -204,11 +233,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: f
     seen = cut(rows.withColumn("found", F.arrow_udf(_find, _FOUND)(F.col("__text")))
                .select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col("__id").alias("id"), "found.base",
                        "found.entities", F.when(F.size("found.base") > 0, F.col("__text")).alias("__text")))
-    held = seen.filter(F.size("base") > 0)
-    reveal = disclosing_terms(held, rows, "__text", alpha, support)
-    per_row = (held.select("file", "row", F.explode("entities").alias("entity")).join(reveal, "entity")
-               .groupBy("file", "row").agg(F.collect_set("term").alias("terms")))
-    spans = (held.join(per_row, ["file", "row"], "left")
+    held = seen.filter(F.size("base") > 0).withColumn("of", F.xxhash64("__text"))
+    reveal = lookup(disclosing_terms(held, rows, "__text", alpha, prior))
+    spans = (held.join(reveal, "of", "left")
              .withColumn("done", F.arrow_udf(_sanitise, _DONE)("__text", "base", "terms")).select("id", "base", "done.all_spans", "done.clean"))
     plain = seen.filter(F.size("base") == 0).select("id", "base", F.col("base").alias("all_spans"), F.lit(None).cast("string").alias("clean"))
     return spans.unionByName(plain)
