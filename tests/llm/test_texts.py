@@ -115,6 +115,24 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_licence_wordings(spark):
+    lines = [("GPL-2.0", "Licensed under the GNU General Public License, version 2."), ("MIT", "This work is licensed under the MIT License."),
+             ("ISC", "Licensed under the ISC License."), ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
+             ("BSD-2-Clause", "Released under the BSD 2-Clause License."), ("CC-BY-SA-3.0", "Licensed under CC BY-SA 3.0."),
+             *licenses.TEMPLATES]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)], "doc_id int, text string")
+    got = {r.doc_id: [x.licence for x in r.licence_lines] for r in licenses.scan(df).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(lines)}
+
+
+def test_licence_anchors_lose_nothing():
+    sets = [licenses.template_bigrams(t) for _, t in licenses.TEMPLATES]
+    some = set(licenses.anchors(sets, licenses.THRESHOLD))
+    for b in sets:
+        free = [g for g in b if some.isdisjoint(g.split())]
+        assert 2 * len(free) / (len(free) + len(b)) < licenses.THRESHOLD
+
+
 @given(st.integers(1, 60), st.integers(1, 90))
 def test_licence_size_bounds_lose_nothing(n, m):
     low, high = licenses.size_bounds(n, licenses.THRESHOLD)

@@ -1,10 +1,10 @@
 """Licence scan by the Dice coefficient over word bigrams (native).
 
 Each line of a text is normalised (lower case, letters and digits only, other runs as one space) and compared with
-short licence notices: ``2 |A & B| / (|A| + |B|)`` for the sets of word bigrams A and B. A line names the licence with
+short licence notices and paragraphs: ``2 |A & B| / (|A| + |B|)`` for the sets of word bigrams A and B. A line names the licence with
 the highest coefficient of at least the threshold t. As the intersection is at most the smaller set, a coefficient
 of t needs ``|A|`` between ``t / (2 - t)`` and ``(2 - t) / t`` times ``|B|``: lines and templates outside these bounds are
-never compared. All work is inside the row: no shuffle, no skew; the templates are literals in the plan.
+never compared, nor are lines without one of the ``anchors``. All work is inside the row: no shuffle, no skew; the templates are literals in the plan.
 
 Defined cases: null text and lines of fewer than two words have no licence; ties go to the first licence by
 name; a very long line is out of every bound; repeated rows are judged alike; an empty table gives an empty result;
@@ -13,32 +13,15 @@ columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+from textcoder.llm.license_templates import TEMPLATES
 
-#: Customary one-line notices of common licences, by SPDX identifier.
-TEMPLATES = [
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "This work is licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Released under the ISC License."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+THRESHOLD = 0.8
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -58,15 +41,31 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return near[0], near[-1]
 
 
+def anchors(sets: list[list[str]], threshold: float) -> list[str]:
+    """Words of which a line has at least one if it reaches the threshold with any of the bigram sets.
+
+    The line then shares ``t / (2 - t)`` of the set at least, so words in more than the rest of it will do; those of
+    most sets come first.
+    """
+    chosen: set[str] = set()
+    while True:
+        short = [b for b in sets if sum(not chosen.isdisjoint(g.split()) for g in b) <= len(b) * (1 - threshold / (2 - threshold)) + 1e-9]
+        if not short:
+            return sorted(chosen)
+        gain = Counter(w for b in short for g in b if chosen.isdisjoint(g.split()) for w in set(g.split()))
+        chosen.add(max(gain, key=lambda w: (len(w) >= 5, gain[w], w)))
+
+
 def line_licences(text: Column, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> Column:
     """Array of structs (dice, licence): the best template of each line that reaches the threshold."""
     sets = [(name, template_bigrams(t)) for name, t in templates]
     bounds = [size_bounds(len(b), threshold) for _, b in sets]
+    some = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors([b for _, b in sets], threshold))})(?![\p{{L}}\p{{N}}])"
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
-    literal = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
-                                 F.array(*map(F.lit, b)).alias("grams")) for (name, b), (lo, hi) in zip(sets, bounds, strict=True)])
+    rows = [{"name": name, "n": len(b), "lo": lo, "hi": hi, "grams": b} for (name, b), (lo, hi) in zip(sets, bounds, strict=True)]
+    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,n:int,lo:int,hi:int,grams:array<string>>>")
     # A line with more words than the largest set can have a small set of bigrams only by repeating them.
-    found = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= 3), words)
+    found = F.transform(F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= 3) & F.lower(x).rlike(some)), words)
     grams = F.transform(F.filter(found, lambda w: F.size(w) > low),
                         lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1),
                                                                lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)))))
