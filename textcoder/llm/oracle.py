@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textcoder.llm import licenses, line_dedup, mixing
+from textcoder.llm import filter_audit, licenses, line_dedup, mixing
 from textcoder.llm.util import SPACES, WORD
 
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,32 @@ WITH t(tid, name, grams) AS (VALUES {_TEMPLATE_ROWS}),
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_license_lines, coalesce(names, '') AS licenses, coalesce(dice, 0.0)::DOUBLE AS best_dice
 FROM d LEFT JOIN s ON d.rid = s.rid
 """
+
+_LETTERS = ", ".join(f"('{x}')" for x in filter_audit.FILTERS)
+ORACLE["op12_filter_audit"] = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words FROM t),
+     g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+           FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+     f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                  [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+                   coalesce(w.doc_id > min(w.doc_id) OVER same, w.doc_id IS NULL AND min(w.doc_id) OVER same IS NOT NULL)] AS fails
+           FROM w LEFT JOIN g ON w.doc_id = g.doc_id WINDOW same AS (PARTITION BY text)),
+     c AS (SELECT part, fails, list_sum(list_transform(fails, lambda x: x::INT)) AS n_fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+           FROM f GROUP BY ALL),
+     x(letter) AS (VALUES {_LETTERS}),
+     o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+     s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own,
+                  list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+     r AS (SELECT part, filter_order, step, n, good, toxic, n_fails, fails[own] AS hit,
+                  len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM c, s)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE hit AND gone), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE hit AND n_fails = 1), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(sum(n) FILTER (WHERE hit AND NOT gone)) OVER (PARTITION BY part, filter_order[step]), 0)::BIGINT AS shapley
+FROM r GROUP BY part, filter_order, step
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcoder.llm import bpe, exact_dedup, fingerprints, language_id, licenses, line_dedup, mixing, pii, sharding, simhash_dedup
+from textcoder.llm import (bpe, exact_dedup, filter_audit, fingerprints, language_id, licenses, line_dedup, mixing, pii, sharding,
+                           simhash_dedup)
 from textcoder.llm.util import cut, documents
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(k) for k in pii.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"),
                         listed("all_spans").alias("spans"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
