@@ -116,3 +116,29 @@ SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (WHERE
        coalesce(sum(sum(n) FILTER (WHERE hit AND NOT gone)) OVER (PARTITION BY part, filter_order[step]), 0)::BIGINT AS shapley
 FROM r GROUP BY part, filter_order, step
 """
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE["op11_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+     o AS (SELECT rid, lang, source,
+                  unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+     l AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 3),
+     c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY 1, 2, 3),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     x AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, l.n AS lang_n
+           FROM g JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+     p AS (SELECT lang, source, term, n,
+                  (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS p,
+                  (1 + (1000000000::HUGEINT * (lang_n + 1)) // (sum(lang_n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)))::BIGINT AS q
+           FROM x),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+           FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+           UNION ALL
+           SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM
+    (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r)
+WHERE part = 'pair' OR rank <= 200
+"""

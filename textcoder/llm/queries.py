@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcoder.llm import (bpe, exact_dedup, filter_audit, fingerprints, language_id, licenses, line_dedup, mixing, pii, sharding,
-                           simhash_dedup)
+from textcoder.llm import (bpe, divergence, exact_dedup, filter_audit, fingerprints, language_id, licenses, line_dedup, mixing, pii,
+                           sharding, simhash_dedup)
 from textcoder.llm.util import cut, documents
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         listed("all_spans").alias("spans"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
