@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcoder.llm import (bpe, divergence, exact_dedup, filter_audit, fingerprints, language_id, licenses, line_dedup, mixing, pii,
-                           sharding, simhash_dedup)
+from textcoder.llm import (bpe, divergence, exact_dedup, filter_audit, fingerprints, language_id, licenses, line_dedup, lm_scoring, mixing,
+                           pii, sharding, simhash_dedup)
 from textcoder.llm.util import cut, documents
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", lm_scoring.held_out())
+    return lm_scoring.score(docs, lm_scoring.fit(docs.filter("not held_out")))
