@@ -30,6 +30,8 @@ K = len(ORDERS) + 1
 STEP = 16.0
 FIRST_PIECE, LAST_PIECE = 64, 4096
 BUCKETS = 32
+#: A confident error moves weights as if its slope were this; weights stay below MOST_WEIGHT, so odds stay finite.
+LEAST_SLOPE, MOST_WEIGHT = 1 / 32, 2.0
 _PAD = 8
 _BLOCK = 1 << 17
 _COUNT_BLOCK = 1 << 16
@@ -128,14 +130,14 @@ class Counter:
 
 def log_odds(no: np.ndarray, yes: np.ndarray) -> np.ndarray:
     """Log odds of a slot's counts in steps of 1 / STEP, as int8; 0 for a slot without counts."""
-    return np.clip(np.round(STEP * np.log((yes + 0.4) / (no + 0.4))), -127, 127).astype(np.int8)
+    return np.clip(np.round(STEP * np.log((yes + 0.3) / (no + 0.3))), -127, 127).astype(np.int8)
 
 
 def start_weights() -> np.ndarray:
     """(predictor, gate): a gate is the set of predictors that speak, as bits; the longest context among them weighs most."""
-    w = np.full((K, 1 << K), 0.18, np.float32)
+    w = np.full((K, 1 << K), 0.3, np.float32)
     for gate in range(1, 1 << K):
-        w[gate.bit_length() - 1, gate] = 0.6
+        w[gate.bit_length() - 1, gate] = 0.5
     return w
 
 
@@ -191,10 +193,11 @@ class Model:
 
     @staticmethod
     def _learn(weights, hits, seen, x, p, bit, sets, bucket) -> None:
-        wrong, slope, size = bit - p, p * (1 - p), weights.shape[1]
+        wrong, slope, size = bit - p, np.maximum(p * (1 - p), LEAST_SLOPE), weights.shape[1]
         bend = np.bincount(sets, slope * sum(q * q for q in x), size) / K + 20
         for w, q in zip(weights, x, strict=True):
             w += (np.bincount(sets, wrong * q, size) / bend / K).astype(np.float32)
+            np.clip(w, -MOST_WEIGHT, MOST_WEIGHT, out=w)
         hits += np.bincount(bucket, bit, len(hits))
         seen += np.bincount(bucket, minlength=len(seen))
 

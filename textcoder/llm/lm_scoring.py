@@ -7,7 +7,7 @@ within each text. What it learns from the corpus is gathered from all training t
    sends one row per task. The bytes' counts give the code.
 2. A second pass counts the decisions of the code by hashed context. A task's table of counts is cut into slabs, which are sent in
    the narrowest integer that holds them and added up by slab; what is sent grows with the training texts, while a slab's sum is
-   one slab, however many tasks there are. The tables of log odds, ``K << bits`` bytes (6 MB), are broadcast.
+   one slab, however many tasks there are. The tables of log odds, ``K << bits`` bytes (12 MB), are broadcast.
 3. A last pass over all texts scores them. Blocks of texts go through the model together, in bounded memory for any length.
 
 Base: tokens are words and one end; the base score is the sum of ``log10((c + 1) / (N + V + 1))``. Tokens with at least one in ``FREQUENT`` of all
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from textcoder.llm import context_mixing as cm
 from textcoder.llm.util import bounded_batches, cut
 
-TABLE_BITS = 21
+TABLE_BITS = 22
 FREQUENT = 1 << 16
 FLUSH = 200_000
 _SLAB = 1 << 14
