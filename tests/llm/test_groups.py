@@ -7,6 +7,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textcoder.llm import exact_dedup, fingerprints, graph, line_dedup, mixing, sharding, simhash_dedup
 from textcoder.llm.queries import REGISTRY
@@ -22,7 +23,9 @@ SCHEMA = "doc_id long, text string, source string"
 def odd(spark):
     """Nulls, blanks, repeated rows, a long text, and columns named like internal and output ones."""
     return spark.createDataFrame(TEXTS, SCHEMA).selectExpr("*", "1 AS shard", "2 AS kept", "3 AS size", "4 AS digest", "5 AS slot", "6 AS file",
-                                                           "7 AS target", "8 AS fp", "9 AS key")
+                                                           "7 AS target", "8 AS fp", "9 AS key", "10 AS __file", "11 AS __source",
+                                                           "12 AS whole", "13 AS scale", "14 AS remaining", "15 AS last", "16 AS cut_bin",
+                                                           "17 AS closing", "18 AS q_source", "19 AS m_source", "20 AS in_0", "21 AS __row")
 
 
 def _norm(text):
@@ -44,6 +47,46 @@ def test_exact_dedup_odd_rows(spark, odd, key_chars):
     assert exact_dedup.exact_dedup(odd.limit(0)).collect() == []
 
 
+def test_rows_of_multiplied_frames_are_copies(spark):
+    """A frame that holds rows of a file several times, or not at all, is no scan: its rows are told apart all the same."""
+    docs = documents(spark, SMALL)
+    exact = len({_norm(r.text) for r in docs.collect()})
+    near = len({root for _, root in _brute_groups([(r.doc_id, r.text) for r in docs.collect()]).values()})
+    twice = docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert exact_dedup.deduplicated(twice).count() == exact_dedup.deduplicated(docs.union(docs)).count() == exact
+    assert simhash_dedup.deduplicated(twice).count() == near
+    drawn = docs.sample(True, 2.0, seed=1)
+    left = exact_dedup.deduplicated(drawn)
+    assert left.count() == len({_norm(r.text) for r in drawn.collect()}) and left.columns == docs.columns
+    copies = exact_dedup.deduplicated(mixing.mixed(docs))
+    assert copies.count() == len({_norm(r.text) for r in mixing.mixed(docs).collect()})
+    assert exact_dedup.deduplicated(docs.filter("doc_id % 2 = 0").select("text", "doc_id")).columns == ["text", "doc_id"]
+
+
+@pytest.mark.parametrize("key_chars", [64, 1])
+def test_state_goes_on_from_call_to_call(spark, tmp_path, key_chars):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(1, 4))) for _ in range(90)]
+    feeds = []
+    for n in range(3):
+        path = str(tmp_path / f"feed{n}")
+        spark.createDataFrame([(i, texts[i]) for i in range(30 * n, 30 * n + 30)], "doc_id long, text string").coalesce(2).write.parquet(path)
+        feeds.append(spark.read.parquet(path))
+    seen = {}
+    for feed in feeds:
+        for _ in range(2):                  # the second time is a repeated call, which feeds nothing
+            got = exact_dedup.exact_dedup(feed, state=str(tmp_path / "state"), key_chars=key_chars).collect()
+        rows = {r.doc_id: r.text for r in feed.collect()}
+        seen |= rows
+        groups = collections.defaultdict(list)
+        for i, t in seen.items():
+            groups[_norm(t)].append((-len(t), i))
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {
+            i: (min(groups[_norm(t)])[1], len(groups[_norm(t)]), min(groups[_norm(t)])[1] == i) for i, t in rows.items()}
+    with pytest.raises(ValueError, match="earlier feed"):
+        exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "feed0"), str(tmp_path / "feed1")), state=str(tmp_path / "state"))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(6000, 6100)]

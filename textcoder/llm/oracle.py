@@ -63,7 +63,7 @@ WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, {_quoted(line_dedu
            WHERE trim(u.line, ' ') <> ''),
      h AS (SELECT host, count(*) AS pages FROM p GROUP BY 1),
      n AS (SELECT host, line, count(DISTINCT rid) AS n FROM l GROUP BY 1, 2),
-     b AS (SELECT n.host, line FROM n JOIN h ON n.host = h.host WHERE n / pages > {line_dedup.RATIO} AND pages >= {line_dedup.MIN_PAGES}),
+     b AS (SELECT n.host, line FROM n JOIN h ON n.host = h.host WHERE n / pages > {line_dedup.RATIO} AND n >= {line_dedup.MIN_HOLDERS}),
      k AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE b.line IS NULL) AS n_kept,
                   string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL) AS text
            FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY 1)

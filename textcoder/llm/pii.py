@@ -10,8 +10,8 @@ others: local part and domain of a mail address, the first two and three bytes o
 country and area digits of a phone number. (The kind is no part: the sanitised text names it.) The share
 ``n(c, t) / n(t)`` of a term's documents that hold c is smoothed towards ``n(c) / N``, which weighs ``PRIOR`` texts against the
 texts that hold both but one: a text, however often copied, is no evidence for itself, and a few are a little.
-In every document that holds c, its disclosing terms are spans of kind ``term``; sanitising replaces
-entities by their kind (generalised) and removes disclosing terms.
+In every document that holds c, its disclosing terms are spans of kind ``term``. Sanitising generalises entities to their
+kind, and terms below ``REMOVE * IC`` to ``[TERM]``; terms that tell more are removed.
 
 All counts are over all documents. Terms are counted per task first and added up by hash, so a frequent word
 is no hot key. Where c has one text, the smoothed PMI is 0 for every term, so co-occurrence is counted for the others only.
@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import bounded_batches, cut, located, lookup
+from textcoder.llm.util import bounded_batches, cut, lookup
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA = 0.8
+REMOVE = 0.9
 PRIOR = 1.0
 #: Counts of terms in more than one of so many documents are looked up before pairs are made.
 COMMON = 1000
@@ -47,7 +48,8 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+#: A word of letters; runs that hold digits, such as keys, have no terms.
+_TERM = re.compile(r"(?<!\w)[^\W\d_]{3,}(?!\w)")
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -133,12 +135,13 @@ def term_spans(text: str, disclosing: set[int], base: list[Span]) -> list[Span]:
     return found
 
 
-def sanitised(text: str, spans: list[Span]) -> str:
-    """``text`` with entities generalised to their kind and terms removed; overlapping spans are one."""
+def sanitised(text: str, spans: list[Span], mild: frozenset[int] = frozenset()) -> str:
+    """``text`` with entities and ``mild`` terms (hashes) generalised and other terms removed; overlapping spans are one."""
     out, at = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start >= at:
-            out += [text[at:start], "" if kind == "term" else f"[{kind.upper()}]"]
+            gone = kind == "term" and _hash(text[start:end].lower()) not in mild
+            out += [text[at:start], "" if gone else f"[{kind.upper()}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
@@ -165,14 +168,14 @@ def _terms(texts: pa.Array) -> pa.Array:
                     pa.list_(pa.int64()))
 
 
-def _sanitise(texts: pa.Array, bases: pa.Array, disclosing: pa.Array) -> pa.Array:
+def _sanitise(texts: pa.Array, bases: pa.Array, disclosing: pa.Array, mild: pa.Array) -> pa.Array:
     spans, clean = [], []
-    for t, b, d in zip(texts, bases, disclosing, strict=True):
+    for t, b, d, m in zip(texts, bases, disclosing, mild, strict=True):
         text, base = t.as_py() or "", [(s["kind"], s["start"], s["end"]) for s in b.as_py() or []]
         every = sorted(base + (term_spans(text, set(d.as_py()), base) if d.as_py() else []),
                        key=lambda s: (s[1], (*KINDS, "term").index(s[0])))
         spans.append(every)
-        clean.append(sanitised(text, every))
+        clean.append(sanitised(text, every, frozenset(m.as_py() or ())))
     return pa.StructArray.from_arrays([_as_spans(spans), pa.array(clean, pa.string())], names=["all_spans", "clean"])
 
 
@@ -197,9 +200,10 @@ def term_counts(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
-    """(of, terms): the terms of each text, by its hash, that reveal an entity or part of one that it holds.
-    ``found``: rows with entities, as of ``scan``, and the hash of their text."""
+def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: float = ALPHA, prior: float = PRIOR,
+                     remove: float = REMOVE) -> DataFrame:
+    """(of, terms, mild): the terms of each text, by its digest, that reveal an entity or part of one that it holds, and those of
+    them that reveal less than ``remove``. ``found``: rows with entities, as of ``scan``, and the digest of their text."""
     texts = cut(found.groupBy("of").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("__text").alias("__text")))
     held = texts.select("of", "copies", F.explode("entities").alias("entity"))
     total = float(corpus.agg(F.count(F.lit(1)).alias("rows")).first()["rows"])
@@ -221,21 +225,23 @@ def disclosing_terms(found: DataFrame, corpus: DataFrame, text: str, alpha: floa
     others = F.col("texts") - 1
     share = (others * F.col("n_joint") / F.col("n") + prior * base) / (others + prior)
     pmi, ic = F.log(share / base), -F.log(base)
-    reveal = lookup(at.filter((pmi >= alpha * ic) & (ic > 0)).select("entity", "term"))
-    return pairs.join(reveal, ["entity", "term"], "left_semi").groupBy("of").agg(F.collect_set("term").alias("terms"))
+    reveal = lookup(at.filter((pmi >= alpha * ic) & (ic > 0)).select("entity", "term", (pmi < remove * ic).alias("little")))
+    told = pairs.join(reveal, ["entity", "term"]).groupBy("of", "term").agg(F.min("little").alias("little"))
+    return told.groupBy("of").agg(F.collect_list("term").alias("terms"),
+                                  F.collect_list(F.when(F.col("little"), F.col("term"))).alias("mild"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
     """One row per row of ``df``: id, base (spans of entities), all_spans (with terms), and, where there is any
     span, the sanitised text (``clean``; null: the text stays as it is)."""
     bounded_batches(df.sparkSession)
-    rows = located(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     seen = cut(rows.withColumn("found", F.arrow_udf(_find, _FOUND)(F.col("__text")))
-               .select(F.col("__file").alias("file"), F.col("__row").alias("row"), F.col("__id").alias("id"), "found.base",
+               .select(F.col("__id").alias("id"), "found.base",
                        "found.entities", F.when(F.size("found.base") > 0, F.col("__text")).alias("__text")))
-    held = seen.filter(F.size("base") > 0).withColumn("of", F.xxhash64("__text"))
+    held = seen.filter(F.size("base") > 0).withColumn("of", F.sha2("__text", 256))
     reveal = lookup(disclosing_terms(held, rows, "__text", alpha, prior))
     spans = (held.join(reveal, "of", "left")
-             .withColumn("done", F.arrow_udf(_sanitise, _DONE)("__text", "base", "terms")).select("id", "base", "done.all_spans", "done.clean"))
+             .withColumn("done", F.arrow_udf(_sanitise, _DONE)("__text", "base", "terms", "mild")).select("id", "base", "done.all_spans", "done.clean"))
     plain = seen.filter(F.size("base") == 0).select("id", "base", F.col("base").alias("all_spans"), F.lit(None).cast("string").alias("clean"))
     return spans.unionByName(plain)

@@ -151,10 +151,15 @@ def _decided(rows: DataFrame, id_col: str, text_col: str, words: int, radius: in
         ((F.col("file") == keep["file"]) & (F.col("row") == keep["row"])).alias("kept"))
 
 
+def _column(df: DataFrame, name: str) -> str:
+    """Name of a column of ``df`` in its located form."""
+    return f"in_{df.columns.index(name)}"
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                     radius: int = RADIUS) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id, kept."""
-    found = _decided(located(df), id_col, text_col, words, radius)
+    found = _decided(located(df), _column(df, id_col), _column(df, text_col), words, radius)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id", "kept")
 
@@ -163,7 +168,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  radius: int = RADIUS) -> DataFrame:
     """The rows of ``df``, one of each component (the smallest identifier), with its columns."""
     rows = located(df)
-    gone = (_decided(rows, id_col, text_col, words, radius).filter(~F.col("kept"))
+    gone = (_decided(rows, _column(df, id_col), _column(df, text_col), words, radius).filter(~F.col("kept"))
             .select(F.col("file").alias("__gone_file"), F.col("row").alias("__gone_row")))
-    return (rows.join(gone, (F.col("__file") == F.col("__gone_file")) & (F.col("__row") == F.col("__gone_row")), "left_anti")
-            .drop("__file", "__row"))
+    left = rows.join(gone, (F.col("__file") == F.col("__gone_file")) & (F.col("__row") == F.col("__gone_row")), "left_anti")
+    return left.drop("__path", "__file", "__row").toDF(*df.columns)

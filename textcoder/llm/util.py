@@ -57,18 +57,36 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _scan_only(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of one file scan, and none comes twice (no join, union, explode, resampling)."""
+    plan = df._jdf.queryExecution().analyzed()
+    while not plan.children().isEmpty():
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def located(df: DataFrame) -> DataFrame:
-    """``df`` with ``__file`` and ``__row``; frames that are no file scan are written once to get a locator."""
-    if "_metadata" not in df.columns:
+    """``df`` with columns in_0, in_1 and so on in place of its own, and a locator: ``__path``, ``__file`` (its hash), ``__row``.
+
+    The locator tells rows apart. It is that of the scan where a row of ``df`` is a row of a file; other frames, in which a
+    row of a file may come twice or never, are written once and located in what was written.
+    """
+    names = [f"in_{i}" for i in range(len(df.columns))]
+
+    def at(rows: DataFrame, columns: list[str]) -> DataFrame:
+        path = F.col("_metadata.file_path")
+        return rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)], path.alias("__path"),
+                           F.xxhash64(path).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+    if "_metadata" not in df.columns and _scan_only(df):
         try:
-            return df.select("*", F.xxhash64("_metadata.file_path").alias("__file"),
-                             F.col("_metadata.row_index").alias("__row"))
-        except AnalysisException:
+            return at(df, df.columns)
+        except AnalysisException:           # a source without row positions
             pass
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    back, _ = stored(plain, "content")
-    return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)],
-                       F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    back, _ = stored(df.toDF(*names), "content")
+    return at(back, names)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
