@@ -1,4 +1,4 @@
-"""Exact and cell-probed k-nearest-neighbour joins.
+"""Exact k-nearest-neighbour joins (J2, F11, F12, L1, W1), and cell-probed ones by ``cell_index``.
 
 Ranking rule, everywhere: score rounded to 6 decimals (best first; for ``l2``
 smallest distance first), ties broken by the corpus key ascending. Scores are
@@ -470,82 +470,28 @@ def rank_candidates(cands: DataFrame, query_col: str, key_col: str, k: int,
 
 
 def knn_cells(queries: DataFrame, corpus: DataFrame, k: int = 5, *, n_cells: int | None = None,
-              nprobe: int = 2, seed: int = 42, query_id: str = "id", query_vec: str = "vector",
-              corpus_id: str = "id", corpus_vec: str = "vector", key: str | None = None,
-              carry: tuple[str, ...] | list[str] = (), metric: str = "cosine",
-              exclude_self: bool = False, query_out: str = "query_id", corpus_out: str = "id",
-              as_lists: bool = False, max_centroid_bytes: int = BROADCAST_MAX_BYTES
-              ) -> DataFrame:
-    """Approximate kNN by k-means cells (IVF); same output as ``knn_join``.
-
-    The corpus is clustered with Spark ML ``KMeans`` (cosine distance for the
-    cosine metric); each query probes its ``nprobe`` nearest centroids and is
-    scored exactly against the members of those cells. A cell larger than one
-    corpus block is split into sub-blocks by id hash and the query is sent to
-    each sub-block, so a hot cell never lands in one task. ``nprobe >= n_cells``
-    is exact search.
+              nprobe: int | None = None, seed: int = 42, query_id: str = "id",
+              query_vec: str = "vector", corpus_id: str = "id", corpus_vec: str = "vector",
+              key: str | None = None, carry: tuple[str, ...] | list[str] = (),
+              metric: str = "cosine", exclude_self: bool = False, query_out: str = "query_id",
+              corpus_out: str = "id", as_lists: bool = False,
+              max_centroid_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Approximate kNN by k-means cells; same output as ``knn_join``.
+
+    Builds a cell index for this one search (``cell_index``, which also keeps
+    one for many searches). ``nprobe`` defaults to what the index needs for a
+    recall of 0.9; ``nprobe >= n_cells`` is exact search.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = queries.sparkSession
-    carry = tuple(carry)
-    q, c = _prepare(queries, query_id, query_vec, corpus, corpus_id, corpus_vec, key, carry)
-    if n_cells is None:
-        n_cells = max(1, int(math.sqrt(c.count())))
-    # The centroids are broadcast: bound them (fewer, larger cells stay correct,
-    # since large cells are split into sub-blocks below).
-    first = c.select(F.size("_cv").alias("d")).where(F.col("_cv").isNotNull()).first()
-    dim = int(first["d"]) if first else 1
-    n_cells = max(1, min(n_cells, max_centroid_bytes // (8 * dim)))
-    feats = c.withColumn("features", array_to_vector(F.col("_cv").cast("array<double>")))
-    km = KMeans(k=n_cells, seed=seed, maxIter=20,
-                distanceMeasure="cosine" if metric == "cosine" else "euclidean")
-    model = km.fit(feats)
-    centers = np.vstack(model.clusterCenters())  # bounded by n_cells x dim
-    n_cells = centers.shape[0]
-    nprobe = max(1, min(nprobe, n_cells))
-    cc = (model.transform(feats).drop("features")
-          .withColumn("_cell", F.col("prediction").cast("int")).drop("prediction"))
-
-    # Skew guard: split every cell into ceil(size / CORPUS_BLOCK) sub-blocks.
-    sizes = cc.groupBy("_cell").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(CORPUS_BLOCK))).cast("int")
-        .alias("_nsub"))
-    cc = (cc.join(F.broadcast(sizes), "_cell")  # one row per cell: bounded by n_cells
-          .withColumn("_sub", F.pmod(F.xxhash64("_cid"), F.col("_nsub")).cast("int"))
-          .drop("_nsub"))
-
-    bc = spark.sparkContext.broadcast(centers)
-    probe_metric = "cosine" if metric == "cosine" else "l2"
-    qt = q.schema["_qid"].dataType.simpleString()
-
-    def probe(batches):
-        cen = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            qids = batch.column("_qid").to_numpy(zero_copy_only=False)
-            S = _scores(_matrix(batch.column("_qv")), cen, probe_metric)
-            S = np.nan_to_num(S, nan=-np.inf if probe_metric == "cosine" else np.inf)
-            order = np.argsort(-S if probe_metric == "cosine" else S, axis=1, kind="stable")
-            near = order[:, :nprobe]
-            take = pa.array(np.repeat(np.arange(batch.num_rows), nprobe))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qids, nprobe)), batch.column("_qv").take(take),
-                 pa.array(near.reshape(-1).astype(np.int32))],
-                names=["_qid", "_qv", "_cell"])
-
-    qv_type = q.schema["_qv"].dataType.simpleString()
-    probes = spread(q, "_qid").mapInArrow(probe, f"_qid {qt}, _qv {qv_type}, _cell int")
-    qcell = (probes.join(F.broadcast(sizes), "_cell")
-             .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
-             .drop("_nsub"))
-    spec = KnnSpec(k, metric, exclude_self)
-    partial = (qcell.groupBy("_cell", "_sub").cogroup(cc.groupBy("_cell", "_sub"))
-               .applyInPandas(_tile_fn(spec, carry), _tile_schema(q, c, carry)))
-    return _rename(_merge(partial, spec, carry, as_lists), carry, query_out, corpus_out,
-                   as_lists)
+    from ..session import work_dir
+    from .cell_index import build_index, search
+
+    index = build_index(corpus, work_dir(queries.sparkSession, "cells"), corpus_id=corpus_id,
+                        corpus_vec=corpus_vec, key=key, carry=carry, metric=metric,
+                        n_cells=n_cells, seed=seed, nprobe=nprobe, k=k,
+                        max_centroid_bytes=max_centroid_bytes)
+    return search(index, queries, k, query_id=query_id, query_vec=query_vec,
+                  exclude_self=exclude_self, query_out=query_out, corpus_out=corpus_out,
+                  as_lists=as_lists)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_col: str = "query_id",

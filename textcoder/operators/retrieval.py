@@ -32,7 +32,7 @@ def retrieve_and_decide(queries: DataFrame, corpus: DataFrame, k: int = 5, *,
                         code: str = "code", query_carry=(), metric: str = "cosine",
                         exclude_self: bool = False, key: str | None = None,
                         strategy: str = "auto", approximate: bool = False,
-                        nprobe: int = 2, dim: int | None = None, prepared=None) -> DataFrame:
+                        nprobe: int | None = None, dim: int | None = None, prepared=None) -> DataFrame:
     """Query rows -> ``(query_id, *query_carry, pred_code, codable, confidence,
     retrieved_codes, retrieved_scores)``; every query is kept (G10)."""
     if approximate:

@@ -57,6 +57,8 @@ sql("knn_blocks", ORACLE["knn_top5"])
 sql("knn_cells_all", "WITH " + _pairs() + """
 SELECT query_id, rank, id, round(score, 6) AS score FROM r""")
 
+sql("index_exact", ORACLE["knn_cells_all"])
+
 sql("knn_dot", "WITH " + _pairs("dot") + """
 SELECT query_id, rank, id, round(score, 6) AS score FROM r""")
 
