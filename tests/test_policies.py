@@ -9,7 +9,7 @@ SOURCES = {p: p.read_text() for p in PKG.rglob("*.py") if p.relative_to(PKG).par
 
 # Queries checked by invariants only: model training, approximate search,
 # streaming progress and file listings have no SQL equivalent.
-ROWS_ONLY = {"knn_cells", "cells_recall", "index_pairs", "table_exists", "subword_vocab", "subword_encode",
+ROWS_ONLY = {"knn_cells", "cells_recall", "index_pairs", "knn_graph", "graph_recall", "table_exists", "subword_vocab", "subword_encode",
              "vocab_join", "train_predict", "predict_topk", "test_accuracy", "token_attrib",
              "word_attrib", "char_attrib", "classify_batch_supervised", "model_round_trip", "run_log", "stream_progress"}
 

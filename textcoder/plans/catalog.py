@@ -18,6 +18,7 @@ from ..operators import classify as cls
 from ..operators import evaluate as ev
 from ..operators import extras as ex
 from ..operators import generation as gen
+from ..operators import neighbour_graph as ng
 from ..operators import sampling, subword
 from ..operators import supervised as sup
 from ..operators.embed import DEFAULT_DIM, dense_to_sparse, embed, embed_distinct, hashed_counts
@@ -210,6 +211,23 @@ def index_pairs(spark, root):
             .unionByName(ci.search_report(index, e, 5, exact=True, **kw).withColumn("search", F.lit("exact"))))
 
 
+@query("knn_graph")
+def knn_graph(spark, root):
+    """Approximate neighbours of all rows by neighbour-graph refinement (rows-only check)."""
+    graph = ng.build_graph(vectors(spark, root), id_col="vec_id", vec_col="embedding")
+    return ng.neighbours(graph, 5).withColumn("score", F.round("score", 6))
+
+
+@query("graph_recall")
+def graph_recall(spark, root):
+    """Recall@5 of the neighbour graph, and the distances it took against all pairs (rows-only check)."""
+    e = vectors(spark, root)
+    graph = ng.build_graph(e, id_col="vec_id", vec_col="embedding")
+    found = recall_at_k(ng.neighbours(graph, 5), knn_join(e, e, 5, **_SELF, **_CORPUS))
+    return (found.withColumn("distances", F.lit(graph.distances).cast("long"))
+            .withColumn("all_pairs", F.lit(graph.all_pairs).cast("long")).withColumn("rounds", F.lit(graph.rounds)))
+
+
 # ----------------------------------------------------------------- nomenclature from `part`
 
 
