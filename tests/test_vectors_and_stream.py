@@ -30,6 +30,46 @@ def test_upsert_idempotent_and_checks_dim(spark):
     assert got["x"] == [5.0, 5.0] and got["y"] == [1.0, 1.0]
 
 
+def test_a_small_upsert_writes_little_and_old_versions_stay(spark, tmp_path):
+    path, p = str(tmp_path / "vt"), ("a", 1, None, "t")
+    vt.create_or_replace(spark, path, 2, "cosine")
+    vt.upsert(spark, path, _points(spark, [(str(i), [float(i), 1.0], p) for i in range(1000)]))
+    reports = [vt.upsert(spark, path, _points(spark, [(str(i), [0.0, float(n)], p), (f"new{n}", [1.0, 1.0], p)])).first()
+               for n, i in enumerate(range(0, 50, 10))]
+    assert [r["n_rows"] for r in reports] == [1001, 1002, 1003, 1004, 1005]
+    log = {r["version"]: r for r in vt.commits(spark, path).collect()}
+    bases = [v for v, r in log.items() if r["kind"] == "base"]
+    assert all(log[r["version"]]["rows"] == 2 for r in reports) and len(bases) == 1
+    got = {r["id"]: list(r["vector"]) for r in vt.read_points(spark, path).collect()}
+    assert got["40"] == [0.0, 4.0] and got["39"] == [39.0, 1.0] and got["new0"] == [1.0, 1.0]
+    before = {r["id"]: list(r["vector"]) for r in vt.read_points(spark, path, reports[0]["version"]).collect()}
+    assert before["40"] == [40.0, 1.0] and "new1" not in before and len(before) == 1001
+    vt.compact(spark, path)
+    assert {r["id"]: list(r["vector"]) for r in vt.read_points(spark, path).collect()} == got
+    vt.create_or_replace(spark, path, 3, "l2")
+    assert vt.table_count(spark, path) == 0 and vt.table_meta(spark, path) == (3, "l2")
+    assert len(vt.read_points(spark, path, reports[-1]["version"]).collect()) == 1005
+
+
+def test_two_writers_do_not_make_one_version(spark, tmp_path, monkeypatch):
+    path, p = str(tmp_path / "vt"), ("a", 1, None, "t")
+    vt.create_or_replace(spark, path, 2, "cosine")
+    monkeypatch.setattr(vt, "newest", lambda *_: 0)             # both writers have seen version 0
+    first = vt.upsert(spark, path, _points(spark, [("x", [1.0, 0.0], p)])).first()["version"]
+    second = vt.upsert(spark, path, _points(spark, [("y", [1.0, 0.0], p)])).first()["version"]
+    assert (first, second) == (1, 2)
+    assert vt.compact(spark, path) is None                      # it would be version 1, which is taken
+    monkeypatch.undo()
+    assert {r["id"] for r in vt.read_points(spark, path).collect()} == {"x", "y"}
+    # A writer that is lost after its claim leaves a gap that nobody reads.
+    after = vt.newest(spark, path) + 1
+    assert vt._claim(spark, path, after) and not vt._claim(spark, path, after)
+    assert vt.upsert(spark, path, _points(spark, [("z", [1.0, 0.0], p)])).first()["version"] == after + 1
+    assert vt.table_count(spark, path) == 3
+    assert sorted(r.why for r in vt.read_rejects(spark, path, vt.upsert(spark, path, _points(
+        spark, [(None, [1.0, 0.0], p), ("q", None, p), ("r", [1.0], p)])).first()["version"]).collect()) == ["null id", "null vector", "wrong dimension"]
+
+
 def test_batch_embedder_equals_native(spark):
     df = spark.createDataFrame([(1, "Le chat, le chien."), (2, "Über 3 Äpfel"), (3, "")],
                                "id long, text string")

@@ -400,6 +400,42 @@ def upsert_twice(spark, root):
     return report.select("version", "n_rejected", "n_rows", F.lit(n_ids).cast("bigint").alias("n_ids"))
 
 
+def _embedding_points(spark, root) -> DataFrame:
+    none = F.lit(None)
+    return vectors(spark, root).select(
+        F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"),
+        F.struct(F.col("label").cast("string").alias("code"), F.lit(4).alias("level"), none.cast("string").alias("parent_code"),
+                 F.lit("first").alias("text")).alias("payload"), "vec_id")
+
+
+@query("upsert_delta")
+def upsert_delta(spark, root):
+    """A table loaded once, then a change of every hundredth point, with one new point: what it holds, and what was written."""
+    path = work_dir(spark, "vectors")
+    vt.create_or_replace(spark, path, 64, "cosine")
+    points = _embedding_points(spark, root)
+    vt.upsert(spark, path, points)
+    changed = points.where("vec_id % 100 = 0").withColumn("payload", F.col("payload").withField("text", F.lit("second")))
+    added = changed.where("vec_id = 0").withColumn("id", F.lit("new"))
+    vt.upsert(spark, path, changed.unionByName(added))
+    rows = vt.commits(spark, path).where("kind = 'delta'").agg(F.max_by("rows", "version")).first()[0]
+    return (vt.read_points(spark, path).select("id", "payload.code", "payload.text", F.size("vector").alias("dim"))
+            .withColumn("rows_written", F.lit(rows).cast("long")))
+
+
+@query("upsert_rejects")
+def upsert_rejects(spark, root):
+    """Points with a null vector, of another dimension or without id are refused with the reason, the others stored."""
+    path = work_dir(spark, "vectors")
+    vt.create_or_replace(spark, path, 64, "cosine")
+    points = _embedding_points(spark, root)
+    faulty = points.withColumn("vector", F.when(F.col("vec_id") % 7 == 1, None).when(F.col("vec_id") % 7 == 2, F.slice("vector", 1, 3))
+                               .otherwise(F.col("vector"))).withColumn("id", F.when(F.col("vec_id") % 11 != 5, F.col("id")))
+    report = vt.upsert(spark, path, faulty).first()
+    refused = vt.read_rejects(spark, path, report["version"]).select("id", "why")
+    return refused.unionByName(vt.read_points(spark, path).select("id", F.lit("stored").alias("why")))
+
+
 @query("table_exists")
 def table_exists_q(spark, root):
     """Tables found under a folder after creating one (rows-only check)."""

@@ -745,3 +745,15 @@ SELECT count(*) AS n, CAST(count_if(vec_id % 10 = 0) AS BIGINT) AS n_null, 64 AS
        CAST(count_if(vec_id % 10 = 2) AS BIGINT) AS n_nan, CAST(count_if(vec_id % 10 = 3) AS BIGINT) AS n_zero_norm,
        CAST(count_if(vec_id % 10 = 1) AS BIGINT) AS n_bad_dim
 FROM embeddings""")
+
+sql("upsert_delta", """
+WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS code, CASE WHEN vec_id % 100 = 0 THEN 'second' ELSE 'first' END AS text
+           FROM embeddings
+           UNION ALL SELECT 'new', CAST(label AS VARCHAR), 'second' FROM embeddings WHERE vec_id = 0)
+SELECT id, code, text, 64 AS dim, count(*) FILTER (WHERE text = 'second') OVER () AS rows_written FROM p""")
+
+sql("upsert_rejects", """
+SELECT CASE WHEN vec_id % 11 <> 5 THEN CAST(vec_id AS VARCHAR) END AS id,
+       CASE WHEN vec_id % 7 = 1 THEN 'null vector' WHEN vec_id % 7 = 2 THEN 'wrong dimension'
+            WHEN vec_id % 11 = 5 THEN 'null id' ELSE 'stored' END AS why
+FROM embeddings""")
