@@ -81,3 +81,55 @@ def test_header_like_rows_and_empty_cells_at_the_end(spark, tmp_path):
     wide = tmp_path / "wide.csv"
     wide.write_text("bakery,\nx,bread\n")
     assert [r["activity_description"] for r in read_activity_csv(spark, str(wide)).collect()] == ["bread"]
+
+
+def _python_rows(text: str, delim: str) -> list[list[str]]:
+    import csv
+    import io
+    return [r for r in csv.reader(io.StringIO(text), delimiter=delim)]
+
+
+def test_records_are_those_of_a_sequential_parser(spark, tmp_path):
+    """Random quotes, delimiters and line breaks, cut into splits of a few bytes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textcoder.sources.csv_records import cells, records
+    rng = random.Random(6)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for n in range(6):
+            text = "".join(rng.choices(['a', 'b', '"', '""', ',', ';', '\n', '\n', 'word'], k=400)) + "\n"
+            path = tmp_path / f"f {n}.csv"
+            path.write_text(text)
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 3
+            got = records(spark, str(path), ",").select(*("file", "block", "at"), cells(F.col("value"), ",").alias("c")).collect()
+            got = [r["c"] for r in sorted(got, key=lambda r: r[:3])]
+            # A parser that has read the last line without a closing quote keeps the line break.
+            assert [[c.rstrip("\n") for c in r] for r in got] == [[c.rstrip("\n") for c in r] for r in _python_rows(text, ",")], text
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_what_a_line_does_to_the_state():
+    from textcoder.sources.csv_records import KEEP, SWAP, TO_INSIDE, TO_OUTSIDE, line_effect
+    cases = {'plain': KEEP, 'a,"b': SWAP, '"a","b"': TO_OUTSIDE, '"a': SWAP, 'a"b': TO_OUTSIDE, '"",""': KEEP, '""': KEEP, '"x""': SWAP, '"x"","': KEEP,
+             'it"s,5", "x"': TO_OUTSIDE, 'x",y,"z': TO_INSIDE, '': KEEP}
+    assert {k: line_effect(k, ",") for k in cases} == cases
+
+
+def test_no_cap_on_blank_lines_record_lines_or_cells(spark, tmp_path):
+    late = b"\n" * 205 + b" , ,\n" + b"id,Activity_Description\n1,bake\n2,fry\n"
+    assert sorted(_rows(spark, late)) == [("1", "bake"), ("2", "fry")]
+    tall = b'"' + b"x\n" * 310 + b'",activity_description\n1,bake\n'
+    assert _rows(spark, tall) == [("1", "bake")]
+    wide = b"activity_description,x\nbake," + b"," * 3000 + b"\nfry,1\n"
+    assert sorted(_rows(spark, wide)) == [("1", "bake"), ("2", "fry")]
+    folder = tmp_path / "a blank in it"
+    folder.mkdir()
+    (folder / "up load.csv").write_bytes(b"activity_description\nbake\n")
+    assert [r["activity_description"] for r in read_activity_csv(spark, str(folder / "up load.csv")).collect()] == ["bake"]
+    assert _rows(spark, b"activity_description,q\nbake,\"open\nfry,1\n") == [("1", "bake")]
