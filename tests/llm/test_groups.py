@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -179,10 +180,21 @@ def test_line_dedup(spark):
     for few in (5000, 0):
         got = sorted((r.page_id, r.host, r.kept) for r in line_dedup.cleaned(df, few_hosts=few).collect())
         assert got == sorted([(i, "a.example", [f"Story {i}"]) for i in range(6)] + [(10, "b.example", ["Home", "About us", "Story 10"])]
-                             + [(11, "", ["plain", "text"])] * 2 + [(12, "", [])])
+                             + [(11, "", [])] * 2 + [(12, "", [])])
     assert line_dedup.cleaned(df.limit(0)).collect() == []
 
 
+def test_lines_of_small_hosts_and_tags_that_only_begin_like_scripts(spark):
+    rows = [(n, f"http://h{h}.example/{n}", f"<li>Menu</li><p>Page {n} of {h}</p>") for h in range(1, 5) for n in range(10 * h, 11 * h)]
+    rows += [(90, "http://x.example", "<scripture>verse</scripture><p>keep</p><script>gone()</script><styled>s</styled><STYLE type=a>gone</STYLE >"),
+             (91, "http://x.example", "<script src='a'>gone</script>&amp; <script>open")]
+    got = {r.page_id: r.kept for r in line_dedup.cleaned(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == ["Menu", "Page 10 of 1"]          # the only page of its host
+    assert all(got[n] == [f"Page {n} of {h}"] for h in range(2, 5) for n in range(10 * h, 11 * h))
+    assert got[90] == ["verse", "keep", "s"] or got[90] == ["versekeep", "s"], got[90]
+    assert got[91] == ["&amp; open"]
+
+
 def test_fingerprints_and_next(spark, odd):
     df = odd.selectExpr("doc_id", "coalesce(text, '') AS text", "source")
     rows = fingerprints.with_next(df, "doc_id", ["text"]).collect()
@@ -257,6 +269,20 @@ def test_mixing_targets_and_reruns(spark, odd):
     assert mixing.mix(odd.limit(0)).collect() == []
 
 
+def test_mixing_comes_near_small_targets_and_takes_longer_documents_more_often(spark):
+    rows = mixing.mix(documents(spark, SMALL)).select("source", "size", "source_size", "target", "copies").collect()
+    taken = collections.Counter()
+    for r in rows:
+        taken[r.source] += r.size * r.copies
+    assert all(abs(taken[s] - t) <= 0.07 * t for s, t in {(r.source, r.target) for r in rows})
+    big = spark.createDataFrame([(i, "a" if i < 3000 else "b", "w " * (2 if i % 2 else 60)) for i in range(3300)], "doc_id long, source string, text string")
+    got = [r for r in mixing.mix(big, weights=(1, 30)).collect() if r.source == "a"]
+    long, short = ([r.copies for r in got if r.size == n] for n in (60, 2))
+    ratio = (sum(long) / len(long)) / (sum(short) / len(short))
+    odds = math.log(61) / math.log(3)
+    assert got[0].target < got[0].source_size and 0.75 * odds < ratio < 1.3 * odds
+
+
 def test_mixing_document_weights(spark):
     rows = [(i, "a", "w " * (1 + i % 5), 10.0 if i < 20 else 1.0) for i in range(400)] + [(1000 + i, "b", "w " * 30, 1.0) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, weight double")

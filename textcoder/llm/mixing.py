@@ -1,26 +1,29 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source of ``S`` words with target ``T`` first gives ``floor(T / S)`` certain whole copies of each of
-its documents. The rest of the target, ``R`` words, is a sample without replacement: document i has
-inclusion probability ``p_i`` (``R / S``, or in proportion to a document weight and at most 1), a
-reproducible uniform ``u_i``, and the rank ``[u_i / (1 - u_i)] / [p_i / (1 - p_i)]``. Documents are taken
-in order of rank as long as the fixed size, which is in words and not in documents, is not exceeded. What then is missing,
-less than one document, is closed by the one further document whose size comes nearest, if that helps.
+its documents. The rest of the target, ``R`` words, is a sample without replacement of unequal probabilities: document i has
+inclusion probability ``p_i = min(1, c w_i)``, with c such that the sample has R words on average (``w_i``: by default
+``ln(1 + size)``, so that longer documents are likelier), a reproducible uniform ``u_i``, and the rank
+``[u_i / (1 - u_i)] / [p_i / (1 - p_i)]``. The size is fixed in words, not in documents: in order of rank, documents
+are taken that fit into what is missing, until none fits. What then is missing, less than any document left,
+is closed by the one further document whose size comes nearest, if that helps.
 
 The cut of a source is found without sorting the source: sums over fine bins of the rank give the
-bin in which the target is met, and only that bin (about 1/4000 of a source) is ordered exactly.
-Only tables with a row per source or bin are shuffled, and a hot source is summed map-side.
+bin in which the target is met, and only that bin (about 1/4000 of a source) is ordered exactly. Past the first document that does
+not fit, the same is done again with the documents that still fit, until there is none; what these further passes take is less than
+the words of one document of the source. Only tables with a row per source, bin or such document are shuffled, and a hot source is summed map-side.
 
 Defined cases: a null source is a source of its own, the last; a null text has no words; a source
-without words has target 0; rows with equal key share rank and fate, so reruns agree; an
-empty table gives an empty result; columns named like the outputs are replaced.
+without words has target 0; rows with equal key share rank and fate, so reruns agree; a weight that is null or negative
+counts as 0, and such documents are not sampled; an empty table gives an empty result; columns named like the outputs are replaced, and other columns
+may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcoder.llm.util import cut, lookup, unit_interval, word_count
@@ -84,85 +87,127 @@ def _inclusion(rows: DataFrame, quota: DataFrame) -> DataFrame:
         scale = new.drop("moved")
 
 
+def size_weight(size: Column) -> Column:
+    """Weight of a document of so many words in the sample of its source."""
+    return F.log(1 + size.cast("double"))
+
+
+def _cuts(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """(source, cut_bin, last, got): where the rows of each source, in order of (q, key), pass its ``missing`` words.
+
+    ``rows``: source, q, bin, key, size; ``budget``: source, missing. ``got`` words are in the rows up to ``last`` (q, key; null: in none of
+    the cut bin). A source whose rows do not pass what is missing has no cut (null bin) and all its words.
+    """
+    small = budget.select(F.col("source").alias("b_source"), "missing")
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = (bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+            .join(small, F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source"))
+    # The first bin in which the words pass what is missing.
+    found = cut(bins.groupBy("source", "missing").agg(
+        F.min(F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("bin", "before"))).alias("at"), F.sum("words").alias("words")))
+    inside = lookup(found.filter("at is not null").select(F.col("source").alias("c_source"), F.col("at.bin").alias("c_bin"),
+                                                          F.col("at.before").alias("before"), "missing"))
+    run = Window.partitionBy("c_source").orderBy("q", "key").rowsBetween(Window.unboundedPreceding, 0)
+    last = (rows.join(inside, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("c_bin")))
+            .withColumn("upto", F.col("before") + F.sum("size").over(run)).filter(F.col("upto") <= F.col("missing"))
+            .groupBy(F.col("c_source").alias("l_source")).agg(F.max(F.struct("q", "key")).alias("last"), F.max("upto").alias("upto")))
+    return (found.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
+            .select("source", F.col("at.bin").alias("cut_bin"), "last", F.coalesce("upto", "at.before", "words").alias("got")))
+
+
+def _before(row_bin: Column, row: Column) -> Column:
+    """Whether a row (q, key) lies before the cut of its source."""
+    return F.coalesce(F.col("cut_bin").isNull() | (row_bin < F.col("cut_bin")) | ((row_bin == F.col("cut_bin")) & (row <= F.col("last"))),
+                      F.lit(False))
+
+
+def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cuts, further): the first cut of each source, and the (source, key) that are taken past it."""
+    cuts = lookup(_cuts(ranked, budget))
+    place = F.struct("q", "key")
+    state = cut(budget.select(F.col("source").alias("b"), "missing").join(cuts, F.col("b").eqNullSafe(F.col("source")), "left")
+                .select(F.col("b").alias("of"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("left"), "cut_bin", "last"))
+    further, beyond = None, ~_before(F.col("bin"), place)
+    at = lookup(state)
+    # Rows past the cut that still fit; past a cut without a last row, all rows of its bin are.
+    open_rows = cut(ranked.join(at, F.col("source").eqNullSafe(F.col("of"))).filter(beyond & (F.col("size") <= F.col("left"))).select(*ranked.columns))
+    while not open_rows.isEmpty():
+        left = state.select(F.col("of").alias("source"), F.col("left").alias("missing"))
+        now = lookup(_cuts(open_rows, left).select(F.col("source").alias("c"), "cut_bin", "last", "got"))
+        seen = open_rows.join(now, F.col("source").eqNullSafe(F.col("c")))
+        taken = seen.filter(_before(F.col("bin"), place)).select("source", "key")
+        further = cut(taken if further is None else further.union(taken))
+        state = cut(state.select("of", "left").join(now.select("c", "got"), F.col("of").eqNullSafe(F.col("c")), "left")
+                    .select("of", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")))
+        small = lookup(state)
+        open_rows = cut(seen.filter(~_before(F.col("bin"), place)).select(*ranked.columns)
+                        .join(small, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("size") <= F.col("left")).select(*ranked.columns))
+    left = lookup(state.select("of", "left"))
+    # One further document, if it brings the words nearer to the target.
+    rest = ranked.join(at.select(F.col("of").alias("first_of"), "cut_bin", "last"), F.col("source").eqNullSafe(F.col("first_of"))).filter(beyond)
+    if further is not None:
+        gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")))
+        rest = rest.join(gone, F.col("source").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("g_key")), "left_anti")
+    off = F.abs(F.col("left") - F.col("size"))
+    closing = (rest.join(left, F.col("source").eqNullSafe(F.col("of"))).filter(off < F.col("left"))
+               .groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key")).alias("x")).select("source", F.col("x.key").alias("key")))
+    return cuts, lookup(closing if further is None else further.union(closing))
+
+
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
         weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES, doc_weight: str | None = None,
         seed: int = SEED) -> DataFrame:
-    """All columns of ``df`` and: size, source_size, target, copies (0 to ``max_copies``)."""
-    outputs = {"size": "__size", "source_size": "__source_size", "target": "__target", "copies": "__copies"}
-    weight = F.lit(1.0) if doc_weight is None else F.greatest(F.coalesce(F.col(doc_weight).cast("double"), F.lit(0.0)),
-                                                              F.lit(0.0))
-    u = unit_interval(F.lit(seed), F.col(key))
-    slim = cut(df.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                         weight.alias("weight"), u.alias("u")))
+    """All columns of ``df`` and: size, source_size, target, copies (0 to ``max_copies``).
+
+    ``doc_weight`` names a column of weights; without, a document weighs by its size (``size_weight``).
+    """
+    outputs = ("size", "source_size", "target", "copies")
+    names = df.columns
+    inner = {n: f"in_{i}" for i, n in enumerate(names)}
+    size = word_count(F.col(inner[text]))
+    given = size_weight(size) if doc_weight is None else F.col(inner[doc_weight]).cast("double")
+    weight = F.greatest(F.coalesce(given, F.lit(0.0)), F.lit(0.0))
+    u = unit_interval(F.lit(seed), F.col(inner[key]))
+    whole = df.toDF(*inner.values())
+    slim = cut(whole.select(F.col(inner[key]).alias("key"), F.col(inner[source]).alias("source"), size.alias("size"), weight.alias("weight"), u.alias("u")))
     goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     quota = (goal.withColumn("whole", F.least(F.floor(times), F.lit(max_copies)).cast("int"))
              .select(F.col("source").alias("q_source"), "whole",
-                     F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("remaining"),
-                     F.when(F.col("source_size") > 0, (F.col("target") - F.col("whole") * F.col("source_size"))
-                            / F.col("source_size")).otherwise(0.0).alias("scale")))
-    quota = lookup(quota if doc_weight is None else _inclusion(slim, quota))
+                     F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("remaining")))
+    quota = lookup(_inclusion(slim, quota))
 
-    def ranked(rows: DataFrame, src: str, w, draw) -> DataFrame:
-        """Adds __p, __q and __bin; a certain document has no rank."""
+    def ranked(rows: DataFrame, src: str, w: Column, draw: Column) -> DataFrame:
+        """Adds p, q and bin; a certain document (p = 1) and one that is not sampled (p = 0) have no rank."""
         at = rows.join(quota, F.col(src).eqNullSafe(quota["q_source"]), "left")
         p = F.least(F.lit(1.0), F.col("scale") * w)
         q = (draw / (1 - draw)) / (p / (1 - p))
-        return (at.withColumn("__p", p).withColumn("__q", F.when((p > 0) & (p < 1), q))
-                .withColumn("__bin", F.floor(F.log("__q") * _BINS_PER_E)))
-
-    at = ranked(slim, "source", F.col("weight"), F.col("u"))
-    sure = at.groupBy(F.col("q_source").alias("c_source")).agg(
-        F.sum(F.when(F.col("__p") >= 1, F.col("size")).otherwise(0)).alias("certain"))
-    bins = at.filter("__q is not null").groupBy("q_source", "remaining", "__bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("q_source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (bins.join(sure, F.col("q_source").eqNullSafe(F.col("c_source")))
-            .withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)) + F.col("certain")))
-    # The first bin in which the words reach what remains; with none, every ranked document is in.
-    cut_bin = cut(bins.filter(F.col("before") + F.col("words") >= F.col("remaining"))
-                  .groupBy(F.col("q_source").alias("b_source")).agg(F.min(F.struct("__bin", "before")).alias("b"))
-                  .select("b_source", F.col("b.__bin").alias("cut_bin"), F.col("b.before").alias("before")))
-    last = (at.join(cut_bin, F.col("q_source").eqNullSafe(F.col("b_source")) & (F.col("__bin") == F.col("cut_bin")))
-            .groupBy("b_source", "remaining", "before", "__q", "key").agg(F.sum("size").alias("words")))
-    run = Window.partitionBy("b_source").orderBy("__q", "key").rowsBetween(Window.unboundedPreceding, 0)
-    last = (last.withColumn("upto", F.col("before") + F.sum("words").over(run))
-            .filter(F.col("upto") <= F.col("remaining"))
-            .groupBy(F.col("b_source").alias("l_source"))
-            .agg(F.max(F.struct("__q", "key")).alias("last"), F.max("upto").alias("upto")))
-    marks = lookup(goal.join(cut_bin, F.col("source").eqNullSafe(F.col("b_source")), "left")
-                .join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-                .select(F.col("source").alias("m_source"), F.col("source_size").alias("__source_size"),
-                        F.col("target").alias("__target"), "cut_bin", "last",
-                        F.coalesce("upto", "before").alias("upto")))
-
-    def taken(rank, name):
-        """Whether a ranked row lies before the cut of its source."""
-        here = F.coalesce(F.struct(rank.alias("__q"), name.alias("key")) <= F.col("last"), F.lit(False))
-        return F.coalesce((F.col("__bin") < F.col("cut_bin")) | ((F.col("__bin") == F.col("cut_bin")) & here)
-                          | (F.col("cut_bin").isNull() & rank.isNotNull()), F.lit(False))
-
-    missing = F.col("remaining") - F.col("upto")
-    closing = (at.join(marks, F.col("source").eqNullSafe(F.col("m_source")))
-               .filter(F.col("__q").isNotNull() & F.col("cut_bin").isNotNull() & ~taken(F.col("__q"), F.col("key"))
-                       & (F.abs(missing - F.col("size")) < missing))
-               .groupBy(F.col("source").alias("x_source"))
-               .agg(F.min(F.struct(F.abs(missing - F.col("size")).alias("off"), "__q", "key")).alias("x"))
-               .select("x_source", F.struct("x.__q", "x.key").alias("closing")))
-    marks = lookup(marks.join(closing, F.col("m_source").eqNullSafe(F.col("x_source")), "left").drop("x_source"))
-    whole = df.select("*", word_count(F.col(text)).alias("__size"), weight.alias("__weight"), u.alias("__u"))
-    at = (ranked(whole, source, F.col("__weight"), F.col("__u"))
-          .join(marks, F.col(source).eqNullSafe(F.col("m_source")), "left"))
-    own = F.struct(F.col("__q"), F.col(key).alias("key"))
-    chosen = ((F.col("__p") >= 1) | taken(F.col("__q"), F.col(key))
-              | F.coalesce(own == F.col("closing"), F.lit(False)))
-    at = at.withColumn("__copies", F.col("whole") + chosen.cast("int"))
-    kept = [c for c in df.columns if c not in outputs]
-    return at.select(*kept, *[F.col(v).alias(k) for k, v in outputs.items()])
+        return (at.withColumn("p", p).withColumn("q", F.when((p > 0) & (p < 1), q))
+                .withColumn("bin", F.floor(F.log("q") * _BINS_PER_E)))
+
+    at = cut(ranked(slim, "source", F.col("weight"), F.col("u")).select("source", "key", "size", "p", "q", "bin"))
+    sure = at.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(F.col("p") >= 1, F.col("size")).otherwise(0)).alias("certain"))
+    budget = cut(quota.join(sure, F.col("q_source").eqNullSafe(F.col("s")))
+                 .select(F.col("q_source").alias("source"), (F.col("remaining") - F.col("certain")).alias("missing")))
+    rows = cut(at.filter("q is not null and size > 0").groupBy("source", "q", "bin", "key").agg(F.sum("size").alias("size")))
+    cuts, further = _fill(rows, budget)
+    marks = lookup(goal.select(F.col("source").alias("m_source"), "source_size", "target")
+                   .join(cuts.withColumn("has_cut", F.lit(True)), F.col("m_source").eqNullSafe(F.col("source")), "left").drop("source"))
+    further = further.select(F.col("source").alias("f_source"), F.col("key").alias("f_key"), F.lit(True).alias("picked")).distinct()
+    own = whole.select("*", size.alias("size"), weight.alias("weight"), u.alias("u"))
+    own = (ranked(own, inner[source], F.col("weight"), F.col("u"))
+           .join(marks, F.col(inner[source]).eqNullSafe(F.col("m_source")), "left")
+           .join(further, F.col(inner[source]).eqNullSafe(F.col("f_source")) & F.col(inner[key]).eqNullSafe(F.col("f_key"))
+                 & F.col("q").isNotNull() & (F.col("size") > 0), "left"))
+    first = F.coalesce(F.col("has_cut"), F.lit(False)) & F.col("q").isNotNull() & _before(F.col("bin"), F.struct("q", F.col(inner[key]).alias("key")))
+    own = own.withColumn("copies", F.col("whole") + ((F.col("p") >= 1) | first | F.col("picked").isNotNull()).cast("int"))
+    return own.select(*[F.col(inner[n]).alias(n) for n in names if n not in outputs], *outputs)
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document repeated by its copies, with the columns of ``df`` only."""
     names = df.columns
-    slim = mix(df.select("*", *[F.col(c).alias(f"__in_{i}") for i, c in enumerate(names)]), **options)
+    slim = mix(df.select("*", *[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(names)]), **options)
     again = slim.filter("copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return again.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(names)])

@@ -32,20 +32,27 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}'
      f AS (SELECT coalesce(min_by(level, pos) FILTER (WHERE level <= ratio), 0) AS first FROM l),
      t AS (SELECT source, source_size, least(cap::DOUBLE, weight * first) AS target FROM l, f),
      q AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), {mixing.MAX_COPIES})::INT ELSE 0 END AS whole FROM t),
-     p AS (SELECT *, greatest(0.0, target - whole * source_size) AS remaining,
-                  CASE WHEN source_size > 0 THEN least(1.0, (target - whole * source_size) / source_size) ELSE 0.0 END AS p FROM q),
-     r AS (SELECT d.*, source_size, target, whole, remaining, p,
-                  CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank
-           FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-     a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-           FROM r WHERE rank IS NOT NULL),
-     b AS (SELECT source AS s, max(CASE WHEN upto <= remaining THEN upto ELSE 0 END) AS got FROM a GROUP BY 1),
-     e AS (SELECT a.*, upto <= remaining AS taken, remaining - got AS missing FROM a JOIN b ON a.source IS NOT DISTINCT FROM b.s),
-     x AS (SELECT source AS s, arg_min(doc_id, row(abs(missing - size), rank, doc_id)) AS closing
-           FROM e WHERE NOT taken AND abs(missing - size) < missing GROUP BY 1)
+     m AS (SELECT d.*, source_size, target, whole, greatest(0.0, target - whole * source_size) AS remaining, ln(1 + size::DOUBLE) AS w
+           FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+     h AS (SELECT source, w, (remaining - coalesce(sum(size) OVER (PARTITION BY source ORDER BY w DESC, doc_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                  / nullif(sum(w * size) OVER (PARTITION BY source ORDER BY w DESC, doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale,
+                  row_number() OVER (PARTITION BY source ORDER BY w DESC, doc_id) AS pos FROM m),
+     k AS (SELECT source, min_by(scale, pos) FILTER (WHERE scale * w < 1) AS scale FROM h GROUP BY 1),
+     p AS (SELECT m.*, least(1.0, coalesce(k.scale, CASE WHEN remaining > 0 THEN 'infinity'::DOUBLE ELSE 0 END) * w) AS p
+           FROM m JOIN k ON m.source IS NOT DISTINCT FROM k.source),
+     r AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p),
+     z AS (SELECT source, any_value(remaining) - coalesce(sum(size) FILTER (WHERE p >= 1), 0)::DOUBLE AS missing,
+                  coalesce(list({{'left': size::DOUBLE, 'ids': [doc_id]}} ORDER BY rank, doc_id) FILTER (WHERE rank IS NOT NULL AND size > 0), []) AS ranked
+           FROM r GROUP BY 1),
+     f2 AS (SELECT source, list_reduce(list_concat([{{'left': missing, 'ids': []::BIGINT[]}}], ranked),
+                  lambda a, x: CASE WHEN x.left <= a.left THEN {{'left': a.left - x.left, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS done FROM z),
+     x AS (SELECT r.source AS s, arg_min(doc_id, row(abs(done.left - size), rank, doc_id)) AS closing
+           FROM r JOIN f2 ON r.source IS NOT DISTINCT FROM f2.source
+           WHERE rank IS NOT NULL AND size > 0 AND NOT list_contains(done.ids, doc_id) AND abs(done.left - size) < done.left GROUP BY 1)
 SELECT r.doc_id, r.size, r.source_size, r.target,
-       (r.size * (r.whole + CASE WHEN r.p >= 1 OR coalesce(e.taken, false) OR coalesce(x.closing = r.doc_id, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r LEFT JOIN e ON r.doc_id = e.doc_id LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.s AND r.rank IS NOT NULL
+       (r.size * (r.whole + CASE WHEN r.p >= 1 OR list_contains(done.ids, r.doc_id) OR coalesce(x.closing = r.doc_id, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN f2 ON r.source IS NOT DISTINCT FROM f2.source LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.s
 """
 
 
