@@ -1,4 +1,4 @@
-"""Licence notices as data: customary one-line notices, file headers and body paragraphs, by SPDX identifier.
+"""Licence notices as data: customary notices, identifiers and titles, file headers and body paragraphs, by SPDX identifier.
 
 Every version of a family is given in the same wordings, so a notice is nearest to its own version.
 """
@@ -25,15 +25,20 @@ _CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribu
 
 NAMES: dict[str, list[str]] = {
     "AGPL-3.0": _gnu("Affero General Public License", "AGPL", "3"),
+    "AFL-3.0": ["the Academic Free License version 3.0", "the Academic Free License v3.0"],
     "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"],
     "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License"],
     "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License"],
+    "BSL-1.0": ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"],
+    "CC0-1.0": ["CC0 1.0", "the Creative Commons CC0 1.0 Universal license"],
+    "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License v2.0"],
     "GPL-2.0": _gnu("General Public License", "GPL", "2"),
     "GPL-3.0": _gnu("General Public License", "GPL", "3"),
     "ISC": ["the ISC License"],
     "LGPL-2.1": _gnu("Lesser General Public License", "LGPL", "2.1"),
     "LGPL-3.0": _gnu("Lesser General Public License", "LGPL", "3"),
     "MIT": ["the MIT License", "the MIT/Expat License"],
+    "Zlib": ["the zlib License", "the zlib/libpng License"],
     "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"],
     **{f"CC-{code}-{v}": _cc(parts, code, v) for code, parts in _CC.items() for v in ("3.0", "4.0")},
 }
@@ -78,4 +83,31 @@ TEXTS = [
                 "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
-TEMPLATES = sorted({(licence, form.format(name)) for licence, names in NAMES.items() for name in names for form in FORMS}) + TEXTS
+TITLES = [
+    ("AFL-3.0", "Academic Free License version 3.0"), ("AGPL-3.0", "GNU Affero General Public License Version 3"), ("Apache-2.0", "Apache License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License Version 1.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"), ("EPL-2.0", "Eclipse Public License v 2.0"), ("GPL-2.0", "GNU General Public License Version 2"), ("GPL-2.0", "GPL v2"),
+    ("GPL-2.0", "GPL version 2"), ("GPL-3.0", "GNU General Public License Version 3"), ("GPL-3.0", "GPL v3"), ("GPL-3.0", "GPL version 3"), ("ISC", "ISC License"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1"), ("LGPL-2.1", "LGPL v2.1"), ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("LGPL-3.0", "LGPL v3"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "MPL 2.0"), ("Zlib", "zlib License"),
+]
+
+TEXTS += [
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+                'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+                "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+                "subject to the following:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+                  "compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+             "damages arising from the use of this software."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+             "redistribute it freely, subject to the following restrictions:"),
+]
+
+_IDENTIFIERS = sorted({*NAMES, "Unlicense", *[f"{x}-{y}" for x in NAMES if "GPL" in x for y in ("only", "or-later")]})
+_SPDX = [(x.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {x}") for x in _IDENTIFIERS]
+
+TEMPLATES = sorted({(licence, form.format(name)) for licence, names in NAMES.items() for name in names for form in FORMS} | {*TITLES, *_SPDX}) + TEXTS

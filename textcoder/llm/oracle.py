@@ -78,21 +78,30 @@ SELECT page_id, host, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_kept,
 FROM p LEFT JOIN k ON p.rid = k.rid
 """
 
-_TEMPLATE_ROWS = ", ".join(f"({i}, {_quoted(name)}, [{', '.join(map(_quoted, licenses.template_bigrams(t)))}])"
-                           for i, (name, t) in enumerate(licenses.TEMPLATES))
+_T = licenses.THRESHOLD
+_GRAMS = [licenses.template_bigrams(t) for _, t in licenses.TEMPLATES]
+_TEMPLATE_ROWS = ", ".join(f"({i}, {_quoted(name)}, {len(licenses.template_words(t))}, [{', '.join(map(_quoted, g))}])"
+                           for i, ((name, t), g) in enumerate(zip(licenses.TEMPLATES, _GRAMS, strict=True)))
+_ANCHOR_ROWS = ", ".join(f"({_quoted(g)}, {t}, {k})" for g, places in licenses.placements(licenses.TEMPLATES, _T).items() for t, k in places)
 ORACLE["op9_licenses"] = f"""
-WITH t(tid, name, grams) AS (VALUES {_TEMPLATE_ROWS}),
-     d AS (SELECT doc_id, row_number() OVER () AS rid, text FROM documents),
-     l AS (SELECT rid, u.pos, list_filter(string_split(regexp_replace(lower(u.line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS words
-           FROM d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos) u),
-     g AS (SELECT rid, pos, list_distinct(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) AS grams
-           FROM l WHERE len(words) BETWEEN 2 AND 1000),
-     m AS (SELECT rid, pos, name, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-           FROM g JOIN t ON list_has_any(g.grams, t.grams)),
-     b AS (SELECT rid, pos, arg_min(name, row(-dice, name)) AS name, max(dice) AS dice FROM m WHERE dice >= {licenses.THRESHOLD} GROUP BY 1, 2),
-     s AS (SELECT rid, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(dice) AS dice FROM b GROUP BY 1)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_license_lines, coalesce(names, '') AS licenses, coalesce(dice, 0.0)::DOUBLE AS best_dice
-FROM d LEFT JOIN s ON d.rid = s.rid
+WITH t(tid, name, words, grams) AS (VALUES {_TEMPLATE_ROWS}),
+     a(gram, tid, k) AS (VALUES {_ANCHOR_ROWS}),
+     d AS (SELECT doc_id, row_number() OVER () AS rid,
+                  list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+     g AS (SELECT rid, u.i, w[u.i] || ' ' || w[u.i + 1] AS gram FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS i) u),
+     c AS (SELECT DISTINCT g.rid, a.tid, g.i - a.k AS first FROM g JOIN a ON g.gram = a.gram),
+     x AS (SELECT c.rid, t.name, c.first, c.first + t.words - 1 AS last, t.grams,
+                  list_distinct(list_transform(generate_series(c.first, c.first + t.words - 2), lambda j: d.w[j] || ' ' || d.w[j + 1])) AS own
+           FROM c JOIN t ON c.tid = t.tid JOIN d ON c.rid = d.rid WHERE c.first >= 1 AND c.first + t.words - 1 <= len(d.w)),
+     m AS (SELECT rid, name, first, last, len(grams) AS n, 2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice FROM x),
+     o AS (SELECT rid, list([{{'first': first, 'last': last, 'name': name, 'dice': dice}}] ORDER BY dice DESC, n DESC, name, first) AS found
+           FROM m WHERE dice >= {_T} GROUP BY 1),
+     b AS (SELECT rid, list_reduce(found, lambda kept, y: CASE WHEN len(list_filter(kept, lambda z: z.first <= y[1].last AND y[1].first <= z.last)) > 0
+                  THEN kept ELSE list_concat(kept, y) END) AS best FROM o)
+SELECT doc_id, coalesce(len(best), 0)::BIGINT AS n_licenses,
+       coalesce(array_to_string(list_sort(list_distinct(list_transform(best, lambda y: y.name))), ','), '') AS licenses,
+       coalesce(list_max(list_transform(best, lambda y: y.dice)), 0.0)::DOUBLE AS best_dice
+FROM d LEFT JOIN b ON d.rid = b.rid
 """
 
 _LETTERS = ", ".join(f"('{x}')" for x in filter_audit.FILTERS)

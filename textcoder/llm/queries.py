@@ -95,10 +95,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
-    lines = F.col("licence_lines")
-    return found.select("doc_id", F.size(lines).cast("long").alias("n_license_lines"),
-                        F.array_join(F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["licence"]))), ",").alias("licenses"),
-                        F.coalesce(F.array_max(F.transform(lines, lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"))
+    hits = F.col("licences")
+    return found.select("doc_id", F.size(hits).cast("long").alias("n_licenses"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["licence"]))), ",").alias("licenses"),
+                        F.coalesce(F.array_max(F.transform(hits, lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"))
 
 
 @query
