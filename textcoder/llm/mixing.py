@@ -4,14 +4,14 @@ A source of ``S`` words with target ``T`` first gives ``floor(T / S)`` certain w
 its documents. The rest of the target, ``R`` words, is a sample without replacement of unequal probabilities: document i has
 inclusion probability ``p_i = min(1, c w_i)``, with c such that the sample has R words on average (``w_i``: by default
 ``ln(1 + size)``, so that longer documents are likelier), a reproducible uniform ``u_i``, and the rank
-``[u_i / (1 - u_i)] / [p_i / (1 - p_i)]``. The size is fixed in words, not in documents: in order of rank, documents
-are taken that fit into what is missing, until none fits. What then is missing, less than any document left,
-is closed by the one further document whose size comes nearest, if that helps.
+``[u_i / (1 - u_i)] / [p_i / (1 - p_i)]``. The size is fixed in words, not in documents: documents
+are taken in order of rank up to the first that does not fit into what is missing. What is missing then, less than that one, is
+filled by the largest documents left that fit, until none does, and closed by the one further document whose size comes nearest, if that helps.
 
 The cut of a source is found without sorting the source: sums over fine bins of the rank give the
-bin in which the target is met, and only that bin (about 1/4000 of a source) is ordered exactly. Past the first document that does
-not fit, the same is done again with the documents that still fit, until there is none; what these further passes take is less than
-the words of one document of the source. Only tables with a row per source, bin or such document are shuffled, and a hot source is summed map-side.
+bin in which the target is met, and only that bin (about 1/4000 of a source) is ordered exactly. The filling goes in rounds over the
+``_ROUND`` largest documents of each source that fit. Only tables with a row per source, bin or document of a round are shuffled, and a hot
+source is summed map-side.
 
 Defined cases: a null source is a source of its own, the last; a null text has no words; a source
 without words has target 0; rows with equal key share rank and fate, so reruns agree; a weight that is null or negative
@@ -32,6 +32,8 @@ SEED = 8
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 _BINS_PER_E = 1024
+#: Documents of a source that a round past the cut looks at.
+_ROUND = 64
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -123,36 +125,41 @@ def _before(row_bin: Column, row: Column) -> Column:
 
 
 def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cuts, further): the first cut of each source, and the (source, key) that are taken past it."""
+    """(cuts, further): the cut of each source, and the (source, key) that are taken past it."""
     cuts = lookup(_cuts(ranked, budget))
-    place = F.struct("q", "key")
-    state = cut(budget.select(F.col("source").alias("b"), "missing").join(cuts, F.col("b").eqNullSafe(F.col("source")), "left")
-                .select(F.col("b").alias("of"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("left"), "cut_bin", "last"))
-    further, beyond = None, ~_before(F.col("bin"), place)
-    at = lookup(state)
-    # Rows past the cut that still fit; past a cut without a last row, all rows of its bin are.
-    open_rows = cut(ranked.join(at, F.col("source").eqNullSafe(F.col("of"))).filter(beyond & (F.col("size") <= F.col("left"))).select(*ranked.columns))
-    while not open_rows.isEmpty():
-        left = state.select(F.col("of").alias("source"), F.col("left").alias("missing"))
-        now = lookup(_cuts(open_rows, left).select(F.col("source").alias("c"), "cut_bin", "last", "got"))
-        seen = open_rows.join(now, F.col("source").eqNullSafe(F.col("c")))
-        taken = seen.filter(_before(F.col("bin"), place)).select("source", "key")
-        further = cut(taken if further is None else further.union(taken))
-        state = cut(state.select("of", "left").join(now.select("c", "got"), F.col("of").eqNullSafe(F.col("c")), "left")
-                    .select("of", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")))
-        small = lookup(state)
-        open_rows = cut(seen.filter(~_before(F.col("bin"), place)).select(*ranked.columns)
-                        .join(small, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("size") <= F.col("left")).select(*ranked.columns))
-    left = lookup(state.select("of", "left"))
+    at = lookup(budget.select(F.col("source").alias("of"), "missing").join(cuts.withColumnRenamed("source", "c"), F.col("of").eqNullSafe(F.col("c")), "left")
+                .select("of", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("left"), "cut_bin", "last"))
+    beyond = cut(ranked.join(at, F.col("source").eqNullSafe(F.col("of"))).filter(~_before(F.col("bin"), F.struct("q", "key")))
+                 .select("source", "size", "q", "key"))
+    order = F.struct((-F.col("size")).alias("size"), "q", "key")
+    first = Window.partitionBy("source").orderBy(F.col("size").desc(), "q", "key")
+    # Of each source: what is missing, the document up to which all were looked at (largest first), and those taken by the last round.
+    state = at.select("of", "left", F.lit(None).cast(beyond.select(order.alias("o")).schema["o"].dataType).alias("seen"))
+    further = beyond.select("source", "key").limit(0)
+    while True:
+        small = lookup(state.select("of", "left", "seen"))
+        fitting = (beyond.join(small, F.col("source").eqNullSafe(F.col("of"))).filter((F.col("size") <= F.col("left")) & F.coalesce(order > F.col("seen"), F.lit(True)))
+                   .withColumn("no", F.row_number().over(first)).filter(F.col("no") <= _ROUND))
+        # At most _ROUND documents a source; each is taken if it fits into what those before it leave.
+        took = fitting.groupBy("source").agg(F.max("left").alias("left"), F.array_sort(F.collect_list(order)).alias("rows"))
+        start = F.struct(F.col("left").alias("left"), F.filter("rows", lambda _: F.lit(False)).alias("taken"))
+        end = F.aggregate("rows", start, lambda a, x: F.when(-x["size"] <= a["left"], F.struct(
+            (a["left"] + x["size"]).alias("left"), F.array_append(a["taken"], x).alias("taken"))).otherwise(a))
+        state = cut(took.select(F.col("source").alias("of"), F.element_at("rows", -1).alias("seen"), end.alias("end"))
+                    .select("of", "end.left", "seen", "end.taken"))
+        if state.isEmpty():
+            break
+        further = cut(further.union(state.select(F.col("of").alias("source"), F.explode("taken.key").alias("key"))))
     # One further document, if it brings the words nearer to the target.
-    rest = ranked.join(at.select(F.col("of").alias("first_of"), "cut_bin", "last"), F.col("source").eqNullSafe(F.col("first_of"))).filter(beyond)
-    if further is not None:
-        gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")))
-        rest = rest.join(gone, F.col("source").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("g_key")), "left_anti")
+    gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")))
+    rest = (beyond.join(gone, F.col("source").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("g_key")), "left"))
+    got = rest.filter("g_key is not null or g is not null").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("more"))
+    left = lookup(at.select("of", "left").join(got, F.col("of").eqNullSafe(F.col("s")), "left")
+                  .select("of", (F.col("left") - F.coalesce("more", F.lit(0))).alias("left")))
     off = F.abs(F.col("left") - F.col("size"))
-    closing = (rest.join(left, F.col("source").eqNullSafe(F.col("of"))).filter(off < F.col("left"))
+    closing = (rest.filter("g_key is null and g is null").join(left, F.col("source").eqNullSafe(F.col("of"))).filter(off < F.col("left"))
                .groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key")).alias("x")).select("source", F.col("x.key").alias("key")))
-    return cuts, lookup(closing if further is None else further.union(closing))
+    return cuts, lookup(further.union(closing))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",

@@ -42,11 +42,19 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}'
      p AS (SELECT m.*, least(1.0, coalesce(k.scale, CASE WHEN remaining > 0 THEN 'infinity'::DOUBLE ELSE 0 END) * w) AS p
            FROM m JOIN k ON m.source IS NOT DISTINCT FROM k.source),
      r AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM p),
-     z AS (SELECT source, any_value(remaining) - coalesce(sum(size) FILTER (WHERE p >= 1), 0)::DOUBLE AS missing,
-                  coalesce(list({{'left': size::DOUBLE, 'ids': [doc_id]}} ORDER BY rank, doc_id) FILTER (WHERE rank IS NOT NULL AND size > 0), []) AS ranked
-           FROM r GROUP BY 1),
-     f2 AS (SELECT source, list_reduce(list_concat([{{'left': missing, 'ids': []::BIGINT[]}}], ranked),
-                  lambda a, x: CASE WHEN x.left <= a.left THEN {{'left': a.left - x.left, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS done FROM z),
+     v AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+           FROM r WHERE rank IS NOT NULL AND size > 0),
+     z AS (SELECT source, any_value(remaining) - coalesce(sum(size) FILTER (WHERE p >= 1), 0)::DOUBLE AS missing FROM r GROUP BY 1),
+     y AS (SELECT v.source AS s, any_value(missing) AS missing, min(row(rank, doc_id)) FILTER (WHERE upto > missing) AS stop
+           FROM v JOIN z ON v.source IS NOT DISTINCT FROM z.source GROUP BY 1),
+     n AS (SELECT v.source, any_value(missing) - coalesce(sum(size) FILTER (WHERE stop IS NULL OR row(rank, doc_id) < stop), 0)::DOUBLE AS missing,
+                  coalesce(list(doc_id) FILTER (WHERE stop IS NULL OR row(rank, doc_id) < stop), []) AS ids,
+                  coalesce(list({{'left': size::DOUBLE, 'ids': [doc_id]}} ORDER BY size DESC, rank, doc_id)
+                      FILTER (WHERE stop IS NOT NULL AND row(rank, doc_id) >= stop), []) AS rest
+           FROM v JOIN y ON v.source IS NOT DISTINCT FROM y.s GROUP BY 1),
+     f2 AS (SELECT z.source, list_reduce(list_concat([{{'left': coalesce(n.missing, z.missing), 'ids': coalesce(ids, [])::BIGINT[]}}], coalesce(rest, [])),
+                  lambda a, x: CASE WHEN x.left <= a.left THEN {{'left': a.left - x.left, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS done
+            FROM z LEFT JOIN n ON z.source IS NOT DISTINCT FROM n.source),
      x AS (SELECT r.source AS s, arg_min(doc_id, row(abs(done.left - size), rank, doc_id)) AS closing
            FROM r JOIN f2 ON r.source IS NOT DISTINCT FROM f2.source
            WHERE rank IS NOT NULL AND size > 0 AND NOT list_contains(done.ids, doc_id) AND abs(done.left - size) < done.left GROUP BY 1)
