@@ -3,8 +3,9 @@
 An embedder is any callable ``list[str] -> array (n, dim)``. ``embed`` calls it
 once per Arrow batch inside the executors (``mapInArrow``): no shuffle, rows
 stay in their partitions, the batch size is
-``spark.sql.execution.arrow.maxRecordsPerBatch`` (L9 chunking). A failing batch
-is re-raised with the id range of its rows.
+``spark.sql.execution.arrow.maxRecordsPerBatch`` (L9 chunking). By default a failing batch
+is re-raised with the id range of its rows; with ``error_col`` a failing row has a
+null vector and its error, and all other rows their vectors (``calls``).
 
 The default ``HashingEmbedder`` needs no model: lower-cased letter/digit tokens,
 bucket = first 8 hex digits of the token's MD5 mod ``dim``, counts, L2 norm.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .calls import Retry, answers, at_most
 from .partitioning import spread
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -68,55 +70,86 @@ class HashingEmbedder:
         return {"dim": self.dim, "_cache": {}, "_re": None}
 
 
+def _matrix_of(embedder: Embedder, np_type):
+    """The embedder as a call on texts that gives one row of a matrix per text."""
+    def call(texts):
+        mat = np.asarray(embedder([t if t is not None else "" for t in texts]), dtype=np_type)
+        if mat.shape[:1] != (len(texts),):
+            raise RuntimeError("embedder returned a different number of vectors")
+        return mat
+    return call
+
+
 def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None, *,
           out_col: str = "vector", id_col: str | None = None, dtype: str = "double",
-          dim: int | None = None) -> DataFrame:
+          dim: int | None = None, error_col: str | None = None, retry: Retry = Retry(),
+          concurrent: int | None = None) -> DataFrame:
     """Append ``out_col array<dtype>`` computed by ``embedder`` on Arrow batches.
 
     Filters should be applied before this call: Catalyst cannot push them
-    through the Python boundary.
+    through the Python boundary. ``retry`` tries a failing batch again;
+    ``error_col`` isolates failing rows instead of failing the job;
+    ``concurrent`` bounds the calls that run at a time.
     """
     embedder = embedder or HashingEmbedder(dim or DEFAULT_DIM)
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(elem))])
+    fields = [T.StructField(out_col, T.ArrayType(elem))] + ([T.StructField(error_col, T.StringType())] if error_col else [])
+    out_schema = T.StructType(df.schema.fields + fields)
     np_type = np.float32 if dtype == "float" else np.float64
     value_type = pa.float32() if dtype == "float" else pa.float64()
+    call = _matrix_of(embedder, np_type)
+
+    def lists(mat: np.ndarray) -> pa.Array:
+        ends = np.arange(0, mat.size + 1, mat.shape[1]) if mat.shape[1] else np.zeros(len(mat) + 1)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(mat.reshape(-1), value_type))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             texts = batch.column(text_col).to_pylist()
-            try:
-                mat = np.asarray(embedder([t if t is not None else "" for t in texts]),
-                                 dtype=np_type)
-            except Exception as exc:  # name the rows, keep the cause
-                where = ""
-                if id_col:
-                    ids = batch.column(id_col).to_pylist()
-                    where = f" for rows {ids[0]!r}..{ids[-1]!r}"
-                raise RuntimeError(f"embedding failed{where}: {exc}") from exc
-            if mat.shape[0] != batch.num_rows:
-                raise RuntimeError("embedder returned a different number of vectors")
-            offsets = pa.array(np.arange(0, mat.size + 1, mat.shape[1] or 1, dtype=np.int32)
-                               if mat.shape[1] else np.zeros(batch.num_rows + 1, np.int32))
-            vec = pa.ListArray.from_arrays(offsets, pa.array(mat.reshape(-1), value_type))
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + [vec],
-                                             names=list(batch.schema.names) + [out_col])
-
-    return spread(df, id_col).mapInArrow(run, out_schema)
+            found, errors = answers(call, texts, retry) if error_col else _all_or_error(call, texts, retry)
+            if errors[0] and not error_col:         # name the rows, keep the cause
+                ids = batch.column(id_col).to_pylist() if id_col else None
+                where = f" for rows {ids[0]!r}..{ids[-1]!r}" if ids else ""
+                raise RuntimeError(f"embedding failed{where}: {errors[0]}")
+            if all(e is None for e in errors):
+                vec = lists(np.stack(found))
+            else:
+                vec = pa.array([None if f is None else f.tolist() for f in found], pa.list_(value_type))
+            more = [vec] + ([pa.array(errors, pa.string())] if error_col else [])
+            yield pa.RecordBatch.from_arrays(list(batch.columns) + more,
+                                             names=list(batch.schema.names) + [f.name for f in fields])
+
+    source = spread(df, id_col) if concurrent is None else at_most(df, concurrent)
+    return source.mapInArrow(run, out_schema)
+
+
+def _all_or_error(call, texts, retry: Retry):
+    """As ``answers``, for a whole batch: no row is tried alone."""
+    whole = answers(lambda one: [call(one[0])], [texts], retry)
+    if whole[1][0]:
+        return [None], whole[1]
+    return list(whole[0][0]), [None] * len(texts)
 
 
 def embed_distinct(df: DataFrame, text_col: str, embedder: Embedder | None = None, *,
                    out_col: str = "vector", dim: int | None = None) -> DataFrame:
-    """Embed every distinct text once, then join the vectors back by text.
+    """Embed every distinct text once, then join the vectors back.
 
     Worth its two shuffles when embedding is costly (a remote model) and texts
-    repeat; the join key is the text itself, so equal texts share one vector.
+    repeat. Rows meet their vector by the text's SHA-256, not the text, and under a salt of their own, so a
+    text of many rows is spread over tasks.
     """
-    uniq = df.select(F.col(text_col).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    vecs = embed(uniq, "_t", embedder, out_col=out_col, dim=dim)
-    return df.join(vecs, df[text_col] == vecs["_t"], "left").drop("_t")
+    salts = 8
+    keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
+    uniq = (keyed.where(F.col(text_col).isNotNull()).groupBy("_key").agg(F.any_value(F.col(text_col)).alias("_t")))
+    vecs = embed(uniq, "_t", embedder, out_col=out_col, dim=dim).drop("_t").withColumnRenamed("_key", "_of")
+    vecs = vecs.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    at = keyed.withColumn("_salt", own)
+    return (at.join(vecs, (F.col("_key") == F.col("_of")) & (F.col("_salt") == F.col("_of_salt")), "left")
+            .drop("_key", "_of", "_salt", "_of_salt"))
 
 
 def hashed_counts(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_DIM

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .calls import Retry, answers, at_most
 
 # List formatting of candidates inside the prompt.
 DESCRIPTION_PREFIX = "## "
@@ -68,40 +69,30 @@ def top_candidate_response(codes: str = "codes", scores: str = "scores") -> Colu
 
 
 def generate(df: DataFrame, generator: Generator, system: str = "system", user: str = "user",
-             out_col: str = "response") -> DataFrame:
+             out_col: str = "response", retry: Retry = Retry(), concurrent: int | None = None) -> DataFrame:
     """G5 with a pluggable model: ``generator(systems, users) -> responses`` per Arrow batch.
 
-    When a batch fails, its rows are asked one by one: a row that fails alone has
+    A batch that fails (after ``retry``) is halved down to the failing rows: a row that fails alone has
     a null response and ``gen_error`` set, the others keep their answers (G6 handles the rest).
-    Concurrency towards a remote service is the number of partitions.
+    ``concurrent`` bounds the calls that run at a time.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()),
                                               T.StructField("gen_error", T.StringType())])
 
-    def ask(systems, users):
-        try:
-            answers = list(generator(systems, users))
-            if len(answers) != len(users):
-                raise RuntimeError("generator returned a different number of responses")
-            return answers, None
-        except Exception as exc:  # keep going; rows carry the error
-            return [None] * len(users), f"{type(exc).__name__}: {exc}"
+    def call(rows):
+        return generator([s for s, _ in rows], [u for _, u in rows])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            systems, users = batch.column(system).to_pylist(), batch.column(user).to_pylist()
-            resp, failed = ask(systems, users)
-            err = [failed] * len(users)
-            if failed:
-                each = [ask([s], [u]) for s, u in zip(systems, users)]
-                resp, err = [r[0] for r, _ in each], [e for _, e in each]
+            rows = list(zip(batch.column(system).to_pylist(), batch.column(user).to_pylist(), strict=True))
+            resp, err = answers(call, rows, retry)
             yield pa.RecordBatch.from_arrays(
                 list(batch.columns) + [pa.array(resp, pa.string()), pa.array(err, pa.string())],
                 names=list(batch.schema.names) + [out_col, "gen_error"])
 
-    return df.mapInArrow(run, schema)
+    return at_most(df, concurrent).mapInArrow(run, schema)
 
 
 _TRUE = ("true", "1", "yes", "on", "t", "y")
