@@ -56,3 +56,9 @@ def test_exact_quantiles_match_numpy(spark):
                    ("h", [v for i, v in enumerate(vals) if not i % 3])):
         for p in (0.25, 0.5, 0.75):
             assert abs(q[(g, p)] - np.percentile(sel, p * 100)) < 1e-12
+
+
+def test_distinct_values_of_an_empty_table(spark):
+    from textcoder.operators.evaluate import n_unique
+    df = spark.createDataFrame([(None,), ("a",), ("a",)], "x string")
+    assert n_unique(df.limit(0), "x").first()[:] == (0, 0) and n_unique(df, "x").first()[:] == (3, 2)

@@ -97,6 +97,32 @@ def test_stream_equals_batch(spark):
     assert sum(p["input_rows"] for p in prog) == 40 and len(prog) == 4
 
 
+def test_stream_reports_input_rows_empty_batches_and_failures(spark, tmp_path):
+    from textcoder.streaming.classify_stream import job_progress, read_stream_output, run_classification_stream
+    base = str(tmp_path)
+    rows = spark.range(0, 30).selectExpr("cast(id AS string) AS id", "concat('item ', id) AS activity_description")
+    rows.repartition(3).write.parquet(f"{base}/in")
+    state = {"broken": True, "batches": 0}
+
+    def classify(b):
+        state["batches"] += 1
+        if state["broken"] and state["batches"] == 2:
+            raise ValueError("model gone")
+        return b.where("cast(id AS int) < 0")                   # writes nothing
+
+    run = dict(files_per_trigger=1, fail=False)
+    first = run_classification_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", classify, **run)
+    assert [(p["batch_id"], p["state"], p["output_rows"]) for p in first] == [(0, "done", 0), (1, "failed", None)]
+    assert first[1]["error"].startswith("ValueError: model gone") and first[0]["input_rows"] == 10
+    state["broken"] = False
+    again = run_classification_stream(spark, f"{base}/in", f"{base}/out", f"{base}/chk", classify, **run)
+    assert [(p["batch_id"], p["state"]) for p in again] == [(1, "done"), (2, "done")]            # this run's batches only
+    log = job_progress(spark, f"{base}/out").orderBy("batch_id").collect()
+    assert [(r.batch_id, r.input_rows, r.output_rows, r.state) for r in log] == [(0, 10, 0, "done"), (1, 10, 0, "done"), (2, 10, 0, "done")]
+    assert read_stream_output(spark, f"{base}/out").count() == 0
+    assert job_progress(spark, f"{base}/none").count() == 0
+
+
 def test_upload_status_per_batch(spark):
     path = work_dir(spark, "vt-status")
     vt.create_or_replace(spark, path, 2, "cosine")

@@ -123,7 +123,6 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs) -> DataFrame:
     of (#partitions x #groups) rows; only the rows at the needed positions are
     kept and interpolated. Output: ``group, p, q``.
     """
-    spark = df.sparkSession
     d = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
     s = (d.repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v")
@@ -154,7 +153,6 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs) -> DataFrame:
          .select(F.col("_g").alias(group), "p",
                  (F.col("_vlo") + (F.col("_h") - F.floor("_h")) * (F.col("_vhi") - F.col("_vlo")))
                  .alias("q")))
-    _ = spark
     return q
 
 
@@ -196,7 +194,7 @@ def n_unique(df: DataFrame, col: str) -> DataFrame:
     """A1 + A2: rows and distinct values; a null counts as one value, as in the reference."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   (F.count_distinct(F.col(col))
-                   + F.max(F.col(col).isNull().cast("int"))).alias("n_unique"))
+                   + F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))).alias("n_unique"))
 
 
 def accuracy(pred: DataFrame, truth: DataFrame, on: str, pred_col: str, truth_col: str

@@ -921,10 +921,11 @@ def classify_stream(spark, root):
 
 @query("stream_progress")
 def stream_progress(spark, root):
-    """Rows per micro-batch of the incremental job (rows-only check)."""
-    prog = _stream_job(spark, root, work_dir(spark, "stream"))
-    return spark.createDataFrame([(p["batch_id"], p["input_rows"]) for p in prog],
-                                 "batch_id bigint, input_rows bigint")
+    """Rows read and written per micro-batch of the incremental job (rows-only check)."""
+    from ..streaming.classify_stream import job_progress
+    base = work_dir(spark, "stream")
+    _stream_job(spark, root, base)
+    return job_progress(spark, f"{base}/out").select("batch_id", "input_rows", "output_rows", "state")
 
 
 # ----------------------------------------------------------------- extras
