@@ -85,3 +85,39 @@ def test_bm25_of_empty_sides(spark):
     none = some.where("false")
     kw = {"query_id": "code", "query_text": "text", "doc_id": "code", "doc_text": "text"}
     assert ex.bm25_topk(some, none, 3, **kw).collect() == ex.bm25_topk(none, some, 3, **kw).collect() == []
+
+
+def test_bm25_bounds_lose_no_document(spark, tmp_path, monkeypatch):
+    """Small blocks and parts of queries: the same ranks as scoring everything, with fewer postings read."""
+    import math
+    import random
+
+    from textcoder.operators import extras as ex
+    from textcoder.operators import postings
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(f"d{i:03}", " ".join(rng.choices(words, weights, k=rng.randrange(1, 12)))) for i in range(400)]
+    asked = [(i, " ".join(rng.choices(words, weights, k=rng.randrange(1, 6)))) for i in range(40)]
+    monkeypatch.setattr(postings, "BLOCK", 50)
+    d, q = spark.createDataFrame(docs, "code string, text string").coalesce(1), spark.createDataFrame(asked, "q int, t string")
+    ex.bm25_index(d, str(tmp_path / "ix"), doc_id="code", doc_text="text")
+    kw = dict(query_id="q", query_text="t")
+    got = {}
+    for r in ex.bm25_search(q, str(tmp_path / "ix"), 5, **kw).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.code, round(r.score, 6)))
+    n, avg = len(docs), sum(len(t.split()) for _, t in docs) / len(docs)
+    held = {w: sum(w in t.split() for _, t in docs) for w in words}
+    for i, t in asked:
+        scored = []
+        for code, text in docs:
+            own = text.split()
+            s = sum(math.log(1 + (n - held[w] + 0.5) / (held[w] + 0.5)) * own.count(w) * (ex.BM25_K1 + 1)
+                    / (own.count(w) + ex.BM25_K1 * (1 - ex.BM25_B + ex.BM25_B * len(own) / avg)) for w in t.split() if w in own)
+            if s:
+                scored.append((-round(s, 6), code))
+        assert [(c, s) for _, c, s in sorted(got.get(i, []))] == [(c, -s) for s, c in sorted(scored)[:5]], t
+    report = ex.bm25_report(q, str(tmp_path / "ix"), 5, **kw).first()
+    assert 0 < report.postings_read < report.postings
+    parts = postings.search_postings(spark, str(tmp_path / "ix"), q, 5, query_id="q", term_counts=lambda x: ex._term_counts(x, "q", "t"), max_bytes=500)
+    assert {(r.query_id, r["rank"], r.code) for r in parts.collect()} == {(i, rank, c) for i, v in got.items() for rank, c, _ in v}

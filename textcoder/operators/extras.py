@@ -11,11 +11,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import work_dir
+from .postings import build_postings, search_postings, search_report
 from .sampling import order_hash
 
 HASH_SCALE = float(1 << 60)
@@ -202,11 +203,6 @@ BM25_B = 0.75
 RRF_K = 60
 
 
-#: Rows of a tile of the BM25 join: what one task holds of either side.
-BM25_QUERY_BLOCK = 4096
-BM25_DOC_BLOCK = 8192
-
-
 def _term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, terms, counts, length)``: distinct terms of a text as 64-bit hashes, ascending,
     with their counts (row-local; tokens and hashes are native, runs are counted on Arrow batches)."""
@@ -224,81 +220,32 @@ def _term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_text: str,
-              doc_id: str, doc_text: str) -> DataFrame:
+              doc_id: str, doc_text: str, path: str | None = None) -> DataFrame:
     """``(query_id, rank, code, score)``, the ``k`` best documents of each query by BM25.
 
     ``score = sum of count(t in q) idf(t) tf (k1 + 1) / (tf + k1 (1 - b + b |d| / avgdl))`` over
-    terms (64-bit hashes, no buckets). The document part of a weight needs only the document and
-    ``avgdl``, so postings are never shuffled by term; ``idf`` joins the terms of the queries.
-    Queries and documents are cut into blocks, and one task scores a query block against
-    the inverted index of a document block, keeping ``k`` per query: a term in most documents fills
-    no task of its own and no pair list is written. Documents that share no term are left out.
-    One row of statistics reaches the driver."""
-    d = _term_counts(docs, doc_id, doc_text)
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")).first()      # one row
-    n_docs, avgdl = int(st["n"]), float(st["avgdl"] or 1.0) or 1.0
-    n_db = max(1, math.ceil(n_docs / BM25_DOC_BLOCK))
-    n_qb = max(1, math.ceil(queries.count() / BM25_QUERY_BLOCK))
-    norm = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.lit(avgdl))
-    d = d.select("id", "terms", F.transform("counts", lambda c: c * F.lit(BM25_K1 + 1) / (c + norm)).alias("weights"))
-    df_ = d.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    qt = (_term_counts(queries, query_id, query_text)
-          .select("id", F.inline(F.arrays_zip("terms", "counts")).alias("term", "n")).join(df_, "term"))
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    q = (qt.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("n") * idf).alias("w")))).alias("_t"))
-         .select("id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights")))
-
-    def block(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-    ql = q.select("*", block("id", n_qb).alias("_qb"), F.explode(F.sequence(F.lit(0), F.lit(n_db - 1))).alias("_db"))
-    dl = d.select("*", block("id", n_db).alias("_db"), F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("_qb"))
-    qtype, dtype = (x.schema["id"].dataType.simpleString() for x in (q, d))
-    part = (ql.groupBy("_qb", "_db").cogroup(dl.groupBy("_qb", "_db"))
-            .applyInArrow(_bm25_tile(k), f"query_id {qtype}, code {dtype}, score double"))
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("code"))
-    return (part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "code", "score"))
-
-
-def _bm25_tile(k: int):
-    """Score a block of queries against the inverted index of a block of documents."""
-    def tile(qt, dt):
-        def lists(t, col):
-            c = t.column(col).combine_chunks()
-            return c.offsets.to_numpy(), c.flatten().to_numpy(zero_copy_only=False)
-
-        dt = dt.take(pc.sort_indices(dt.column("id")))       # position = order of the id
-        ends, terms = lists(dt, "terms")
-        weights = lists(dt, "weights")[1]
-        owner = np.repeat(np.arange(dt.num_rows), np.diff(ends))
-        by_term = np.argsort(terms, kind="stable")
-        terms, owner, weights = terms[by_term], owner[by_term], weights[by_term]
-        q_ends, q_terms = lists(qt, "terms")
-        q_weights = lists(qt, "weights")[1]
-        lo, hi = np.searchsorted(terms, q_terms), np.searchsorted(terms, q_terms, side="right")
-        at, who, what = [], [], []
-        score = np.zeros(dt.num_rows)
-        for i in range(qt.num_rows):
-            hit = [j for j in range(q_ends[i], q_ends[i + 1]) if hi[j] > lo[j]]
-            if not hit:
-                continue
-            score[:] = 0.0
-            for j in hit:
-                score[owner[lo[j]:hi[j]]] += q_weights[j] * weights[lo[j]:hi[j]]
-            some = np.flatnonzero(score)
-            value = -np.round(score[some], 6)
-            if len(some) > k:
-                near = value <= np.partition(value, k - 1)[k - 1]
-                some, value = some[near], value[near]
-            best = some[np.argsort(value, kind="stable")[:k]]
-            at.append(np.full(len(best), i)), who.append(best), what.append(score[best])
-        none = np.zeros(0, np.int64)
-        return pa.table({"query_id": qt.column("id").take(pa.array(np.concatenate([none, *at]))),
-                         "code": dt.column("id").take(pa.array(np.concatenate([none, *who]))),
-                         "score": pa.array(np.concatenate([np.zeros(0), *what]))})
+    terms (64-bit hashes, no buckets), from a stored inverted index (``postings``) at ``path``, by default
+    one that is built for this search. Documents that share no term are left out."""
+    path = path or work_dir(docs.sparkSession, "postings")
+    bm25_index(docs, path, doc_id=doc_id, doc_text=doc_text)
+    return bm25_search(queries, path, k, query_id=query_id, query_text=query_text)
+
+
+def bm25_index(docs: DataFrame, path: str, *, doc_id: str, doc_text: str) -> None:
+    """Write the inverted index of ``docs``, for many searches."""
+    build_postings(docs, path, doc_id=doc_id, term_counts=lambda d: _term_counts(d, doc_id, doc_text), k1=BM25_K1, b=BM25_B)
+
+
+def bm25_search(queries: DataFrame, path: str, k: int, *, query_id: str, query_text: str) -> DataFrame:
+    """``bm25_topk`` in a stored index."""
+    return search_postings(queries.sparkSession, path, queries, k, query_id=query_id,
+                           term_counts=lambda q: _term_counts(q, query_id, query_text))
+
 
-    return tile
+def bm25_report(queries: DataFrame, path: str, k: int, *, query_id: str, query_text: str) -> DataFrame:
+    """Postings that a search in a stored index reads, against all postings of the queries' terms."""
+    return search_report(queries.sparkSession, path, queries, k, query_id=query_id,
+                         term_counts=lambda q: _term_counts(q, query_id, query_text))
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, query_col: str = "query_id",

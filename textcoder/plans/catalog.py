@@ -1018,6 +1018,15 @@ def bm25_top10(spark, root):
     return r.select("query_id", "rank", "code", F.round("score", 6).alias("score"))
 
 
+@query("bm25_postings")
+def bm25_postings(spark, root):
+    """Postings that a search in the stored index reads, against all postings of the queries' terms (rows-only check)."""
+    leaves = _leaf_filter(nomenclature_docs(spark, root)).select("code", "text")
+    path = work_dir(spark, "postings")
+    ex.bm25_index(leaves, path, doc_id="code", doc_text="text")
+    return ex.bm25_report(table(spark, root, "part").select("p_partkey", "p_name"), path, 10, query_id="p_partkey", query_text="p_name")
+
+
 @query("bm25_rrf")
 def bm25_rrf(spark, root):
     """BM25 and dense rankings (10 each) fused by reciprocal rank."""
