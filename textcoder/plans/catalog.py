@@ -404,7 +404,7 @@ def _embedding_points(spark, root) -> DataFrame:
     none = F.lit(None)
     return vectors(spark, root).select(
         F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"),
-        F.struct(F.col("label").cast("string").alias("code"), F.lit(4).alias("level"), none.cast("string").alias("parent_code"),
+        F.struct(F.col("code"), F.lit(4).alias("level"), none.cast("string").alias("parent_code"),
                  F.lit("first").alias("text")).alias("payload"), "vec_id")
 
 
