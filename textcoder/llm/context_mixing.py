@@ -7,8 +7,8 @@ Huffman tree (about 4.5 decisions a byte), and each decision is predicted:
   context plus the number of the node in the tree picks a slot of a table. The slot holds how often the decision was yes and no in the training
   texts, as log odds (``STEP`` to a unit); a slot that training never reached says 0, that is nothing.
 * Gated weights: the log odds are added up with weights of the text's own, of which there is a set for each combination of
-  predictors that have something to say. Weights start from ``start_weights`` and move after every piece of the text (64 symbols at first, twice as
-  many each time, up to 4096) by a diagonal Newton step on what the piece cost, so they are always those of the past.
+  predictors that have something to say. Weights start from ``start_weights`` and move after every piece of the text (128 symbols at first, four
+  times as many each time, up to 8192) by a diagonal Newton step on what the piece cost, so they are always those of the past.
 * Refinement: the mixed odds, in ``BUCKETS`` steps, are looked up in what became of such odds earlier in the text; the
   probability is the mean of the mixed and the refined one.
 
@@ -27,17 +27,24 @@ END = 256
 #: Context bytes of the predictors before the word predictor, shortest first, and after it.
 ORDERS = (3, 5)
 K = len(ORDERS) + 1
+#: The word predictor, and the others.
+WORD = K - 2
+BY_ORDER = tuple(k for k in range(K) if k != WORD)
 STEP = 16.0
-FIRST_PIECE, LAST_PIECE = 64, 4096
+FIRST_PIECE, GROWTH, LAST_PIECE = 128, 4, 8192
 BUCKETS = 32
 #: A confident error moves weights as if its slope were this; weights stay below MOST_WEIGHT, so odds stay finite.
 LEAST_SLOPE, MOST_WEIGHT = 1 / 32, 2.0
+#: Mixed log odds are rounded to steps, ``ODDS`` of them; the bucket of each, a half unit wide.
+ODDS = 1024
+_LOGIT = (np.arange(ODDS) - ODDS / 2) / STEP
+_SQUASH = (1 / (1 + np.exp(-_LOGIT))).astype(np.float32)
+_SLOPE = np.maximum(_SQUASH * (1 - _SQUASH), LEAST_SLOPE).astype(np.float32)
+_BUCKET = np.clip(2 * _LOGIT + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int64)
 _PAD = 8
 _BLOCK = 1 << 17
 _COUNT_BLOCK = 1 << 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_BOUNDARY = np.zeros(256, bool)
-_BOUNDARY[[0, 9, 10, 11, 12, 13, 32]] = True
 
 
 def symbols_of(text: str | None) -> bytes:
@@ -75,19 +82,24 @@ class Code:
         return n, self.node[at], self.bit[at]
 
 
-def contexts(padded: list[bytes], counts: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(bytes, a hash of the context for each predictor) at the positions of pieces that begin after ``_PAD`` bytes of past."""
+def _word_part(past: np.ndarray) -> np.ndarray:
+    """The bytes of the current word among the last eight (the latest is the highest byte); a byte up to a space ends a word."""
+    ones = np.uint64(0x0101010101010101)
+    # The top bit of each byte of ``ends`` is set if that byte or a later one ends a word.
+    ends = ~(((past & (ones * np.uint64(0x7F))) + ones * np.uint64(0x5F)) | past) & (ones * np.uint64(0x80))
+    for shift in (8, 16, 32):
+        ends |= ends >> np.uint64(shift)
+    return past & ~((ends >> np.uint64(7)) * np.uint64(255))
+
+
+def contexts(padded: list[bytes], counts: np.ndarray, which: Iterable[int] = range(K)) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(bytes, a hash of the context for each predictor asked for) at the positions of pieces that begin after ``_PAD`` bytes of past."""
     data = np.frombuffer(b"".join(padded) + b"\0" * _PAD, np.uint8)
-    counts = np.array(counts)
     at = np.arange(counts.sum()) + np.repeat(_PAD * np.arange(1, len(counts) + 1), counts)
     past = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at - _PAD]
-    boundary = np.maximum.accumulate(np.where(_BOUNDARY[data], np.arange(len(data)), -1))
-    word = np.minimum(at - 1 - boundary[at - 1], _PAD)
-    own = np.where(word > 0, past >> (np.uint64(64) - np.maximum(word, 1).astype(np.uint64) * np.uint64(8)), np.uint64(0))
-    raw = [past >> np.uint64(64 - 8 * k) for k in ORDERS]
-    raw.insert(K - 2, own)
     hashes = []
-    for i, c in enumerate(raw):
+    for i in which:
+        c = _word_part(past) if i == WORD else past >> np.uint64(64 - 8 * ORDERS[BY_ORDER.index(i)])
         h = (c + np.uint64(i + 1)) * _MIX[0]
         h = (h ^ (h >> np.uint64(32))) * _MIX[1]
         hashes.append((h >> np.uint64(32)).astype(np.uint32))
@@ -97,13 +109,13 @@ def contexts(padded: list[bytes], counts: list[int]) -> tuple[np.ndarray, list[n
 class Counter:
     """Counts of the decisions of training texts, a table of ``2 << bits`` numbers (no and yes of a slot) per predictor."""
 
-    def __init__(self, code: Code, bits: int):
+    def __init__(self, code: Code, bits: int, which: Iterable[int] = BY_ORDER):
         self.code, self.bits = code, bits
-        self.tables = [np.zeros(2 << bits, np.uint32) for _ in range(K)]
+        self.tables = {k: np.zeros(2 << bits, np.int64 if k == WORD else np.uint32) for k in which}
 
     def add(self, block: list[bytes]) -> None:
         """Texts of a block; long ones are taken in pieces."""
-        pieces, counts, size = [], [], 0
+        pieces, size = [], 0
         for text in block:
             whole, n = b"\0" * _PAD + text + b"\0", len(text) + 1
             for a in range(0, n, _COUNT_BLOCK):
@@ -116,16 +128,23 @@ class Counter:
         if pieces:
             self._add(pieces)
 
-    def _add(self, pieces: list[tuple[bytes, int, bool]]) -> None:
-        counts = [m for _, m, _ in pieces]
-        symbol, hashes = contexts([p for p, _, _ in pieces], counts)
+    def add_words(self, words: list[bytes], times: list[int]) -> None:
+        """Words and the space after them, as often as ``times`` says: what the word predictor learns depends on the word alone."""
+        per = max(1, _COUNT_BLOCK // 8)
+        for i in range(0, len(words), per):
+            pieces = [(b"\0" * _PAD + w + b" ", len(w) + 1, False) for w in words[i:i + per]]
+            self._add(pieces, np.array(times[i:i + per], np.int64))
+
+    def _add(self, pieces: list[tuple[bytes, int, bool]], times: np.ndarray | None = None) -> None:
+        counts = np.array([m for _, m, _ in pieces])
+        symbol, hashes = contexts([p for p, _, _ in pieces], counts, self.tables)
         symbol = symbol.astype(np.int64)
         symbol[(np.cumsum(counts) - 1)[[last for _, _, last in pieces]]] = END
         n, node, bit = self.code.decisions(symbol)
-        mask = np.uint32((1 << self.bits) - 1)
-        for table, h in zip(self.tables, hashes, strict=True):
-            slot = ((np.repeat(h, n) + node) & mask).astype(np.int64)
-            np.add.at(table, 2 * slot + bit, np.uint32(1))
+        mask, node = np.uint32((2 << self.bits) - 1), 2 * node + bit.astype(np.uint32)
+        for table, h in zip(self.tables.values(), hashes, strict=True):
+            at = ((np.repeat(2 * h, n) + node) & mask).astype(np.int64)
+            np.add.at(table, at, table.dtype.type(1) if times is None else np.repeat(np.repeat(times, counts), n))
 
 
 def log_odds(no: np.ndarray, yes: np.ndarray) -> np.ndarray:
@@ -149,42 +168,48 @@ class Model:
 
     def cost(self, block: list[bytes]) -> np.ndarray:
         """Bits of each text."""
-        lanes = len(block)
-        total = np.zeros(lanes)
+        # Longest first: the texts that go on after a piece are then the first ones, and their decisions the first decisions.
+        order = sorted(range(len(block)), key=lambda i: -len(block[i]))
+        texts, lanes = [block[i] for i in order], len(block)
+        sizes, total = np.array([len(t) + 1 for t in texts]), np.zeros(lanes)
         weights = np.repeat(start_weights()[:, None, :], lanes, axis=1).reshape(K, -1)
         centre = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 2))
-        hits, seen = np.tile(centre, lanes) * 8, np.full(lanes * BUCKETS, 8.0)
-        done, piece = np.zeros(lanes, np.int64), FIRST_PIECE
-        sizes = np.array([len(t) + 1 for t in block])
-        live = np.arange(lanes)
-        while len(live):
-            step = np.minimum(sizes[live] - done[live], piece)
-            parts = []
-            for i, m in zip(live.tolist(), step.tolist(), strict=True):
-                a, text = int(done[i]), block[i]
-                past = text[max(0, a - _PAD):a].rjust(_PAD, b"\0")
-                parts.append(past + text[a:a + m] + (b"\0" if a + m > len(text) else b""))
-            done[live] += step
-            more = done[live] < sizes[live]
-            symbol, hashes = contexts(parts, step.tolist())
+        seen = np.tile(8 * np.stack([1 - centre, centre], axis=1), (lanes, 1))
+        done, piece, live = 0, FIRST_PIECE, lanes
+        while live:
+            step = np.minimum(sizes[:live] - done, piece)
+            parts = [text[max(0, done - _PAD):done].rjust(_PAD, b"\0") + text[done:done + piece] for text in texts[:live]]
+            done += piece
+            on = int(np.searchsorted(-sizes[:live], -done))             # texts that go on
+            parts[on:live] = [p + b"\0" for p in parts[on:live]]
+            symbol, hashes = contexts(parts, step)
             symbol = symbol.astype(np.int64)
-            symbol[(np.cumsum(step) - 1)[~more]] = END
+            symbol[(np.cumsum(step) - 1)[on:]] = END
             n, node, bit = self.code.decisions(symbol)
-            owner = np.repeat(np.repeat(live, step), n)
             spoken = self._spoken(hashes, n, node)
-            gate = sum((q != 0).view(np.uint8) << k for k, q in enumerate(spoken))
-            sets = (owner << K) + gate
-            x = [q.astype(np.float32) / np.float32(STEP) for q in spoken]
-            dot = sum(w[sets] * q for w, q in zip(weights, x, strict=True))
-            p = 1 / (1 + np.exp(-dot))
-            bucket = owner * BUCKETS + np.clip(2 * dot + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int64)
-            fine = np.clip((p + (hits / seen).astype(np.float32)[bucket]) / 2, 1 / 4096, 1 - 1 / 4096)
-            total += np.bincount(owner, -np.log2(np.where(bit == 1, fine, 1 - fine)), lanes)
-            if more.any():              # texts that end here have nothing left to learn for
-                on = np.repeat(np.repeat(more, step), n)
-                self._learn(weights, hits, seen, [q[on] for q in x], p[on], bit[on], sets[on], bucket[on])
-            live, piece = live[more], min(2 * piece, LAST_PIECE)
-        return total
+            each = np.add.reduceat(n, np.cumsum(step) - step)           # decisions of each text
+            owner = np.repeat(np.arange(live), each)
+            sets = owner << K
+            for k, q in enumerate(spoken):
+                sets += (q != 0).view(np.uint8) << k
+            x = [q.astype(np.float32) for q in spoken]
+            dot = weights[0][sets] * x[0]
+            for w, q in zip(weights[1:], x[1:], strict=True):
+                dot += w[sets] * q
+            odds = np.clip(dot + np.float32(ODDS / 2 + 0.5), 0, ODDS - 1).astype(np.int64)
+            p = _SQUASH[odds]
+            bucket = owner * BUCKETS
+            bucket += _BUCKET[odds]
+            fine = (p + (seen[:, 1] / seen.sum(axis=1)).astype(np.float32)[bucket]) / 2
+            right = np.clip(1 - np.abs(bit - fine), 1 / 4096, 1 - 1 / 4096)
+            total[:live] -= np.add.reduceat(np.log2(right), np.cumsum(each) - each, dtype=np.float64)
+            if on:                      # texts that end here have nothing left to learn for
+                m = int(each[:on].sum())
+                self._learn(weights, seen, [q[:m] for q in x], bit[:m] - p[:m], _SLOPE[odds[:m]], sets[:m], 2 * bucket[:m] + bit[:m])
+            live, piece = on, min(GROWTH * piece, LAST_PIECE)
+        out = np.empty(lanes)
+        out[order] = total
+        return out
 
     def _spoken(self, hashes: list[np.ndarray], n: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
         """Log odds of each predictor for the decisions."""
@@ -192,14 +217,14 @@ class Model:
         return [t[((np.repeat(h, n) + node) & mask).astype(np.int64)] for t, h in zip(self.tables, hashes, strict=True)]
 
     @staticmethod
-    def _learn(weights, hits, seen, x, p, bit, sets, bucket) -> None:
-        wrong, slope, size = bit - p, np.maximum(p * (1 - p), LEAST_SLOPE), weights.shape[1]
-        bend = np.bincount(sets, slope * sum(q * q for q in x), size) / K + 20
+    def _learn(weights, seen, x, wrong, slope, sets, outcome) -> None:
+        size = weights.shape[1]
+        # Log odds are in steps here: both a push and the bend have STEP to the second power too much.
+        bend = np.bincount(sets, slope * sum(q * q for q in x), size) / K + 20 * STEP * STEP
         for w, q in zip(weights, x, strict=True):
-            w += (np.bincount(sets, wrong * q, size) / bend / K).astype(np.float32)
+            w += (np.bincount(sets, wrong * q, size) * STEP / bend / K).astype(np.float32)
             np.clip(w, -MOST_WEIGHT, MOST_WEIGHT, out=w)
-        hits += np.bincount(bucket, bit, len(hits))
-        seen += np.bincount(bucket, minlength=len(seen))
+        seen += np.bincount(outcome, minlength=seen.size).reshape(seen.shape)
 
 
 def lane_blocks(texts: Iterable[bytes], most: int = _BLOCK) -> Iterator[list[bytes]]:

@@ -3,16 +3,16 @@
 The model (``context_mixing.py``) predicts the decisions of a byte code from hashed contexts; weights and refinement adapt
 within each text. What it learns from the corpus is gathered from all training texts:
 
-1. One pass counts tokens and bytes. Counts are combined in the task (at most ``FLUSH`` tokens held), then by key, so a frequent token
+1. One pass counts tokens and bytes. Counts are combined in the task, then by key, so a frequent token
    sends one row per task. The bytes' counts give the code.
-2. A second pass counts the decisions of the code by hashed context. A task's table of counts is cut into slabs, which are sent in
+2. A second pass counts the decisions of the code by hashed context; what the word predictor learns follows from the tokens'
+   counts. A task's table of counts is cut into slabs, which are sent in
    the narrowest integer that holds them and added up by slab; what is sent grows with the training texts, while a slab's sum is
-   one slab, however many tasks there are. The tables of log odds, ``K << bits`` bytes (12 MB), are broadcast.
+   one slab, however many tasks there are. The tables of log odds, ``K << bits`` bytes (6 MB), are broadcast.
 3. A last pass over all texts scores them. Blocks of texts go through the model together, in bounded memory for any length.
 
-Base: tokens are words and one end; the base score is the sum of ``log10((c + 1) / (N + V + 1))``. Tokens with at least one in ``FREQUENT`` of all
-training tokens, so at most ``FREQUENT`` of them, are looked up in the scoring pass; the rarer tokens of a text are joined
-with their counts (no rare token can be a hot key of the counts' side, and unknown ones add nothing to the numerator).
+Base: tokens are words and one end; the base score is the sum of ``log10((c + 1) / (N + V + 1))``. The most frequent tokens, at most ``FREQUENT`` of them, are looked up in the scoring pass; the rarer tokens of a text are
+joined with their counts (no rare token is a hot key among known ones, and unknown ones add nothing to the numerator).
 
 Defined cases: null and empty text is the end alone (one token); text without a word likewise, though its white space is scored; null
 ids are training rows; repeated rows are learnt from and scored each; without training rows N = V = 0, the base score is 0 and
@@ -21,23 +21,27 @@ every decision costs one bit at first; columns of the input named like the resul
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textcoder.llm import context_mixing as cm
 from textcoder.llm.util import bounded_batches, cut
 
-TABLE_BITS = 22
-FREQUENT = 1 << 16
-FLUSH = 200_000
+TABLE_BITS = 21
+FREQUENT = 1 << 18
 _SLAB = 1 << 14
-_PIECE = 1 << 20
+#: Bytes of words that are counted together in a task.
+_COUNTED = 8 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The end's token; words are never empty.
 END_TOKEN = ""
 
@@ -47,15 +51,17 @@ def held_out(id_col: str = "doc_id", parts: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == rest, F.lit(False))
 
 
-def word_lists(raw: bytes) -> Iterator[list[bytes]]:
-    """The words of a lower-cased text in order, in lists of bounded size."""
-    at = 0
-    while at < len(raw):
-        end = min(len(raw), at + _PIECE)
-        while end < len(raw) and not raw[end:end + 1].isspace():
-            end += 1
-        yield raw[at:end].split()
-        at = end
+def words_of(raws: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All words of lower-cased texts in order, and the bounds of each text's words."""
+    data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    space = _SPACE[data]
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    # The words one after another, without what is between them.
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+    first = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    return words, np.searchsorted(starts, first)
 
 
 def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
@@ -63,64 +69,77 @@ def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
     bounded_batches(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter = Counter()
-        bytes_seen = np.zeros(cm.END + 1, np.int64)
+        bytes_seen, held, size = np.zeros(cm.END + 1, np.int64), [], 0
 
         def rows(names, numbers, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([names, numbers, pa.array(n, pa.int64())], names=["token", "symbol", "n"])
+            return pa.RecordBatch.from_arrays([names, numbers, n.cast(pa.int64())], names=["token", "symbol", "n"])
 
-        def flush() -> pa.RecordBatch:
-            names = pa.array(list(tokens), pa.binary()).cast(pa.string())
-            out = rows(names, pa.nulls(len(tokens), pa.int32()), list(tokens.values()))
-            tokens.clear()
-            return out
+        def counted() -> pa.RecordBatch:
+            found = pc.value_counts(pa.concat_arrays(held))
+            held.clear()
+            pa.default_memory_pool().release_unused()
+            return rows(found.field("values").cast(pa.string()), pa.nulls(len(found), pa.int32()), found.field("counts"))
 
         for batch in batches:
-            for t in batch.column(0):
-                raw = cm.symbols_of(t.as_py())
+            raws = [cm.symbols_of(t.as_py()) for t in batch.column(0)]
+            for raw in raws:
                 bytes_seen[:cm.END] += np.bincount(np.frombuffer(raw, np.uint8), minlength=cm.END)
-                bytes_seen[cm.END] += 1
-                for found in word_lists(raw):
-                    tokens.update(found)
-                tokens[END_TOKEN.encode()] += 1
-                if len(tokens) >= FLUSH:
-                    yield flush()
-        yield flush()
+            bytes_seen[cm.END] += len(raws)
+            held.append(words_of(raws)[0])
+            size += held[-1].nbytes
+            if size >= _COUNTED:
+                yield counted()
+                size = 0
+        if held:
+            yield counted()
         hit = np.flatnonzero(bytes_seen)
-        yield rows(pa.nulls(len(hit), pa.string()), pa.array(hit, pa.int32()), bytes_seen[hit])
+        yield rows(pa.nulls(len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(bytes_seen[hit]))
+        # Each text has its end as a token, too.
+        yield rows(pa.array([END_TOKEN]), pa.nulls(1, pa.int32()), pa.array(bytes_seen[cm.END:]))
 
     found = train.select(F.col(text).alias("text")).mapInArrow(run, "token string, symbol int, n long")
     return found.groupBy("token", "symbol").agg(F.sum("n").alias("n"))
 
 
-def count_contexts(train: DataFrame, code: cm.Code, bits: int = TABLE_BITS, text: str = "text") -> DataFrame:
-    """(predictor, slab, odds): log odds of the slots of a slab, as bytes, over the decisions of all texts."""
+def count_contexts(train: DataFrame, counts: DataFrame, code: cm.Code, bits: int = TABLE_BITS, text: str = "text") -> DataFrame:
+    """(predictor, slab, odds): log odds of the slots of a slab, as bytes, over the decisions of all texts and of all tokens."""
     bounded_batches(train.sparkSession)
     slab = min(_SLAB, 2 << bits)
+    schema = "predictor int, slab int, width int, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cm.Counter(code, bits)
-        for batch in batches:
-            own.add([cm.symbols_of(t.as_py()) for t in batch.column(0)])
-        for k, table in enumerate(own.tables):
+    def sent(own: cm.Counter) -> Iterator[pa.RecordBatch]:
+        for k, table in own.tables.items():
             parts = [(i, p) for i, p in enumerate(table.reshape(-1, slab)) if p.any()]
-            width = [next(w for w in (1, 2, 4) if p.max() < 1 << 8 * w) for _, p in parts]
+            width = [next(w for w in (1, 2, 4, 8) if int(p.max()) < 1 << 8 * w) for _, p in parts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k] * len(parts), pa.int32()), pa.array([i for i, _ in parts], pa.int32()), pa.array(width, pa.int32()),
                  pa.array([p.astype(f"<u{w}").tobytes() for (_, p), w in zip(parts, width, strict=True)], pa.binary())],
                 names=["predictor", "slab", "width", "counts"])
 
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cm.Counter(code, bits)
+        for batch in batches:
+            own.add([cm.symbols_of(t.as_py()) for t in batch.column(0)])
+        yield from sent(own)
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cm.Counter(code, bits, [cm.WORD])
+        for batch in batches:
+            own.add_words([w.as_py().encode() for w in batch.column(0)], batch.column(1).to_pylist())
+        yield from sent(own)
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, i, width, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, i, width, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = sums.setdefault((k, i), np.zeros(slab, np.int64))
-                at += np.frombuffer(counts, f"<u{width}")
+                at += np.frombuffer(part, f"<u{width}").astype(np.int64)
         odds = [cm.log_odds(s[0::2], s[1::2]).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([i for _, i in sums], pa.int32()),
                                           pa.array(odds, pa.binary())], names=["predictor", "slab", "odds"])
 
-    parts = (train.select(F.col(text).alias("text")).mapInArrow(count, "predictor int, slab int, width int, counts binary"))
+    parts = (train.select(F.col(text).alias("text")).mapInArrow(of_texts, schema)
+             .union(counts.filter(F.col("token") != END_TOKEN).select("token", "n").mapInArrow(of_words, schema)))
     return parts.repartition("predictor", "slab").mapInArrow(add_up, "predictor int, slab int, odds binary")
 
 
@@ -131,6 +150,18 @@ class Fitted:
         self.counts, self.total, self.distinct, self.frequent, self.model = counts, total, distinct, frequent, model
 
 
+def _threshold(counts: DataFrame, total: int, most: int, exact: int = 4096) -> int:
+    """The least count that at most ``most`` tokens reach (as far as ``exact``; beyond, one token in ``most``)."""
+    sizes = counts.groupBy(F.least("n", F.lit(exact)).alias("n")).agg(F.count(F.lit(1)).alias("tokens")).collect()      # ``exact`` rows at most
+    least, tokens = max(exact, -(-total // most)) if most else total + 1, 0
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        tokens += r["tokens"]
+        if tokens > most:
+            break
+        least = r["n"]
+    return least
+
+
 def fit(train: DataFrame, text: str = "text", bits: int = TABLE_BITS, frequent: int = FREQUENT) -> Fitted:
     """Learn from all rows of ``train``."""
     found = cut(count_tokens(train, text))
@@ -139,11 +170,11 @@ def fit(train: DataFrame, text: str = "text", bits: int = TABLE_BITS, frequent:
         symbols[r["symbol"]] = r["n"]
     counts = found.filter("symbol is null and n > 0").select("token", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, -(-total // frequent))
+    least = _threshold(counts, total, frequent)
     often = {r["token"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}         # at most ``frequent`` rows
     code = cm.Code(symbols)
     tables = [np.zeros(1 << bits, np.int8) for _ in range(cm.K)]
-    for r in count_contexts(train, code, bits, text).toLocalIterator():                        # K << bits bytes in all
+    for r in count_contexts(train, counts, code, bits, text).toLocalIterator():                        # K << bits bytes in all
         odds = np.frombuffer(r["odds"], np.int8)
         tables[r["predictor"]][r["slab"] * len(odds):(r["slab"] + 1) * len(odds)] = odds
     return Fitted(counts, total, distinct, often, cm.Model(code, tables, bits))
@@ -155,31 +186,34 @@ _PARTS = "n_tokens long, known long, part double, rare array<struct<token: strin
 def _scorer(frequent, model):
     """Arrow function of a text: what ``score`` needs of it."""
     def run(texts: pa.Array) -> pa.Array:
-        often, mixing = frequent.value, model.value
+        often, logs = frequent.value
         raws = [cm.symbols_of(t.as_py()) for t in texts]
-        bits = [mixing.cost(b) for b in cm.lane_blocks(raws)]
-        n_tokens, known, part, ends, tokens, times = [], [], [], [0], [], []
-        for raw in raws:
-            own = Counter([END_TOKEN.encode()])
-            for found in word_lists(raw):
-                own.update(found)
-            n_tokens.append(own.total())
-            seen, logs = 0, []
-            for token, n in own.items():
-                c = often.get(token)
-                if c is None:
-                    tokens.append(token)
-                    times.append(n)
-                else:
-                    seen += n
-                    logs.append(n * c)
-            known.append(seen)
-            part.append(math.fsum(logs))
-            ends.append(len(tokens))
-        rare = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["token", "n"])
+        bits = [model.value.cost(b) for b in cm.lane_blocks(raws)]
+        words, bounds = words_of(raws)
+        # The logarithm of each word's count, 0 for words that are not among the frequent ones; the same of the end.
+        at = pc.fill_null(pc.index_in(words, value_set=often), len(often)).to_numpy()
+        part = logs[at]
+        end = logs[pc.fill_null(pc.index_in(pa.array([END_TOKEN.encode()], pa.binary()), value_set=often), len(often))[0].as_py()]
+        ends = np.repeat(np.arange(len(raws)), np.diff(bounds))
+        rare = np.flatnonzero(at == len(often))
+        n_rare = np.bincount(ends[rare], minlength=len(raws)) + (end == 0)
+        tokens, times, lists = [], [], [0]
+        names, k = words.take(pa.array(rare)).to_pylist(), 0
+        for n in n_rare.tolist():
+            own = Counter(names[k:k + n - (end == 0)])
+            k += n - (end == 0)
+            if end == 0:
+                own[END_TOKEN.encode()] += 1
+            tokens += own.keys()
+            times += own.values()
+            lists.append(len(tokens))
+        sums = [math.fsum(part[a:b].tolist()) + end for a, b in itertools.pairwise(bounds.tolist())]
+        n_tokens = np.diff(bounds) + 1
+        pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["token", "n"])
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays(
-            [pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
+            [pa.array(n_tokens, pa.int64()), pa.array(n_tokens - n_rare, pa.int64()), pa.array(sums, pa.float64()),
+             pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pairs),
              pa.array(np.concatenate(bits) if bits else [], pa.float64()), pa.array([len(r) for r in raws], pa.int64())],
             names=["n_tokens", "known", "part", "rare", "bits", "n_bytes"])
 
@@ -192,7 +226,8 @@ def score(df: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
     bounded_batches(spark)
     outs = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     kept = [c for c in df.columns if c != text and c not in outs]
-    often = spark.sparkContext.broadcast({t.encode(): math.log10(c + 1) for t, c in fitted.frequent.items()})
+    tokens = pa.array([t.encode() for t in fitted.frequent], pa.binary())
+    often = spark.sparkContext.broadcast((tokens, np.array([math.log10(c + 1) for c in fitted.frequent.values()] + [0.0])))
     model = spark.sparkContext.broadcast(fitted.model)
     # Internal names, so that no column of the input is taken for one of them.
     slim = cut(df.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)], _scorer(often, model)(F.col(text)).alias("of_text")))
