@@ -250,6 +250,47 @@ def test_sharding(spark, odd):
     assert {(4, 16, 0), (2, 19, 0x352441C2)} <= sizes
 
 
+def _own_shard(key, weights):
+    """The shard with the least exponential draw, from XXH64 over seed, shard and key one after the other."""
+    def draw(i, w):
+        h = 42
+        for value, size in ((sharding.SEED, 4), (i, 4), (key, 8)):
+            h = xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / w, i
+    return min(draw(i, w) for i, w in enumerate(weights))[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 40, [1.0, 3.0, 0.5, 2.0]])
+def test_shards_against_an_own_argmin(spark, weights):
+    docs = spark.range(-20, 480).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    rows = sharding.shard_documents(docs, weights).collect()
+    assert all(r.shard == _own_shard(r.doc_id, weights) and r.grown_shard == _own_shard(r.doc_id, [*weights, 1.0]) for r in rows)
+
+
+def _own_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    terms = collections.Counter(" ".join(words[i:i + 2]) for i in range(max(1, len(words) - 1))) if words else {}
+    votes = [0.0] * 64
+    for term, tf in terms.items():
+        h = xxhash.xxh64_intdigest(term, 42)
+        for b in range(64):
+            votes[b] += (1 + math.log(tf)) * (1 if h >> b & 1 else -1)
+    return sum(1 << b for b in range(64) if votes[b] > 1e-9 * sum(1 + math.log(n) for n in terms.values()))
+
+
+def test_op6_against_an_own_simhash(spark):
+    docs = sorted(((r.doc_id, r.text or "") for r in documents(spark, SMALL).collect()), reverse=True)
+    fp = [_own_simhash(t) for _, t in docs]
+    rows = {r.doc_id: r for r in REGISTRY["op6_fingerprints"](spark, SMALL).collect()}
+    for k, (i, t) in enumerate(docs):
+        nxt, n = (k + 1) % len(docs), len(t) // 3
+        edited = _own_simhash(t[:len(t) - n] + docs[nxt][1][:n])
+        r = rows[i]
+        assert (int(r.fingerprint, 16), int(r.edited_fingerprint, 16)) == (fp[k], edited)
+        assert r.near_edited == 1 - (fp[k] ^ edited).bit_count() / 64 and r.near_next == 1 - (fp[k] ^ fp[nxt]).bit_count() / 64
+        assert r.n_within == (sum((fp[k] ^ x).bit_count() <= 3 for x in fp) if i % 50 == 0 else None)
+
+
 def test_mixing_targets_and_reruns(spark, odd):
     docs = documents(spark, "/root/testdata/sf0.01")
     rows = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies").collect()
