@@ -17,8 +17,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from textcoder.operators import cell_index  # noqa: E402
 from textcoder.plans import catalog  # noqa: E402
-from textcoder.session import build_session  # noqa: E402
+from textcoder.session import build_session, work_dir  # noqa: E402
 
 HEADLINE = [
     ("clean_text", "P1 documents cleaned"),
@@ -27,7 +28,7 @@ HEADLINE = [
     ("hash_embed_native", "G1 native twin (explode + aggregate)"),
     ("knn_top5", "J2 exact kNN, broadcast plan"),
     ("knn_blocks", "J2 exact kNN, tiled shuffle plan"),
-    ("knn_cells", "J3 cell-probed kNN"),
+    ("knn_cells", "J3 cell-probed kNN, index built for one search"),
     ("rag_metrics", "A9 metric table"),
     ("classify_batch", "G11 batch classification to export rows"),
     ("batch_coding", "G7 prompt, response, parse, evaluation"),
@@ -56,6 +57,17 @@ def main() -> None:
             run(fn(spark, root))
             samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 3)
+    # A stored cell index: built once, probed many times.
+    e = catalog.vectors(spark, root)
+    t0 = time.perf_counter()
+    index = cell_index.build_index(e, work_dir(spark, "bench-cells"), corpus_id="vec_id", corpus_vec="embedding")
+    times["index_build"] = round(time.perf_counter() - t0, 3)
+    samples = []
+    for _ in range(runs):
+        t0 = time.perf_counter()
+        run(cell_index.search(index, e, 5, query_id="vec_id", query_vec="embedding", exclude_self=True))
+        samples.append(time.perf_counter() - t0)
+    times["index_probe"] = round(statistics.median(samples), 3)
     t0 = time.perf_counter()
     catalog.trained(spark, root)
     times["train_supervised"] = round(time.perf_counter() - t0, 3)
@@ -84,7 +96,7 @@ def main() -> None:
     recall = catalog.REGISTRY["cells_recall"](spark, root).first()
     acc = catalog.REGISTRY["test_accuracy"](spark, root).first()
     quality = {"cells_recall_at_5": recall["recall"],
-               "cells_speedup_vs_exact": round(times["knn_top5"] / times["knn_cells"], 3),
+               "cells_speedup_vs_exact": round(times["knn_top5"] / times["index_probe"], 3), "cells_probed": f"{index.nprobe} of {index.n_cells}",
                "supervised_test_accuracy": acc["accuracy"]}
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs,
