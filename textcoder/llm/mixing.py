@@ -63,30 +63,33 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_copies: int
 def _inclusion(rows: DataFrame, quota: DataFrame) -> DataFrame:
     """``scale`` of each source with sum(min(1, scale * weight) * size) = its remaining words.
 
-    Documents whose probability reaches 1 are set aside and the scale is solved again for the others,
-    until no further document reaches 1; every pass is one aggregation by source.
+    The documents of the largest weights reach 1 first. In order of falling weight, a further document is certain as long as the scale that
+    the others then have lifts it to 1; whether all of a bin of weights are certain shows in the bin's sums and its least
+    weight alone. So one aggregation finds the bin in which that ends, and only this bin's weights are looked at one by one.
     """
-    scale = (rows.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("mass"))
-             .join(quota, F.col("source").eqNullSafe(quota["q_source"]))
-             .select(F.col("q_source"), "whole", "remaining",
-                     F.when(F.col("mass") > 0, F.col("remaining") / F.col("mass")).otherwise(0.0).alias("scale"),
-                     F.lit(0).cast("long").alias("n_certain")))
-    while True:
-        scale = cut(scale)
-        at = rows.join(scale, F.col("source").eqNullSafe(scale["q_source"]))
-        sure = F.col("scale") * F.col("weight") >= 1
-        again = (at.groupBy("q_source", "whole", "remaining", F.col("n_certain").alias("was"), F.col("scale").alias("old"))
-                 .agg(F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("certain"),
-                      F.sum(F.when(sure, 0.0).otherwise(F.col("weight") * F.col("size"))).alias("mass"),
-                      F.count_if(sure).alias("n_certain")))
-        new = cut(again.select("q_source", "whole", "remaining",
-                               F.when((F.col("n_certain") > F.col("was")) & (F.col("mass") > 0),
-                                      F.greatest(F.lit(0.0), F.col("remaining") - F.col("certain")) / F.col("mass"))
-                               .otherwise(F.col("old")).alias("scale"), "n_certain",
-                               (F.col("n_certain") > F.col("was")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.drop("moved", "n_certain")
-        scale = new.drop("moved")
+    some = rows.filter((F.col("weight") > 0) & (F.col("size") > 0)).withColumn("w_bin", F.floor(F.log("weight") * _BINS_PER_E))
+    words, mass = F.sum("size"), F.sum(F.col("weight") * F.col("size"))
+    bins = some.groupBy("source", "w_bin").agg(words.alias("words"), mass.alias("mass"), F.min("weight").alias("least"))
+    down = Window.partitionBy("source").orderBy(F.col("w_bin").desc())
+    above, through = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(Window.unboundedPreceding, 0)
+    below = down.rowsBetween(1, Window.unboundedFollowing)
+    bins = (bins.withColumn("taken", F.coalesce(F.sum("words").over(above), F.lit(0))).withColumn("then", F.sum("words").over(through))
+            .withColumn("rest", F.sum("mass").over(below)).join(quota, F.col("source").eqNullSafe(F.col("q_source"))))
+    all_certain = F.coalesce((F.col("remaining") - F.col("then")) / F.col("rest") * F.col("least") >= 1, F.lit(False))
+    ends = (bins.filter(~all_certain).groupBy("q_source", "remaining")
+            .agg(F.max(F.struct("w_bin", "taken", F.coalesce("rest", F.lit(0.0)).alias("rest"))).alias("end")))
+    ends = lookup(ends.select(F.col("q_source").alias("e_source"), "remaining", "end.*").withColumnRenamed("w_bin", "end_bin"))
+    each = (some.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("w_bin") == F.col("end_bin")))
+            .groupBy("e_source", "remaining", "taken", "rest", "weight").agg(words.alias("words"), mass.alias("mass")))
+    by_weight = Window.partitionBy("e_source").orderBy(F.col("weight").desc())
+    before = F.coalesce(F.sum("words").over(by_weight.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("rest") + F.sum("mass").over(by_weight.rowsBetween(0, Window.unboundedFollowing))
+    each = each.withColumn("scale", (F.col("remaining") - F.col("taken") - before) / left).filter(F.col("scale") * F.col("weight") < 1)
+    found = each.groupBy("e_source").agg(F.max_by("scale", "weight").alias("scale"))
+    # Without a weight where it ends, all documents are certain.
+    none = F.when(F.col("remaining") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return (quota.join(found, F.col("q_source").eqNullSafe(F.col("e_source")), "left")
+            .select("q_source", "whole", "remaining", F.coalesce("scale", none).alias("scale")))
 
 
 def size_weight(size: Column) -> Column:
@@ -188,7 +191,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     def ranked(rows: DataFrame, src: str, w: Column, draw: Column) -> DataFrame:
         """Adds p, q and bin; a certain document (p = 1) and one that is not sampled (p = 0) have no rank."""
         at = rows.join(quota, F.col(src).eqNullSafe(quota["q_source"]), "left")
-        p = F.least(F.lit(1.0), F.col("scale") * w)
+        p = F.when(w > 0, F.least(F.lit(1.0), F.col("scale") * w)).otherwise(0.0)
         q = (draw / (1 - draw)) / (p / (1 - p))
         return (at.withColumn("p", p).withColumn("q", F.when((p > 0) & (p < 1), q))
                 .withColumn("bin", F.floor(F.log("q") * _BINS_PER_E)))
