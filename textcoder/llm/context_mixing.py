@@ -22,6 +22,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 END = 256
 #: Context bytes of the predictors before the word predictor, shortest first, and after it.
@@ -51,6 +52,12 @@ def symbols_of(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
+def symbols_of_value(text: pa.StringScalar) -> bytes:
+    """The same of an Arrow value, whose bytes are taken as they are."""
+    raw = text.as_buffer()
+    return b"" if raw is None else raw.to_pybytes().lower()
+
+
 class Code:
     """A Huffman tree over 256 bytes and the end; ``counts`` may be all zero."""
 
@@ -73,13 +80,14 @@ class Code:
         self.bit = np.array([b for _, b in steps], np.int8)
         # Nodes are numbered from the root on, so the decisions of a symbol lie side by side in a table.
         self.node = (len(children) - 1 - np.array([n for n, _ in steps])).astype(np.uint32)
+        self.step = 2 * self.node + self.bit.astype(np.uint32)
 
-    def decisions(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(length of each symbol's path, nodes, bits) of the symbols' decisions in order."""
+    def decisions(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length of each symbol's path, the symbols' decisions in order: twice the node, and the bit)."""
         n = self.length[symbol]
         ends = np.cumsum(n)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offset[symbol] - (ends - n), n)
-        return n, self.node[at], self.bit[at]
+        return n, self.step[at]
 
 
 def _word_part(past: np.ndarray) -> np.ndarray:
@@ -140,10 +148,10 @@ class Counter:
         symbol, hashes = contexts([p for p, _, _ in pieces], counts, self.tables)
         symbol = symbol.astype(np.int64)
         symbol[(np.cumsum(counts) - 1)[[last for _, _, last in pieces]]] = END
-        n, node, bit = self.code.decisions(symbol)
-        mask, node = np.uint32((2 << self.bits) - 1), 2 * node + bit.astype(np.uint32)
+        n, step = self.code.decisions(symbol)
+        mask = np.uint32((2 << self.bits) - 1)
         for table, h in zip(self.tables.values(), hashes, strict=True):
-            at = ((np.repeat(2 * h, n) + node) & mask).astype(np.int64)
+            at = ((np.repeat(2 * h, n) + step) & mask).astype(np.int64)
             np.add.at(table, at, table.dtype.type(1) if times is None else np.repeat(np.repeat(times, counts), n))
 
 
@@ -185,8 +193,9 @@ class Model:
             symbol, hashes = contexts(parts, step)
             symbol = symbol.astype(np.int64)
             symbol[(np.cumsum(step) - 1)[on:]] = END
-            n, node, bit = self.code.decisions(symbol)
-            spoken = self._spoken(hashes, n, node)
+            n, decision = self.code.decisions(symbol)
+            bit = (decision & np.uint32(1)).astype(np.int8)
+            spoken = self._spoken(hashes, n, decision >> np.uint32(1))
             each = np.add.reduceat(n, np.cumsum(step) - step)           # decisions of each text
             owner = np.repeat(np.arange(live), each)
             sets = owner << K

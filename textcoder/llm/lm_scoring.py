@@ -81,7 +81,7 @@ def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
             return rows(found.field("values").cast(pa.string()), pa.nulls(len(found), pa.int32()), found.field("counts"))
 
         for batch in batches:
-            raws = [cm.symbols_of(t.as_py()) for t in batch.column(0)]
+            raws = [cm.symbols_of_value(t) for t in batch.column(0)]
             for raw in raws:
                 bytes_seen[:cm.END] += np.bincount(np.frombuffer(raw, np.uint8), minlength=cm.END)
             bytes_seen[cm.END] += len(raws)
@@ -119,7 +119,7 @@ def count_contexts(train: DataFrame, counts: DataFrame, code: cm.Code, bits: int
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cm.Counter(code, bits)
         for batch in batches:
-            own.add([cm.symbols_of(t.as_py()) for t in batch.column(0)])
+            own.add([cm.symbols_of_value(t) for t in batch.column(0)])
         yield from sent(own)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _scorer(frequent, model):
     """Arrow function of a text: what ``score`` needs of it."""
     def run(texts: pa.Array) -> pa.Array:
         often, logs = frequent.value
-        raws = [cm.symbols_of(t.as_py()) for t in texts]
+        raws = [cm.symbols_of_value(t) for t in texts]
         bits = [model.value.cost(b) for b in cm.lane_blocks(raws)]
         words, bounds = words_of(raws)
         # The logarithm of each word's count, 0 for words that are not among the frequent ones; the same of the end.
