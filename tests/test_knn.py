@@ -119,3 +119,31 @@ def test_prepared_corpus_reused(spark):
         again = {tuple(r[:3]) for r in knn_join(df, df, 3, carry=["code"], prepared=prep).collect()}
         assert again == plain
     prep.release()
+
+
+def _sparse(spark, n, dim, seed):
+    rng = np.random.default_rng(seed)
+    m = np.zeros((n, dim))
+    for i in range(n):
+        m[i, rng.integers(0, dim, 3)] = rng.integers(1, 3, 3)
+    m[n // 2:] = m[:n - n // 2]                       # equal vectors under other ids
+    return spark.createDataFrame([(i, m[i].tolist(), f"c{i:03d}") for i in range(n)], "id long, vector array<double>, code string"), m
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_block_plan_searches_equal_sparse_queries_once_and_equals_broadcast(spark, monkeypatch, metric):
+    from textcoder.operators import knn
+    monkeypatch.setattr(knn, "GROUP_ROWS", 16)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(knn, "CORPUS_BLOCK", 16)
+    df, _ = _sparse(spark, 90, 40, 5)
+    kw = dict(exclude_self=True, carry=["code"], as_lists=True, keep_empty=True, query_carry=["code"], metric=metric)
+    lists = {s: {r["query_id"]: (r["code"], r["ids"], r["codes"], np.round(r["scores"], 6).tolist()) for r in
+                 knn_join(df, df, 4, strategy=s, **kw).collect()} for s in ("blocks", "broadcast")}
+    assert len(lists["blocks"]) == 90 and lists["blocks"] == lists["broadcast"]
+
+
+def test_groups_of_the_block_plan_grow_with_memory_not_with_the_input():
+    from textcoder.operators import knn
+    assert knn._group_rows(12 * 64 + 64, knn.CORPUS_BLOCK) * (12 * 64 + 64) <= knn.GROUP_BYTES
+    assert knn._group_rows(100, knn.CORPUS_BLOCK) == knn.GROUP_ROWS         # 16 times fewer copies of the other side than blocks of 4,096
