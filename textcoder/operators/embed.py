@@ -164,7 +164,9 @@ def hashed_counts(df: DataFrame, id_col: str, text_col: str, dim: int = DEFAULT_
     # Partitions of about NATIVE_BYTES as stored, whatever the input's size: a task aggregates all buckets of its texts.
     size = int(str(df.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // NATIVE_BYTES))
-    docs = df.select(id_col, text_col).repartition(n, F.col(id_col))
+    docs = df.select(id_col, text_col)
+    # A source of unknown size (no file) is estimated beyond any table: Spark's own number of partitions.
+    docs = docs.repartition(n, F.col(id_col)) if size < 1 << 50 else docs.repartition(F.col(id_col))
     toks = docs.select(id_col, F.explode(tokens(text_col)).alias("_tok"))
     b = toks.select(id_col, F.pmod(F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10)
                                    .cast("bigint"), F.lit(dim)).alias("bucket"))
