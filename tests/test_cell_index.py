@@ -99,3 +99,25 @@ def test_odd_vectors_are_rejected_or_have_no_neighbours(spark, tmp_path):
 def test_recall_of_vectors_without_clusters(spark):
     from textcoder.plans.catalog import REGISTRY
     assert REGISTRY["cells_recall"](spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_queries_are_sent_once_per_group_of_cells(spark, tmp_path, monkeypatch, metric):
+    """Many cells make one group: a query has ``k`` candidates, not ``k`` per cell; several groups give the same neighbours, ties by key."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(700)]                  # many equal scores
+    rows = [(i, v if any(v) else [1.0, 0.0, 0.0, 0.0]) for i, v in rows]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = ci.build_index(df, str(tmp_path / "ix"), metric=metric, n_cells=9, nprobe=9)
+    expected = _rows(knn_join(df, df, 4, metric=metric, exclude_self=True, strategy="broadcast"))
+    asked = ci._ask(df.select(F.col("id").alias("_qid"), F.col("vector").alias("_qv")), index, ci._nearest(index, 9)).checkpoint()
+    assert ci._scan_blocks(spark, asked, index, ci.KnnSpec(4, metric, True)).count() == 4 * 700
+    assert _rows(ci.search(index, df, 4, exclude_self=True, strategy="blocks")) == expected
+    monkeypatch.setattr(ci, "CORPUS_BLOCK", 40)
+    monkeypatch.setattr(ci, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(ci, "GROUP_ROWS", 150)
+    index = ci.build_index(df, str(tmp_path / "parts"), metric=metric, n_cells=9, nprobe=9)
+    _, spans = ci._packed(index.sizes, index.sizes, index.dim)
+    assert len(spans) >= 4
+    assert _rows(ci.search(index, df, 4, exclude_self=True, strategy="blocks")) == expected
+    assert _rows(ci.search(index, df, 4, exclude_self=True, exact=True, strategy="blocks")) == expected

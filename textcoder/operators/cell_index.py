@@ -15,8 +15,8 @@ clusters need many probes; clustered ones few.
 
 Search reads the probed cells only (``cell`` is a partition column). Queries below a checked number of bytes are broadcast, and the
 cells are scored where they are read, so the corpus is not shuffled; a task keeps the best ``k`` per query. Beyond that,
-the queries of a cell are split into blocks, too, and cogrouped with the cell's sub-blocks, so neither a hot cell
-nor a cell that all queries probe is one task.
+the sub-blocks of cells are dealt into groups of bounded bytes and the queries of a group into blocks, and both are cogrouped, so neither a
+hot cell nor a cell that all queries probe is one task, and a vector is copied once per group or block of the other side, not once per cell.
 
 Exact search drops cells by bounds. A first probe of the nearest cells gives each query a k-th best value; a cell whose
 best possible value (centre, radius and norms bound it) is below can't hold a neighbour, and its pair with the query is dropped
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .knn import (BROADCAST_MAX_BYTES, CORPUS_BLOCK, METRICS, QUERY_BLOCK, KnnSpec, _matrix, _merge, _rename, _sortable, _tile_fn, _topk, _types,
-                  _value)
+from .knn import (BROADCAST_MAX_BYTES, CORPUS_BLOCK, GROUP_BYTES, GROUP_ROWS, METRICS, QUERY_BLOCK, QUERY_TILE, KnnSpec, _matrix, _merge, _products,
+                  _ranks, _rename, _select, _sortable, _topk, _types, _unit_rows, _value)
 from .partitioning import spread
 
 SAMPLE_ROWS = 1 << 16
@@ -196,7 +196,7 @@ def _calibrated(spark: SparkSession, index: CellIndex, target: float, k: int) ->
     """The fewest probes that find ``target`` (and a margin) of the true neighbours of ``CALIBRATE`` indexed vectors."""
     some = (_vectors(spark, index).orderBy(F.xxhash64("_cid"), "_cid").limit(CALIBRATE).select(F.col("_cid").alias("_qid"), F.col("_cv").alias("_qv"))
             .checkpoint())
-    asked = _ask(some, index, lambda q: np.ones((len(q), index.n_cells), bool))
+    asked = _ask(some, index, lambda q: np.ones((len(q), index.n_cells), bool)).checkpoint()
     found = _merge_cells(_scan(spark, asked, index, KnnSpec(k, index.metric, True)), KnnSpec(k, index.metric, True))
     found = found.groupBy("_qid").agg(F.collect_list("cell").alias("cells")).join(some, "_qid").collect()         # CALIBRATE rows
     if not found:
@@ -250,10 +250,10 @@ def _nearest(index: CellIndex, n: int):
 
 def _scan(spark: SparkSession, asked: DataFrame, index: CellIndex, spec: KnnSpec, max_bytes: int = QUERIES_MAX_BYTES,
           strategy: str = "auto") -> DataFrame:
-    """Candidates (_qid, _cid, _ck, _p.., cell, score): the best of the cells that each query asks for."""
+    """Candidates (_qid, _cid, _ck, _p.., cell, score): the best of the cells that each query asks for. ``asked`` is read several times
+    (for its size, its blocks, and to be scored), so it should be checkpointed."""
     if strategy not in ("auto", "broadcast", "blocks"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    asked = asked.checkpoint()              # read twice: for its size or blocks, and to be scored
     if strategy != "blocks":
         most = max(1, max_bytes // (8 * index.dim + 4 * index.n_cells + 64))
         table = asked.limit(most + 1).toArrow()
@@ -323,29 +323,149 @@ def _scan_broadcast(spark: SparkSession, table: pa.Table, asked: DataFrame, inde
     return v.select(*names, "_cv", "cell").mapInArrow(run, schema)
 
 
+def _packed(sizes: np.ndarray, asked: np.ndarray, dim: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Sub-blocks of the asked cells dealt into groups of bounded rows and bytes, in the order of cells: ((cell, sub, group)..,
+    (first and last cell) of each group)."""
+    most = max(CORPUS_BLOCK, min(GROUP_ROWS, GROUP_BYTES // (8 * dim + 64)))
+    units, spans, held = [], [], 0.0
+    for cell in np.flatnonzero((asked > 0) & (sizes > 0)).tolist():
+        subs = max(1, math.ceil(sizes[cell] / CORPUS_BLOCK))
+        for sub in range(subs):
+            rows = sizes[cell] / subs
+            if not spans or held + rows > most:
+                spans.append((cell, cell))
+                held = 0.0
+            held += rows
+            spans[-1] = (spans[-1][0], cell)
+            units.append((cell, sub, len(spans) - 1))
+    return units, spans
+
+
+def _topk_of_cells(qids, Q, asks, cids, ckeys, C, cell, k, metric, exclude_self):
+    """As ``_topk``, of the rows of those cells that each query asks for (``asks``: queries by cells, ``cell``: column of each row).
+
+    A query holds its best k over all cells, so after its first cell a product is only compared with the k-th best. Cells don't follow
+    the order of keys, so what may round to the k-th best value is kept until it is ranked by its key.
+    """
+    order = np.argsort(cell, kind="stable")
+    C, cids = C[order], cids[order]
+    place = np.empty(len(order), np.int64)
+    place[np.argsort(_sortable(ckeys[order]), kind="stable")] = np.arange(len(order))
+    if metric == "cosine":
+        (C, _), (Q, _) = _unit_rows(C), _unit_rows(Q)
+    else:
+        xx, yy = np.einsum("ij,ij->i", C, C), np.einsum("ij,ij->i", Q, Q)
+    here, starts = np.unique(cell[order], return_index=True)
+    tiles = [(c, s, min(end, s + CORPUS_BLOCK)) for c, start, end in zip(here, starts, np.r_[starts[1:], len(order)], strict=True)
+             for s in range(start, end, CORPUS_BLOCK)]
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for qs in range(0, len(qids), QUERY_TILE):
+        own = slice(qs, qs + QUERY_TILE)
+        wants, ids = asks[own], qids[own]
+        low = np.full(len(ids), -np.inf)
+        held = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        for c, s, e in tiles:
+            which = np.flatnonzero(wants[:, c])
+            if not len(which):
+                continue
+            S = _products(Q[own][which], C[s:e])
+            if metric == "l2":
+                S = np.maximum(xx[None, s:e] + yy[own][which][:, None] - 2 * S, 0.0)
+            bound = low[which]
+            if np.isneginf(bound).any():
+                V = _value(np.sqrt(S) if metric == "l2" else S, metric)
+                if exclude_self:
+                    V[ids[which][:, None] == cids[None, s:e]] = -np.inf
+                qi, ci = _select(V, k, place[s:e])
+            else:
+                edge = bound - 7e-7
+                qi, ci = np.nonzero(S <= (edge * edge * (1 + 1e-12))[:, None] if metric == "l2" else S >= edge[:, None])
+                if exclude_self and len(qi):
+                    other = ~(ids[which][qi] == cids[s + ci])
+                    qi, ci = qi[other], ci[other]
+            if not len(qi):
+                continue
+            found = np.sqrt(S[qi, ci]) if metric == "l2" else S[qi, ci]
+            qi, pos, score = (np.concatenate(x) for x in zip(held, (which[qi], s + ci, found), strict=True))
+            value = _value(score, metric)
+            at = np.lexsort((place[pos], -value, qi))
+            at = at[(_ranks(qi[at]) <= k) & (value[at] > -np.inf)]
+            held, value = (qi[at], pos[at], score[at]), value[at]
+            counts = np.bincount(held[0], minlength=len(ids))
+            full = np.flatnonzero(counts >= k)
+            low[full] = value[np.cumsum(counts)[full] - 1]
+        out.append((held[0] + qs, order[held[1]], held[2]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _scan_blocks(spark: SparkSession, asked: DataFrame, index: CellIndex, spec: KnnSpec) -> DataFrame:
+    """Cells are dealt into groups as large as a task's memory allows, the queries of a group into blocks. A query is sent once to each
+    group that it asks of, with a bit per cell, and a group once to each of its blocks of queries; a pair of them keeps the best ``k``
+    of each query over all its cells."""
+    n_cells, dim = index.n_cells, index.dim
+
+    def count(batches):
+        n = np.zeros(n_cells, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("cells").flatten().to_numpy(zero_copy_only=False), minlength=n_cells)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n).astype(np.int32)), pa.array(n[n > 0])], names=["cell", "n"])
+
+    asks_of = np.zeros(n_cells, np.int64)
+    for r in asked.select("cells").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():      # a row per cell
+        asks_of[r["cell"]] = r["n"]
+    units, spans = _packed(index.sizes, asks_of, dim)
+
+    def deal(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERY_BLOCK):
+                batch = whole.slice(start, QUERY_BLOCK)
+                lists = batch.column("cells")
+                mask = np.zeros((batch.num_rows, n_cells), bool)
+                mask[np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)),
+                     lists.flatten().to_numpy(zero_copy_only=False)] = True
+                for group, (first, last) in enumerate(spans):
+                    part = mask[:, first:last + 1]
+                    at = np.flatnonzero(part.any(axis=1))
+                    if len(at):
+                        bits = np.packbits(part[at], axis=1)
+                        keep = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([batch.column("_qid").take(keep), batch.column("_qv").take(keep),
+                                                          pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(np.full(len(at), group, np.int32))],
+                                                         names=["_qid", "_qv", "asks", "grp"])
+
+    qid, qv = _types(asked, ["_qid", "_qv"])
+    dealt = asked.select("_qid", "_qv", "cells").mapInArrow(deal, f"_qid {qid}, _qv {qv}, asks binary, grp int")
+    sent = {r["grp"]: r["n"] for r in dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}                             # a row per group
+    # Blocks as large as memory allows, but enough of them for every core.
+    most = max(QUERY_BLOCK, min(GROUP_ROWS, GROUP_BYTES // (8 * dim + 64), math.ceil(sum(sent.values()) / (2 * spark.sparkContext.defaultParallelism))))
+    blocks = {group: math.ceil(n / most) for group, n in sent.items()}
     v = _vectors(spark, index)
     names = _columns(v)
-    each = asked.select("_qid", "_qv", F.explode("cells").alias("cell"))
-    subs = spark.createDataFrame([(i, max(1, math.ceil(n / CORPUS_BLOCK))) for i, n in enumerate(index.sizes.tolist())], "cell int, subs int")
-    # A row per cell: how many blocks its queries and its rows fall into.
-    blocks = (each.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")).join(F.broadcast(subs), "cell")
-              .checkpoint())
-    blocks = F.broadcast(blocks.where("blocks > 0"))
-    left = (each.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("_qid"), F.col("blocks")).cast("int"))
-            .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("_qid", "_qv", "cell", "sub", "qb"))
+    of_group = spark.createDataFrame(list(blocks.items()), "grp int, blocks int")
+    left = (dealt.join(F.broadcast(of_group), "grp").withColumn("qb", F.pmod(F.xxhash64("_qid"), F.col("blocks")).cast("int"))
+            .select("_qid", "_qv", "asks", "grp", "qb"))
     # The join with the asked cells prunes partitions at run time, so other cells are not read.
-    right = (v.join(blocks.select("cell", "blocks"), "cell").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select(*names, "_cv", "cell", "sub", "qb"))
-    tile = _tile_fn(spec, names[2:])
-
-    def run(key, queries, rows):
-        out = tile(queries, rows)
-        out["cell"] = np.int32(key[0])
-        return out[["_qid", *names, "cell", "score"]]
+    of_unit = spark.createDataFrame([(cell, sub, group, blocks.get(group, 0)) for cell, sub, group in units],
+                                    "cell int, sub int, grp int, blocks int").checkpoint()
+    right = (v.join(F.broadcast(of_unit.where("blocks > 0")), ["cell", "sub"]).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(*names, "_cv", "cell", "grp", "qb"))
+    k, metric, exclude_self = spec.k, spec.metric, spec.exclude_self
 
-    return (left.groupBy("cell", "sub", "qb").cogroup(right.groupBy("cell", "sub", "qb"))
-            .applyInPandas(run, _candidate_schema(asked, v)))
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        qi, ci, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        cell = rows.column("cell").to_numpy()
+        if queries.num_rows and rows.num_rows:
+            first, last = spans[rows.column("grp")[0].as_py()]
+            bits = np.frombuffer(b"".join(queries.column("asks").to_pylist()), np.uint8).reshape(queries.num_rows, -1)
+            asks = np.unpackbits(bits, axis=1, count=last - first + 1).astype(bool)
+            qi, ci, score = _topk_of_cells(queries.column("_qid").to_numpy(), _matrix(queries.column("_qv")), asks, rows.column("_cid").to_numpy(),
+                                           rows.column("_ck").to_numpy(), _matrix(rows.column("_cv")), cell - first, k, metric, exclude_self)
+        took = rows.take(pa.array(ci, pa.int64()))
+        return pa.table([queries.column("_qid").take(pa.array(qi, pa.int64())), *[took.column(n) for n in names], took.column("cell"), pa.array(score, pa.float64())],
+                        names=["_qid", *names, "cell", "score"])
+
+    return (left.groupBy("grp", "qb").cogroup(right.groupBy("grp", "qb"))
+            .applyInArrow(run, _candidate_schema(asked, v)))
 
 
 def _merge_cells(found: DataFrame, spec: KnnSpec) -> DataFrame:

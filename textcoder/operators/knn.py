@@ -23,7 +23,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -453,24 +452,6 @@ def _broadcast_plan(spark, q: DataFrame, c: DataFrame, spec: KnnSpec, carry, max
     return out if as_lists else out.drop("_ck")
 
 
-def _tile_fn(spec: KnnSpec, carry):
-    k, metric, exclude_self = spec.k, spec.metric, spec.exclude_self
-    names = ["_cid", "_ck"] + [f"_p{i}" for i in range(len(carry))]
-
-    def tile(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"_qid": [], **{n: [] for n in names}, "score": []})
-        qids = qpdf["_qid"].to_numpy()
-        qi, ci, sc = _topk(qids, _matrix(qpdf["_qv"]), cpdf["_cid"].to_numpy(),
-                           cpdf["_ck"].to_numpy(), _matrix(cpdf["_cv"]), k, metric, exclude_self)
-        out = {"_qid": qids[qi]}
-        out.update({n: cpdf[n].to_numpy()[ci] for n in names})
-        out["score"] = sc
-        return pd.DataFrame(out)
-
-    return tile
-
-
 def _compact(df: DataFrame, vec: str) -> DataFrame:
     """``vec`` as the lists ``_ix`` (places of its entries; null: all places) and ``_vx``, with its dimension ``_dim``."""
     names = [n for n in df.columns if n != vec]
