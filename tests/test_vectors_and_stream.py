@@ -155,3 +155,26 @@ def test_upsert_embeds_each_row_once_and_planning_runs_no_job(spark, tmp_path):
     assert made.value == 100 and vt.table_count(spark, path) == 100
     spread(df.mapInArrow(embed, df.schema).groupBy("id").count())
     assert made.value == 100
+
+
+def test_a_task_holds_a_bounded_number_of_vectors(spark, tmp_path, monkeypatch):
+    """Files and the partitions in which latest rows are found are bounded by the vectors in memory; a hot id and repeated upserts keep the last row."""
+    monkeypatch.setattr(vt, "POINT_BYTES", 50 * (4 * 2 + 256))
+    monkeypatch.setattr(vt, "BROADCAST_IDS", 100)
+    path, p = str(tmp_path / "vt"), ("a", 1, None, "t")
+    vt.create_or_replace(spark, path, 2, "cosine")
+    rows = [(f"{i}" if i % 2 else "hot", [float(i), 1.0], p) for i in range(1000)]
+    points = _points(spark, rows).coalesce(1)
+    assert [tuple(vt.upsert(spark, path, points).first()) for _ in range(2)] == [(1, 0, 501), (2, 0, 501)]
+    folders = [r["folder"] for r in vt.commits(spark, path).collect() if r["kind"] != "empty"]
+    assert len(folders) == 3                                                        # two deltas and the base they were joined into
+    for folder in folders:
+        for what in ("staged", "points"):
+            if (tmp_path / "vt" / "data" / folder / what).exists():
+                held = spark.read.parquet(f"{path}/data/{folder}/{what}").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+                assert held <= (50 if what == "staged" else 100)                    # points are dealt by hash
+    dealt = vt._latest(spark.read.parquet(f"{path}/data/{folders[0]}/staged"), "seq", 1000, 2)
+    assert max(dealt.rdd.glom().map(len).collect()) <= 100
+    vt.upsert(spark, path, _points(spark, [(str(i), [0.0, 2.0], p) for i in range(1, 401)]))                # more ids than are broadcast
+    got = {r["id"]: list(r["vector"]) for r in vt.read_points(spark, path).collect()}
+    assert len(got) == 501 + 200 and got["hot"] == [998.0, 1.0] and got["399"] == [0.0, 2.0] and got["401"] == [401.0, 1.0]

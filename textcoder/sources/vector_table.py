@@ -38,6 +38,10 @@ STATUS_SCHEMA = "batch_no int, rows bigint, rejected bigint, error string"
 COMMIT_SCHEMA = "version int, kind string, folder string, rows bigint, rejected bigint"
 COMPACT_SHARE = 0.5
 COMPACT_DELTAS = 16
+#: Vectors in memory that a task sorts, and of a written file (a scan split takes 32 files at most).
+POINT_BYTES = 16 << 20
+#: Ids of deltas that are broadcast to the stored rows.
+BROADCAST_IDS = 1 << 16
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -151,13 +155,25 @@ def current_version(spark: SparkSession, path: str) -> int | None:
     return newest(spark, path)
 
 
-def _latest(rows: DataFrame, *order: str) -> DataFrame:
-    """One row per id. The aggregation combines map-side, so a hot id is reduced before the shuffle."""
-    return (rows.groupBy("id").agg(F.max_by(F.struct("vector", "payload", "seq"), F.struct(*order)).alias("_w"))
-            .select("id", "_w.vector", "_w.payload", "_w.seq"))
+def _file_rows(dim: int) -> int:
+    """Points that a task holds, or a file that is written: zeros take no space in Parquet or a shuffle, but do in memory."""
+    return max(1, POINT_BYTES // (4 * dim + 256))
 
 
-def _points(spark: SparkSession, path: str, base: str | None, deltas: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, n_rows: int, dim: int, *keys: str) -> DataFrame:
+    """``rows`` in partitions of bounded memory; as their number is given, Spark doesn't join them by their (compressed) bytes."""
+    return rows.repartition(max(1, -(-n_rows // _file_rows(dim))), *keys)
+
+
+def _latest(rows: DataFrame, order: str, n_rows: int, dim: int) -> DataFrame:
+    """One row per id, the last by ``order`` (no two rows of an id have the same). It is chosen by ids alone, combined map-side; the
+    rows with their vectors are dealt by id and order, so a hot id is spread, and a task sorts a bounded number of them."""
+    last = rows.groupBy("id").agg(F.max(order).alias("_last")).withColumnRenamed("id", "_of")
+    return (_dealt(rows, n_rows, dim, "id", order).join(last, (F.col("id") == F.col("_of")) & (F.col(order) == F.col("_last")), "left_semi")
+            .select("id", "vector", "payload", "seq"))
+
+
+def _points(spark: SparkSession, path: str, base: str | None, deltas: list[str], n_base: int, n_deltas: int) -> DataFrame:
     def read(folder: str) -> DataFrame:
         return spark.read.schema(POINTS_SCHEMA).parquet(f"{path}/data/{folder}/points")
 
@@ -171,17 +187,21 @@ def _points(spark: SparkSession, path: str, base: str | None, deltas: list[str])
         for i, folder in enumerate(deltas):
             part = read(folder).withColumn("_at", F.lit(i))
             changed = part if changed is None else changed.unionByName(part)
-        changed = _latest(changed, "_at")
+        changed = _latest(changed, "_at", n_deltas, table_meta(spark, path)[0])
     if not base:
         return changed
-    # Only ids of the deltas meet the base; small deltas are broadcast by Spark, and the stored vectors stay where they are.
-    return stored.join(changed.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_anti").unionByName(changed)
+    # Only ids of the deltas meet the base. Few ids are broadcast, and the stored vectors stay where they are.
+    new = changed.select(F.col("id").alias("_new"))
+    if n_deltas <= BROADCAST_IDS:
+        new = F.broadcast(new)
+    else:
+        stored = _dealt(stored, n_base, table_meta(spark, path)[0], "id")
+    return stored.join(new, F.col("id") == F.col("_new"), "left_anti").unionByName(changed)
 
 
 def read_points(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """Points ``(id, vector, payload)`` of a version (default: newest); empty before the first upsert."""
-    base, deltas, _, _ = _parts(spark, path, version)
-    return _points(spark, path, base, deltas).select("id", "vector", "payload")
+    return _points(spark, path, *_parts(spark, path, version)).select("id", "vector", "payload")
 
 
 def refusal(dim: int):
@@ -200,9 +220,9 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
     # Embedding is the dear part: written once, then read for points, rejects and status.
     (points.select("id", F.col("vector").cast("array<float>").alias("vector"), "payload")
      .withColumn("seq", F.monotonically_increasing_id()).withColumn("batch_no", F.spark_partition_id())
-     .withColumn("why", refusal(dim)).write.parquet(f"{here}/staged"))
+     .withColumn("why", refusal(dim)).write.option("maxRecordsPerFile", _file_rows(dim)).parquet(f"{here}/staged"))
     incoming = spark.read.parquet(f"{here}/staged")
-    _latest(incoming.where("why is null"), "seq").write.parquet(f"{here}/points")
+    _latest(incoming.where("why is null"), "seq", incoming.count(), dim).write.parquet(f"{here}/points")
     incoming.where("why is not null").write.parquet(f"{here}/rejects")
     # One status row per upload batch (a batch is an input partition):
     # rows received, rows refused and why, instead of a silently skipped batch.
@@ -222,9 +242,8 @@ def upsert(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, path: str) -> int | None:
     """Write the newest version as a base; its version, or None if another writer committed meanwhile."""
     at = newest(spark, path)
-    base, deltas, _, _ = _parts(spark, path, at)
     folder = uuid.uuid4().hex
-    _points(spark, path, base, deltas).write.parquet(f"{path}/data/{folder}/points")
+    _points(spark, path, *_parts(spark, path, at)).write.option("maxRecordsPerFile", _file_rows(table_meta(spark, path)[0])).parquet(f"{path}/data/{folder}/points")
     rows = spark.read.parquet(f"{path}/data/{folder}/points").count()
     return _commit(spark, path, {"kind": "base", "folder": folder, "rows": rows, "rejected": 0}, only=at + 1)
 
