@@ -133,3 +133,29 @@ def test_no_cap_on_blank_lines_record_lines_or_cells(spark, tmp_path):
     (folder / "up load.csv").write_bytes(b"activity_description\nbake\n")
     assert [r["activity_description"] for r in read_activity_csv(spark, str(folder / "up load.csv")).collect()] == ["bake"]
     assert _rows(spark, b"activity_description,q\nbake,\"open\nfry,1\n") == [("1", "bake")]
+
+
+def test_python_steps_take_slices_of_bounded_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from textcoder.operators import partitioning
+    from textcoder.sources import csv_records
+    taken = []
+    real = partitioning.slices
+
+    def watched(*a, **kw):
+        for part in real(*a, **kw):
+            taken.append(part.num_rows)
+            yield part
+
+    monkeypatch.setattr(csv_records, "slices", watched)
+    texts = ["x" * 200_000, None, "", '"a'] * 10 + ["b"] * 9000
+    got = csv_records._sliced(pa.array(texts), lambda x: None if x is None else len(x), pa.int32())
+    assert got.to_pylist() == [None if x is None else len(x) for x in texts] and got.type == pa.int32()
+    assert len(taken) >= 7 and max(taken) <= csv_records.SLICE_RECORDS
+    assert csv_records._sliced(pa.array([], pa.string()), len, pa.int32()).to_pylist() == []
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with partitioning.bounded_batches(spark):
+        assert int(spark.conf.get(name)) <= 8 << 20
+    assert spark.conf.get(name) == before

@@ -21,6 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import slices
+
+#: Lines or records that a Python step takes at a time (of at most ``partitioning.SLICE_BYTES``).
+SLICE_RECORDS = 4096
 KEEP, SWAP, TO_OUTSIDE, TO_INSIDE = range(4)
 _ORDER = ("file", "block", "at")
 
@@ -52,9 +56,16 @@ def _rules(delim: str) -> tuple[re.Pattern, re.Pattern]:
     return _RULES[delim]
 
 
+def _sliced(texts: pa.Array, make, kind: pa.DataType) -> pa.Array:
+    """``make`` of each text; the Python objects of a slice are gone before the next one is made."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [pa.array([make(x) for x in part.column("text").to_pylist()], kind) for part in slices(batch, "text", max_rows=SLICE_RECORDS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _effects(delim: str):
     def run(lines: pa.Array) -> pa.Array:
-        return pa.array([KEEP if x is None else line_effect(x, delim) for x in lines.to_pylist()], pa.int32())
+        return _sliced(lines, lambda x: KEEP if x is None else line_effect(x, delim), pa.int32())
 
     return F.arrow_udf(run, "int")
 
@@ -64,8 +75,7 @@ def cells(record: Column, delim: str) -> Column:
     def run(records: pa.Array) -> pa.Array:
         limit = csv.field_size_limit(1 << 31 - 1)
         try:
-            return pa.array([None if x is None else next(csv.reader([x], delimiter=delim), []) for x in records.to_pylist()],
-                            pa.list_(pa.string()))
+            return _sliced(records, lambda x: None if x is None else next(csv.reader([x], delimiter=delim), []), pa.list_(pa.string()))
         finally:
             csv.field_size_limit(limit)
 
