@@ -36,3 +36,23 @@ def test_recall_of_vectors_without_clusters(spark):
     from textcoder.plans.catalog import REGISTRY
     row = REGISTRY["graph_recall"](spark, "/root/testdata/sf0.1").first()
     assert row.recall >= 0.9 and row.distances < row.all_pairs
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_vectors_are_copied_per_block_not_per_pair(spark, monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5))
+    vectors = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)], "node long, vec array<double>").checkpoint()
+    asked = [(i, j) for i in range(60) for j in range(i + 1, 60, 3)]
+    pairs = spark.createDataFrame(asked, "a long, b long").checkpoint()
+    monkeypatch.setattr(ng, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(ng, "PAIR_ROWS", 40)
+    scored = ng._scored(pairs, vectors, metric, 60, len(asked), 5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    got = {(r.a, r.b): r.score for r in scored.collect()}
+    assert got.keys() == set(asked)
+    for (i, j), score in got.items():
+        dot = float(x[i] @ x[j])
+        want = {"cosine": dot / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])), "l2": float(np.linalg.norm(x[i] - x[j])), "dot": dot}[metric]
+        assert abs(score - want) < 1e-12
