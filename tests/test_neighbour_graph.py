@@ -47,12 +47,20 @@ def test_vectors_are_copied_per_block_not_per_pair(spark, monkeypatch, metric):
     pairs = spark.createDataFrame(asked, "a long, b long").checkpoint()
     monkeypatch.setattr(ng, "BLOCK_ROWS", 25)
     monkeypatch.setattr(ng, "PAIR_ROWS", 40)
-    scored = ng._scored(pairs, vectors, metric, 60, len(asked), 5)
-    plan = scored._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan
-    got = {(r.a, r.b): r.score for r in scored.collect()}
-    assert got.keys() == set(asked)
-    for (i, j), score in got.items():
+    want = {}
+    for i, j in asked:
         dot = float(x[i] @ x[j])
-        want = {"cosine": dot / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])), "l2": float(np.linalg.norm(x[i] - x[j])), "dot": dot}[metric]
-        assert abs(score - want) < 1e-12
+        want[i, j] = {"cosine": dot / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])), "l2": float(np.linalg.norm(x[i] - x[j])), "dot": dot}[metric]
+    want.update({(j, i): score for (i, j), score in want.items()})
+    scored = ng._scored(pairs, vectors, metric, 60, len(asked), 5, 60)
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {(r.node, r.nb): r.score for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in got)
+    # Only what may enter the best two of a row, which its links so far and the other pairs of a group decide.
+    sign = -1 if metric == "l2" else 1
+    best = {(i, j) for i in range(60) for j in sorted((j for k, j in want if k == i), key=lambda j: (-sign * round(want[i, j], 6), j))[:2]}
+    links = spark.createDataFrame([(i, j, want[i, j]) for i, j in sorted(best)], "node long, nb long, score double").checkpoint()
+    for graph in (None, links):
+        found = {(r.node, r.nb) for r in ng._scored(pairs, vectors, metric, 60, len(asked), 5, 2, graph).collect()}
+        assert best <= found and len(found) < len(want)
+    assert found == best
