@@ -50,7 +50,7 @@ def test_vectors_are_copied_per_block_not_per_pair(spark, monkeypatch, metric):
     want = {}
     for i, j in asked:
         dot = float(x[i] @ x[j])
-        want[i, j] = {"cosine": dot / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j])), "l2": float(np.linalg.norm(x[i] - x[j])), "dot": dot}[metric]
+        want[i, j] = {"cosine": float(dot / np.sqrt((x[i] @ x[i]) * (x[j] @ x[j]))), "l2": float(np.linalg.norm(x[i] - x[j])), "dot": dot}[metric]
     want.update({(j, i): score for (i, j), score in want.items()})
     scored = ng._scored(pairs, vectors, metric, 60, len(asked), 5, 60)
     assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
