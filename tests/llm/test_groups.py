@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textcoder.llm import exact_dedup, fingerprints, graph, line_dedup, mixing, sharding, simhash_dedup
 from textcoder.llm.queries import REGISTRY
-from textcoder.llm.util import documents
+from textcoder.llm.util import documents, lookup
 
 SMALL = "/root/testdata/sf0.001"
 TEXTS = [(1, "a b c", "s"), (2, "abc", "s"), (3, " a bc ", None), (4, None, "t"), (5, "", "t"), (6, "\n", "t"), (7, "x", "u"), (7, "x", "u"),
@@ -88,6 +88,23 @@ def test_state_goes_on_from_call_to_call(spark, tmp_path, key_chars):
         exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / "feed0"), str(tmp_path / "feed1")), state=str(tmp_path / "state"))
 
 
+def test_small_tables_are_few_files(spark):
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    most = spark.sparkContext.defaultParallelism
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert lookup(spark.range(90).groupBy("id").count()).rdd.getNumPartitions() <= most
+        chain = spark.range(1, 9).selectExpr("id AS a", "id + 1 AS b")
+        found = graph.components(chain)
+        assert {(r.node, r.root) for r in found.collect()} == {(i, 1) for i in range(1, 10)}
+        assert found.filter("node <> root").rdd.getNumPartitions() <= most + 16   # the links' files, and one shuffle for the roots
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(6000, 6100)]

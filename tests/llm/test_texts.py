@@ -68,6 +68,16 @@ def test_bpe_decode_is_the_librarys(codec, library):
     assert got == [library.decode(x, skip_special_tokens=False) for x in lists] + [""]
 
 
+def test_a_worker_that_only_decodes_has_no_encoder():
+    class Tables:
+        id = "decoding"
+        value = open(tokenizer_path(), encoding="utf-8").read()  # noqa: SIM115
+
+    pieces = bpe._codec(Tables, bpe.Pieces)
+    assert not hasattr(pieces, "automaton") and bpe._codec(Tables, bpe.Pieces) is pieces
+    assert bpe._codec(Tables).word_ids("word") and bpe._codec(Tables, bpe.Pieces) is bpe._codec(Tables)
+
+
 def test_bpe_frames(spark, library):
     df = spark.createDataFrame([(1, "Hello", "x"), (2, None, None), (2, "", "y")], "doc_id long, text string, ids string")
     rows = bpe.decode(bpe.encode(df, tokenizer_path()), tokenizer_path()).collect()

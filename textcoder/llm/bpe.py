@@ -35,7 +35,7 @@ from textcoder.llm.util import bounded_batches
 
 #: Stands for the end of a word in the automaton; no byte is written so.
 _END = "\x00"
-_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 120_000, 64, 300_000
+_CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 30_000, 64, 100_000
 #: Bytes of text or ids of a slice of a batch.
 _SLICE = 1 << 19
 
@@ -99,13 +99,39 @@ def _common(pattern: str):
     return re.compile(f"[^{re.escape(''.join(chars))}]").search, re.compile(f"[{kinds['L']}]+|{spelled}").findall
 
 
-class Codec:
-    """Tables of one vocabulary and the word encoder; built once per Python worker."""
+class Pieces:
+    """The token strings of one vocabulary, for decoding; built once per Python worker."""
+
+    def __init__(self, spec: dict):
+        names = {i: t for t, i in [*spec["vocab"].items(), *spec["special"].items()]}
+        pieces = [f"{names.get(i, '')} ".encode() for i in range(1 + max(names))]
+        self.buffer = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.piece = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.offset = np.cumsum(self.piece) - self.piece
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        counts = np.array([len(x) if x.is_valid else 0 for x in ids], dtype=np.int64)
+        return self._decode(ids, counts)
+
+    def _decode(self, ids: pa.Array, counts: np.ndarray) -> pa.Array:
+        tokens = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        lens = self.piece[tokens]
+        ends = np.cumsum(counts)
+        lens[ends[counts > 0] - 1] -= 1  # no space after the last token of a text
+        total = np.concatenate([[0], np.cumsum(lens)])
+        take = np.arange(total[-1]) + np.repeat(self.offset[tokens] - total[:-1], lens)
+        bounds = total[np.concatenate([[0], ends])].astype(np.int32)
+        return pa.StringArray.from_buffers(len(counts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.buffer[take].tobytes()))
+
+
+class Codec(Pieces):
+    """Tables of one vocabulary and the word encoder; built once per Python worker that encodes."""
 
     def __init__(self, spec: dict):
         import ahocorasick
         import regex
 
+        super().__init__(spec)
         vocab, end = spec["vocab"], spec["end"]
         form = {t: t[: -len(end)] + _END if t.endswith(end) and t != end else t for t in vocab}
         size = 1 + max([*vocab.values(), *spec["special"].values()])
@@ -144,11 +170,6 @@ class Codec:
         self.by_special = regex.compile("(" + "|".join(map(regex.escape, sorted(spec["special"], key=len, reverse=True))) + ")"
                                         ) if spec["special"] else None
         self.special_ids = {t: np.array([i], dtype="<i4").tobytes() for t, i in spec["special"].items()}
-        names = {i: t for t, i in [*vocab.items(), *spec["special"].items()]}
-        pieces = [f"{names.get(i, '')} ".encode() for i in range(size)]
-        self.buffer = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.piece = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.offset = np.cumsum(self.piece) - self.piece
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -243,29 +264,15 @@ class Codec:
         values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        counts = np.array([len(x) if x.is_valid else 0 for x in ids], dtype=np.int64)
-        return self._decode(ids, counts)
-
-    def _decode(self, ids: pa.Array, counts: np.ndarray) -> pa.Array:
-        tokens = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lens = self.piece[tokens]
-        ends = np.cumsum(counts)
-        lens[ends[counts > 0] - 1] -= 1  # no space after the last token of a text
-        total = np.concatenate([[0], np.cumsum(lens)])
-        take = np.arange(total[-1]) + np.repeat(self.offset[tokens] - total[:-1], lens)
-        bounds = total[np.concatenate([[0], ends])].astype(np.int32)
-        return pa.StringArray.from_buffers(len(counts), pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.buffer[take].tobytes()))
-
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Pieces] = {}
 
 
-def _codec(tables) -> Codec:
-    """The worker's codec of a broadcast specification."""
-    if tables.id not in _CODECS:
+def _codec(tables, kind: type[Pieces] = Codec) -> Pieces:
+    """The worker's codec of a broadcast specification; one that only decodes has no tables of the encoder."""
+    if not isinstance(_CODECS.get(tables.id), kind):
         _CODECS.clear()
-        _CODECS[tables.id] = Codec(parse_spec(tables.value))
+        _CODECS[tables.id] = kind(parse_spec(tables.value))
     return _CODECS[tables.id]
 
 
@@ -330,4 +337,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     """``df`` with the token strings of each id list, joined by one space (empty for null)."""
     bounded_batches(df.sparkSession)
     tables = shared_tables(df.sparkSession, path)
-    return _with_column(df, ids_col, out, T.StringType(), pc.list_value_length, lambda x: _codec(tables).decode(x))
+    return _with_column(df, ids_col, out, T.StringType(), pc.list_value_length, lambda x: _codec(tables, Pieces).decode(x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import cut
+from textcoder.llm.util import cut, cut_few
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     node can be split by AQE, since a row of either side stands for itself.
     """
     now = cut(edges.filter("a <> b").distinct())
-    seen = None
+    seen, most = None, now.count()          # no step adds links
     while True:
-        now = cut(_small_star(_large_star(now).filter("a <> b").distinct()).filter("a <> b").distinct())
+        now = cut_few(_small_star(_large_star(now).filter("a <> b").distinct()).filter("a <> b").distinct(), most)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcoder.llm.util import cut, lookup, unit_interval, word_count
+from textcoder.llm.util import cut, cut_few, lookup, unit_interval, word_count
 
 SEED = 8
 WEIGHTS = (5, 2, 1)
@@ -109,7 +109,7 @@ def _cuts(rows: DataFrame, budget: DataFrame) -> DataFrame:
     bins = (bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
             .join(small, F.col("source").eqNullSafe(F.col("b_source"))).drop("b_source"))
     # The first bin in which the words pass what is missing.
-    found = cut(bins.groupBy("source", "missing").agg(
+    found = cut_few(bins.groupBy("source", "missing").agg(
         F.min(F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("bin", "before"))).alias("at"), F.sum("words").alias("words")))
     inside = lookup(found.filter("at is not null").select(F.col("source").alias("c_source"), F.col("at.bin").alias("c_bin"),
                                                           F.col("at.before").alias("before"), "missing"))
@@ -148,11 +148,11 @@ def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
         start = F.struct(F.col("left").alias("left"), F.filter("rows", lambda _: F.lit(False)).alias("taken"))
         end = F.aggregate("rows", start, lambda a, x: F.when(-x["size"] <= a["left"], F.struct(
             (a["left"] + x["size"]).alias("left"), F.array_append(a["taken"], x).alias("taken"))).otherwise(a))
-        state = cut(took.select(F.col("source").alias("of"), F.element_at("rows", -1).alias("seen"), end.alias("end"))
-                    .select("of", "end.left", "seen", "end.taken"))
+        state = cut_few(took.select(F.col("source").alias("of"), F.element_at("rows", -1).alias("seen"), end.alias("end"))
+                        .select("of", "end.left", "seen", "end.taken"))
         if state.isEmpty():
             break
-        further = cut(further.union(state.select(F.col("of").alias("source"), F.explode("taken.key").alias("key"))))
+        further = cut_few(further.union(state.select(F.col("of").alias("source"), F.explode("taken.key").alias("key"))))
     # One further document, if it brings the words nearer to the target.
     gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")))
     rest = (beyond.join(gone, F.col("source").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("g_key")), "left"))
@@ -181,7 +181,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     u = unit_interval(F.lit(seed), F.col(inner[key]))
     whole = df.toDF(*inner.values())
     slim = cut(whole.select(F.col(inner[key]).alias("key"), F.col(inner[source]).alias("source"), size.alias("size"), weight.alias("weight"), u.alias("u")))
-    goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies))
+    goal = cut_few(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     quota = (goal.withColumn("whole", F.least(F.floor(times), F.lit(max_copies)).cast("int"))
              .select(F.col("source").alias("q_source"), "whole",
@@ -198,8 +198,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 
     at = cut(ranked(slim, "source", F.col("weight"), F.col("u")).select("source", "key", "size", "p", "q", "bin"))
     sure = at.groupBy(F.col("source").alias("s")).agg(F.sum(F.when(F.col("p") >= 1, F.col("size")).otherwise(0)).alias("certain"))
-    budget = cut(quota.join(sure, F.col("q_source").eqNullSafe(F.col("s")))
-                 .select(F.col("q_source").alias("source"), (F.col("remaining") - F.col("certain")).alias("missing")))
+    budget = cut_few(quota.join(sure, F.col("q_source").eqNullSafe(F.col("s")))
+                     .select(F.col("q_source").alias("source"), (F.col("remaining") - F.col("certain")).alias("missing")))
     rows = cut(at.filter("q is not null and size > 0").groupBy("source", "q", "bin", "key").agg(F.sum("size").alias("size")))
     cuts, further = _fill(rows, budget)
     marks = lookup(goal.select(F.col("source").alias("m_source"), "source_size", "target")
