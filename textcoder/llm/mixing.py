@@ -78,7 +78,7 @@ def _inclusion(rows: DataFrame, quota: DataFrame) -> DataFrame:
     all_certain = F.coalesce((F.col("remaining") - F.col("then")) / F.col("rest") * F.col("least") >= 1, F.lit(False))
     ends = (bins.filter(~all_certain).groupBy("q_source", "remaining")
             .agg(F.max(F.struct("w_bin", "taken", F.coalesce("rest", F.lit(0.0)).alias("rest"))).alias("end")))
-    ends = lookup(ends.select(F.col("q_source").alias("e_source"), "remaining", "end.*").withColumnRenamed("w_bin", "end_bin"))
+    ends = lookup(ends.select(F.col("q_source").alias("e_source"), "remaining", "end.*").withColumnRenamed("w_bin", "end_bin"), few=True)
     each = (some.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("w_bin") == F.col("end_bin")))
             .groupBy("e_source", "remaining", "taken", "rest", "weight").agg(words.alias("words"), mass.alias("mass")))
     by_weight = Window.partitionBy("e_source").orderBy(F.col("weight").desc())
@@ -112,7 +112,7 @@ def _cuts(rows: DataFrame, budget: DataFrame) -> DataFrame:
     found = cut_few(bins.groupBy("source", "missing").agg(
         F.min(F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("bin", "before"))).alias("at"), F.sum("words").alias("words")))
     inside = lookup(found.filter("at is not null").select(F.col("source").alias("c_source"), F.col("at.bin").alias("c_bin"),
-                                                          F.col("at.before").alias("before"), "missing"))
+                                                          F.col("at.before").alias("before"), "missing"), few=True)
     run = Window.partitionBy("c_source").orderBy("q", "key").rowsBetween(Window.unboundedPreceding, 0)
     last = (rows.join(inside, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("c_bin")))
             .withColumn("upto", F.col("before") + F.sum("size").over(run)).filter(F.col("upto") <= F.col("missing"))
@@ -129,9 +129,9 @@ def _before(row_bin: Column, row: Column) -> Column:
 
 def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cuts, further): the cut of each source, and the (source, key) that are taken past it."""
-    cuts = lookup(_cuts(ranked, budget))
+    cuts = lookup(_cuts(ranked, budget), few=True)
     at = lookup(budget.select(F.col("source").alias("of"), "missing").join(cuts.withColumnRenamed("source", "c"), F.col("of").eqNullSafe(F.col("c")), "left")
-                .select("of", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("left"), "cut_bin", "last"))
+                .select("of", (F.col("missing") - F.coalesce("got", F.lit(0))).alias("left"), "cut_bin", "last"), few=True)
     beyond = cut(ranked.join(at, F.col("source").eqNullSafe(F.col("of"))).filter(~_before(F.col("bin"), F.struct("q", "key")))
                  .select("source", "size", "q", "key"))
     order = F.struct((-F.col("size")).alias("size"), "q", "key")
@@ -140,7 +140,7 @@ def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = at.select("of", "left", F.lit(None).cast(beyond.select(order.alias("o")).schema["o"].dataType).alias("seen"))
     further = beyond.select("source", "key").limit(0)
     while True:
-        small = lookup(state.select("of", "left", "seen"))
+        small = lookup(state.select("of", "left", "seen"), few=True)
         fitting = (beyond.join(small, F.col("source").eqNullSafe(F.col("of"))).filter((F.col("size") <= F.col("left")) & F.coalesce(order > F.col("seen"), F.lit(True)))
                    .withColumn("no", F.row_number().over(first)).filter(F.col("no") <= _ROUND))
         # At most _ROUND documents a source; each is taken if it fits into what those before it leave.
@@ -154,15 +154,15 @@ def _fill(ranked: DataFrame, budget: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         further = cut_few(further.union(state.select(F.col("of").alias("source"), F.explode("taken.key").alias("key"))))
     # One further document, if it brings the words nearer to the target.
-    gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")))
+    gone = lookup(further.select(F.col("source").alias("g"), F.col("key").alias("g_key")), few=True)
     rest = (beyond.join(gone, F.col("source").eqNullSafe(F.col("g")) & F.col("key").eqNullSafe(F.col("g_key")), "left"))
     got = rest.filter("g_key is not null or g is not null").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("more"))
     left = lookup(at.select("of", "left").join(got, F.col("of").eqNullSafe(F.col("s")), "left")
-                  .select("of", (F.col("left") - F.coalesce("more", F.lit(0))).alias("left")))
+                  .select("of", (F.col("left") - F.coalesce("more", F.lit(0))).alias("left")), few=True)
     off = F.abs(F.col("left") - F.col("size"))
     closing = (rest.filter("g_key is null and g is null").join(left, F.col("source").eqNullSafe(F.col("of"))).filter(off < F.col("left"))
                .groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "key")).alias("x")).select("source", F.col("x.key").alias("key")))
-    return cuts, lookup(further.union(closing))
+    return cuts, lookup(further.union(closing), few=True)
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
@@ -186,7 +186,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     quota = (goal.withColumn("whole", F.least(F.floor(times), F.lit(max_copies)).cast("int"))
              .select(F.col("source").alias("q_source"), "whole",
                      F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")).alias("remaining")))
-    quota = lookup(_inclusion(slim, quota))
+    quota = lookup(_inclusion(slim, quota), few=True)
 
     def ranked(rows: DataFrame, src: str, w: Column, draw: Column) -> DataFrame:
         """Adds p, q and bin; a certain document (p = 1) and one that is not sampled (p = 0) have no rank."""
@@ -203,7 +203,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     rows = cut(at.filter("q is not null and size > 0").groupBy("source", "q", "bin", "key").agg(F.sum("size").alias("size")))
     cuts, further = _fill(rows, budget)
     marks = lookup(goal.select(F.col("source").alias("m_source"), "source_size", "target")
-                   .join(cuts.withColumn("has_cut", F.lit(True)), F.col("m_source").eqNullSafe(F.col("source")), "left").drop("source"))
+                   .join(cuts.withColumn("has_cut", F.lit(True)), F.col("m_source").eqNullSafe(F.col("source")), "left").drop("source"), few=True)
     further = further.select(F.col("source").alias("f_source"), F.col("key").alias("f_key"), F.lit(True).alias("picked")).distinct()
     own = whole.select("*", size.alias("size"), weight.alias("weight"), u.alias("u"))
     own = (ranked(own, inner[source], F.col("weight"), F.col("u"))
