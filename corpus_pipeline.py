@@ -50,7 +50,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents, their token ids, and whether decoding gives the tokens' text."""
     _ready(spark)
     path = tokenizer_path()
-    both = bpe.decode(bpe.encode(docs, path, out="token_ids"), path, ids_col="token_ids", out="decoded")
+    # Stored in between, so that a core has one Python worker at a time and not one that encodes beside one that decodes.
+    encoded, _ = stored(bpe.encode(docs, path, out="token_ids"), "token-ids")
+    both = bpe.decode(encoded, path, ids_col="token_ids", out="decoded")
     return both.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 

@@ -86,6 +86,32 @@ def test_bpe_frames(spark, library):
     assert bpe.encode(df.limit(0), tokenizer_path()).collect() == []
 
 
+def test_batches_of_the_codec_are_small(spark):
+    df = spark.createDataFrame([(i, "Some words " * 400) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    rows = bpe.encode(df, tokenizer_path()).select("ids")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 20
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    assert df.mapInArrow(largest, "n long").first().n < 2 << 20
+    assert rows.distinct().count() == 1
+
+
+def test_pipeline_decodes_after_encoding(spark, library):
+    """One Python step at a time: encoding and decoding workers don't stand side by side."""
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "Hello you", "en", "x", 9), (2, None, None, None, 0), (2, "", "en", "y", 0)], SCHEMA)
+    out = corpus_pipeline.tokenize(spark, df, SMALL)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    ids = library.encode("Hello you", add_special_tokens=False).ids
+    assert out.columns == [*df.columns, "token_ids", "decoded", "n_tokens"]
+    assert sorted((r.doc_id, list(r.token_ids), r.decoded, r.n_tokens) for r in out.collect()) == sorted(
+        [(1, ids, "hello</w> you</w>", len(ids)), (2, [], "", 0), (2, [], "", 0)])
+
+
 def test_op2_against_library(spark, library):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in REGISTRY["op2_bpe"](spark, SMALL).collect():

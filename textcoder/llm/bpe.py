@@ -36,8 +36,8 @@ from textcoder.llm.util import bounded_batches
 #: Stands for the end of a word in the automaton; no byte is written so.
 _END = "\x00"
 _CACHED_WORDS, _CACHED_LENGTH, _CACHED_PAIRS = 30_000, 64, 100_000
-#: Bytes of text or ids of a slice of a batch.
-_SLICE = 1 << 19
+#: Bytes of text or ids of a slice of a batch, and bytes of a batch.
+_SLICE, _BATCH = 1 << 19, 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -328,13 +328,13 @@ def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, lengths
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of each text (array<int>, empty for null)."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, _BATCH)
     tables = shared_tables(df.sparkSession, path)
     return _with_column(df, text_col, out, T.ArrayType(T.IntegerType()), pc.binary_length, lambda x: _codec(tables).encode(x))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the token strings of each id list, joined by one space (empty for null)."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, _BATCH)
     tables = shared_tables(df.sparkSession, path)
     return _with_column(df, ids_col, out, T.StringType(), pc.list_value_length, lambda x: _codec(tables, Pieces).decode(x))
