@@ -147,3 +147,27 @@ def test_groups_of_the_block_plan_grow_with_memory_not_with_the_input():
     from textcoder.operators import knn
     assert knn._group_rows(12 * 64 + 64, knn.CORPUS_BLOCK) * (12 * 64 + 64) <= knn.GROUP_BYTES
     assert knn._group_rows(100, knn.CORPUS_BLOCK) == knn.GROUP_ROWS         # 16 times fewer copies of the other side than blocks of 4,096
+
+
+def test_a_corpus_over_the_bound_is_counted_not_collected(spark, monkeypatch):
+    rows = [(i, [float(i % 7), 1.0, 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = sorted(map(tuple, knn_join(df, df, 3).collect()))
+
+    def refused(self):
+        raise AssertionError("collected")
+    monkeypatch.setattr(type(df), "toArrow", refused)
+    assert sorted(map(tuple, knn_join(df, df, 3, broadcast_max_bytes=8 * 60).collect())) == want
+    monkeypatch.setattr("textcoder.operators.knn.LISTS_MAX_BYTES", 100)
+    assert sorted(map(tuple, knn_join(df, df, 3).collect())) == want
+
+
+def test_a_broadcast_corpus_is_held_as_lists_of_its_entries(spark):
+    from textcoder.operators.knn import prepare_corpus
+    rows = [(i, [0.0] * i + [1.0] + [0.0] * (999 - i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    prep = prepare_corpus(df)
+    held = prep.bc.value[3]
+    assert prep.rows == 100 and prep.dim == 1000 and held.values.nbytes == 800
+    got = knn_join(df, df, 1, prepared=prep).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(i, i) for i in range(100)]
